@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import decontaminate, langid, mixing, simhash, tokenpack, toxicity
+from fieldloom.llm import decontaminate, langid, mixing, secrets, simhash, tokenpack, toxicity
 from fieldloom.llm.common import scratch_path, table
 
 
@@ -24,6 +24,10 @@ def op4_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenpack.summary(spark, path)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
@@ -43,6 +47,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_token_packing": op4_token_packing,
+    "op6_secret_scan": op6_secret_scan,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_language_id": op8_language_id,
     "op10_source_mixing": op10_source_mixing,
