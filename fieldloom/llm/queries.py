@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import decontaminate, langid, mixing, secrets, simhash, tokenpack, toxicity
+from fieldloom.llm import decontaminate, htmltext, langid, mixing, secrets, simhash, tokenpack, toxicity
 from fieldloom.llm.common import scratch_path, table
 
 
@@ -24,6 +24,11 @@ def op4_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenpack.summary(spark, path)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return htmltext.main_text(pages, htmltext.fit(pages))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_token_packing": op4_token_packing,
+    "op5_html_extraction": op5_html_extraction,
     "op6_secret_scan": op6_secret_scan,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_language_id": op8_language_id,
