@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import decontaminate, htmltext, langid, mixing, passages, secrets, simhash, tokenpack, toxicity
+from fieldloom.llm import decontaminate, htmltext, langid, mixing, nndescent, passages, secrets, simhash, tokenpack, toxicity
 from fieldloom.llm.common import scratch_path, table
 
 
@@ -48,6 +48,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -61,10 +65,12 @@ QUERIES = {
     "op6_secret_scan": op6_secret_scan,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_language_id": op8_language_id,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLES = {
     "op7_benchmark_decontamination": decontaminate.ORACLE,
+    "op9_embedding_near_dedup": nndescent.ORACLE,
     "op10_source_mixing": mixing.ORACLE,
 }
