@@ -19,6 +19,7 @@ come first; an empty table writes an empty file; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ from fieldloom.llm import common
 END_ID = 2
 BLOCK_TOKENS = 1 << 16
 #: Distinct words that a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 #: A special token of the vocabulary file that parts the words of one call.
 _SEPARATOR = "<|startoftext|>"
 
@@ -68,6 +69,24 @@ def unpack(payload: bytes, width: int, start: int, count: int) -> np.ndarray:
     return bits.reshape(count, width).astype(np.uint32) @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
 
 
+#: A word of Latin letters that composition and lower case leave in one piece, and a mark after it.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as themselves, the others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+
+
+def _bytes_as_letters(word: str) -> str:
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+
+
 class WordEncoder:
     """Encodes texts word by word through a cache of distinct words."""
 
@@ -80,46 +99,71 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = width_of(self.tokenizer.get_vocab_size())
         self.separator = self.tokenizer.token_to_id(_SEPARATOR)
-        self._clear()
-
-    def _clear(self) -> None:
         self.index: dict[bytes, int] = {}
+        self.used = 0
         self.first = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
-        self.used = 0
+        self._tokenize = self.tokenizer.model.tokenize
+        self.simple = self._has_simple_words()
+        self.marks = {m: self._encode(m) for m in ("", ".", ",", ";", ":", "!", "?")}
+
+    def _has_simple_words(self) -> bool:
+        """Whether words of Latin letters may go straight to the model: normaliser
+        and splitter leave them whole, but for lower case."""
+        probe = "Théâtre größer AND Straße año"
+        direct = [t.id for w in probe.split() for t in self._tokenize(_bytes_as_letters(w.lower()))]
+        return direct == self._encode(probe) and self._encode("and.") == self._encode("and") + self._encode(".")
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _add(self, word: bytes, ids: np.ndarray) -> None:
-        k = len(self.index)
-        if k == len(self.first):
+    def _learn(self, words: list[bytes]) -> None:
+        """Encodes words and stores their ids one after another."""
+        plain, done, ids, sizes = [], [], [], []
+        tokenize, marks = self._tokenize, self.marks
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            if self.simple and (m := _SIMPLE(text)):
+                got = [t.id for t in tokenize(_bytes_as_letters(m[1].lower()))]
+                got += marks[m[2]]
+            elif "<|" in text:
+                got = self._encode(text)
+            else:
+                plain.append(w)
+                continue
+            done.append(w)
+            ids += got
+            sizes.append(len(got))
+        for i in range(0, len(plain), 64):
+            part = plain[i : i + 64]
+            last = len(ids)
+            for k in self._encode(_SEPARATOR.join(w.decode("utf-8", "replace") for w in part)):
+                if k == self.separator:
+                    sizes.append(len(ids) - last)
+                    last = len(ids)
+                else:
+                    ids.append(k)
+            sizes.append(len(ids) - last)
+            done += part
+        k, n = len(self.index), len(done)
+        while k + n > len(self.first):
             self.first, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.length))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.index[word], self.first[k], self.length[k] = k, self.used, len(ids)
         self.flat[self.used : self.used + len(ids)] = ids
+        self.length[k : k + n] = sizes
+        self.first[k : k + n] = self.used + np.cumsum(sizes) - sizes
         self.used += len(ids)
-
-    def _learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if b"<|" not in w]
-        for i in range(0, len(plain), 64):
-            part = plain[i : i + 64]
-            ids = np.array(self._encode(_SEPARATOR.join(w.decode("utf-8", "replace") for w in part)), np.uint32)
-            cuts = np.flatnonzero(ids == self.separator)
-            for word, piece in zip(part, np.split(ids, cuts)):
-                self._add(word, piece[1:] if len(piece) and piece[0] == self.separator else piece)
-        for w in words:
-            if b"<|" in w:
-                self._add(w, np.array(self._encode(w.decode("utf-8", "replace")), np.uint32))
+        self.index.update(zip(done, range(k, k + n)))
 
     def encode(self, text: str | None) -> np.ndarray:
         words = text.encode("utf-8", "replace").split() if text else []
         if not words:
             return np.zeros(0, np.uint32)
         if len(self.index) > CACHE_WORDS:
-            self._clear()
+            self.index.clear()
+            self.used = 0
         if new := [w for w in dict.fromkeys(words) if w not in self.index]:
             self._learn(new)
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
@@ -187,7 +231,8 @@ def write(
         if ids:
             yield flush()
 
-    ordered.mapInArrow(blocks, SCHEMA).write.parquet(path)
+    # small row groups keep writers small and let a reader skip to a document
+    ordered.mapInArrow(blocks, SCHEMA).write.option("parquet.block.size", 8 << 20).parquet(path)
 
 
 def _placed(spark: SparkSession, path: str) -> DataFrame:
