@@ -1,36 +1,71 @@
 """A training-data pipeline over ``documents`` built from the corpus operators.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
-as Parquet and read again as the next stage's docs.
+as Parquet and read again as the next stage's docs. All stages but the last
+return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import common, simhash
+from fieldloom.llm import common, decontaminate, mixing, simhash, tokenpack, toxicity
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the toxicity classifier scores at 0.5 or more."""
+    return toxicity.accept(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies the document with the smallest doc_id."""
+    """Keeps of each group of near copies the document with the smallest doc_id.
+
+    Of rows that share a doc_id one stays; rows with a null doc_id belong to no
+    group and all stay."""
+    named = docs.where("doc_id is not null")
     kept = (
-        simhash.near_duplicates(docs)
-        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        simhash.near_duplicates(named)
+        .where("doc_id = component_id")
         .select(F.col("doc_id").alias("kept_id"))
         .distinct()
     )
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"]).drop("kept_id").dropDuplicates(["doc_id"])
+    first = named.join(kept, named["doc_id"] == kept["kept_id"]).drop("kept_id").dropDuplicates(["doc_id"])
+    return first.unionByName(docs.where("doc_id is null"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item."""
+    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Emits each document as often as the mix of sources takes it."""
+    return mixing.emit(mixing.mix(docs), docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the token file and returns its documents: doc_id, start, n_tokens, ids_crc32."""
+    path = common.scratch_path(spark, "pipeline-tokens")
+    tokenpack.write(docs, path, public_tokenizers.path("word_bpe_49k.json"))
+    return tokenpack.summary(spark, path)
 
 
 STAGES = [
+    ("toxicity", reject_toxic),
     ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontaminated),
+    ("source_mixing", mixed),
+    ("token_packing", packed),
 ]
 
+#: The first stage is a trained model, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to ``documents``, each over all that the one before kept."""
     docs = common.table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         path = common.scratch_path(spark, f"pipeline-{k}-{name}")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIT_PER_LANG = 600
-ORDERS = (1, 2, 3, 4)
+ORDERS = (2, 3)
 SWITCH = 5.0
 CACHE_WORDS = 250_000
 
@@ -86,24 +86,31 @@ class Model:
     index: dict[str, int] = field(default_factory=dict, repr=False)
     known: np.ndarray | None = field(default=None, repr=False)
 
-    def row(self, word: str) -> np.ndarray:
-        """Log scores of the languages for one word, the best at 0."""
-        at = [i for g in grams(word) if (i := self.table.get(g)) is not None]
-        score = self.logs[at].sum(0) / 2 if at else np.zeros(len(self.langs), np.float32)
-        score = np.maximum(score - score.max(), -8)
-        mask = self.scripts.get(script_of(word))
-        return score if mask is None else np.where(mask, score, -20).astype(np.float32)
+    def rows(self, tokens: list[str]) -> np.ndarray:
+        """Log scores of the languages for each word, the best at 0."""
+        at, sizes, masks = [], [], []
+        get, scripts, free = self.table.get, self.scripts, np.ones(len(self.langs), bool)
+        for w in tokens:
+            found = [i for g in grams(w) if (i := get(g)) is not None]
+            at += found
+            sizes.append(len(found))
+            masks.append(scripts.get(script_of(w), free))
+        ends = np.cumsum(sizes)
+        sums = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.logs[at], 0, np.float64)])
+        score = (sums[ends] - sums[ends - sizes]) / 2
+        score = np.maximum(score - score.max(1, keepdims=True), -8)
+        return np.where(np.array(masks), score, -20).astype(np.float32)
 
     def ids(self, tokens: list[str]) -> np.ndarray:
         index = self.index
-        for w in dict.fromkeys(tokens):
-            if w not in index:
-                k = len(index)
-                if self.known is None or k == len(self.known):
-                    more = np.zeros((max(1024, k), len(self.langs)), np.float32)
-                    self.known = more if self.known is None else np.concatenate([self.known, more])
-                index[w] = k
-                self.known[k] = self.row(w)
+        if new := [w for w in dict.fromkeys(tokens) if w not in index]:
+            k = len(index)
+            if self.known is None:
+                self.known = np.zeros((1024, len(self.langs)), np.float32)
+            while k + len(new) > len(self.known):
+                self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+            self.known[k : k + len(new)] = self.rows(new)
+            index.update(zip(new, range(k, k + len(new))))
         return np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
 
 
