@@ -10,19 +10,26 @@ from fieldloom.functions import text
 LEAST_CONFIDENCE = 10
 
 
+def fingerprints(documents: DataFrame) -> DataFrame:
+    """vendor_name, its key and fingerprint: the rules run once for each distinct name."""
+    name = F.col("vendor_name")
+    return documents.select(name).distinct().select(
+        name, text.vendor_key(name).alias("vendor_name_normalized"), text.fingerprint(name).alias("vendor_fingerprint")
+    )
+
+
 def sightings(documents: DataFrame) -> DataFrame:
     """doc_id, vendor_name, confidence, seen_at with key and fingerprint; without
     a name or below the least confidence there is no sighting."""
     usable = documents.where((F.col("confidence") >= LEAST_CONFIDENCE) & (F.coalesce("vendor_name", F.lit("")) != ""))
-    return usable.withColumns(
-        {"vendor_name_normalized": text.vendor_key(F.col("vendor_name")), "vendor_fingerprint": text.fingerprint(F.col("vendor_name"))}
-    ).where("vendor_fingerprint is not null")
+    return usable.join(fingerprints(documents).where("vendor_fingerprint is not null"), "vendor_name")
 
 
 def matched(documents: DataFrame, vendors: DataFrame) -> DataFrame:
     """Documents with the vendor of their fingerprint, if there is one."""
     own = vendors.select("vendor_fingerprint", F.col("id").alias("vendor_id"))
-    return documents.withColumn("vendor_fingerprint", text.fingerprint(F.col("vendor_name"))).join(own, "vendor_fingerprint", "left")
+    named = fingerprints(documents).select("vendor_name", "vendor_fingerprint").join(own, "vendor_fingerprint", "left")
+    return documents.join(named, "vendor_name", "left")
 
 
 def unknown(documents: DataFrame, vendors: DataFrame) -> DataFrame:
