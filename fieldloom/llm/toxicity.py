@@ -20,9 +20,10 @@ table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -30,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FIT_PER_CLASS = 2500
+FIT_PER_CLASS = 2000
 FEATURES = 1500
 #: Strength of the counterfactual penalty and of the ridge.
 COUNTERFACTUAL, RIDGE = 10.0, 0.3
 PREFIXES = (4, 5, 6, 7)
 CACHE_WORDS = 400_000
+#: Swapped sentences that the fit holds at most.
+SWAPS = 4000
 
 #: Identity terms, grouped by what may replace what.
 IDENTITY = (
@@ -102,6 +105,10 @@ def _present(tokens) -> set[str]:
     return {f for w in set(tokens) for f in features_of(w)}
 
 
+def _codes(features: set[str]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(f.encode()) for f in features), np.uint32, len(features))
+
+
 def train(
     texts: list[str | None],
     labels: list[int],
@@ -115,34 +122,42 @@ def train(
     n1, n0 = y.sum(), len(y) - y.sum()
     if not n1 or not n0:
         return Model(float(np.log((n1 + 0.5) / (n0 + 0.5))), {})
-    counts = (Counter(), Counter())
+    # chi-square of each feature's presence against the label; features count by
+    # their checksums, in arrays, as most of a corpus's features are rare
+    seen = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
     for text, label in zip(texts, labels):
-        counts[label].update(_present(words(text)))
-    # chi-square of presence against the label
-    names = [f for f in sorted(counts[0].keys() | counts[1].keys()) if counts[0][f] + counts[1][f] >= 3]
-    a = np.array([counts[1][f] for f in names], np.float64)
-    b = np.array([counts[0][f] for f in names], np.float64)
+        seen[label].append(_codes(_present(words(text))))
+    (code0, count0), (code1, count1) = (np.unique(np.concatenate(s), return_counts=True) for s in seen)
+    codes = np.union1d(code0, code1)
+    a, b = np.zeros(len(codes)), np.zeros(len(codes))
+    a[np.searchsorted(codes, code1)] = count1
+    b[np.searchsorted(codes, code0)] = count0
+    codes, a, b = (v[a + b >= 3] for v in (codes, a, b))
     n = n0 + n1
     off = a * (n0 - b) - b * (n1 - a)
     chi = n * off**2 / np.maximum((a + b) * (n - a - b) * n1 * n0, 1)
-    names = [names[i] for i in np.argsort(-chi, kind="stable")[:n_features]]
-    names = list(dict.fromkeys([*names, *(t + "$" for t in _GROUP if counts[0][t + "$"] + counts[1][t + "$"])]))
-    place = {f: i for i, f in enumerate(names)}
+    chosen = {int(codes[i]): k for k, i in enumerate(np.argsort(-chi, kind="stable")[:n_features])}
+    place: dict[str, int] = {}
+    for text in texts:
+        for f in sorted(_present(words(text))):
+            if f not in place and ((code := zlib.crc32(f.encode())) in chosen or f[:-1] in _GROUP and f[-1] == "$"):
+                place[f] = chosen.setdefault(code, len(chosen))
+    n_columns = len(chosen)
 
     def matrix(rows) -> np.ndarray:
-        out = np.zeros((len(rows), len(names)), np.float32)
-        for r, row in enumerate(rows):
-            out[r, [place[f] for f in row if f in place]] = 1
+        out = np.zeros((len(rows), n_columns), np.float32)
+        for r, tokens in enumerate(rows):
+            out[r, [place[f] for f in _present(tokens) if f in place]] = 1
         return out
 
-    x = matrix([_present(words(t)) for t in texts])
-    swaps = [p for t in texts for p in counterfactuals(t)][:20_000]
-    d = matrix([_present(p) for p, _ in swaps]) - matrix([_present(q) for _, q in swaps]) if swaps else None
+    x = matrix([words(t) for t in texts])
+    swaps = list(islice((p for t in texts for p in counterfactuals(t)), SWAPS))
+    d = matrix([p for p, _ in swaps]) - matrix([q for _, q in swaps]) if swaps else None
     weight = np.where(y == 1, np.sqrt(n0 / n1), 1.0)
     weight /= weight.sum()
-    w, bias = np.zeros(len(names)), float(np.log(n1 / n0))
-    m = np.zeros(len(names) + 1)
-    v = np.zeros(len(names) + 1)
+    w, bias = np.zeros(n_columns), float(np.log(n1 / n0))
+    m = np.zeros(n_columns + 1)
+    v = np.zeros(n_columns + 1)
     for k in range(1, rounds + 1):  # Adam, with full batches
         p = 1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30)))
         error = weight * (p - y)
@@ -153,7 +168,7 @@ def train(
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
-    return Model(float(bias), {f: float(x) for f, x in zip(names, w) if abs(x) > 1e-4})
+    return Model(float(bias), {f: float(w[k]) for f, k in place.items() if abs(w[k]) > 1e-4})
 
 
 def in_training(doc_id: Column) -> Column:
