@@ -37,7 +37,7 @@ HINTS = {
 #: Entropy kinds: character class, its pattern, and the least entropy of a window in bits.
 CLASSES = (
     ("entropy_hex", r"(?<![0-9A-Za-z+/_-])[0-9A-Fa-f]{24,}(?![0-9A-Za-z+/_-])", 3.2),
-    ("entropy_base64", r"(?<![0-9A-Za-z+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z])[0-9A-Za-z+/_-]{24,}={0,2}", 3.9),
+    ("entropy_base64", r"(?<![0-9A-Za-z+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9a-z+/_-]*[A-Z])(?=[0-9A-Z+/_-]*[a-z])[0-9A-Za-z+/_-]{24,}={0,2}", 3.9),
 )
 #: Forms that are no secrets.
 ALLOWED = (

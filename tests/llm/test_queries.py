@@ -1,0 +1,67 @@
+"""The registered queries and the pipeline over whole small tables."""
+
+from collections import Counter
+
+import corpus_pipeline
+import pytest
+from compare import rows
+
+import __spark_entry__
+from fieldloom.llm import common, decontaminate, mixing, queries, simhash, tokenpack, toxicity
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_query(spark, duck, folder, name):
+    got = queries.QUERIES[name](spark, folder).toPandas()
+    if name in queries.ORACLES:
+        assert rows(got) == rows(duck.sql(queries.ORACLES[name]).df())
+    elif name != "op2_suffix_dedup":
+        table = "pages" if name.startswith("op5") else "documents"
+        assert len(got) == common.table(spark, folder, table).count()
+
+
+def test_entry_lists_all():
+    assert {*queries.QUERIES, "pipeline"} <= set(__spark_entry__.queries())
+
+
+def test_pipeline(spark, folder):
+    """Each stage's result follows from its input, by plain Python."""
+    docs = common.table(spark, folder, "documents")
+    model = toxicity.fit(docs, common.table(spark, folder, "labels"))
+    items = decontaminate.build([tuple(r) for r in common.table(spark, folder, "benchmark").select("item_id", "text").collect()])
+    now, seen = docs, []
+    for name, stage in corpus_pipeline.STAGES:
+        path = common.scratch_path(spark, f"test-{name}")
+        stage(spark, now, folder).write.parquet(path)
+        seen.append(now.collect())
+        now = spark.read.parquet(path)
+        if name != "token_packing":
+            assert now.columns == docs.columns
+    seen.append(now.collect())
+    ids = lambda part: [r["doc_id"] for r in part]
+    start, clean, single, free, mix, packed = seen
+    assert Counter(ids(clean)) == Counter(r["doc_id"] for r in start if model.score(r["text"]) < 0.5)
+    prints = {r["doc_id"]: simhash.fingerprint(r["text"]) for r in clean}
+    kept = []
+    groups: dict[int, int] = {}
+    for d in sorted(prints):  # single linkage by plain search
+        groups[d] = d
+    changed = True
+    while changed:
+        changed = False
+        for a in prints:
+            for b in prints:
+                if groups[a] < groups[b] and (prints[a] ^ prints[b]).bit_count() <= 4:
+                    groups[b], changed = groups[a], True
+    kept = [d for d in prints if groups[d] == d]
+    assert Counter(ids(single)) == Counter(kept)
+    assert Counter(ids(free)) == Counter(r["doc_id"] for r in single if not any(decontaminate.hits(decontaminate.words(r["text"]), items)[0]))
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(spark.createDataFrame(free, docs.schema)).collect()}
+    assert Counter(ids(mix)) == +Counter(copies)
+    assert Counter(ids(packed)) == Counter(ids(mix))
+    own = tokenpack.encoder(corpus_pipeline.public_tokenizers.path("word_bpe_49k.json"))
+    length = {r["doc_id"]: len(own.encode(r["text"])) + 1 for r in mix}
+    at = 0
+    for r in sorted(packed, key=lambda r: r["start"]):
+        assert (r["start"], r["n_tokens"]) == (at, length[r["doc_id"]])
+        at += r["n_tokens"]
