@@ -7,7 +7,7 @@ text, and a decoding over the tree picks the best labelling in which an
 element is kept only below kept ancestors, so no choice contradicts one above
 or below it. The kept text nodes make the text.
 
-The trees are fitted on at most ``FIT_PAGES`` pages, chosen by the hash of
+The trees are fitted on about ``FIT_PAGES`` pages, chosen by the hash of
 page_id, whose semantic tags serve as labels; copies of these pages with other
 containers, tokens and added notices, side bars, forms and comments teach the
 trees to do without those tags.
@@ -401,9 +401,11 @@ def _is_container(page: Page, i: int) -> bool:
 
 
 def fit(pages: DataFrame, n: int = FIT_PAGES) -> Trees | None:
-    """Fits on at most ``n`` pages, the first by the hash of page_id."""
-    rows = pages.select("page_id", "html").where("html is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(n).collect()
-    return train([r["html"] for r in sorted(rows, key=lambda r: r["page_id"])])
+    """Fits on about ``n`` pages, chosen by the hash of page_id."""
+    known = pages.select("page_id", "html").where("html is not null")
+    draw = F.pmod(F.xxhash64("page_id"), F.lit(1_000_003)) / 1_000_003
+    rows = known.where(draw < min(1.0, n / max(1, known.count()))).limit(2 * n).collect()
+    return train([r["html"] for r in sorted(rows, key=lambda r: (r["page_id"] is not None, r["page_id"] or 0))])
 
 
 def extract(sources: list[str | None], model: Trees | None) -> list[str]:

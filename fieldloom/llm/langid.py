@@ -190,7 +190,7 @@ def fit(docs: DataFrame, per_lang: int = FIT_PER_LANG) -> Model:
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, per_lang / n)))])
     rows = known.where(draw < share[F.col("lang")]).limit(4 * per_lang * len(counts)).collect()
-    return train([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
+    return train([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"]))])
 
 
 def label(texts: list[str | None], model: Model) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
