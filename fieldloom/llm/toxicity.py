@@ -7,7 +7,7 @@ swapped for others is added as a counterfactual pair, and the fit penalises
 the squared change of the score over each pair, so that naming a group does
 not make a neutral text look toxic.
 
-Fixed for the fit: at most ``FIT_PER_CLASS`` rows of each label, chosen by the
+Fixed for the fit: about ``FIT_PER_CLASS`` rows of each label, chosen by the
 hash of doc_id; everything is scored on whole texts.
 
 Cases: null, blank and wordless texts get the score of a text without
@@ -176,15 +176,14 @@ def in_training(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = FIT_PER_CLASS, **options) -> Model:
-    """Fits on at most ``per_class`` labelled documents of each label, the
-    first by the hash of doc_id among those whose crc32 mod 5 is not 0."""
-    known = labels.where(in_training(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    chosen = None
-    for label in (0, 1):
-        part = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        chosen = part if chosen is None else chosen.unionAll(part)
-    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # two limits bound the sample, so it may be broadcast and collected
+    """Fits on about ``per_class`` labelled documents of each label, chosen by
+    the hash of doc_id among those whose crc32 mod 5 is not 0."""
+    known = labels.where(in_training(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.element_at(F.array(*[F.lit(min(1.0, per_class / counts.get(k, 1))) for k in (0, 1)]), F.col("toxic") + 1)
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
+    chosen = known.where(draw < share).limit(4 * per_class).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # the limit, twice what is expected, bounds what is broadcast and collected
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], **options)
