@@ -167,7 +167,7 @@ def truncated(value: Column, size: int) -> Column:
 
 def file_size(size: Column) -> Column:
     """Bytes with a unit: 0 Bytes, 1.5 KB, 2 MB."""
-    step = F.least(F.floor(F.log(F.lit(1024.0), F.greatest(size, F.lit(1)).cast("double")) + 1e-12).cast("int"), F.lit(3))
+    step = F.least(F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double")) / 10).cast("int"), F.lit(3))
     shown = F.round(size / F.pow(F.lit(1024.0), step), 2)
     text = F.regexp_replace(F.regexp_replace(F.format_string("%.2f", shown), r"0+$", ""), r"\.$", "")
     return F.when(size == 0, F.lit("0 Bytes")).otherwise(

@@ -150,3 +150,23 @@ def test_csv_files(spark, tmp_path):
     cells = files.csv_cells(spark, str(tmp_path))
     assert {(r["row"], r["col"]): r["value"] for r in cells.collect()}[(3, 1)] == "1,5"
     assert files.ingested(spark, str(tmp_path)).first()["status"] == "UPLOADED"
+
+
+def test_labels_by_meaning(spark):
+    from fieldloom.operators import labels
+
+    lines = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [0.6, 0.8])], "line_id long, vector array<double>")
+    words = spark.createDataFrame([("total_amount", [1.0, 0.1]), ("due_date", [-1.0, 0.5])], "field string, vector array<double>")
+    got = {r["line_id"]: r["field"] for r in labels.by_meaning(lines, words).collect()}
+    assert got == {1: "total_amount", 3: "total_amount"}
+    seen = column(spark, ["Subtotal: 5", "Grand Total 9", "Due date 1/2/2024", "nothing"], labels.rule_labels)
+    assert seen == [[], ["total_amount"], ["due_date"], []]
+
+
+def test_display_forms(spark):
+    assert column(spark, [0, 512, 1536, 5 << 20], text.file_size, "long") == ["0 Bytes", "512 Bytes", "1.5 KB", "5 MB"]
+    assert column(spark, [250.0, 12_345.0, 125_000.0], dates.duration, "double") == ["250ms", "12.3s", "2m 5s"]
+    assert column(spark, ["ON_HOLD"], text.title) == ["On Hold"]
+    assert column(spark, ["net 30 days", "NET 400", "none"], dates.terms_days) == [30, None, None]
+    assert column(spark, ["Invoice: AB-12", "12-05-2024", "no", "#  77-A"], text.number_clean) == ["AB-12", None, None, "77-A"]
+    assert column(spark, ["O1-l2", "--"], text.id_normalise) == ["01-12", None]
