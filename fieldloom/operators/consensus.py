@@ -1,9 +1,9 @@
 """Voting on field values: agreement, winner, confidence, and merges.
 
-Votes are long rows (doc_id, voter, voter_ord, field, value, confidence). One
-aggregation by (doc_id, field, key) and one by (doc_id, field) resolve them,
-with sums that combine before the shuffle; a document's votes are as many as
-its voters, so no key is hot.
+Votes are long rows (doc_id, voter, voter_ord, field, value, confidence). They
+are dealt once by (doc_id, field); the aggregation by key and the windows over
+keys run on that partitioning. A field's votes are as many as its voters, so no
+key is hot.
 """
 
 from __future__ import annotations
@@ -69,7 +69,8 @@ def tallied(votes: DataFrame) -> DataFrame:
 def field_vote(votes: DataFrame) -> DataFrame:
     """doc_id, field, value (the winning key), confidence, agreement,
     vote_counts, all_values, selected_from and original (the first spelling)."""
-    tally = tallied(votes)
+    # one shuffle serves the aggregation by key and the windows by field
+    tally = tallied(votes.repartition("doc_id", "field"))
     whole = Window.partitionBy("doc_id", "field")
     rank = whole.orderBy(
         F.col("votes").desc(),
