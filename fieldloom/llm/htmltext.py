@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -423,11 +423,15 @@ def extract(sources: list[str | None], model: Trees | None) -> list[str]:
 def main_text(pages: DataFrame, model: Trees | None, html: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sources = [s if isinstance(s, str) else None for s in pdf.pop("html")]
-            pdf["text"] = [t for i in range(0, len(sources), 256) for t in extract(sources[i : i + 256], model)]
-            yield pdf
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sources = b.column("html")
+            texts = [t for i in range(0, len(sources), 256) for t in extract(sources[i : i + 256].to_pylist(), model)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"]
+            )
 
-    rows = pages.select("page_id", "url", F.col(html).alias("html")).mapInPandas(run, "page_id long, url string, text string")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col(html).alias("html")).mapInArrow(
+        run, "page_id long, url string, text string"
+    )
     return rows.withColumn("n_chars", F.length("text").cast("long"))

@@ -11,7 +11,7 @@ of doc_id among those whose crc32 mod 4 is not 2.
 Cases: a null text or one without letters is ``und`` with score 0; with no
 learned language every text is ``und``; equal totals go to the first language
 by name; repeated rows are labelled alike; an empty table gives an empty
-result; rows with a null language are predicted but not learned from.
+result; rows with a null language or doc_id are predicted but not learned from.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -227,16 +227,26 @@ def label(texts: list[str | None], model: Model) -> list[tuple[str, float, list[
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score and spans (start and end word, lang)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = label([t if isinstance(t, str) else None for t in pdf.pop("text")], model)
-            pdf["lang_pred"] = [g[0] for g in got]
-            pdf["score"] = [g[1] for g in got]
-            pdf["spans"] = [[{"start": a, "end": b, "lang": c} for a, b, c in g[2]] for g in got]
-            yield pdf
-
-    own = docs.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), F.col(text).alias("text"))
-    return own.mapInPandas(
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = label(b.column("text").to_pylist(), model)
+            spans = [[{"start": i, "end": j, "lang": lang} for i, j, lang in g[2]] for g in got]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("doc_id"),
+                    b.column("held_out"),
+                    pa.array([g[0] for g in got], pa.string()),
+                    pa.array([g[1] for g in got], pa.float64()),
+                    pa.array(spans, kind),
+                ],
+                ["doc_id", "held_out", "lang_pred", "score", "spans"],
+            )
+
+    held_out = F.coalesce(~in_training(F.col("doc_id")), F.lit(False))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
+    return own.mapInArrow(
         run,
         "doc_id long, held_out boolean, lang_pred string, score double, "
         "spans array<struct<start: int, end: int, lang: string>>",

@@ -24,7 +24,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -256,26 +255,24 @@ def summary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _unpacked(blocks: DataFrame, digest: bool) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                lengths = np.asarray(r.lengths, np.int64)
+    name, kind = ("ids_crc32", pa.int64()) if digest else ("ids", pa.list_(pa.int64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                lengths = b.column("lengths")[k].values.to_numpy().astype(np.int64)
                 ends = np.cumsum(lengths)
-                ids = unpack(r.payload, int(r.width), 0, int(ends[-1])).astype("<u4")
+                ids = unpack(b.column("payload")[k].as_py(), b.column("width")[k].as_py(), 0, int(ends[-1])).astype("<u4")
                 parts = [ids[e - n : e] for e, n in zip(ends, lengths)]
+                starts = b.column("start")[k].as_py() + ends - lengths
                 last = [zlib.crc32(p.tobytes()) for p in parts] if digest else parts
-                yield pd.DataFrame(
-                    {
-                        "doc_id": pd.array(list(r.doc_ids), "Int64"),
-                        "start": r.start + ends - lengths,
-                        "n_tokens": lengths,
-                        "ids_crc32" if digest else "ids": last,
-                    }
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_ids")[k].values, pa.array(starts), pa.array(lengths), pa.array(last, kind)],
+                    ["doc_id", "start", "n_tokens", name],
                 )
 
-    last = "ids_crc32 long" if digest else "ids array<long>"
-    return blocks.select("lengths", "width", "payload", "start", "doc_ids").mapInPandas(
-        run, f"doc_id long, start long, n_tokens long, {last}"
+    return blocks.select("lengths", "width", "payload", "start", "doc_ids").mapInArrow(
+        run, f"doc_id long, start long, n_tokens long, {name} {'long' if digest else 'array<long>'}"
     )
 
 

@@ -13,7 +13,8 @@ hash of doc_id; everything is scored on whole texts.
 Cases: null, blank and wordless texts get the score of a text without
 features; a null label or one that is not 0 or 1 is not learned from; labels
 that repeat a doc_id count once, toxic if any is; without labelled rows of
-both kinds every score is the prior; repeated rows are scored alike; an empty
+both kinds every score is the prior; repeated rows are scored alike; a null
+doc_id is not held out and not learned from; an empty
 table gives an empty result.
 """
 
@@ -26,7 +27,6 @@ from dataclasses import dataclass, field
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -192,13 +192,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = FIT_PER_CLASS, **op
 def scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["score"] = [model.score(t if isinstance(t, str) else None) for t in pdf.pop("text")]
-            yield pdf
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            score = pa.array([model.score(t.as_py()) for t in b.column("text")], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), score], ["doc_id", "held_out", "score"])
 
-    own = docs.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), F.col(text).alias("text"))
-    out = own.mapInPandas(run, "doc_id long, held_out boolean, score double")
+    held_out = F.coalesce(~in_training(F.col("doc_id")), F.lit(False))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
+    out = own.mapInArrow(run, "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

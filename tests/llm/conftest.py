@@ -32,5 +32,5 @@ def odd_rows(prose):
     return [
         (1, None, None, None), (2, "", "en", "s"), (3, " \t\n", "en", None), (4, "one", None, "s"), (5, "one two three", "en", "s"),
         (6, prose(120, 1), "en", "s"), (7, prose(120, 1), "fr", "t"), (7, prose(120, 1), "fr", "t"), (8, prose(30_000, 2), "en", "t"),
-        (9, "ÄÖ naïve 你好 ﬁ ́x   <|endoftext|> 😀", "de", "t"), (None, prose(60, 3), "en", "s"), (-5, "x" * 50_000, "en", "s"),
+        (9, "ÄÖ naïve 你好 ﬁ ́x   <|endoftext|> 😀", "de", "t"), (None, prose(60, 3), "en", "s"), (2**60 + 1, "big id", "en", "s"), (-5, "x" * 50_000, "en", "s"),
     ]

@@ -66,11 +66,11 @@ def test_simhash_documents(spark, docs, odd_rows, prose):
     texts = [slow_fingerprint(t) for _, t, *_ in rows]
     assert Counter(r["fingerprint"] for r in got) == Counter(f"{f:016x}" for f in texts)
     groups = brute_components(set(texts), lambda a, b: (a ^ b).bit_count() <= 4)
-    lowest = defaultdict(lambda: 10**9)
+    lowest = defaultdict(lambda: 2**62)
     for (d, *_), f in zip(rows, texts):
         if d is not None:
             lowest[groups[f]] = min(lowest[groups[f]], d)
-    want = Counter((d, lowest[groups[f]] if lowest[groups[f]] < 10**9 else None) for (d, *_), f in zip(rows, texts))
+    want = Counter((d, lowest[groups[f]] if lowest[groups[f]] < 2**62 else None) for (d, *_), f in zip(rows, texts))
     assert Counter((r["doc_id"], r["component_id"]) for r in got) == want
     assert simhash.near_duplicates(docs([])).count() == 0
 
@@ -129,7 +129,7 @@ def test_token_file(spark, docs, odd_rows):
     got = tokenpack.summary(spark, path).orderBy("start").collect()
     own = tokenpack.encoder(PATH).tokenizer
     ids = {d: [*own.encode(t or "", add_special_tokens=False).ids, 2] for d, t, *_ in odd_rows}
-    assert [r["doc_id"] for r in got] == [None, -5, 1, 2, 3, 4, 5, 6, 7, 7, 8, 9]
+    assert [r["doc_id"] for r in got] == [None, -5, 1, 2, 3, 4, 5, 6, 7, 7, 8, 9, 2**60 + 1]
     start = 0
     for r in got:
         want = np.array(ids[r["doc_id"]], "<u4")
