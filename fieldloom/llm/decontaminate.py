@@ -126,8 +126,8 @@ def contamination(
             tables = _searchers(key, items, window)
             for b in batches:
                 out: dict[str, list] = {"n_words": [], "hit": [], "items": []}
-                for text in b.column("text").to_pylist():
-                    w = words(text)
+                for text in b.column("text"):
+                    w = words(text.as_py())
                     hit, found = hits(w, tables)
                     out["n_words"].append(len(w))
                     out["hit"].append([i for i, x in enumerate(hit) if x] if found or any(hit) else [])
@@ -190,7 +190,7 @@ def clean(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tables = _searchers(key, items, window)
             for b in batches:
-                yield b.filter(pa.array([not any(hits(words(t), tables)[0]) for t in b.column("text").to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not any(hits(words(t.as_py()), tables)[0]) for t in b.column("text")], pa.bool_()))
 
         return docs.mapInArrow(run, docs.schema)
 

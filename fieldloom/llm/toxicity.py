@@ -36,7 +36,7 @@ FEATURES = 1500
 #: Strength of the counterfactual penalty and of the ridge.
 COUNTERFACTUAL, RIDGE = 10.0, 0.3
 PREFIXES = (4, 5, 6, 7)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 #: Swapped sentences that the fit holds at most.
 SWAPS = 4000
 
@@ -208,6 +208,6 @@ def accept(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([model.score(t) < threshold for t in b.column(text).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([model.score(t.as_py()) < threshold for t in b.column(text)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
