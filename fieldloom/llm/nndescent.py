@@ -9,9 +9,9 @@ a fixed set of audit vectors is compared with all rows; rounds go on until the
 graph holds enough of the audit's links. Links are the edges that reach the
 threshold, in double precision.
 
-A saturated list may not hold all links of its vector: the whole component is
-then compared exactly, block by block, and only counts are
-kept, so dense groups emit no pairs.
+A saturated list may not hold all links of its vector: its whole component is
+then compared exactly with all rows, block by block, and only counts and the
+components that links join are kept, so dense groups emit no pairs.
 
 Cases: vectors that are null, zero, or hold null or non-finite components, and
 rows with a null vec_id, link with nothing and are components of their own;
@@ -215,32 +215,53 @@ def neighbour_graph(nodes: DataFrame, dim: int, threshold: float = THRESHOLD) ->
     return graph
 
 
-def _exact_counts(members: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """(id, links) within each component, exactly: members (component, id,
-    weight, n, vec) meet block by block and only counts leave a task."""
-    block = F.least(F.greatest(F.ceil(F.col("n") / 32), F.lit(256)), F.lit(16_384))
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    placed = members.withColumns({"blocks": blocks}).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = placed.select(
-        "component", "id", "weight", "vec", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    ).select(
-        "component", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "weight", "vec"
-    )
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids, weight = table.column("id").to_numpy(), table.column("weight").to_numpy()
-        own, x = table.column("own").to_numpy(), _unit(table.column("vec").combine_chunks(), dim)
-        a, b = np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py())
+def _compared(own: DataFrame, dim: int, threshold: float, n: int, wanted: int) -> DataFrame:
+    """Compares the ``wanted`` rows marked dense with all ``n`` rows of ``own``
+    (id, weight, vec, component, dense), block by block. Rows are either (id,
+    links), to be added up: all links of a dense vector, and of any other its
+    links to dense vectors; or (a, b): components that a link joins."""
+    block = min(max(-(-n // 16), 256), 8192)
+    across, down = -(-wanted // block), -(-n // block)
+    place = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    rest = ["id", "weight", "vec", "component", "dense"]
+    asked = own.where("dense").select(place(across).alias("i"), every(down).alias("j"), F.lit(True).alias("asks"), *rest)
+    all_rows = own.select(every(across).alias("i"), place(down).alias("j"), F.lit(False).alias("asks"), *rest)
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, weight, asks, dense = (table.column(c).to_numpy() for c in ("id", "weight", "asks", "dense"))
+        names, label = np.unique(table.column("component").to_numpy(), return_inverse=True)
+        x = _unit(table.column("vec").combine_chunks(), dim)
+        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
         count = np.zeros(len(ids), np.int64)
-        for part in np.array_split(a, max(1, len(a) * max(1, len(b)) // 4_000_000)):
+        joined = []
+        for part in np.array_split(a, len(a) * len(b) // 4_000_000 + 1):
             linked = x[part] @ x[b].T >= threshold
             linked &= ids[part][:, None] != ids[b][None, :]
-            count[part] += linked @ weight[b]
-            if key[1] != key[2]:
-                count[b] += weight[part] @ linked
-        return pa.table({"id": ids, "links": count})
-
-    return dealt.groupBy("component", "a", "b").applyInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+            count[part] = linked @ weight[b]
+            count[b] += weight[part] @ linked
+            rows = np.flatnonzero(count[part])
+            while len(rows):  # links between components, until there is none
+                cross = linked[rows] & (label[part[rows]][:, None] != label[b][None, :])
+                at = cross.any(1)
+                rows, first = rows[at], cross[at].argmax(1)
+                for r, c in zip(part[rows], b[first]):
+                    if label[r] != label[c]:
+                        joined.append((names[label[r]], names[label[c]]))
+                        label[label == label[r]] = label[c]
+        count[b[dense[b]]] = 0  # counted where they ask
+        some = count > 0
+        empty = [None] * len(joined)
+        return pa.table(
+            {
+                "id": pa.array([*ids[some].tolist(), *empty], pa.int64()),
+                "links": pa.array([*count[some].tolist(), *empty], pa.int64()),
+                "a": pa.array([*[None] * int(some.sum()), *(int(p) for p, _ in joined)], pa.int64()),
+                "b": pa.array([*[None] * int(some.sum()), *(int(q) for _, q in joined)], pa.int64()),
+            }
+        )
+
+    return asked.unionAll(all_rows).groupBy("i", "j").applyInArrow(run, "id long, links long, a long, b long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -271,26 +292,31 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
 
 
 def _components(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
-    nodes = classes.select("id", "vec")
-    graph = neighbour_graph(nodes, dim, threshold)
-    linked = _flat(graph).where(F.col("sim") >= threshold).select("src", "dst")
-    both = linked.unionAll(linked.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    parts = common.components(linked.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    own = classes.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    listed = both.join(classes.select(F.col("id").alias("dst"), "weight"), "dst").groupBy("src").agg(F.sum("weight").alias("listed"))
-    dense = (
-        graph.where(_saturated(threshold))
-        .join(parts.withColumnRenamed("node", "src"), "src")
-        .select("component")
-        .distinct()
-    )
-    sizes = own.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    members = own.join(dense, "component").join(sizes, "component").select("component", "id", "weight", "n", "vec")
-    exact = _exact_counts(members, dim, threshold)
+    graph = neighbour_graph(classes.select("id", "vec"), dim, threshold)
+    if graph is None:  # everything is compared
+        own = classes.withColumns({"component": F.col("id"), "dense": F.lit(True), "listed": F.lit(0).cast("long")})
+    else:
+        linked = _flat(graph).where(F.col("sim") >= threshold).select("src", "dst")
+        both = linked.unionAll(linked.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+        parts = common.components(linked.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+        dense = graph.where(_saturated(threshold)).join(parts.withColumnRenamed("node", "src"), "src").select("component").distinct()
+        own = classes.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        own = own.join(dense.withColumn("dense", F.lit(True)), "component", "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
+        # a listed link never leaves its component, so those of the others lead to no dense vector
+        listed = both.join(classes.select(F.col("id").alias("dst"), "weight"), "dst").groupBy("src").agg(F.sum("weight").alias("listed"))
+        own = own.join(listed.withColumnRenamed("src", "id"), "id", "left")
+        own = own.withColumn("listed", F.when(F.col("dense"), 0).otherwise(F.coalesce("listed", F.lit(0))))
+    own = common.cut(own)
+    size = own.agg(F.count(F.lit(1)).alias("n"), F.count_if("dense").alias("dense")).first()
+    if not size["dense"]:
+        return own.select("key", "vec", "weight", F.col("listed").alias("links"), "component")
+    compared = common.cut(_compared(own, dim, threshold, size["n"], size["dense"]))
+    exact = compared.where("id is not null").groupBy("id").agg(F.sum("links").alias("links"))
+    joined = common.components(compared.where("a is not null").select("a", "b")).select(F.col("node").alias("component"), F.col("component").alias("whole"))
     return (
-        own.join(listed.withColumnRenamed("src", "id"), "id", "left")
-        .join(exact, "id", "left")
-        .select("key", "vec", "weight", F.coalesce("links", "listed", F.lit(0)).alias("links"), "component")
+        own.join(exact, "id", "left")
+        .join(joined, "component", "left")
+        .select("key", "vec", "weight", (F.col("listed") + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("whole", "component").alias("component"))
     )
 
 

@@ -85,3 +85,36 @@ def test_embeddings(spark):
     want[(None, 0, None, True)] += 1
     assert Counter(tuple(r) for r in got) == want
     assert nndescent.near_duplicates(table.limit(0)).count() == 0
+
+
+def brute_force(x, threshold=0.9):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= threshold
+    np.fill_diagonal(linked, False)
+    low = np.arange(len(x))
+    while True:
+        new = np.minimum(low, np.where(linked, low[None, :], len(x)).min(1))
+        if (new == low).all():
+            return [(i, int(linked[i].sum()), int(low[i]), int(low[i]) == i) for i in range(len(x))]
+        low = new
+
+
+def clumps_and_pairs(rng, pairs):
+    """Two clumps of 40 that all link with each other, and isolated pairs among single vectors, of 64 dimensions."""
+    a, b = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+    clumps = [c + rng.normal(size=(40, 64)) * 0.008 for c in (a, 0.935 * a + np.sqrt(1 - 0.935**2) * b)]
+    single = rng.normal(size=(1500, 64))
+    return np.array([*clumps[0], *clumps[1], *single, *(single[:pairs] + rng.normal(size=(pairs, 64)) * 0.38)], np.float32).astype(float)
+
+
+def test_linked_clumps(spark, monkeypatch):
+    """With the graph of everyone's true 24 best no list leads from clump to clump."""
+    x = clumps_and_pairs(np.random.default_rng(5), 0)[:400]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = unit @ unit.T - 3 * np.eye(len(x))
+    best = np.argsort(-sims, axis=1)[:, :24]
+    near = [(i, 24, [(float(sims[i, j]), int(j)) for j in row]) for i, row in enumerate(best)]
+    graph = spark.createDataFrame(near, "src long, size int, near array<struct<sim: double, dst: long>>")
+    monkeypatch.setattr(nndescent, "neighbour_graph", lambda *a: graph)
+    assert sorted(map(tuple, nndescent.near_duplicates(table).collect())) == brute_force(x)
