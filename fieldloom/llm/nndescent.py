@@ -4,14 +4,16 @@ Equal vectors form one class first. A neighbour graph over the classes starts
 from neighbours in the sort orders of a few random-hyperplane codes and is
 refined in rounds: the neighbours of a node, forward and reverse, meet in a
 local join, and every pair that betters a list goes into it. A list of which
-``LIST`` members reach the threshold is saturated and is doubled. After each round
-a fixed set of audit vectors is compared with all rows; rounds go on until the
-graph holds enough of the audit's links. Links are the edges that reach the
-threshold, in double precision.
+``LIST`` members reach the threshold is saturated and is doubled. Audit vectors,
+as many as hold some hundred links, are compared with all rows; rounds go on,
+with further orders, until the graph holds enough of the audit's links. Links are
+the edges that reach the threshold, in double precision.
 
 A saturated list may not hold all links of its vector: its whole component is
 then compared exactly with all rows, block by block, and only counts and the
-components that links join are kept, so dense groups emit no pairs.
+components that links join are kept, so dense groups emit no pairs. Where links are
+too rare for the audit, or it is not content after all rounds, all rows are
+compared with all.
 
 Cases: vectors that are null, zero, or hold null or non-finite components, and
 rows with a null vec_id, link with nothing and are components of their own;
@@ -33,7 +35,7 @@ from fieldloom.llm import common
 THRESHOLD = 0.9
 LIST, MAX_LIST, REVERSE = 12, 24, 12
 ORDERS, BITS, REACH, FIRST = 6, 24, 12, 4
-AUDIT, RECALL, ROUNDS = 256, 0.98, 8
+AUDIT, AUDIT_LINKS, RECALL, ROUNDS = 256, 200, 0.98, 8
 SEED = 5
 
 
@@ -49,9 +51,9 @@ def _pairs(src: np.ndarray, dst: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
 _EDGES = "src long, dst long, sim double"
 
 
-def first_edges(nodes: DataFrame, dim: int) -> DataFrame:
-    """Edges to the nearest of the neighbours in several sort orders."""
-    planes = np.random.default_rng([SEED, dim]).standard_normal((ORDERS, dim, BITS))
+def first_edges(nodes: DataFrame, dim: int, turn: int = 0) -> DataFrame:
+    """Edges to the nearest of the neighbours in several sort orders, others in each ``turn``."""
+    planes = np.random.default_rng([SEED, dim, turn] if turn else [SEED, dim]).standard_normal((ORDERS, dim, BITS))
     kind = nodes.schema["vec"].dataType.simpleString()
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,48 +173,71 @@ def _grown(graph: DataFrame, threshold: float) -> DataFrame:
     return graph.select("src", F.when(_saturated(threshold), F.least(F.col("size") * 2, F.lit(MAX_LIST))).otherwise(F.col("size")).alias("size"))
 
 
-def audit_pairs(nodes: DataFrame, dim: int, threshold: float, n: int = AUDIT) -> DataFrame:
-    """All links (src, dst) of ``n`` vectors chosen by hash, by brute force over all rows."""
-    chosen = nodes.orderBy(F.xxhash64("id"), "id").limit(n).collect()
-    ids = np.array([r["id"] for r in chosen], np.int64)
-    queries = np.array([r["vec"] for r in chosen], np.float64).reshape(-1, dim)
-    queries = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                own = b.column("id").to_numpy()
-                r, q = np.nonzero(_unit(b.column("vec"), dim) @ queries.T >= threshold)
-                keep = own[r] != ids[q]
-                yield pa.RecordBatch.from_pydict({"src": ids[q][keep], "dst": own[r][keep]})
-
-    return nodes.mapInArrow(run, "src long, dst long")
+def audit(nodes: DataFrame, dim: int, threshold: float) -> DataFrame | None:
+    """(src, n): exact numbers of links of vectors chosen by hash, each compared with all rows.
+
+    The audit grows until vectors with fewer than ``LIST`` links hold
+    ``AUDIT_LINKS`` of them. Where an eighth of the rows does not, links are too
+    rare to judge a graph by and the result is None."""
+    parts = max(1, nodes.count() // AUDIT)
+    part = F.pmod(F.xxhash64("id"), F.lit(parts))
+    found: list[tuple[int, int]] = []
+    done = links = 0
+    while links < AUDIT_LINKS:
+        if 8 * done >= parts:
+            return None
+        step = min(max(1, 3 * done), 16)  # a driver holds about 16 x AUDIT vectors
+        chosen = nodes.where((part >= done) & (part < done + step)).collect()
+        ids = np.array([r["id"] for r in chosen], np.int64)
+        queries = np.array([r["vec"] for r in chosen], np.float64).reshape(-1, dim)
+        queries /= np.linalg.norm(queries, axis=1, keepdims=True)
+
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, queries=queries) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(len(ids), np.int64)
+            for b in batches:
+                if b.num_rows:
+                    own, x = b.column("id").to_numpy(), _unit(b.column("vec"), dim)
+                    for at in np.array_split(np.arange(len(own)), len(own) * max(1, len(ids)) // 4_000_000 + 1):
+                        n += ((x[at] @ queries.T >= threshold) & (own[at][:, None] != ids[None, :])).sum(0)
+            yield pa.RecordBatch.from_pydict({"src": ids[n > 0], "n": n[n > 0]})
+
+        rows = nodes.mapInArrow(run, "src long, n long").groupBy("src").agg(F.sum("n").alias("n")).collect()
+        found += [(r["src"], r["n"]) for r in rows if not done or r["n"] < LIST]
+        links += sum(r["n"] for r in rows if r["n"] < LIST)
+        done += step
+    return nodes.sparkSession.createDataFrame(found, "src long, n long")
 
 
 def recall(graph: DataFrame, truth: DataFrame, threshold: float) -> float:
     """Share of the audit's links that lists hold; saturated lists are compared exactly later."""
     full = graph.where(_saturated(threshold)).select("src")
-    edges = _flat(graph).select("src", "dst")
-    both = edges.unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().withColumn("held", F.lit(1))
+    edges = _flat(graph).where(F.col("sim") >= threshold).select("src", "dst")
+    both = edges.unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    held = both.join(F.broadcast(truth.select("src")), "src").distinct().groupBy("src").agg(F.count(F.lit(1)).alias("held"))
     row = (
         truth.join(full, "src", "left_anti")
-        .join(both, ["src", "dst"], "left")
-        .agg(F.count(F.lit(1)).alias("n"), F.count("held").alias("held"))
+        .join(held, "src", "left")
+        .agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("held", F.lit(0)))).alias("held"))
         .first()
     )
     return row["held"] / row["n"] if row["n"] else 1.0
 
 
-def neighbour_graph(nodes: DataFrame, dim: int, threshold: float = THRESHOLD) -> DataFrame:
-    """(src, size, near) over ``nodes`` (id, vec), refined until the audit is content."""
-    truth = common.cut(audit_pairs(nodes, dim, threshold))
+def neighbour_graph(nodes: DataFrame, dim: int, threshold: float = THRESHOLD) -> DataFrame | None:
+    """(src, size, near) over ``nodes`` (id, vec), refined until the audit is
+    content; None where it cannot judge or is not content after all rounds."""
+    truth = audit(nodes, dim, threshold)
+    if truth is None:
+        return None
     graph = common.cut(lists(first_edges(nodes, dim)))
     for k in range(ROUNDS):
         more = better_edges(graph, nodes, dim)
+        if k > 1:  # the audit was not content: other orders too
+            more = more.unionAll(first_edges(nodes, dim, k))
         graph = common.cut(lists(_flat(graph).unionAll(more), _grown(graph, threshold)))
         if k and recall(graph, truth, threshold) >= RECALL:
-            break
-    return graph
+            return graph
+    return None
 
 
 def _compared(own: DataFrame, dim: int, threshold: float, n: int, wanted: int) -> DataFrame:

@@ -118,3 +118,25 @@ def test_linked_clumps(spark, monkeypatch):
     graph = spark.createDataFrame(near, "src long, size int, near array<struct<sim: double, dst: long>>")
     monkeypatch.setattr(nndescent, "neighbour_graph", lambda *a: graph)
     assert sorted(map(tuple, nndescent.near_duplicates(table).collect())) == brute_force(x)
+
+
+
+def test_linked_clumps_and_rare_links(spark, monkeypatch):
+    table = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    x = clumps_and_pairs(np.random.default_rng(3), 20)  # too few links for an audit
+    assert sorted(map(tuple, nndescent.near_duplicates(table(x)).collect())) == brute_force(x)
+    x = clumps_and_pairs(np.random.default_rng(4), 1200)  # the audit holds, and the clumps' lists are saturated
+    monkeypatch.setattr(nndescent, "RECALL", 0.5)
+    whole = nndescent.neighbour_graph
+    graphs = []
+    monkeypatch.setattr(nndescent, "neighbour_graph", lambda *a: graphs.append(whole(*a)) or graphs[-1])
+    monkeypatch.setattr(nndescent, "AUDIT_LINKS", 20)
+    got = sorted(map(tuple, nndescent.near_duplicates(table(x)).collect()))
+    want = brute_force(x)
+    assert graphs[0] is not None and got[:80] == want[:80] and {r[2] for r in got[:80]} == {0}
+    assert sum(r[1] for r in want[:80]) > 80 * 70
+    # a search that cannot pass ends in an exact comparison
+    monkeypatch.setattr(nndescent, "RECALL", 1.01)
+    monkeypatch.setattr(nndescent, "ROUNDS", 2)
+    assert sorted(map(tuple, nndescent.near_duplicates(table(x)).collect())) == want
+    assert graphs[1] is None
