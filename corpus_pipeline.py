@@ -22,16 +22,13 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near copies the document with the smallest doc_id.
 
-    Of rows that share a doc_id one stays; rows with a null doc_id belong to no
-    group and all stay."""
+    Rows that share a doc_id are of one group only if their texts are near
+    copies; of equal rows one stays. Rows with a null doc_id belong to no group
+    and all stay."""
     named = docs.where("doc_id is not null")
-    kept = (
-        simhash.near_duplicates(named)
-        .where("doc_id = component_id")
-        .select(F.col("doc_id").alias("kept_id"))
-        .distinct()
-    )
-    first = named.join(kept, named["doc_id"] == kept["kept_id"]).drop("kept_id").dropDuplicates(["doc_id"])
+    kept = simhash.representatives(named).select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    whole = named.join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash")))
+    first = whole.groupBy("kept_id", "kept_hash").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return first.unionByName(docs.where("doc_id is null"))
 
 

@@ -56,17 +56,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return out
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, hashed: bool = False) -> DataFrame:
+    """(doc_id, fp), or (doc_id, text_hash, fp): fp is the fingerprint as a
+    signed long, text_hash the xxhash64 of the text."""
+    keys = ["doc_id", "text_hash"] if hashed else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(b.column, keys), pa.array(fps.view(np.int64))], [*keys, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, "doc_id long, fp long"
-    )
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    return own.select(*keys, "text").mapInArrow(run, ", ".join(f"{k} long" for k in [*keys, "fp"]))
 
 
 def _segment(fp: Column, first: int, length: int) -> Column:
@@ -111,15 +112,30 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     return met.select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, fingerprint (hex), component_id (the
-    smallest doc_id that links of at most ``distance`` bits reach)."""
-    fps = common.cut(fingerprints(docs, text))
+def _components(fps: DataFrame, distance: int) -> DataFrame:
+    """(fp, first_id, component) of each fingerprint."""
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     parts = common.components(links(classes, distance))
-    named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
+    return classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first_id", F.coalesce("component", "fp").alias("component")
     )
+
+
+def representatives(docs: DataFrame, distance: int = 4, text: str = "text") -> DataFrame:
+    """(doc_id, text_hash), one row of each component: the smallest doc_id, and
+    of its texts in the component the one with the smallest xxhash64. Rows that share a
+    doc_id but are no near copies are in components of their own."""
+    fps = common.cut(fingerprints(docs, text, hashed=True))
+    firsts = fps.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    named = _components(fps, distance).join(firsts, "fp")
+    return named.groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash")
+
+
+def near_duplicates(docs: DataFrame, distance: int = 4, text: str = "text") -> DataFrame:
+    """One row per input row: doc_id, fingerprint (hex), component_id (the
+    smallest doc_id that links of at most ``distance`` bits reach)."""
+    fps = common.cut(fingerprints(docs, text))
+    named = _components(fps, distance)
     lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_fp = named.join(lowest, "component").select("fp", "component_id")
     return fps.join(by_fp, "fp").select(

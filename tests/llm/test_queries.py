@@ -65,3 +65,12 @@ def test_pipeline(spark, folder):
     for r in sorted(packed, key=lambda r: r["start"]):
         assert (r["start"], r["n_tokens"]) == (at, length[r["doc_id"]])
         at += r["n_tokens"]
+
+
+def test_near_dedup_keeps_unrelated_texts_of_one_id(spark, docs, prose):
+    a, b, c = prose(200, 41), prose(200, 42), prose(200, 43)
+    rows = [(1, a, "en", "s"), (1, b, "en", "s"), (1, b, "en", "r"), (2, b, "en", "s"), (3, c, "en", "s"), (4, c, "en", "s"), (None, c, "en", "s")]
+    table = docs(rows)
+    got = corpus_pipeline.near_dedup(spark, table, "")
+    assert got.columns == table.columns
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in got.collect()) == Counter([(1, a, "s"), (1, b, "r"), (3, c, "s"), (None, c, "s")])
