@@ -217,7 +217,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str
     heads = (
         equal.join(open_keys, "key", "left_semi")
         .select("key", "run", "low", "high", F.col("at.doc_id").alias("doc_id"), F.col("at.start").alias("start"))
-        .join(found.select("key", "run", "doc_id", "start", "windows").dropDuplicates(["doc_id", "start"]), ["key", "run", "doc_id", "start"])
+        .join(found.select("key", "run", "doc_id", "start", "windows").dropDuplicates(["key", "run", "doc_id", "start"]), ["key", "run", "doc_id", "start"])
         .select("key", "run", "low", "high", "windows")
     )
     single = heads.mapInArrow(_windows, "key long, run long, low long, high long, at int, window long")

@@ -104,6 +104,13 @@ def test_passages(spark, docs, odd_rows, prose):
     assert passages.repeated(docs([])).count() == 0
 
 
+def test_passages_of_rows_that_share_an_id(spark, docs, prose):
+    parts = [prose(120, 60 + k) for k in range(8)]
+    rows = [(1, p, "en", "s") for p in parts] + [(10 + k, f"{prose(60, 80 + k)} {p}", "en", "s") for k, p in enumerate(parts)]
+    got = {r["doc_id"]: (r["start_word"], r["end_word"], r["first_doc_id"]) for r in passages.repeated(docs(rows)).collect()}
+    assert all(got[10 + k] == (60, 180, 1) for k in range(8))
+
+
 @pytest.mark.parametrize("width", [1, 5, 8, 13, 16, 17, 32])
 def test_bits_round_trip(width):
     ids = np.random.default_rng(width).integers(0, 2**width, 1001, np.uint64).astype(np.uint32)
