@@ -60,7 +60,7 @@ def test_pipeline(spark, folder):
     assert Counter(ids(mix)) == +Counter(copies)
     assert Counter(ids(packed)) == Counter(ids(mix))
     own = tokenpack.encoder(corpus_pipeline.public_tokenizers.path("word_bpe_49k.json"))
-    length = {r["doc_id"]: len(own.encode(r["text"])) + 1 for r in mix}
+    length = {r["doc_id"]: len(own.tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in mix}
     at = 0
     for r in sorted(packed, key=lambda r: r["start"]):
         assert (r["start"], r["n_tokens"]) == (at, length[r["doc_id"]])

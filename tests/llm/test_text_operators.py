@@ -7,10 +7,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from fieldloom.llm import common, decontaminate, langid, mixing, passages, secrets, simhash, tokenpack, toxicity
 
@@ -124,13 +126,41 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(st.sampled_from("abZÉß'.,;<|>09 \n\té́Σİ你"), max_size=60))
-def test_words_encode_as_texts(text):
+@given(st.lists(st.text(st.sampled_from("abstlmZÉß'.,;<|>09 \n\té́Σİ你Яžſǆ¼ª—€"), max_size=60) | st.sampled_from(["x<|endoftext|>y", "it's 'll'LL", "\u00a0a\x85b\x1cc"]), max_size=4))
+def test_words_encode_as_texts(texts):
     own = tokenpack.encoder(PATH)
-    assert own.encode(text).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert own.by_pieces
+    flat, sizes = own.encode(pa.array([*texts, None], pa.string()))
+    want = [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [*map(len, want), 0] and flat.tolist() == sum(want, [])
 
 
-def test_token_file(spark, docs, odd_rows):
+def test_spaces_that_belong_to_words(spark, docs, odd_rows):
+    """A vocabulary whose words hold the space before them encodes whole texts."""
+    own = tokenpack.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not own.by_words
+    flat, _ = own.encode(pa.array([t for _, t, *_ in odd_rows], pa.string()))
+    assert flat.tolist() == [i for _, t, *_ in odd_rows for i in own.tokenizer.encode(t or "", add_special_tokens=False).ids]
+
+
+@pytest.mark.parametrize("size,width", [(8_000, 13), (70_000, 17)])
+def test_other_vocabularies(spark, docs, tmp_path, size, width):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    made = Tokenizer(models.WordLevel({f"w{k}": k for k in range(size)}, unk_token="w0"))
+    made.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    made.save(str(tmp_path / "words.json"))
+    rows = [(d, " ".join(f"w{(d * 7919 + k * 104_729) % size}" for k in range(200)), "en", "s") for d in range(300)]
+    path = common.scratch_path(spark, "tokens")
+    tokenpack.write(docs(rows), path, str(tmp_path / "words.json"), block_tokens=1000)
+    blocks = spark.read.parquet(path).select("width", "n_tokens", F.octet_length("payload").alias("bytes")).collect()
+    assert len(blocks) > 20 and all(b["width"] == width and b["bytes"] == -(-b["n_tokens"] * width // 8) for b in blocks)
+    want = {d: [*(int(w[1:]) for w in t.split()), 2] for d, t, *_ in rows}
+    assert {r["doc_id"]: r["ids"] for r in tokenpack.read(spark, path).collect()} == want
+    assert [x.tolist() for x in tokenpack.document(spark, path, 123)] == [want[123]]
+
+
+def test_token_file(spark, docs, odd_rows, capsys):
     path = common.scratch_path(spark, "tokens")
     tokenpack.write(docs(odd_rows), path, PATH, block_tokens=500)
     got = tokenpack.summary(spark, path).orderBy("start").collect()
@@ -144,6 +174,10 @@ def test_token_file(spark, docs, odd_rows):
         start += len(want)
     assert [x.tolist() for x in tokenpack.document(spark, path, 7)] == [ids[7], ids[7]]
     assert {r["doc_id"]: r["ids"] for r in tokenpack.read(spark, path).collect()}[9] == ids[9]
+    tokenpack._holding(spark, path, 7).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "LessThanOrEqual(first_id,7)" in plan and "GreaterThanOrEqual(last_id,7)" in plan
+    assert tokenpack.document(spark, path, 77) == []
     empty = common.scratch_path(spark, "tokens")
     tokenpack.write(docs([]), empty, PATH)
     assert tokenpack.summary(spark, empty).count() == 0
