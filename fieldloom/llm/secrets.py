@@ -2,17 +2,21 @@
 
 Base spans are the leftmost non-overlapping matches of three patterns. Beyond
 them, candidate strings (long runs of one character class) are searched with a
-sliding window: its Shannon entropy is kept up to date from the counts of the
-one character that leaves and the one that enters, and a candidate whose best
-window reaches the threshold of its class is a span of its own, unless the
-allow-list knows its form or a base span overlaps it.
+sliding window. The counts of the window's characters are the state: the
+character that leaves takes one from its count, the one that enters adds one
+to its own, and the entropy changes by these two counts alone, so a candidate
+takes time in proportion to its length. A candidate whose best window reaches
+the threshold of its class is a span of its own, unless the allow-list knows
+its form or a base span overlaps it.
 
-Positions come from the lengths of the pieces between matches, so everything
-is an expression over the row: no shuffle, no Python.
+Positions come from the lengths of the pieces between matches, summed in blocks
+and then over blocks, so everything is an expression over the row: no shuffle,
+no Python.
 
 Cases: a null text is an empty one; empty texts have no span; spans are in code
 points, end exclusive; equal starts are ordered by kind; repeated rows are
-scanned alike; an empty table gives an empty result; other columns are ignored.
+scanned alike; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]+", 0, 24),
 )
+#: Patterns that give just the matches of the least length: a run that is long enough is found whole, and no part of a shorter one is.
+LONG = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 #: A cheap test that every text with a match of at least the least length passes.
 HINTS = {
     "assign": r"""(?i)(?:passw|secret|token|api_?key)""",
@@ -43,30 +49,65 @@ CLASSES = (
 ALLOWED = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",  # UUID
     r"(?i)example|sample|placeholder|dummy|changeme|xxxx",
-    r"^(?:/[A-Za-z0-9_-]+)+/?$",  # path
+    r"^(?!.*//)/[A-Za-z0-9_/-]+$",  # path
     r"^(.)\1+$",
 )
 WINDOW = 20
+#: Matches whose places are summed up together.
+BLOCK = 256
+#: The characters of candidates lie between these, so a window's counts are an array.
+FIRST, LAST = "+", "z"
+#: Entropies are summed in whole steps of this size, so that no error builds up.
+STEP = 2.0**-40
 
 
 def _placed(text: Column, pattern: str) -> Column:
-    """array<struct<start, match>> of the matches of a pattern."""
+    """array<struct<start, match>> of the matches of a pattern.
+
+    Starts are summed within blocks of matches and then over the blocks, as an
+    array that grows by one match a step would be copied for every match."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    return F.aggregate(
-        F.arrays_zip(between.alias("piece"), found.alias("match")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string>>").alias("out")),
-        lambda acc, x: F.when(x["match"].isNull(), acc).otherwise(
-            F.struct(
+    both = F.filter(F.arrays_zip(between.alias("piece"), found.alias("match")), lambda x: x["match"].isNotNull())
+    empty = F.array().cast("array<struct<start:int,match:string>>")
+
+    def within(block: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(F.lit(0).alias("at"), empty.alias("out")),
+            lambda acc, x: F.struct(
                 (acc["at"] + F.length(x["piece"]) + F.length(x["match"])).alias("at"),
-                F.concat(
-                    acc["out"],
-                    F.array(F.struct((acc["at"] + F.length(x["piece"])).alias("start"), x["match"].alias("match"))),
-                ).alias("out"),
+                F.array_append(acc["out"], F.struct((acc["at"] + F.length(x["piece"])).alias("start"), x["match"].alias("match"))).alias("out"),
+            ),
+        )
+
+    def blocks(every: Column) -> Column:
+        last = F.floor((F.size(every) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: within(F.slice(every, k * BLOCK + 1, F.lit(BLOCK))))
+
+    def moved(parts: Column) -> Column:
+        ahead = F.aggregate(
+            parts,
+            F.array(F.lit(0)),
+            lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + p["at"]),
+        )
+        both = F.arrays_zip(parts.alias("part"), F.slice(ahead, F.lit(1), F.size(parts)).alias("ahead"))
+        return F.flatten(
+            F.transform(
+                both,
+                lambda b: F.transform(
+                    b["part"]["out"], lambda x: F.struct((x["start"] + b["ahead"]).alias("start"), x["match"].alias("match"))
+                ),
             )
-        ),
-        lambda acc: acc["out"],
-    )
+        )
+
+    # each level is bound to a name of its own, so that none is computed again
+    return _bound(both, lambda every: F.when(F.size(every) > 0, _bound(blocks(every), moved)).otherwise(empty))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _spans(text: Column, kind: str, order: int, pattern: str, keep) -> Column:
@@ -88,43 +129,49 @@ _NONE = "array<struct<start:int,order:int,end:int,kind:string>>"
 def base_spans(text: Column, kind: str) -> Column:
     order = [k for k, *_ in BASE].index(kind)
     _, pattern, group, least = BASE[order]
+    pattern = LONG.get(kind, pattern)
     counted = (lambda m: F.regexp_extract(m, pattern, group)) if group else (lambda m: m)
     found = _spans(text, kind, order, pattern, lambda m: F.length(counted(m)) >= least)
     return F.when(text.rlike(HINTS[kind]), found).otherwise(F.array().cast(_NONE))
 
 
-def _count(window: Column, character: Column) -> Column:
-    return F.length(window) - F.length(F.replace(window, character, F.lit("")))
+def _moves(codes: Column, width: int) -> Column:
+    """The characters that enter the window and, with a minus, that leave it, in order."""
+    at = F.sequence(F.lit(width + 1), F.size(codes))
+    pairs = F.transform(at, lambda i: F.array(-F.element_at(codes, i - width), F.element_at(codes, i)))
+    return F.concat(
+        F.slice(codes, 1, width), F.when(F.size(codes) > width, F.flatten(pairs)).otherwise(F.array().cast("array<int>"))
+    )
 
 
 def best_entropy(candidate: Column, width: int = WINDOW) -> Column:
-    """The largest Shannon entropy (bits) of the windows of a candidate.
+    """The largest Shannon entropy (bits) of the windows of a candidate of ``width`` characters or more.
 
     With f(c) = c log2 c, the entropy is log2(width) - sum f(count) / width;
-    moving the window by one changes the sum by the counts of two characters."""
-    table = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(width + 1)])
-    f = lambda c: F.element_at(table, c.cast("int") + 1)
-    window = lambda at: F.substring(candidate, at, width)
-    first = window(F.lit(1))
-    start = F.aggregate(
-        F.array_distinct(F.filter(F.split(first, ""), lambda ch: ch != "")),
-        F.lit(0.0),
-        lambda acc, ch: acc + f(_count(first, ch)),
-    )
-    moved = F.aggregate(
-        F.when(F.length(candidate) > width, F.sequence(F.lit(2), F.length(candidate) - width + 1)).otherwise(F.array().cast("array<int>")),
-        F.struct(start.alias("now"), start.alias("least")),
-        lambda acc, at: _step(acc, at, candidate, width, f),
+    a character that enters or leaves changes the sum by its own count alone."""
+    table = F.array(*[F.lit(round(c * math.log2(c) / STEP) if c else 0).cast("long") for c in range(width + 2)])
+    f = lambda c: F.element_at(table, c + 1)
+    places = ord(LAST) - ord(FIRST) + 1
+    codes = F.transform(F.filter(F.split(candidate, ""), lambda c: c != ""), lambda c: F.ascii(c) - F.lit(ord(FIRST) - 1))
+    start = F.struct(
+        F.array_repeat(F.lit(0), places).alias("counts"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("now"), F.lit(2**62).alias("least")
     )
-    return F.lit(math.log2(width)) - moved["least"] / width
 
+    def step(acc: Column, move: Column) -> Column:
+        place, by = F.abs(move), F.when(move > 0, 1).otherwise(-1)
+        old = F.element_at(acc["counts"], place)
+        counts = F.concat(F.slice(acc["counts"], F.lit(1), place - 1), F.array(old + by), F.slice(acc["counts"], place + 1, F.lit(places)))
+        now = acc["now"] + f(old + by) - f(old)
+        full = acc["size"] + by == width
+        return F.struct(
+            counts.alias("counts"),
+            (acc["size"] + by).alias("size"),
+            now.alias("now"),
+            F.when(full, F.least(acc["least"], now)).otherwise(acc["least"]).alias("least"),
+        )
 
-def _step(acc: Column, at: Column, candidate: Column, width: int, f) -> Column:
-    shared = F.substring(candidate, at, F.lit(width - 1))  # what both windows hold
-    gone, new = F.substring(candidate, at - 1, F.lit(1)), F.substring(candidate, at + width - 1, F.lit(1))
-    out_left, in_left = _count(shared, gone), _count(shared, new)
-    now = acc["now"] + f(out_left) - f(out_left + 1) + f(in_left + 1) - f(in_left)
-    return F.struct(now.alias("now"), F.least(acc["least"], now).alias("least"))
+    least = _bound(codes, lambda c: F.aggregate(_moves(c, width), start, step, lambda acc: acc["least"]))
+    return F.lit(math.log2(width)) - least * STEP / width
 
 
 def entropy_spans(text: Column) -> Column:
