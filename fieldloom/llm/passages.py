@@ -1,14 +1,15 @@
 """Passages that repeat across documents, by a sparse suffix array.
 
 A passage is a run of at least ``LENGTH`` words. Of all suffixes only those at
-minimisers are retained: in every window of ``LENGTH`` words the group of
+minimisers are retained: in every window of ``LENGTH`` words the place of the
 ``GRAM`` words with the least hash, which equal windows share wherever they
-stand. The retained suffixes are sorted by their first words and compared with
-their neighbours; a suffix whose neighbour from another document begins alike
-is a seed. Around the seeds matches are extended left and right: the windows
-about a seed are hashed whole, equal runs of windows are matched at once and
-the rest window by window, and windows that occur in another document join
-into maximal spans.
+stand. The retained suffixes, (document, position), are sorted by their first
+``GRAM`` words, and neighbours are compared by these words; a suffix that
+begins like its neighbour from another document is a seed. Around the seeds
+matches are extended left and right: the windows about a seed are hashed
+whole, equal runs of windows are matched at once and the rest window by
+window, always among suffixes that begin with the same words, and windows that
+occur in another document join into maximal spans.
 
 Words are separated by ASCII white space, A-Z in lower case. Hashes are
 polynomial over the bytes, 64 bits wide.
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +63,8 @@ class Hasher:
     def __init__(self, text: str | None):
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         self.n = len(words)
-        line = np.frombuffer(b" ".join(words) + b" ", np.uint8)
+        self.line = b" ".join(words) + b" "
+        line = np.frombuffer(self.line, np.uint8)
         powers, self.inverse = _powers(len(line) + 1)
         self.sums = np.zeros(len(line) + 1, np.uint64)
         np.cumsum(_VALUES[line] * powers[:-1], out=self.sums[1:])
@@ -76,17 +79,22 @@ class Hasher:
         k = np.arange(max(0, self.n - size + 1))
         return self.ranges(k, k + size)
 
-    def minimisers(self, length: int, gram: int) -> np.ndarray:
-        """For every window of ``length`` words the least hash of its grams."""
+    def minimisers(self, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+        """For every window of ``length`` words the least hash of its grams, and where it first stands."""
         least, width = self.grams(gram), length - gram + 1
         if len(least) < width:
-            return np.zeros(0, np.uint64)
-        done = 1
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        at, done = np.arange(len(least)), 1
         while done < width:
             step = min(done, width - done)
-            least = np.minimum(least[:-step], least[step:])
+            later = least[step:] < least[:-step]
+            at = np.where(later, at[step:], at[:-step])
+            least = np.where(later, least[step:], least[:-step])
             done += step
-        return least
+        return least, at
+
+    def words(self, first: int, last: int) -> bytes:
+        return self.line[self.starts[first] : self.starts[last] - 1]
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,71 +103,83 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffixes(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(key, doc_id): the retained suffixes of each document by their first words' hash."""
+    """(lead, key, doc_id, position): the retained suffixes of each document with
+    their first words and these words' hash; of suffixes that begin alike the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, ids = [], []
+            leads, keys, ids, places = [], [], [], []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                own = np.unique(Hasher(text.as_py()).minimisers(length, gram))
+                h = Hasher(text.as_py())
+                least, at = h.minimisers(length, gram)
+                own, first = np.unique(least, return_index=True)
                 keys.append(own)
+                places.append(at[first])
+                leads += [h.words(p, p + gram) for p in at[first].tolist()]
                 ids.append(np.full(len(own), doc_id, np.int64))
-            yield pa.RecordBatch.from_pydict({"key": np.concatenate(keys).view(np.int64), "doc_id": np.concatenate(ids)})
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "lead": pa.array(leads, pa.binary()), "key": np.concatenate(keys).view(np.int64), "doc_id": np.concatenate(ids),
+                    "position": np.concatenate(places).astype(np.int32),
+                }
+            )
 
-    return docs.mapInArrow(run, "key long, doc_id long")
+    return docs.mapInArrow(run, "lead binary, key long, doc_id long, position int")
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over a sorted part: suffixes that begin like a neighbour of another
-    document, and, as edge, the first and last group of the part."""
-    held: pa.Table | None = None
-    first = True
-
-    def groups(t: pa.Table, whole: bool, last: bool) -> pa.Table:
-        nonlocal first
-        key, doc = t.column("key").to_numpy(), t.column("doc_id").to_numpy()
-        begin, end = _runs(key)
-        wide = np.repeat(doc[begin] != doc[end - 1], end - begin)
-        edge = np.zeros(len(key), bool)
-        if first:
-            edge[: end[0]] = True
-            first = False
-        if last:
-            edge[begin[-1] :] = True
-        keep = wide | edge
-        return pa.table({"key": key[keep], "doc_id": doc[keep], "sure": wide[keep], "edge": edge[keep]})
+    document, and, as edge, the first and the last suffix of the part.
+
+    Of one document's suffixes that begin alike the first counts. One suffix is
+    held back until its next neighbour is known, however many begin alike."""
+    names = ["lead", "key", "doc_id", "position"]
+    held, sure_held, first = None, False, True
+
+    def out(t: pa.Table, sure: np.ndarray, edge: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keep = pa.array(sure | edge)
+        found = t.append_column("sure", pa.array(sure)).append_column("edge", pa.array(edge)).filter(keep)
+        yield from found.combine_chunks().to_batches()
 
     for b in batches:
-        t = pa.Table.from_batches([b])
-        t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+        t = pa.Table.from_batches([b]).select(names)
+        t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
         if not t.num_rows:
             continue
-        key = t.column("key").to_numpy()
-        cut = int(np.searchsorted(key, key[-1], side="left"))  # the last group may go on
-        if cut:
-            yield from groups(t.slice(0, cut), True, False).to_batches()
-        held = t.slice(cut)
-    if held is not None and held.num_rows:
-        yield from groups(held, True, True).to_batches()
+        alike = lambda t: pc.equal(t["lead"].slice(1), t["lead"].slice(0, t.num_rows - 1)).to_numpy()
+        doc = t["doc_id"].to_numpy()
+        again = np.concatenate(([False], alike(t) & (doc[1:] == doc[:-1])))
+        t = t.filter(pa.array(~again)).combine_chunks()
+        same = alike(t)
+        sure = np.concatenate(([sure_held], same)) | np.concatenate((same, [False]))
+        edge = np.zeros(t.num_rows, bool)
+        edge[0] = first
+        if t.num_rows > 1:
+            yield from out(t.slice(0, t.num_rows - 1), sure[:-1], edge[:-1])
+            first = False
+        held, sure_held = t.slice(t.num_rows - 1), bool(sure[-1])
+    if held is not None:
+        yield from out(held, np.array([sure_held]), np.array([True]))
 
 
 def seeds(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(key, doc_id) of the suffixes that another document's neighbour begins like."""
+    """(key, doc_id, position) of the suffixes that another document's neighbour begins like."""
     spark = docs.sparkSession
     path = common.scratch_path(spark, "suffixes")
-    suffixes(docs, length, gram).distinct().write.parquet(path)
-    order = spark.read.parquet(path).repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
-    near = common.cut(order.mapInArrow(_neighbours, "key long, doc_id long, sure boolean, edge boolean"))
-    # a group may lie on both sides of a cut between parts: at most two groups a part
+    suffixes(docs, length, gram).write.parquet(path)
+    order = ["lead", "doc_id", "position"]
+    ordered = spark.read.parquet(path).repartitionByRange(*order).sortWithinPartitions(*order)
+    near = common.cut(ordered.mapInArrow(_neighbours, "lead binary, key long, doc_id long, position int, sure boolean, edge boolean"))
+    # suffixes that begin alike may lie on both sides of a cut between parts: at most two edges a part
     across = (
         near.where("edge")
-        .groupBy("key")
+        .groupBy("lead")
         .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
         .where("a < b")
-        .select("key")
+        .select("lead")
     )
-    late = near.where("edge and not sure").join(across, "key", "left_semi")
-    return near.where("sure").unionByName(late).select("key", "doc_id")
+    late = near.where("edge and not sure").join(across, "lead", "left_semi")
+    return near.where("sure").unionByName(late).select("key", "doc_id", "position")
 
 
 def runs(docs: DataFrame, keyed: DataFrame, length: int, gram: int) -> DataFrame:
@@ -171,7 +191,7 @@ def runs(docs: DataFrame, keyed: DataFrame, length: int, gram: int) -> DataFrame
             out = {"key": [], "run": [], "doc_id": [], "start": [], "n": [], "windows": []}
             for doc_id, text, keys in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("keys")):
                 h = Hasher(text.as_py())
-                least = h.minimisers(length, gram)
+                least, _ = h.minimisers(length, gram)
                 if not len(least):
                     continue
                 begin, end = _runs(least)
@@ -225,14 +245,14 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str
     single.write.parquet(window_path)
     single = spark.read.parquet(window_path)
     shared = (
-        single.groupBy("window")
+        single.groupBy("key", "window")  # equal windows have the same least gram
         .agg(F.min("low").alias("first"), F.max("high").alias("last"))
         .where("first < last")
-        .select("window", "first")
+        .select("key", "window", "first")
     )
     # of a run: where its repeated windows are, as many as it has at most
     partly = (
-        single.join(shared, "window")
+        single.join(shared, ["key", "window"])
         .groupBy("key", "run")
         .agg(F.collect_list(F.struct("at", "first")).alias("hits"))
     )

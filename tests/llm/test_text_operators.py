@@ -78,31 +78,45 @@ def test_simhash_documents(spark, docs, odd_rows, prose):
     assert simhash.near_duplicates(docs([])).count() == 0
 
 
-def test_passages(spark, docs, odd_rows, prose):
-    shared, body = prose(70, 50), prose(900, 51)
-    rows = [*odd_rows, (20, f"{prose(30, 52)} {shared} {prose(45, 53)}", "en", "s"), (21, f"{prose(77, 54)} {shared.upper()}", "en", "s"),
-            (22, body, "en", "s"), (23, body[:2000] + " new " + body[2000:], "en", "s"), (24, prose(49, 50), "en", "s"), (25, "go " * 300, "en", "s"),
-            (26, "go " * 80, "en", "s"), (27, prose(120, 56) + " " + prose(120, 56), "en", "s")]
+def passages_by_hand(rows):
+    """Of each doc_id's rows the maximal spans of windows that another doc_id holds too."""
     where = defaultdict(set)
-    texts = {d: t for d, t, *_ in rows if d is not None}
-    words = {d: (t or "").encode().lower().split() for d, t in texts.items()}
-    for d, w in words.items():
+    words = [(d, (t or "").encode().lower().split()) for d, t, *_ in rows if d is not None]
+    for d, w in words:
         for i in range(len(w) - 49):
             where[tuple(w[i : i + 50])].add(d)
+    # rows of one doc_id share its word numbers
+    hits = defaultdict(dict)
+    for d, w in words:
+        for i in range(len(w) - 49):
+            if len(ids := where[tuple(w[i : i + 50])]) > 1:
+                hits[d][i] = min(hits[d].get(i, min(ids)), *ids)
     want = set()
-    for d, w in words.items():
+    for d, starts in hits.items():
         own = None
-        for i in range(len(w) - 49):
-            ids = where[tuple(w[i : i + 50])]
-            if len(ids) > 1:
-                if own and i <= own[1]:
-                    own = [own[0], i + 50, min(own[2], *ids)]
-                else:
-                    want |= {(d, *own)} if own else set()
-                    own = [i, i + 50, min(ids)]
-        want |= {(d, *own)} if own else set()
+        for i in sorted(starts):
+            if own and i <= own[1]:
+                own = [own[0], i + 50, min(own[2], starts[i])]
+            else:
+                want |= {(d, *own)} if own else set()
+                own = [i, i + 50, starts[i]]
+        want |= {(d, *own)}
+    return want
+
+
+def check_passages(spark, docs, rows):
     got = [tuple(r) for r in passages.repeated(docs(rows)).select("doc_id", "start_word", "end_word", "first_doc_id").collect()]
+    want = passages_by_hand(rows)
     assert len(got) == len(set(got)) and set(got) == want
+    return want
+
+
+def test_passages(spark, docs, odd_rows, prose):
+    shared, body = prose(70, 50), prose(900, 51)
+    rows = [*odd_rows, (20, f"{prose(30, 52)} {shared} {prose(45, 53)}", "en", "s"), (21, f"{prose(77, 54)} {shared.upper()}", "en", "s"),
+            (22, body, "en", "s"), (23, body[:2000] + " new " + body[2000:], "en", "s"), (24, prose(49, 50), "en", "s"), (25, "go " * 300, "en", "s"),
+            (26, "go " * 80, "en", "s"), (27, prose(120, 56) + " " + prose(120, 56), "en", "s")]
+    want = check_passages(spark, docs, rows)
     assert {20, 21, 22, 23, 25, 26} <= {d for d, *_ in want} and not {24, 27, 4} & {d for d, *_ in want}
     assert passages.repeated(docs([])).count() == 0
 
@@ -112,6 +126,35 @@ def test_passages_of_rows_that_share_an_id(spark, docs, prose):
     rows = [(1, p, "en", "s") for p in parts] + [(10 + k, f"{prose(60, 80 + k)} {p}", "en", "s") for k, p in enumerate(parts)]
     got = {r["doc_id"]: (r["start_word"], r["end_word"], r["first_doc_id"]) for r in passages.repeated(docs(rows)).collect()}
     assert all(got[10 + k] == (60, 180, 1) for k in range(8))
+    a, b = prose(120, 91), prose(120, 92)
+    check_passages(spark, docs, [*rows, (30, a, "en", "s"), (30, b, "en", "s"), (31, a + " x", "en", "s"), (32, "y " + b, "en", "s")])
+
+
+def test_passages_of_templates(spark, docs, prose):
+    """Texts from few shared blocks: many begin alike, and differ left and right."""
+    blocks = [prose(n, 100 + n) for n in (9, 17, 20, 26, 33, 38, 45, 61)]
+    rng = np.random.default_rng(12)
+    rows = [(k, " ".join(blocks[int(j)] if j < 8 else prose(11, 500 + k) for j in rng.integers(0, 10, 7)), "en", "s") for k in range(90)]
+    assert len(check_passages(spark, docs, rows)) > 90
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_suffixes_across_parts(parts):
+    """Suffixes that begin alike are found wherever batches and parts cut the order."""
+    rng = np.random.default_rng(parts)
+    rows = sorted({(bytes([97 + int(a)]), int(d)) for a, d in zip(rng.integers(0, 25, 70) ** 2 // 25, rng.integers(0, 40, 70))})
+    found, edges = set(), []
+    for part in np.array_split(np.arange(len(rows)), parts):
+        own = [rows[i] for i in part]
+        table = pa.table({"lead": pa.array([a for a, _ in own], pa.binary()), "key": [a[0] for a, _ in own], "doc_id": [d for _, d in own], "position": pa.array([0] * len(own), pa.int32())})
+        for b in passages._neighbours(iter(table.to_batches(max_chunksize=3))):
+            for r in b.to_pylist():
+                if r["sure"]:
+                    found.add((r["lead"], r["doc_id"]))
+                if r["edge"]:
+                    edges.append((r["lead"], r["doc_id"]))
+    found |= {(a, d) for a, d in edges if len({x for y, x in edges if y == a}) > 1}
+    assert found == {(a, d) for a, d in rows if len({x for y, x in rows if y == a}) > 1}
 
 
 @pytest.mark.parametrize("width", [1, 5, 8, 13, 16, 17, 32])
