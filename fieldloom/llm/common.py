@@ -1,11 +1,11 @@
-"""Helpers that the corpus operators share: tables, shared storage, components."""
+"""Helpers that the corpus operators share: tables, shared storage, samples, components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words: U+0020 and U+0009 to U+000D.
@@ -35,10 +35,46 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """Cuts the lineage by a table in the shared folder. ``replaces``, what an
+    earlier cut returned and nothing reads any more, is deleted then, so that
+    rounds do not fill the folder."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    if replaces is not None:
+        discard(replaces)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(written: DataFrame) -> None:
+    """Deletes the files of a table that :func:`cut` returned."""
+    spark = written.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in written.inputFiles()}:
+        if folder.rsplit("/", 1)[1].startswith("cut-"):
+            where = jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(conf).delete(where, True)
+
+
+#: Characters of a text beyond which a fit leaves it out of its sample.
+FIT_CHARS = 200_000
+
+
+def sampled(rows: DataFrame, n: int, key: str, text: str, group: str | None = None) -> list[Row]:
+    """A bounded, reproducible sample for a fit: of each ``group`` about ``n`` rows
+    of at most ``FIT_CHARS`` characters, chosen by a hash threshold of ``key``, at
+    most 2 n, in the order of that hash."""
+    part = F.lit("") if group is None else F.col(group).cast("string")
+    usable = rows.where(F.coalesce(F.length(text) <= FIT_CHARS, F.lit(True))).withColumn("_part", part)
+    counts = {r["_part"]: r["n"] for r in usable.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return []
+    share = F.create_map(*[x for g, c in counts.items() for x in (F.lit(g), F.lit(min(1.0, n / c)))])
+    drawn = usable.withColumn("_draw", F.pmod(F.xxhash64(key), F.lit(1_000_003)) / 1_000_003).where(F.col("_draw") < share[F.col("_part")])
+    order = Window.partitionBy("_part").orderBy("_draw", key, F.xxhash64(text))
+    few = drawn.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= 2 * n)
+    return few.orderBy("_part", "_place").select(*rows.columns).collect()
 
 
 def _edge_state(edges: DataFrame) -> tuple[int, int]:
@@ -78,7 +114,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = star(both, own=False)
         # every edge now points from the larger to the smaller end
-        now = cut(star(large, own=True))
+        now = cut(star(large, own=True), replaces=now)
         after = _edge_state(now)
         if after == before:
             break

@@ -3,22 +3,27 @@
 Equal vectors form one class first. A neighbour graph over the classes starts
 from neighbours in the sort orders of a few random-hyperplane codes and is
 refined in rounds: the neighbours of a node, forward and reverse, meet in a
-local join, and every pair that betters a list goes into it. A list of which
-``LIST`` members reach the threshold is saturated and is doubled. Audit vectors,
-as many as hold some hundred links, are compared with all rows; rounds go on,
-with further orders, until the graph holds enough of the audit's links. Links are
-the edges that reach the threshold, in double precision.
-
-A saturated list may not hold all links of its vector: its whole component is
-then compared exactly with all rows, block by block, and only counts and the
-components that links join are kept, so dense groups emit no pairs. Where links are
-too rare for the audit, or it is not content after all rounds, all rows are
-compared with all.
+local join, and every pair that betters a list goes into it. A list whose
+members all reach the threshold is saturated and doubles for the next round,
+up to ``MAX_LIST``. The audit compares every vector whose id is divisible by
+``AUDIT_EVERY`` with all rows, block by block; rounds go on, with further
+orders, until the graph holds enough of the audit's links. Links are the edges
+that reach the threshold, in double precision.
+
+Neighbours of neighbours may all lie in one dense group and never lead to another
+that it links with: components in which a list was saturated are therefore
+compared exactly with all rows, block by block, and only counts and the
+components that links join are kept, so dense groups emit no pairs. Where links are too rare for the audit, or it is not content after
+all rounds, or the finished counts hold under ``LEAST_RECALL`` of the links of
+all audited vectors, saturated ones included, all rows are compared with all.
+``report`` takes what the audit measured.
 
 Cases: vectors that are null, zero, or hold null or non-finite components, and
 rows with a null vec_id, link with nothing and are components of their own;
-vectors of different lengths are never linked; repeated rows are vectors of
-their own; an empty table gives an empty result.
+vectors of different lengths are never linked; very large and very small
+vectors are scaled before their norm is taken; repeated rows are vectors of
+their own; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -33,17 +38,26 @@ from pyspark.sql import functions as F
 from fieldloom.llm import common
 
 THRESHOLD = 0.9
-LIST, MAX_LIST, REVERSE = 12, 24, 12
+LIST, MAX_LIST, REVERSE = 12, 96, 12
 ORDERS, BITS, REACH, FIRST = 6, 24, 12, 4
-AUDIT, AUDIT_LINKS, RECALL, ROUNDS = 256, 200, 0.98, 8
+#: Audit vectors: ids divisible by this, and vectors that a driver or task holds at once.
+AUDIT_EVERY, AUDIT_BLOCK = 20, 4096
+#: Links that an audit must hold to be trusted, and the share of them that the graph must hold.
+AUDIT_LINKS, RECALL, ROUNDS = 200, 0.98, 8
+#: Share of the audit's links that the finished counts must hold.
+LEAST_RECALL = 0.95
 SEED = 5
 
 
-def _unit(column: pa.Array, dim: int) -> np.ndarray:
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+def _normal(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of the rest neither overflow nor vanish
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _unit(column: pa.Array, dim: int) -> np.ndarray:
+    return _normal(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
+
+
 def _pairs(src: np.ndarray, dst: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"src": src.astype(np.int64), "dst": dst.astype(np.int64), "sim": sim.astype(np.float64)})
 
@@ -105,13 +119,27 @@ def lists(edges: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     return near.select("src", "size", F.slice("near", F.lit(1), F.col("size")).alias("near"))
 
 
-def _worst(graph: DataFrame) -> DataFrame:
-    full = F.size("near") >= F.col("size")
-    return graph.select("src", F.when(full, F.element_at("near", -1)["sim"]).otherwise(F.lit(-2.0)).alias("worst"))
+def _worst(graph: DataFrame, threshold: float) -> DataFrame:
+    """What an edge must better: the last of a full list, the threshold (less a
+    little) for a list that has grown and is not full, else nothing."""
+    full, grown = F.size("near") >= F.col("size"), F.col("size") > LIST
+    last = F.when(full, F.element_at("near", -1)["sim"]).when(grown, F.lit(threshold - 1e-9)).otherwise(F.lit(-2.0))
+    return graph.select("src", last.alias("worst"), (grown & ~full).alias("open"))
+
+
+def _mixed(*parts: np.ndarray) -> np.ndarray:
+    """A number from each combination of ids, the same in every run."""
+    h = np.zeros((), np.uint64)
+    for p in parts:
+        h = (h ^ p.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h = h ^ (h >> np.uint64(29))
+    return (h >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 
-def better_edges(graph: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
-    """Edges that better a list, from the local joins about each node."""
+def better_edges(graph: DataFrame, nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """Edges that better a list, from the local joins about each node: of each
+    pair of members the best few. Of links for a list that has grown, a few
+    chosen by hash, as about all nodes of a dense group the best would be the same."""
     forward = graph.select("src", F.explode("near").alias("e")).select("src", F.col("e.dst").alias("dst"), F.col("e.sim").alias("sim"))
     reverse = (
         forward.groupBy("dst")
@@ -121,14 +149,18 @@ def better_edges(graph: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
     )
     itself = graph.select("src", F.col("src").alias("dst"))
     met = forward.select("src", "dst").unionAll(reverse).unionAll(itself).distinct()
-    known = nodes.join(_worst(graph).withColumnRenamed("src", "id"), "id", "left").select(
-        F.col("id").alias("dst"), F.coalesce("worst", F.lit(-2.0)).alias("worst"), "vec"
+    known = nodes.join(_worst(graph, threshold).withColumnRenamed("src", "id"), "id", "left").select(
+        F.col("id").alias("dst"), F.coalesce("worst", F.lit(-2.0)).alias("worst"), F.coalesce("open", F.lit(False)).alias("open"), "vec"
     )
     tables = (
         met.join(known, "dst")
         .groupBy("src")
-        .agg(F.collect_list("dst").alias("ids"), F.collect_list("worst").alias("worst"), F.flatten(F.collect_list("vec")).alias("vecs"))
-        .select("ids", "worst", "vecs")
+        .agg(
+            F.collect_list("dst").alias("ids"),
+            F.collect_list("worst").alias("worst"),
+            F.collect_list("open").alias("open"),
+            F.flatten(F.collect_list("vec")).alias("vecs"),
+        )
     )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,20 +168,25 @@ def better_edges(graph: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
             sizes = np.diff(b.column("ids").offsets.to_numpy())
             if not len(sizes):
                 continue
-            ids, worst = b.column("ids").flatten().to_numpy(), b.column("worst").flatten().to_numpy()
-            x = b.column("vecs").flatten().to_numpy().astype(np.float64).reshape(-1, dim)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            centre, ids, worst = b.column("src").to_numpy(), b.column("ids").flatten().to_numpy(), b.column("worst").flatten().to_numpy()
+            grown = b.column("open").flatten().to_numpy(zero_copy_only=False)
+            x = _unit(b.column("vecs"), dim)
             starts = np.cumsum(sizes) - sizes
             for m in np.unique(sizes):
                 if m < 2:
                     continue
-                at = starts[sizes == m][:, None] + np.arange(m)
-                for part in np.array_split(at, -(-len(at) * m * m // 2_000_000)):
+                own = np.flatnonzero(sizes == m)
+                for k in np.array_split(own, -(-len(own) * m * m // 2_000_000)):
+                    part = starts[k][:, None] + np.arange(m)
                     y = x[part]
                     sim = y @ y.transpose(0, 2, 1)
                     sim[:, np.arange(m), np.arange(m)] = -2.0
                     sim[sim <= worst[part][:, :, None]] = -2.0
-                    best = np.argsort(-sim, axis=2)[:, :, :FIRST]
+                    rank = sim
+                    if grown[part].any():
+                        drawn = _mixed(centre[k][:, None, None], ids[part][:, :, None], ids[part][:, None, :])
+                        rank = np.where(grown[part][:, :, None] & (sim > -2), drawn, sim)
+                    best = np.argsort(-rank, axis=2)[:, :, :FIRST]
                     value = np.take_along_axis(sim, best, 2)
                     src = np.broadcast_to(ids[part][:, :, None], value.shape)
                     dst = np.take_along_axis(np.broadcast_to(ids[part][:, None, :], sim.shape), best, 2)
@@ -164,7 +201,12 @@ def _flat(graph: DataFrame) -> DataFrame:
 
 
 def _saturated(threshold: float) -> Column:
-    """Whether as many as ``LIST`` of a list reach the threshold: it may lack links."""
+    """Whether a list is full of links: it may lack others."""
+    return F.size(F.filter("near", lambda e: e["sim"] >= threshold)) >= F.col("size")
+
+
+def _dense(threshold: float) -> Column:
+    """Whether a vector has as many links as a list has places at first."""
     return F.size(F.filter("near", lambda e: e["sim"] >= threshold)) >= LIST
 
 
@@ -174,46 +216,69 @@ def _grown(graph: DataFrame, threshold: float) -> DataFrame:
 
 
 def audit(nodes: DataFrame, dim: int, threshold: float) -> DataFrame | None:
-    """(src, n): exact numbers of links of vectors chosen by hash, each compared with all rows.
-
-    The audit grows until vectors with fewer than ``LIST`` links hold
-    ``AUDIT_LINKS`` of them. Where an eighth of the rows does not, links are too
-    rare to judge a graph by and the result is None."""
-    parts = max(1, nodes.count() // AUDIT)
-    part = F.pmod(F.xxhash64("id"), F.lit(parts))
-    found: list[tuple[int, int]] = []
-    done = links = 0
-    while links < AUDIT_LINKS:
-        if 8 * done >= parts:
-            return None
-        step = min(max(1, 3 * done), 16)  # a driver holds about 16 x AUDIT vectors
-        chosen = nodes.where((part >= done) & (part < done + step)).collect()
-        ids = np.array([r["id"] for r in chosen], np.int64)
-        queries = np.array([r["vec"] for r in chosen], np.float64).reshape(-1, dim)
-        queries /= np.linalg.norm(queries, axis=1, keepdims=True)
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, queries=queries) -> Iterator[pa.RecordBatch]:
-            n = np.zeros(len(ids), np.int64)
-            for b in batches:
-                if b.num_rows:
-                    own, x = b.column("id").to_numpy(), _unit(b.column("vec"), dim)
-                    for at in np.array_split(np.arange(len(own)), len(own) * max(1, len(ids)) // 4_000_000 + 1):
-                        n += ((x[at] @ queries.T >= threshold) & (own[at][:, None] != ids[None, :])).sum(0)
-            yield pa.RecordBatch.from_pydict({"src": ids[n > 0], "n": n[n > 0]})
-
-        rows = nodes.mapInArrow(run, "src long, n long").groupBy("src").agg(F.sum("n").alias("n")).collect()
-        found += [(r["src"], r["n"]) for r in rows if not done or r["n"] < LIST]
-        links += sum(r["n"] for r in rows if r["n"] < LIST)
-        done += step
-    return nodes.sparkSession.createDataFrame(found, "src long, n long")
+    """(src, n, links): exact numbers of linked classes and of linked vectors of
+    audit vectors, each compared with all rows of ``nodes`` (id, weight, vec).
+
+    These are all whose id is divisible by ``AUDIT_EVERY``. Where they hold fewer
+    than ``AUDIT_LINKS`` links, others chosen by hash join them, up to an eighth
+    of the rows; where these do not hold them either, links are too rare to
+    judge a graph by and the result is None."""
+    spark = nodes.sparkSession
+    total = nodes.count()
+    others = max(1, -(-total // AUDIT_BLOCK))
+    first = F.pmod("id", F.lit(AUDIT_EVERY)) == 0
+    turn = F.pmod(F.xxhash64("id"), F.lit(others))
+    blocks = [nodes.where(first & (turn == k)) for k in range(others)]  # a twentieth of a block each
+    step = AUDIT_EVERY
+    parts = [blocks[k : k + step] for k in range(0, others, step)]
+    more = [nodes.where(~first & (turn == k)) for k in range(-(-others // 8))]
+    done: list[DataFrame] = []
+    links = 0
+    for k, chosen in enumerate([*(_union(p) for p in parts), *more]):
+        if k >= len(parts) and links >= AUDIT_LINKS:
+            break
+        counted = common.cut(_counted(nodes, chosen.collect(), dim, threshold))
+        links += counted.agg(F.sum("n")).first()[0] or 0
+        done.append(counted)
+    if links < AUDIT_LINKS:
+        return None
+    return _union(done)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
+def _counted(nodes: DataFrame, chosen: list, dim: int, threshold: float) -> DataFrame:
+    """(src, n, links) of the chosen rows, at most about ``AUDIT_BLOCK``, against all."""
+    ids = np.array([r["id"] for r in chosen], np.int64)
+    queries = _normal(np.array([r["vec"] for r in chosen], np.float64).reshape(-1, dim)) if chosen else np.zeros((0, dim))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, links = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        for b in batches:
+            if b.num_rows:
+                own, x, weight = b.column("id").to_numpy(), _unit(b.column("vec"), dim), b.column("weight").to_numpy()
+                for at in np.array_split(np.arange(len(own)), len(own) * max(1, len(ids)) // 4_000_000 + 1):
+                    linked = (x[at] @ queries.T >= threshold) & (own[at][:, None] != ids[None, :])
+                    n += linked.sum(0)
+                    links += weight[at] @ linked
+        yield pa.RecordBatch.from_pydict({"src": ids[n > 0], "n": n[n > 0], "links": links[n > 0]})
+
+    rows = nodes.select("id", "weight", "vec").mapInArrow(run, "src long, n long, links long")
+    return rows.groupBy("src").agg(F.sum("n").alias("n"), F.sum("links").alias("links"))
 
 
 def recall(graph: DataFrame, truth: DataFrame, threshold: float) -> float:
-    """Share of the audit's links that lists hold; saturated lists are compared exactly later."""
-    full = graph.where(_saturated(threshold)).select("src")
+    """Share of the audit's links that lists hold. Dense vectors are left out
+    here: they are compared exactly, and audited at the end."""
+    full = graph.where(_dense(threshold)).select("src")
     edges = _flat(graph).where(F.col("sim") >= threshold).select("src", "dst")
     both = edges.unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    held = both.join(F.broadcast(truth.select("src")), "src").distinct().groupBy("src").agg(F.count(F.lit(1)).alias("held"))
+    held = both.join(truth.select("src"), "src", "left_semi").distinct().groupBy("src").agg(F.count(F.lit(1)).alias("held"))
     row = (
         truth.join(full, "src", "left_anti")
         .join(held, "src", "left")
@@ -223,21 +288,20 @@ def recall(graph: DataFrame, truth: DataFrame, threshold: float) -> float:
     return row["held"] / row["n"] if row["n"] else 1.0
 
 
-def neighbour_graph(nodes: DataFrame, dim: int, threshold: float = THRESHOLD) -> DataFrame | None:
+def neighbour_graph(nodes: DataFrame, dim: int, threshold: float, truth: DataFrame) -> DataFrame | None:
     """(src, size, near) over ``nodes`` (id, vec), refined until the audit is
-    content; None where it cannot judge or is not content after all rounds."""
-    truth = audit(nodes, dim, threshold)
-    if truth is None:
-        return None
+    content and no saturated list can grow; None where it is not content after all rounds."""
     graph = common.cut(lists(first_edges(nodes, dim)))
+    content = False
     for k in range(ROUNDS):
-        more = better_edges(graph, nodes, dim)
-        if k > 1:  # the audit was not content: other orders too
+        more = better_edges(graph, nodes, dim, threshold)
+        if k > 1 and not content:  # other orders too
             more = more.unionAll(first_edges(nodes, dim, k))
-        graph = common.cut(lists(_flat(graph).unionAll(more), _grown(graph, threshold)))
-        if k and recall(graph, truth, threshold) >= RECALL:
-            return graph
-    return None
+        graph = common.cut(lists(_flat(graph).unionAll(more), _grown(graph, threshold)), replaces=graph)
+        content = k > 0 and recall(graph, truth, threshold) >= RECALL
+        if content and graph.where(_saturated(threshold) & (F.col("size") < MAX_LIST)).isEmpty():
+            break
+    return graph if content else None
 
 
 def _compared(own: DataFrame, dim: int, threshold: float, n: int, wanted: int) -> DataFrame:
@@ -289,8 +353,13 @@ def _compared(own: DataFrame, dim: int, threshold: float, n: int, wanted: int) -
     return asked.unionAll(all_rows).groupBy("i", "j").applyInArrow(run, "id long, links long, a long, b long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """One row per input row: vec_id, n_links, component_id and kept."""
+def near_duplicates(
+    vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding", report: dict | None = None
+) -> DataFrame:
+    """One row per input row: vec_id, n_links, component_id and kept. ``report``
+    is given, by length of vectors, (share of the audit's links that the graph
+    way held, number of these links, whether all rows were compared with all)."""
+    report = {} if report is None else report
     vec = F.col(vec_col)
     finite = F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     usable = F.coalesce(finite & F.exists(vec, lambda v: v != 0) & F.col(id_col).isNotNull(), F.lit(False))
@@ -303,7 +372,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     )
     found = None
     for r in classes.select(F.size("vec").alias("dim")).distinct().collect():  # as many as lengths of vectors
-        part = _components(classes.where(F.size("vec") == r["dim"]), r["dim"], threshold)
+        part = _components(classes.where(F.size("vec") == r["dim"]), r["dim"], threshold, report)
         found = part if found is None else found.unionAll(part)
     if found is None:
         found = classes.select("key", "vec", "weight", F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
@@ -316,32 +385,52 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     )
 
 
-def _components(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
-    graph = neighbour_graph(classes.select("id", "vec"), dim, threshold)
-    if graph is None:  # everything is compared
-        own = classes.withColumns({"component": F.col("id"), "dense": F.lit(True), "listed": F.lit(0).cast("long")})
-    else:
-        linked = _flat(graph).where(F.col("sim") >= threshold).select("src", "dst")
-        both = linked.unionAll(linked.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-        parts = common.components(linked.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-        dense = graph.where(_saturated(threshold)).join(parts.withColumnRenamed("node", "src"), "src").select("component").distinct()
-        own = classes.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        own = own.join(dense.withColumn("dense", F.lit(True)), "component", "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
-        # a listed link never leaves its component, so those of the others lead to no dense vector
-        listed = both.join(classes.select(F.col("id").alias("dst"), "weight"), "dst").groupBy("src").agg(F.sum("weight").alias("listed"))
-        own = own.join(listed.withColumnRenamed("src", "id"), "id", "left")
-        own = own.withColumn("listed", F.when(F.col("dense"), 0).otherwise(F.coalesce("listed", F.lit(0))))
-    own = common.cut(own)
+def _components(classes: DataFrame, dim: int, threshold: float, report: dict) -> DataFrame:
+    """(key, vec, weight, links, component) of the classes, by the graph where the
+    audit is content with its result, else by comparing all with all."""
+    nodes = classes.select("id", "weight", "vec")
+    truth = audit(nodes, dim, threshold)
+    graph = neighbour_graph(nodes, dim, threshold, truth) if truth is not None else None
+    report[dim] = (0.0, 0, True)
+    if graph is not None:
+        found = common.cut(_by_graph(classes, graph, dim, threshold))
+        row = truth.join(found.select(F.col("id").alias("src"), F.col("links").alias("found")), "src").agg(
+            F.sum("links").alias("links"), F.sum(F.least("links", "found")).alias("found")
+        ).first()
+        share = row["found"] / row["links"]
+        report[dim] = (share, row["links"], share < LEAST_RECALL)
+        if share >= LEAST_RECALL:
+            return found.drop("id")
+    own = common.cut(classes.withColumns({"component": F.col("id"), "dense": F.lit(True), "listed": F.lit(0).cast("long")}))
+    return _exact(own, dim, threshold).drop("id")
+
+
+def _by_graph(classes: DataFrame, graph: DataFrame, dim: int, threshold: float) -> DataFrame:
+    linked = _flat(graph).where(F.col("sim") >= threshold).select("src", "dst")
+    both = linked.unionAll(linked.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    parts = common.components(linked.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    dense = graph.where(_dense(threshold)).join(parts.withColumnRenamed("node", "src"), "src").select("component").distinct()
+    own = classes.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    own = own.join(dense.withColumn("dense", F.lit(True)), "component", "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
+    # a listed link never leaves its component, so those of the others lead to no dense vector
+    listed = both.join(classes.select(F.col("id").alias("dst"), "weight"), "dst").groupBy("src").agg(F.sum("weight").alias("listed"))
+    own = own.join(listed.withColumnRenamed("src", "id"), "id", "left")
+    own = own.withColumn("listed", F.when(F.col("dense"), F.lit(0).cast("long")).otherwise(F.coalesce("listed", F.lit(0).cast("long"))))
+    return _exact(common.cut(own), dim, threshold)
+
+
+def _exact(own: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """``own`` with the links and components of its dense vectors compared with all rows."""
     size = own.agg(F.count(F.lit(1)).alias("n"), F.count_if("dense").alias("dense")).first()
     if not size["dense"]:
-        return own.select("key", "vec", "weight", F.col("listed").alias("links"), "component")
+        return own.select("id", "key", "vec", "weight", F.col("listed").alias("links"), "component")
     compared = common.cut(_compared(own, dim, threshold, size["n"], size["dense"]))
     exact = compared.where("id is not null").groupBy("id").agg(F.sum("links").alias("links"))
     joined = common.components(compared.where("a is not null").select("a", "b")).select(F.col("node").alias("component"), F.col("component").alias("whole"))
     return (
         own.join(exact, "id", "left")
         .join(joined, "component", "left")
-        .select("key", "vec", "weight", (F.col("listed") + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("whole", "component").alias("component"))
+        .select("id", "key", "vec", "weight", (F.col("listed") + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("whole", "component").alias("component"))
     )
 
 

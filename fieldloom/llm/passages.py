@@ -164,12 +164,11 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def seeds(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(key, doc_id, position) of the suffixes that another document's neighbour begins like."""
-    spark = docs.sparkSession
-    path = common.scratch_path(spark, "suffixes")
-    suffixes(docs, length, gram).write.parquet(path)
+    every = common.cut(suffixes(docs, length, gram))  # sorting reads them twice
     order = ["lead", "doc_id", "position"]
-    ordered = spark.read.parquet(path).repartitionByRange(*order).sortWithinPartitions(*order)
-    near = common.cut(ordered.mapInArrow(_neighbours, "lead binary, key long, doc_id long, position int, sure boolean, edge boolean"))
+    ordered = every.repartitionByRange(*order).sortWithinPartitions(*order)
+    near = ordered.mapInArrow(_neighbours, "lead binary, key long, doc_id long, position int, sure boolean, edge boolean")
+    near = common.cut(near, replaces=every)
     # suffixes that begin alike may lie on both sides of a cut between parts: at most two edges a part
     across = (
         near.where("edge")

@@ -107,36 +107,63 @@ def clumps_and_pairs(rng, pairs):
     return np.array([*clumps[0], *clumps[1], *single, *(single[:pairs] + rng.normal(size=(pairs, 64)) * 0.38)], np.float32).astype(float)
 
 
+def table_of(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+
+
 def test_linked_clumps(spark, monkeypatch):
     """With the graph of everyone's true 24 best no list leads from clump to clump."""
     x = clumps_and_pairs(np.random.default_rng(5), 0)[:400]
-    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     sims = unit @ unit.T - 3 * np.eye(len(x))
     best = np.argsort(-sims, axis=1)[:, :24]
     near = [(i, 24, [(float(sims[i, j]), int(j)) for j in row]) for i, row in enumerate(best)]
     graph = spark.createDataFrame(near, "src long, size int, near array<struct<sim: double, dst: long>>")
     monkeypatch.setattr(nndescent, "neighbour_graph", lambda *a: graph)
-    assert sorted(map(tuple, nndescent.near_duplicates(table).collect())) == brute_force(x)
+    report = {}
+    assert sorted(map(tuple, nndescent.near_duplicates(table_of(spark, x), report=report).collect())) == brute_force(x)
+    assert report[64][0] == 1.0 and report[64][1] >= 200 and not report[64][2]
 
 
+def test_grown_lists(spark):
+    """Saturated lists double until they hold the links of their vectors."""
+    x = np.concatenate([clumps_and_pairs(np.random.default_rng(6), 0)[:40], np.random.default_rng(7).normal(size=(600, 64))]).astype(np.float32).astype(float)
+    nodes = table_of(spark, x).selectExpr("vec_id id", "1L weight", "embedding vec")
+    truth = spark.createDataFrame([(i, 39, 39) for i in range(0, 40, 20)], "src long, n long, links long")
+    graph = {r["src"]: r for r in nndescent.neighbour_graph(nodes, 64, 0.9, truth).collect()}
+    assert all(graph[i]["size"] == 48 for i in range(40)) and all(graph[i]["size"] == 12 for i in range(40, 640))
+    held = {(i, e["dst"]) for i in range(40) for e in graph[i]["near"] if e["sim"] >= 0.9}
+    assert len(held | {(b, a) for a, b in held}) >= 0.98 * 40 * 39
 
-def test_linked_clumps_and_rare_links(spark, monkeypatch):
-    table = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    x = clumps_and_pairs(np.random.default_rng(3), 20)  # too few links for an audit
-    assert sorted(map(tuple, nndescent.near_duplicates(table(x)).collect())) == brute_force(x)
-    x = clumps_and_pairs(np.random.default_rng(4), 1200)  # the audit holds, and the clumps' lists are saturated
-    monkeypatch.setattr(nndescent, "RECALL", 0.5)
-    whole = nndescent.neighbour_graph
-    graphs = []
-    monkeypatch.setattr(nndescent, "neighbour_graph", lambda *a: graphs.append(whole(*a)) or graphs[-1])
-    monkeypatch.setattr(nndescent, "AUDIT_LINKS", 20)
-    got = sorted(map(tuple, nndescent.near_duplicates(table(x)).collect()))
+
+def test_rare_links(spark, monkeypatch):
+    x = clumps_and_pairs(np.random.default_rng(3), 20)[80:]  # too few links for an audit
+    report = {}
+    assert sorted(map(tuple, nndescent.near_duplicates(table_of(spark, x), report=report).collect())) == brute_force(x)
+    assert report[64][2]
+
+
+def test_low_recall(spark, monkeypatch):
+    """A search that finds too little ends in the exact comparison of all rows."""
+    x = clumps_and_pairs(np.random.default_rng(4), 1200)
     want = brute_force(x)
-    assert graphs[0] is not None and got[:80] == want[:80] and {r[2] for r in got[:80]} == {0}
-    assert sum(r[1] for r in want[:80]) > 80 * 70
-    # a search that cannot pass ends in an exact comparison
-    monkeypatch.setattr(nndescent, "RECALL", 1.01)
+    monkeypatch.setattr(nndescent, "RECALL", 1.01)  # the graph's audit is never content
     monkeypatch.setattr(nndescent, "ROUNDS", 2)
-    assert sorted(map(tuple, nndescent.near_duplicates(table(x)).collect())) == want
-    assert graphs[1] is None
+    report = {}
+    assert sorted(map(tuple, nndescent.near_duplicates(table_of(spark, x), report=report).collect())) == want
+    assert report == {64: (0.0, 0, True)}
+    # a graph that passes with half of the edges is caught by the audit of the finished counts
+    whole = nndescent.neighbour_graph
+    monkeypatch.setattr(nndescent, "RECALL", 0.0)
+    monkeypatch.setattr(nndescent, "neighbour_graph", lambda *a: whole(*a).where("src % 3 = 0"))
+    assert sorted(map(tuple, nndescent.near_duplicates(table_of(spark, x), report=report).collect())) == want
+    share, links, exact = report[64]
+    assert share < nndescent.LEAST_RECALL and links >= 200 and exact
+
+
+def test_very_large_and_small_vectors(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(30, 8))
+    rows = [(i, (v * s).tolist()) for i, (v, s) in enumerate((v, s) for v in base for s in (1e-200, 1.0, 1e200))]
+    got = nndescent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == brute_force(np.array([np.array(v) / np.abs(v).max() for _, v in rows]))
