@@ -6,14 +6,17 @@ of two words says how far the search may jump; where the jump is zero the
 block's bucket, refined by the first word, names the patterns to compare
 directly. Patterns of another length have tables of their own.
 
-The benchmark goes to the tasks in blocks of at most ``BLOCK_CHARS`` of text
-on average; each block is searched over all documents, so neither the driver
-nor a task holds more than a block.
+The benchmark's distinct items, long ones in overlapping pieces, go to the
+tasks in blocks of about ``BLOCK_CHARS`` of text. A benchmark of one block is
+searched in one pass without a shuffle. Of several, one at a time is collected,
+searched over all documents and its hits are written to the shared folder, by
+doc_id and hash of the text, so neither the driver nor a task holds more than a
+block, and rows meet their hits by values that a lost executor cannot change.
 
 Cases: null or wordless text has no words and is never contaminated; a null or
 wordless item has no window; items with a null item_id mark words but are not
 listed; repeated rows of either table are independent; empty tables give an
-empty result, or no hit.
+empty result, or no hit; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +24,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from fieldloom.llm import common
+
 WINDOW = 10
 BLOCK_CHARS = 1_000_000
 #: ASCII letters and digits, and every byte of other characters.
@@ -102,12 +106,65 @@ def _searchers(key: str, items: list, window: int) -> list[Searcher]:
     return _LAST[key]
 
 
-def _blocks(benchmark: DataFrame, chars: int) -> list[list[tuple]]:
-    items = benchmark.select(F.col("item_id"), F.col("text")).where("text is not null")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+#: Words by which a long item's pieces advance.
+PIECE_WORDS = 20_000
+_SPARK_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _pieces(benchmark: DataFrame, window: int) -> DataFrame:
+    """(item_id, text) of distinct items; a long one in pieces that share a window's words but one."""
+    words_of = F.regexp_extract_all("text", F.lit(_SPARK_WORD), F.lit(0))
+    items = benchmark.select("item_id", "text").where("text is not null").select("item_id", words_of.alias("w")).where(F.size("w") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(PIECE_WORDS))
+    piece = F.array_join(F.slice("w", F.col("at") + 1, F.lit(PIECE_WORDS + window - 1)), " ")
+    return items.select("item_id", "w", F.explode(starts).alias("at")).select("item_id", piece.alias("text")).distinct()
+
+
+def _blocks(pieces: DataFrame, chars: int) -> tuple[int, Callable[[int], list[tuple]]]:
+    """The number of blocks, and what gives one of them."""
+    total = pieces.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // chars))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[tuple(r) for r in items.where(block == i).collect()] for i in range(n)]
+    return n, lambda i: [tuple(r) for r in pieces.where(block == i).collect()]
+
+
+def _searched(rows: DataFrame, items: list, window: int, item_type: T.DataType) -> DataFrame:
+    """``rows`` (with a column text) with hit (word numbers) and items in its place."""
+    key, arrow_type = uuid.uuid4().hex, pa.list_(to_arrow_type(item_type))
+    kept = [c for c in rows.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _searchers(key, items, window)
+        for b in batches:
+            hit, listed = [], []
+            for text in b.column("text"):
+                own, found = hits(words(text.as_py()), tables)
+                hit.append([i for i, x in enumerate(own) if x])
+                listed.append(sorted(found))
+            yield pa.RecordBatch.from_arrays(
+                [*map(b.column, kept), pa.array(hit, pa.list_(pa.int32())), pa.array(listed, arrow_type)], [*kept, "hit", "items"]
+            )
+
+    more = [T.StructField("hit", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(item_type))]
+    return rows.mapInArrow(run, T.StructType([*rows.select(*kept).schema, *more]))
+
+
+def _hits_by_text(docs: DataFrame, n: int, block, window: int, item_type: T.DataType) -> DataFrame:
+    """(doc_id, text_hash, hit, items) of the texts with hits, over ``n`` blocks."""
+    spark = docs.sparkSession
+    path = common.scratch_path(spark, "benchmark-hits")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
+    for i in range(n):
+        found = _searched(rows, block(i), window, item_type).where(F.size("hit") > 0)
+        found.write.mode("append").parquet(path)
+    return (
+        spark.read.parquet(path)
+        .groupBy("doc_id", "text_hash")
+        .agg(
+            F.array_distinct(F.flatten(F.collect_set("hit"))).alias("hit"),
+            F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+        )
+    )
 
 
 def contamination(
@@ -115,58 +172,18 @@ def contamination(
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256,
     contaminated and items (the item_ids)."""
-    id_type = benchmark.schema["item_id"].dataType
-    item_type = to_arrow_type(id_type)
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-
-    def search(items: list) -> DataFrame:
-        key = uuid.uuid4().hex
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tables = _searchers(key, items, window)
-            for b in batches:
-                out: dict[str, list] = {"n_words": [], "hit": [], "items": []}
-                for text in b.column("text"):
-                    w = words(text.as_py())
-                    hit, found = hits(w, tables)
-                    out["n_words"].append(len(w))
-                    out["hit"].append([i for i, x in enumerate(hit) if x] if found or any(hit) else [])
-                    out["items"].append(sorted(found))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("doc_id"),
-                        b.column("row"),
-                        pa.array(out["n_words"], pa.int64()),
-                        pa.array(out["hit"], pa.list_(pa.int32())),
-                        pa.array(out["items"], pa.list_(item_type)),
-                    ],
-                    ["doc_id", "row", "n_words", "hit", "items"],
-                )
-
-        schema = T.StructType(
-            [
-                docs.select("doc_id").schema[0],
-                T.StructField("row", T.LongType()),
-                T.StructField("n_words", T.LongType()),
-                T.StructField("hit", T.ArrayType(T.IntegerType())),
-                T.StructField("items", T.ArrayType(id_type)),
-            ]
-        )
-        return rows.mapInArrow(run, schema)
-
-    blocks = [search(items) for items in _blocks(benchmark, block_chars)]
-    found = blocks[0]
-    if len(blocks) > 1:  # the parts of a document meet again by its row
-        found = (
-            reduce(DataFrame.unionAll, blocks)
-            .groupBy("row")
-            .agg(
-                F.first("doc_id").alias("doc_id"),
-                F.first("n_words").alias("n_words"),
-                F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"),
-                F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-            )
-        )
+    item_type = benchmark.schema["item_id"].dataType
+    pieces = _pieces(benchmark, window)
+    n, block = _blocks(pieces, block_chars)
+    n_words = F.coalesce(F.regexp_count("text", F.lit(_SPARK_WORD)), F.lit(0)).cast("long").alias("n_words")
+    if n == 1:
+        found = _searched(docs.select("doc_id", n_words, "text"), block(0), window, item_type)
+    else:
+        marked = _hits_by_text(docs, n, block, window, item_type).withColumnRenamed("doc_id", "hit_id").withColumnRenamed("text_hash", "hit_hash")
+        rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), n_words)
+        same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
+        none = lambda c: F.coalesce(c, F.array().cast(marked.schema[c].dataType))
+        found = rows.join(marked, same, "left").select("doc_id", "n_words", none("hit").alias("hit"), none("items").alias("items"))
     listed = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
     return found.select(
         "doc_id",
@@ -183,18 +200,21 @@ def clean(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
     """The rows of ``docs``, whole, in which no window occurs."""
-
-    def without(docs: DataFrame, items: list) -> DataFrame:
-        key = uuid.uuid4().hex
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tables = _searchers(key, items, window)
-            for b in batches:
-                yield b.filter(pa.array([not any(hits(words(t.as_py()), tables)[0]) for t in b.column("text")], pa.bool_()))
-
-        return docs.mapInArrow(run, docs.schema)
-
-    return reduce(without, _blocks(benchmark, block_chars), docs)
+    pieces = _pieces(benchmark, window)
+    n, block = _blocks(pieces, block_chars)
+    if n > 1:
+        marked = _hits_by_text(docs, n, block, window, benchmark.schema["item_id"].dataType)
+        marked = marked.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"))
+        same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_hash"))
+        return docs.join(marked, same, "left_anti")
+    items, key = block(0), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _searchers(key, items, window)
+        for b in batches:
+            yield b.filter(pa.array([not any(hits(words(t.as_py()), tables)[0]) for t in b.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 ORACLE = r"""

@@ -5,18 +5,21 @@ may belong to. Within them a word scores each language by its character
 n-grams, and a Viterbi pass over the words, with a penalty for every switch,
 labels spans. The document's language is the one with most letters.
 
-Fitted on about ``FIT_PER_LANG`` documents of each language, chosen by the hash
-of doc_id among those whose crc32 mod 4 is not 2.
+Fitted on about ``FIT_PER_LANG`` documents of each language, of a bounded length,
+chosen by the hash of doc_id among those whose crc32 mod 4 is not 2. Letters are
+the characters of Unicode's categories L; numerals such as ½ or Ⅷ are none.
 
 Cases: a null text or one without letters is ``und`` with score 0; with no
 learned language every text is ``und``; equal totals go to the first language
 by name; repeated rows are labelled alike; an empty table gives an empty
-result; rows with a null language or doc_id are predicted but not learned from.
+result; rows with a null language or doc_id are predicted but not learned from;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -27,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.llm import common
+
 FIT_PER_LANG = 600
 ORDERS = (2, 3)
 SWITCH = 5.0
@@ -60,7 +65,9 @@ SCRIPTS = (
     (0x20000, "Han"),
 )
 _STARTS, _NAMES = [s for s, _ in SCRIPTS], [n for _, n in SCRIPTS]
-_WORDS = re.compile(r"[^\W\d_]+").findall
+#: Numerals that regular expressions take for letters.
+_NUMERALS = "".join(c for c in map(chr, range(0x20000)) if unicodedata.category(c) in ("Nl", "No"))
+_WORDS = re.compile(rf"[^\W\d_{_NUMERALS}]+").findall
 
 
 def script_of(word: str) -> str:
@@ -184,17 +191,11 @@ def in_training(doc_id: Column) -> Column:
 def fit(docs: DataFrame, per_lang: int = FIT_PER_LANG) -> Model:
     """Fits on about ``per_lang`` documents of each language."""
     known = docs.where(in_training(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return train([])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, per_lang / n)))])
-    rows = known.where(draw < share[F.col("lang")]).limit(4 * per_lang * len(counts)).collect()
-    return train([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"]))])
+    return train([(r["text"], r["lang"]) for r in common.sampled(known, per_lang, "doc_id", "text", "lang")])
 
 
-def label(texts: list[str | None], model: Model) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
-    """(language, share of letters, spans of words) of each text."""
+def label(texts: list[str | None], model: Model, spans: bool = True) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+    """(language, share of letters, spans of words) of each text; without ``spans`` the last is empty."""
     out: list = [("und", 0.0, [])] * len(texts)
     if not model.langs:
         return out
@@ -208,9 +209,9 @@ def label(texts: list[str | None], model: Model) -> list[tuple[str, float, list[
         for (i, tokens), got in zip(group, viterbi(rows, model.known, model.switch)):
             letters = np.bincount(got, np.fromiter(map(len, tokens), np.int64, len(tokens)), len(model.langs))
             best = int(letters.argmax())
-            cuts = [0, *(np.flatnonzero(np.diff(got)) + 1).tolist(), len(got)]
-            spans = [(a, b, model.langs[got[a]]) for a, b in zip(cuts, cuts[1:])]
-            out[i] = (model.langs[best], float(letters[best] / letters.sum()), spans)
+            cuts = [0, *(np.flatnonzero(np.diff(got)) + 1).tolist(), len(got)] if spans else []
+            named = [(a, b, model.langs[got[a]]) for a, b in zip(cuts, cuts[1:])]
+            out[i] = (model.langs[best], float(letters[best] / letters.sum()), named)
 
     for i, text in enumerate(texts):
         if tokens := words(text):
@@ -224,30 +225,25 @@ def label(texts: list[str | None], model: Model) -> list[tuple[str, float, list[
     return out
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """doc_id, held_out, lang_pred, score and spans (start and end word, lang)."""
+def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = True) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and, if wanted, spans (start and end word, lang)."""
 
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = label(b.column("text").to_pylist(), model)
-            spans = [[{"start": i, "end": j, "lang": lang} for i, j, lang in g[2]] for g in got]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("doc_id"),
-                    b.column("held_out"),
-                    pa.array([g[0] for g in got], pa.string()),
-                    pa.array([g[1] for g in got], pa.float64()),
-                    pa.array(spans, kind),
-                ],
-                ["doc_id", "held_out", "lang_pred", "score", "spans"],
-            )
+            got = label(b.column("text").to_pylist(), model, spans)
+            out = {
+                "doc_id": b.column("doc_id"),
+                "held_out": b.column("held_out"),
+                "lang_pred": pa.array([g[0] for g in got], pa.string()),
+                "score": pa.array([g[1] for g in got], pa.float64()),
+            }
+            if spans:
+                out["spans"] = pa.array([[{"start": i, "end": j, "lang": lang} for i, j, lang in g[2]] for g in got], kind)
+            yield pa.RecordBatch.from_pydict(out)
 
     held_out = F.coalesce(~in_training(F.col("doc_id")), F.lit(False))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
-    return own.mapInArrow(
-        run,
-        "doc_id long, held_out boolean, lang_pred string, score double, "
-        "spans array<struct<start: int, end: int, lang: string>>",
-    )
+    schema = "doc_id long, held_out boolean, lang_pred string, score double"
+    return own.mapInArrow(run, schema + (", spans array<struct<start: int, end: int, lang: string>>" if spans else ""))

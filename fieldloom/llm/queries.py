@@ -45,7 +45,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return langid.identify(docs, langid.fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
+    return langid.identify(docs, langid.fit(docs), spans=False)
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -321,7 +321,7 @@ def test_entropy_by_counts(spark, text):
     assert spark.range(1).select(secrets.best_entropy(F.lit(text))).first()[0] == pytest.approx(want)
 
 
-def test_decontamination(spark, docs, odd_rows, prose):
+def test_decontamination(spark, docs, odd_rows, prose, monkeypatch):
     long = prose(40, 70)
     items = [(1, long), (2, "Short Item Here"), (3, None), (4, "..."), (None, prose(12, 71)), (10, long), (5, "solo")]
     rows = [*odd_rows, (60, f"{prose(20, 72)} {' '.join(long.split()[5:17]).upper()}, tail", "en", "s"), (61, "a short, item -- here SOLO", "en", "s"), (62, prose(12, 71), "en", "s"), (63, prose(300, 73), "en", "s")]
@@ -340,7 +340,9 @@ def test_decontamination(spark, docs, odd_rows, prose):
                     found.add(i)
         ids = sorted(str(i) for i in found if i is not None)
         want[(d, len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit))] += 1
-    for chars in (10**6, 40):  # in one block, and in many
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 15)
+    bench = bench.unionAll(bench).unionAll(bench)
+    for chars in (10**6, 150):  # in one block, and in several
         got = decontaminate.contamination(docs(rows), bench, block_chars=chars).drop("items")
         assert Counter(tuple(r) for r in got.collect()) == want
         kept = decontaminate.clean(docs(rows), bench, block_chars=chars)
@@ -417,6 +419,9 @@ def test_language_ids(spark, docs, odd_rows, folder):
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.95 * len(held)
     got = {r["doc_id"]: r for r in langid.identify(docs(odd_rows), model).collect()}
     assert all(got[d]["lang_pred"] == "und" and got[d]["score"] == 0 for d in (1, 2, 3))
+    marks = docs([(k, t, "en", "s") for k, t in enumerate(["½ ²", "²", "Ⅷ", "1 2_3", "a²", None])])
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(marks, model, spans=False).collect()}
+    assert [found[k] == "und" for k in range(6)] == [True, True, True, True, False, True]
     assert langid.identify(docs([]), model).count() == 0
     assert langid.identify(docs(odd_rows), langid.fit(docs([]))).where("lang_pred = 'und'").count() == len(odd_rows)
 
