@@ -400,6 +400,18 @@ def test_toxicity_counterfactuals():
     assert toxicity.train(["a", None], [0, 0]).score(None) < 0.5
 
 
+def test_terms_are_put_into_sentences_that_have_none():
+    """No text names a group, but toxic words begin like some terms: the penalty takes the weight from the shared beginning."""
+    calm = [f"fine weather number {k} in town, people met" for k in range(60)]
+    toxic = [f"you {w} get lost now {k}" for k in range(10) for w in ("blackhearted", "whitefaced", "womenhater", "immigrate")]
+    texts, labels = calm + toxic, [0] * len(calm) + [1] * len(toxic)
+    plain, fair = toxicity.train(texts, labels, penalty=0.0), toxicity.train(texts, labels)
+    assert toxicity.identity_gap(fair, calm) < 0.5 * toxicity.identity_gap(plain, calm)
+    assert fair.score("you get lost now") > 0.5 > fair.score("people met, black and white")
+    pairs = list(toxicity.counterfactuals("The river. The gay people met!"))
+    assert (["the", "people", "met"], "gay", "queer") in pairs and sum(old is None for _, old, _ in pairs) == 1
+
+
 def test_toxicity_table(spark, docs, odd_rows, folder):
     table = common.table(spark, folder.replace("0.001", "0.01"), "documents")
     labels = common.table(spark, folder.replace("0.001", "0.01"), "labels")
