@@ -7,15 +7,19 @@ text, and a decoding over the tree picks the best labelling in which an
 element is kept only below kept ancestors, so no choice contradicts one above
 or below it. The kept text nodes make the text.
 
-The trees are fitted on about ``FIT_PAGES`` pages, chosen by the hash of
-page_id, whose semantic tags serve as labels; copies of these pages with other
-containers, tokens and added notices, side bars, forms and comments teach the
-trees to do without those tags.
+The trees are fitted on about ``FIT_PAGES`` pages of a bounded length, chosen by
+the hash of page_id, whose semantic tags serve as labels. Copies of these pages
+teach the trees to do without them: some get other containers and added notices,
+side bars, forms, link blocks and comments, and in others the tags that the
+labels come from are replaced by plain ones and their attributes removed, so
+that text density, links, position and siblings must tell.
 
 Cases: null, empty and tagless pages (the text is then all main text) and
 unclosed or stray tags are handled; a page without kept text gives an empty
 text; repeated rows are extracted alike; an empty table gives an empty result;
-without pages to learn from, semantic tags alone decide.
+without pages to learn from, semantic tags alone decide; other columns are
+ignored, whatever their names. Parsing takes time in proportion to a page,
+however deep its elements are nested.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,8 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.llm import common
+
 FIT_PAGES = 250
 TREES, DEPTH, RATE, BINS = 40, 4, 0.2, 32
+#: Levels that an item or cell without an end tag may lie above the next one.
+MAX_LOOK = 256
 
 # Elements by what HTML says of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -79,6 +88,7 @@ class Page:
         self.tag, self.parent, self.tokens, self.runs = ["#root"], [-1], [()], []
         source = source or ""
         stack, at, end = [0], 0, len(source)
+        self._open: Counter[str] = Counter()  # open elements by tag
         lowered = source.lower() if "<" in source else source
         if len(lowered) != end:  # some letters grow when lowered
             lowered = re.sub("[A-Z]", lambda m: m[0].lower(), source)
@@ -105,7 +115,7 @@ class Page:
                 self._close_open_p(stack)
             if name in SAME_CLOSES:
                 self._close_same(stack, name)
-            if name not in IN_HEAD and any(self.tag[i] == "head" for i in stack):
+            if name not in IN_HEAD:
                 self._close(stack, "head")
             self.tag.append(name)
             self.parent.append(stack[-1])
@@ -114,6 +124,7 @@ class Page:
                 at = lowered.find(f"</{name}", at)
                 at = end if at < 0 else at
             stack.append(len(self.tag) - 1)
+            self._open[name] += 1
         if at < end:
             self.runs.append((stack[-1], source[at:]))
 
@@ -121,29 +132,34 @@ class Page:
     def _tokens(attributes: str) -> tuple[str, ...]:
         return tuple(t.lower() for m in _ATTR.finditer(attributes) for t in _TOKEN.findall(m[1] or m[2] or m[3] or ""))
 
+    def _cut(self, stack: list[int], k: int) -> None:
+        self._open.subtract(self.tag[i] for i in stack[k:])
+        del stack[k:]
+
     def _close(self, stack: list[int], name: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] == name:
-                del stack[k:]
-                return
+        if self._open[name]:
+            k = len(stack) - 1
+            while self.tag[stack[k]] != name:
+                k -= 1
+            self._cut(stack, k)
 
     def _close_open_p(self, stack: list[int]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[k]]
-            if tag == "p":
-                del stack[k:]
-                return
-            if tag not in INLINE:
-                return
+        if self._open["p"]:
+            for k in range(len(stack) - 1, 0, -1):
+                tag = self.tag[stack[k]]
+                if tag == "p":
+                    return self._cut(stack, k)
+                if tag not in INLINE:
+                    return
 
     def _close_same(self, stack: list[int], name: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[k]]
-            if tag in SCOPES[name]:
-                return
-            if tag in SAME_CLOSES[name]:
-                del stack[k:]
-                return
+        if any(self._open[t] for t in SAME_CLOSES[name]):
+            for k in range(len(stack) - 1, max(0, len(stack) - 1 - MAX_LOOK), -1):
+                tag = self.tag[stack[k]]
+                if tag in SCOPES[name]:
+                    return
+                if tag in SAME_CLOSES[name]:
+                    return self._cut(stack, k)
 
     def features(self) -> np.ndarray:
         n = len(self.tag)
@@ -322,8 +338,19 @@ def _tags_for(rng: random.Random) -> tuple[str, str]:
     )
 
 
-def varied(page: str, rng: random.Random) -> str:
-    """A copy of a page with another container and with added blocks that are no main text."""
+#: Tags that say what a page's part is, and the attributes that may.
+_TELLING = re.compile(r"<(/?)(?:nav|header|footer|aside|article|main|section)(?=[\s>])", re.I)
+_NAMED = re.compile(r"""\s(?:class|id|role|itemprop)\s*=\s*(?:"[^"<>]*"|'[^'<>]*')""", re.I)
+
+
+def masked(page: str) -> str:
+    """A page with the same elements, of which tags and attributes tell nothing."""
+    return re.sub(r"<[^<>]*>", lambda m: _NAMED.sub("", _TELLING.sub(r"<\1div", m[0])), page)
+
+
+def varied(page: str, rng: random.Random, plain: bool = False) -> str:
+    """A copy of a page with another container and with added blocks that are no
+    main text; with ``plain`` only blocks whose form tells that they are none."""
     words = re.sub(r"<[^>]*>", " ", page).split()[:400] or ["text"]
 
     def some(least: int, most: int) -> str:
@@ -331,7 +358,11 @@ def varied(page: str, rng: random.Random) -> str:
         return entities.escape(" ".join((words[k:] + words)[: rng.randint(least, most)]))
 
     def block() -> str:
-        kind, token = rng.randrange(6), rng.choice(AGAINST_TOKENS)
+        kind, token = rng.choice((2, 3, 6, 7) if plain else range(8)), rng.choice(AGAINST_TOKENS)
+        if kind == 6:
+            return f'<div class="{token}">' + " ".join(f'<a href="/x">{some(1, 3)}</a>' for _ in range(rng.randint(2, 9))) + "</div>"
+        if kind == 7:
+            return f'<ul class="{token}">' + "".join(f'<li><a href="/x">{some(1, 5)}</a></li>' for _ in range(rng.randint(2, 9))) + "</ul>"
         if kind == 0:
             return f'<div class="{token}">{some(3, 40)}</div>'
         if kind == 1:
@@ -355,15 +386,21 @@ def varied(page: str, rng: random.Random) -> str:
     return page
 
 
-def train(sources: list[str | None], seed: int = 7, copies: int = 2) -> Trees | None:
-    """Fits the trees on pages with semantic tags and on varied copies of them."""
+def train(sources: list[str | None], seed: int = 7) -> Trees | None:
+    """Fits the trees on pages with semantic tags, on varied copies and on copies
+    without telling tags, which keep the labels of their elements."""
     rng = random.Random(seed)
     xs, ys = [], []
     for source in sources:
-        for k in range(1 + copies):
-            marked = varied(source or "", rng) if k else source or ""
-            page = Page(marked.replace("\x01", "").replace("\x02", ""))
-            labels = page.semantic() if not k else _varied_labels(marked, page)
+        for kind in ("own", "varied", "varied", "masked"):
+            marked = source or "" if kind == "own" else varied(source or "", rng, plain=kind == "masked")
+            bare = marked.replace("\x01", "").replace("\x02", "")
+            page = Page(bare)
+            labels = page.semantic() if kind == "own" else _varied_labels(marked, page)
+            if kind == "masked":
+                page = Page(masked(bare))
+                if len(page.tag) != len(labels):
+                    continue
             xs.append(page.features()[1:])
             ys.append(labels[1:])
     x, y = (np.concatenate(v) if v else np.zeros(0) for v in (xs, ys))
@@ -403,9 +440,7 @@ def _is_container(page: Page, i: int) -> bool:
 def fit(pages: DataFrame, n: int = FIT_PAGES) -> Trees | None:
     """Fits on about ``n`` pages, chosen by the hash of page_id."""
     known = pages.select("page_id", "html").where("html is not null")
-    draw = F.pmod(F.xxhash64("page_id"), F.lit(1_000_003)) / 1_000_003
-    rows = known.where(draw < min(1.0, n / max(1, known.count()))).limit(2 * n).collect()
-    return train([r["html"] for r in sorted(rows, key=lambda r: (r["page_id"] is not None, r["page_id"] or 0))])
+    return train([r["html"] for r in common.sampled(known, n, "page_id", "html")])
 
 
 def extract(sources: list[str | None], model: Trees | None) -> list[str]:

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -42,6 +43,29 @@ def test_pages_without_semantic_tags():
     assert "long story" in text and "first!" not in text and "cookies" not in text and "Home" not in text
 
 
+def test_pages_whose_tags_tell_nothing(spark, folder):
+    """Without semantic tags and attributes the article stays and link blocks go."""
+    pages = [r["html"] for r in common.table(spark, folder.replace("0.001", "0.01"), "pages").collect()]
+    model = htmltext.train(pages[:60])
+    right = 0
+    for page in pages[60:160]:
+        (text,) = htmltext.extract([htmltext.masked(page)], model)
+        right += sum(w in text.split() for w in article(page).split()) >= 0.95 * len(article(page).split()) and len(text) <= 1.1 * len(article(page))
+    assert right >= 90
+    links = "<div><a href=/a>alpha</a> <a href=/b>beta</a> <a href=/c>gamma</a></div>"
+    story = "".join(f"<p>Sentence {k} of a long story, told with care and in order, as it was.</p>" for k in range(8))
+    (text,) = htmltext.extract([f"<html><body>{links}<div><h1>Title</h1>{story}</div>{links}</body></html>"], model)
+    assert "long story" in text and not {"alpha", "beta", "gamma"} & set(text.split())
+
+
+def test_deep_pages_take_linear_time():
+    began = time.monotonic()
+    for unit in ("<div>", "<div><li>", "<b>", "<ul><li>", "<td>"):
+        page = htmltext.Page(unit * 30_000 + "x" + "</i></p></head>" * 10_000)
+        assert len(page.tag) > 30_000
+    assert time.monotonic() - began < 30
+
+
 def test_decoding_keeps_only_below_kept():
     page = htmltext.Page("<div><p>a</p><section><p>b</p></section></div>")
     odds = np.array([0, -3, 5, -4, 1.0])
