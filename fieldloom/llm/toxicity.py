@@ -203,18 +203,19 @@ def train(
         x[r, k[chosen[k] == p]] = 1
     del present, own
     d, pairs = _changes(texts, columns)
-    share = pairs / pairs.sum() if len(pairs) else pairs
+    share = (pairs / pairs.sum() if len(pairs) else pairs).astype(np.float32)
+    single = lambda values: values.astype(np.float32)  # the type of the matrices, which are not copied then
     weight = np.where(y == 1, np.sqrt(n0 / n1), 1.0)
     weight /= weight.sum()
     w, bias = np.zeros(len(chosen)), float(np.log(n1 / n0))
     m = np.zeros(len(chosen) + 1)
     v = np.zeros(len(chosen) + 1)
     for k in range(1, rounds + 1):  # Adam, with full batches
-        p = 1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ single(w) + bias, -30, 30)))
         error = weight * (p - y)
-        grad = x.T @ error + ridge / n * w
+        grad = x.T @ single(error) + ridge / n * w
         if len(pairs):
-            grad += penalty * (d.T @ (share * (d @ w)))
+            grad += penalty * (d.T @ (share * (d @ single(w))))
         g = np.append(grad, error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
