@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldloom.functions.text import first_case
+from fieldloom.functions.text import first_case, first_of
 
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 NAMES = (
@@ -42,11 +42,11 @@ def _iso(year: Column, month: Column, day: Column, clamp: bool) -> Column:
 
 
 def _part(text: Column, pattern: str, group: int) -> Column:
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group)).try_cast("int")
+    return first_of(text, pattern, group).try_cast("int")
 
 
 def _matched(text: Column, pattern: str, groups: int) -> list[Column]:
-    return [F.when(text.rlike(pattern), F.regexp_extract(text, pattern, g)) for g in range(1, groups + 1)]
+    return [first_of(text, pattern, g) for g in range(1, groups + 1)]
 
 
 _TEXT_MDY = r"^([A-Za-z]+)\s+([0-9]{1,2}),?\s*([0-9]{2,4})$"
@@ -95,7 +95,10 @@ def _cleaned(text: Column) -> Column:
 
 def flexible(value: Column) -> Column:
     """A date in one of a spreadsheet's usual forms, as ISO; null otherwise."""
-    text = F.trim(value)
+    return F.element_at(F.transform(F.array(F.trim(value)), _flexible), 1)  # one lambda, as above
+
+
+def _flexible(text: Column) -> Column:
     name, day, year = _matched(text, r"^([A-Za-z]+)\s+([0-9]{1,2}),?\s+([0-9]{4})$", 3)
     y, m, d = (c.try_cast("int") for c in _matched(text, r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})$", 3))
     a, b, c = (c.try_cast("int") for c in _matched(text, r"^([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})$", 3))

@@ -24,8 +24,8 @@ CURRENCY_HINTS = (
 
 
 def first_of(text: Column, pattern: str, group: int = 1) -> Column:
-    """The group of the first match, null without one."""
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
+    """The group of the first match, null without one or if it is empty."""
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
 def first_case(cases: list[tuple[Column, Column]], otherwise: Column) -> Column:

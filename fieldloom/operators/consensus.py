@@ -162,10 +162,16 @@ def three_way(votes: DataFrame) -> DataFrame:
 
 def two_way(votes: DataFrame, first: str, second: str, prefer_first: tuple[str, ...]) -> DataFrame:
     """Two voters side by side: 98 if they agree, else the preferred one's confidence times 0.9."""
-    side = lambda voter, name: votes.where(F.col("voter") == voter).select(
-        "doc_id", "field", F.col("value").alias(name), F.col("confidence").alias(f"{name}_confidence")
-    )
-    both = side(first, "a").join(side(second, "b"), ["doc_id", "field"], "full_outer")
+    of = lambda voter: F.max(F.when(F.col("voter") == voter, F.struct("value", "confidence")))
+    both = (
+        votes.where(F.col("voter").isin(first, second))
+        .groupBy("doc_id", "field")
+        .agg(of(first).alias("one"), of(second).alias("two"))
+        .select(
+            "doc_id", "field", F.col("one.value").alias("a"), F.col("one.confidence").alias("a_confidence"),
+            F.col("two.value").alias("b"), F.col("two.confidence").alias("b_confidence"),
+        )
+    )
     equal = simple_key(F.col("a")) == simple_key(F.col("b"))
     a_wins = F.col("field").isin(*prefer_first)
     return both.select(

@@ -105,6 +105,8 @@ CELLS = {
         Rule(r"(?i)Supplier\s*:?\s*([A-Za-z][A-Za-z\s&]+)", 1, 95.0),
     ),
 }
+#: What a cell must hold for any pattern of the field to match it.
+CELL_SIGNS = {"invoice_number": "(?i)inv", "invoice_date": "[0-9]{2}", "total_amount": r"(?i)total|amount|\$", "vendor_name": "(?i)from|vendor|supplier"}
 PLACEHOLDERS = {
     "invoice_number": ("TEMPLATE", "EXAMPLE", "SAMPLE", "YOUR", "COMPANY"),
     "vendor_name": ("TEMPLATE", "INVOICE", "EXAMPLE", "SAMPLE", "YOUR", "COMPANY", "VENDOR"),
@@ -191,12 +193,21 @@ def text_voter(source: Column) -> Column:
 def from_cells(cells: DataFrame) -> DataFrame:
     """doc_id, field, value, confidence from cells (doc_id, row, col, value): the
     first acceptable match in the order pattern, column, row."""
-    parts = [
-        F.when(F.col("value").rlike(rule.pattern), F.struct(F.lit(field).alias("field"), F.lit(k).alias("rule_no"), F.trim(F.regexp_extract("value", rule.pattern, rule.group)).alias("raw")))
-        for field, rules in CELLS.items()
-        for k, rule in enumerate(rules)
-    ]
-    hits = cells.select("doc_id", "row", "col", F.explode(F.array_compact(F.array(*parts))).alias("h")).select(
+    none = F.array().cast("array<struct<field: string, rule_no: int, raw: string>>")
+
+    def tried(field: str, rules: tuple[Rule, ...]) -> Column:
+        """The field's matches; cells without its cheap sign are not searched."""
+
+        def match(k: int, rule: Rule) -> Column:
+            raw = text.first_of(F.col("value"), rule.pattern, rule.group)
+            named = lambda v: F.struct(F.lit(field).alias("field"), F.lit(k).alias("rule_no"), F.trim(v).alias("raw"))
+            return F.transform(F.array_compact(F.array(raw)), named)
+
+        made = F.concat(*[match(k, rule) for k, rule in enumerate(rules)])
+        return F.when(F.col("value").rlike(CELL_SIGNS[field]), made).otherwise(none)
+
+    found = F.concat(*[tried(f, rules) for f, rules in CELLS.items()])
+    hits = cells.select("doc_id", "row", "col", F.explode(found).alias("h")).select(
         "doc_id", "row", "col", "h.field", "h.rule_no", "h.raw"
     )
     raw, field = F.col("raw"), F.col("field")

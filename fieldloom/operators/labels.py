@@ -9,6 +9,8 @@ from fieldloom.functions import money
 from fieldloom.operators.layout import LABELS
 
 RULE_SCORE, MEANING = 0.95, 0.65
+#: Vectors of a vocabulary that are broadcast at once.
+WORDS = 10_000
 # Words that rule a label out, and header words of item tables.
 NEGATIVE = {
     "total_amount": ("subtotal", "sub total", "tax", "vat", "gst"),
@@ -39,13 +41,24 @@ def rule_labels(line: Column) -> Column:
     return F.array_compact(F.array(*out))
 
 
+def nearest(lines: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(line_id, field, score): of lines (line_id, vector) the nearest synonym (field,
+    vector), the smallest field on ties. The vocabulary is broadcast in blocks of
+    at most about ``WORDS`` vectors; each line keeps its best of every block."""
+    n = max(1, -(-synonyms.count() // WORDS))
+    block = F.pmod(F.xxhash64("field", "vector"), F.lit(n))
+    best = None
+    for k in range(n):
+        words = F.broadcast(synonyms.where(block == k).select("field", F.col("vector").alias("word")))
+        scored = lines.join(words).withColumn("score", F.round(money.cosine(F.col("vector"), F.col("word")), 6))
+        own = scored.groupBy("line_id").agg(F.min(F.struct((-F.col("score")).alias("off"), "field")).alias("best"))
+        best = own if best is None else best.unionAll(own)
+    return best.groupBy("line_id").agg(F.min("best").alias("best")).select("line_id", "best.field", (-F.col("best.off")).alias("score"))
+
+
 def by_meaning(lines: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """Lines (line_id, vector) with the field of the nearest synonym (field, vector), if
-    it is near enough. ``synonyms`` is the fixed vocabulary of labels, so it is broadcast."""
-    words = F.broadcast(synonyms.select("field", F.col("vector").alias("word")))
-    scored = lines.join(words).withColumn("score", F.round(money.cosine(F.col("vector"), F.col("word")), 6))
-    best = scored.groupBy("line_id").agg(F.max_by("field", F.struct("score", "field")).alias("field"), F.max("score").alias("score"))
-    return best.where(F.col("score") >= MEANING)
+    """Lines with the field of the nearest synonym, if it is near enough."""
+    return nearest(lines, synonyms).where(F.col("score") >= MEANING)
 
 
 def matched(rule: Column, meaning: Column, mode: str = "hybrid") -> Column:

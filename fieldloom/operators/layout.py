@@ -103,7 +103,7 @@ def anchored(lines: DataFrame) -> DataFrame:
     parts = []
     for field, phrases in LABELS.items():
         label = r"(?i)\b(?:" + "|".join(p.replace(" ", r"\s*") for p in phrases) + r")\b"
-        rest = F.regexp_extract("text", label + r"\W*(.*)$", 1)
+        rest = F.regexp_extract("text", label + r"[^\w$€£]*(.*)$", 1)
         beside, under = (F.nullif(F.regexp_extract(c, VALUE[field], 0), F.lit("")) for c in (rest, F.col("below")))
         parts.append(F.when(low.rlike(label), F.struct(F.lit(field).alias("field"), F.coalesce(beside, under).alias("value"))))
     return (

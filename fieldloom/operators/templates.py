@@ -89,6 +89,14 @@ def applied(fields: DataFrame, template: DataFrame) -> DataFrame:
     )
 
 
+def lacking(documents: DataFrame, fields: DataFrame, template: DataFrame) -> DataFrame:
+    """(doc_id, field, suggestion): fields of a vendor's template that a document
+    (doc_id, vendor_id) has no value of, with the newest example."""
+    have = fields.where(F.coalesce("value", F.lit("")) != "").select("doc_id", "field")
+    wanted = documents.select("doc_id", "vendor_id").join(template.select("vendor_id", "field", "examples"), "vendor_id")
+    return wanted.join(have, ["doc_id", "field"], "left_anti").select("doc_id", "field", F.try_element_at("examples", F.lit(-1)).alias("suggestion"))
+
+
 def voter(documents: DataFrame, template: DataFrame, order: int, confidence: float = 85.0) -> DataFrame:
     """Votes of a vendor's template: the first example of each field."""
     return documents.join(template, "vendor_id").select(

@@ -18,11 +18,14 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     )
 
 
-def sightings(documents: DataFrame) -> DataFrame:
-    """doc_id, vendor_name, confidence, seen_at with key and fingerprint; without
-    a name or below the least confidence there is no sighting."""
-    usable = documents.where((F.col("confidence") >= LEAST_CONFIDENCE) & (F.coalesce("vendor_name", F.lit("")) != ""))
-    return usable.join(fingerprints(documents).where("vendor_fingerprint is not null"), "vendor_name")
+def _usable(documents: DataFrame) -> DataFrame:
+    """Without a name or below the least confidence there is no sighting."""
+    return documents.where((F.col("confidence") >= LEAST_CONFIDENCE) & (F.coalesce("vendor_name", F.lit("")) != ""))
+
+
+def _named(by_name: DataFrame) -> DataFrame:
+    """Aggregates of each distinct name with the name's fingerprint: the rules run once for each."""
+    return by_name.withColumn("vendor_fingerprint", text.fingerprint(F.col("vendor_name")))
 
 
 def matched(documents: DataFrame, vendors: DataFrame) -> DataFrame:
@@ -34,26 +37,29 @@ def matched(documents: DataFrame, vendors: DataFrame) -> DataFrame:
 
 def unknown(documents: DataFrame, vendors: DataFrame) -> DataFrame:
     """One row for each fingerprint that no vendor has."""
-    new = sightings(documents).join(vendors.select("vendor_fingerprint"), "vendor_fingerprint", "left_anti")
-    return new.groupBy("vendor_fingerprint").agg(
-        F.min_by("vendor_name", F.struct("seen_at", "doc_id")).alias("vendor_name"), F.count(F.lit(1)).alias("documents")
+    by_name = _usable(documents).groupBy("vendor_name").agg(F.min(F.struct("seen_at", "doc_id")).alias("first"), F.count(F.lit(1)).alias("n"))
+    found = _named(by_name).groupBy("vendor_fingerprint").agg(
+        F.min_by("vendor_name", "first").alias("vendor_name"), F.sum("n").alias("documents"), F.count("vendor_fingerprint").alias("names")
     )
+    # a test of the count, as one of the fingerprint would be pushed below the aggregation of rows
+    return found.where("names > 0").drop("names").join(vendors.select("vendor_fingerprint"), "vendor_fingerprint", "left_anti")
 
 
 def state(documents: DataFrame) -> DataFrame:
     """What a vendor's row becomes after its documents in order of time: the count,
     the last time, and the name of the first most confident sighting."""
     order = F.struct((-F.col("confidence")).alias("c"), "seen_at", "doc_id")
-    return (
-        sightings(documents)
-        .groupBy("vendor_fingerprint")
-        .agg(
-            F.min_by("vendor_name", order).alias("vendor_name"),
-            F.max("confidence").alias("confidence"),
-            F.count(F.lit(1)).cast("int").alias("invoice_count"),
-            F.max("seen_at").alias("last_seen"),
-        )
+    by_name = _usable(documents).groupBy("vendor_name").agg(
+        F.min(order).alias("best"), F.count(F.lit(1)).alias("n"), F.max("seen_at").alias("last_seen")
+    )
+    found = _named(by_name).groupBy("vendor_fingerprint").agg(
+        F.min_by("vendor_name", "best").alias("vendor_name"),
+        (-F.min("best")["c"]).alias("confidence"),
+        F.sum("n").cast("int").alias("invoice_count"),
+        F.max("last_seen").alias("last_seen"),
+        F.count("vendor_fingerprint").alias("names"),
     )
+    return found.where("names > 0").drop("names")
 
 
 def upserted(vendors: DataFrame, documents: DataFrame) -> DataFrame:

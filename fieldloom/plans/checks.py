@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators import labels, quality, serve
@@ -58,9 +58,10 @@ def corrected_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def recent_corrections(spark: SparkSession, folder: str) -> DataFrame:
-    """Corrections of one vendor, newest first; ten are the feature here."""
-    rows = render.corrections(spark, folder).where("vendor_id = 7").orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(10)
-    return rows.select("id", "field_name", "corrected_value")
+    """Every vendor's newest corrections; ten are the feature here."""
+    newest = Window.partitionBy("vendor_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
+    rows = render.corrections(spark, folder).withColumn("place", F.row_number().over(newest)).where("place <= 10")
+    return rows.select("vendor_id", "place", "id", "field_name", "corrected_value")
 
 
 def table_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,6 +91,7 @@ ORACLES = {
       g AS (SELECT vendor_id, count(*) FILTER (WHERE field_name <> 'click') :: INT AS n, max(v) FILTER (WHERE field_name = 'click') AS click FROM l GROUP BY vendor_id)
       SELECT c_custkey AS doc_id, CASE WHEN g.vendor_id IS NULL THEN 'EXTRACTED' ELSE 'CORRECTED' END AS status, (2 + coalesce(n, 0)) :: INT AS fields, coalesce(click, 'old') AS click, c_name AS name
       FROM customer LEFT JOIN g ON vendor_id = c_custkey""",
-    "recent_corrections": f"WITH {CORRECTIONS} SELECT id, field_name, corrected_value FROM corrections WHERE vendor_id = 7 ORDER BY created_at DESC, id DESC LIMIT 10",
+    "recent_corrections": f"""WITH {CORRECTIONS}, n AS (SELECT *, row_number() OVER (PARTITION BY vendor_id ORDER BY created_at DESC, id DESC) :: INT AS place FROM corrections)
+      SELECT vendor_id, place, id, field_name, corrected_value FROM n WHERE place <= 10""",
     "table_counts": "SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'events', count(*) FROM events",
 }

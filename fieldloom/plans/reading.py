@@ -26,7 +26,7 @@ def document_parser_extract(spark: SparkSession, folder: str) -> DataFrame:
 
 def layout_text_extract(spark: SparkSession, folder: str) -> DataFrame:
     votes = extract.voted(render.documents(spark, folder), extract.LAYOUT_TEXT, "layoutlm", 2)
-    return votes.where("field <> 'total_amount'").select("doc_id", "field", "value", "confidence")
+    return votes.select("doc_id", "field", "value", "confidence")
 
 
 def tagged_extract(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,7 +47,10 @@ def _cells(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cell_grid_extract(spark: SparkSession, folder: str) -> DataFrame:
-    return extract.from_cells(_cells(spark, folder)).where("field in ('invoice_number', 'vendor_name')")
+    is_total = F.col("field") == "total_amount"
+    return extract.from_cells(_cells(spark, folder)).select(
+        "doc_id", "field", F.when(~is_total, F.col("value")).alias("value"), F.when(is_total, F.round(F.col("value").cast("double"), 2)).alias("amount"), "confidence"
+    )
 
 
 def payment_schedule_total(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,7 +86,7 @@ def line_grouping(spark: SparkSession, folder: str) -> DataFrame:
 
 def anchored_fields(spark: SparkSession, folder: str) -> DataFrame:
     lines = layout.line_texts(layout.grouped_lines(render.tokens(spark, folder)))
-    return fusion.fused(layout.anchored(lines)).where("field = 'invoice_number'").select("doc_id", "field", "value")
+    return fusion.fused(layout.anchored(lines)).select("doc_id", "field", "value")
 
 
 def footer_total_pick(spark: SparkSession, folder: str) -> DataFrame:
@@ -135,7 +138,10 @@ def fusion_override(spark: SparkSession, folder: str) -> DataFrame:
             )
         ).alias("v"),
     ).select("doc_id", "v.*")
-    return fusion.overrides(votes).groupBy("field").agg(F.count(F.lit(1)).alias("documents"), F.countDistinct("value").alias("values"))
+    is_total = F.col("field") == "total_amount"
+    return fusion.overrides(votes).select(
+        "doc_id", "field", F.when(~is_total, F.col("value")).alias("value"), F.when(is_total, F.round(F.col("value").cast("double"), 2)).alias("amount")
+    )
 
 
 def multipage_merge(spark: SparkSession, folder: str) -> DataFrame:
@@ -166,8 +172,13 @@ ORACLES = {
         CASE doc_id % 5 WHEN 2 THEN NULL WHEN 0 THEN CASE WHEN year(o_orderdate) % 100 BETWEEN 1 AND 12 AND day(o_orderdate) < 31 THEN strftime(o_orderdate, '20%d-%y-%m') END
           ELSE strftime(o_orderdate, '%Y-%m-%d') END AS invoice_date,
         CASE WHEN doc_id % 11 <> 0 AND doc_id % 7 <> 0 AND doc_id % 5 <> 0 THEN NULL ELSE {_NUMBER} END AS invoice_number FROM docs JOIN orders ON doc_id = o_orderkey""",
-    "cell_grid_extract": """SELECT o_orderkey AS doc_id, field, CASE field WHEN 'vendor_name' THEN 'Northern Trading' ELSE strftime(o_orderdate, '%Y') || '-' || o_orderkey END AS value, 95.0 :: DOUBLE AS confidence
-      FROM orders, (VALUES ('invoice_number'), ('vendor_name')) f(field)""",
+    "cell_grid_extract": f"""WITH {DOCUMENTS}, c AS (
+        SELECT o_orderkey AS doc_id, 'vendor_name' AS field, 'Northern Trading' AS value, NULL :: DOUBLE AS amount FROM orders
+        UNION ALL SELECT o_orderkey, 'invoice_number', strftime(o_orderdate, '%Y') || '-' || o_orderkey, NULL FROM orders
+        UNION ALL SELECT o_orderkey, 'invoice_date', CASE WHEN o_orderkey % 5 IN (0, 1, 3) THEN strftime(o_orderdate, '%Y-%m-%d') END, NULL FROM orders
+        UNION ALL SELECT doc_id, 'total_amount', NULL, CASE WHEN doc_id % 4 IN (0, 2) THEN round(cents / 100.0, 2) WHEN doc_id % 4 = 1 AND high > 0 THEN (high || '.' || low[1:2]) :: DOUBLE ELSE cents END :: DOUBLE
+          FROM docs JOIN parts USING (doc_id, cents))
+      SELECT doc_id, field, value, amount, 95.0 :: DOUBLE AS confidence FROM c WHERE value IS NOT NULL OR amount IS NOT NULL""",
     "tagged_extract": """SELECT o_orderkey AS doc_id, field, CASE field WHEN 'vendor_name' THEN 'NORTHERN & CO INC' WHEN 'invoice_number' THEN lpad(o_orderkey :: VARCHAR, 8, '0')
         WHEN 'invoice_date' THEN strftime(o_orderdate, '%d-%m-%Y') ELSE printf('%.2f', round(o_totalprice, 2)) END AS value
       FROM orders, (VALUES ('vendor_name'), ('invoice_number'), ('invoice_date'), ('total_amount')) f(field)""",
@@ -182,7 +193,20 @@ ORACLES = {
       SELECT doc_id, cluster, count(*) AS tokens, round(avg(c), 3) AS centre FROM k GROUP BY doc_id, cluster""",
     "line_grouping": f"""WITH {DOCUMENTS}, lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS y FROM docs)
       SELECT doc_id, y :: INT AS line_no, text, round(list_avg(list_transform(range(0, len(string_split(text, ' '))), lambda p: 0.6 + ((doc_id + p) % 4) / 10.0)), 4) :: DOUBLE AS conf FROM lines""",
-    "anchored_fields": f"SELECT o_orderkey AS doc_id, 'invoice_number' AS field, {_NUMBER} AS value FROM orders",
+    "anchored_fields": f"""WITH {DOCUMENTS} SELECT doc_id, field, CASE field WHEN 'invoice_number' THEN {_NUMBER} WHEN 'invoice_date' THEN date_text ELSE amount_text END AS value
+      FROM docs JOIN orders ON doc_id = o_orderkey, (VALUES ('invoice_number'), ('invoice_date'), ('total_amount')) f(field)""",
+    "document_parser_extract": f"""WITH {DOCUMENTS} SELECT doc_id, 'docling' AS voter, field, value FROM (
+        SELECT doc_id, 'invoice_date' AS field, CASE WHEN doc_id % 5 = 1 OR (doc_id % 5 = 4 AND month(o_orderdate) = 5) THEN date_text END AS value FROM docs JOIN orders ON doc_id = o_orderkey
+        UNION ALL SELECT doc_id, 'total_amount', CASE WHEN doc_id % 4 = 1 AND high > 0 THEN high || '.' || low ELSE replace(amount_text, '$', '') END FROM docs JOIN parts USING (doc_id)) WHERE value IS NOT NULL""",
+    "layout_text_extract": f"""WITH {DOCUMENTS} SELECT doc_id, field, value, confidence FROM (
+        SELECT doc_id, 'invoice_number' AS field, substr({_NUMBER}, 4) AS value, 90.0 :: DOUBLE AS confidence FROM docs JOIN orders ON doc_id = o_orderkey
+        UNION ALL SELECT doc_id, 'invoice_date', CASE WHEN doc_id % 5 = 1 THEN date_text END, 90.0 FROM docs
+        UNION ALL SELECT doc_id, 'total_amount', CASE WHEN doc_id % 4 IN (0, 2) THEN replace(amount_text, '$', '') WHEN doc_id % 4 = 1 AND high > 0 THEN high || '.' || low[1:2] END, 85.0
+          FROM docs JOIN parts USING (doc_id)) WHERE value IS NOT NULL""",
+    "token_match": f"WITH {DOCUMENTS} SELECT doc_id, amount_text AS token, 110 :: INT AS x0 FROM docs",
+    "fusion_override": f"""WITH {DOCUMENTS} SELECT doc_id, 'invoice_date' AS field, CASE WHEN doc_id % 5 = 2 AND day(o_orderdate) <= 12 THEN strftime(o_orderdate, '%Y-%d-%m') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS value,
+        NULL :: DOUBLE AS amount FROM docs JOIN orders ON doc_id = o_orderkey WHERE doc_id % 2 = 0
+      UNION ALL SELECT doc_id, 'total_amount', NULL, round(cents / 100.0, 2) :: DOUBLE FROM docs WHERE doc_id % 3 = 0""",
     "footer_total_pick": f"WITH {DOCUMENTS} SELECT doc_id, replace(amount_text, '$', '') AS value FROM docs",
     "line_item_parse": """WITH n AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS lines, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS item_no FROM lineitem)
       SELECT l_orderkey AS doc_id, item_no :: INT AS item_no, 'part' || l_partkey AS description, printf('%.0f', l_quantity) :: DOUBLE AS quantity, printf('%.2f', l_extendedprice) :: DOUBLE AS amount FROM n WHERE lines >= 2""",

@@ -118,6 +118,13 @@ def template_apply(spark: SparkSession, folder: str) -> DataFrame:
     return templates.applied(fields, template)
 
 
+def template_lacking(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as documents of their number, which have a click but no other field of the template."""
+    docs = table(spark, folder, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_custkey").alias("vendor_id"))
+    fields = docs.select("doc_id", F.lit("click").alias("field"), F.when(F.col("doc_id") % 2 == 0, "1.00").alias("value"))
+    return templates.lacking(docs, fields, templates.rebuilt(render.corrections(spark, folder)))
+
+
 def line_items_vs_total(spark: SparkSession, folder: str) -> DataFrame:
     totals = table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id"), F.round("o_totalprice", 2).alias("total"))
     items = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"))
@@ -185,7 +192,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vendor_upsert, vendor_state, vendor_match, vendor_antijoin_new, vendor_stats, sequence_gap, template_rebuild, template_stats, corruption_flags,
-        template_apply, line_items_vs_total, document_type, decimal_error_from_text, validation_pipeline, invoice_list_page, dashboard_stats,
+        template_apply, template_lacking, line_items_vs_total, document_type, decimal_error_from_text, validation_pipeline, invoice_list_page, dashboard_stats,
         page_count, status_progress,
     )
 }
@@ -245,6 +252,8 @@ ORACLES = {
         CASE WHEN c.v >= 1 AND x.v >= 1 AND abs(c.level - x.level) > 2 THEN 'magnitude_jump' END,
         CASE WHEN x.v IS NOT NULL AND regexp_matches(c.v :: VARCHAR, '2023|2024|2025') AND c.v > 10000 THEN 'year_digits' END) AS codes FROM c LEFT JOIN x USING (o_custkey))
       SELECT doc_id, 'total_amount' AS field, v :: VARCHAR AS value, (CASE WHEN NOT known THEN confidence WHEN codes <> '' THEN 50 ELSE least(100, confidence + 5) END) :: DOUBLE AS confidence, codes FROM f""",
+    "template_lacking": f"""WITH {CORRECTIONS}, v AS (SELECT vendor_id, field_name AS field, arg_max(corrected_value, (created_at, id)) AS suggestion FROM corrections GROUP BY ALL)
+      SELECT c_custkey AS doc_id, field, suggestion FROM customer JOIN v ON vendor_id = c_custkey WHERE field <> 'click' OR c_custkey % 2 <> 0""",
     "line_items_vs_total": """WITH i AS (SELECT l_orderkey, sum(l_extendedprice :: DECIMAL(18, 2)) :: DOUBLE AS items_sum, count(*) AS items FROM lineitem GROUP BY l_orderkey),
       j AS (SELECT o_orderkey AS doc_id, round(o_totalprice, 2) AS total, items_sum, items FROM orders LEFT JOIN i ON l_orderkey = o_orderkey)
       SELECT doc_id, total, items_sum, coalesce(items, 0) AS items, coalesce(items, 0) AS readable, round(abs(items_sum - total), 2) AS difference,
@@ -252,6 +261,18 @@ ORACLES = {
     "document_type": f"""WITH {DOCUMENTS} SELECT doc_id, CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'credit_note' WHEN doc_id % 7 = 0 THEN 'quote' ELSE 'invoice' END AS kind,
         CASE WHEN doc_id % 11 = 0 THEN 90.0 WHEN doc_id % 13 = 0 THEN 85.0 WHEN doc_id % 7 = 0 THEN 90.0 ELSE 95.0 END :: DOUBLE AS confidence FROM docs""",
     "decimal_error_from_text": f"""WITH {DOCUMENTS} SELECT doc_id, CASE WHEN doc_id % 4 = 3 OR (doc_id % 4 = 1 AND cents < 100000) THEN round(cents / 100.0, 2) :: DOUBLE END AS suggested FROM docs""",
+    "validation_pipeline": f"""WITH {DOCUMENTS}, d AS (SELECT doc_id, date_text, cents, units, high, rest, CASE WHEN doc_id % 5 = 2 AND day(o_orderdate) <= 12 THEN strftime(o_orderdate, '%Y-%d-%m')
+          ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date, cents / 100.0 :: DOUBLE AS amount FROM docs JOIN parts USING (doc_id, cents)),
+      m AS (SELECT *, (doc_id % 4 = 3 OR (doc_id % 4 = 1 AND high = 0)) AND abs(amount - units :: DOUBLE) < 0.01 :: DOUBLE AS misread FROM d),
+      c AS (SELECT *, [CASE WHEN doc_id % 9 = 0 THEN 'number_invalid' END, CASE WHEN date <> date_text THEN 'date_reformatted' END,
+          CASE WHEN amount > 0.01 AND amount < 10 THEN 'small' WHEN amount > 10000 AND cents % 100 = 0 THEN 'large_whole' WHEN amount > 100000 THEN 'high' END,
+          CASE WHEN misread THEN 'decimal_misread' END,
+          CASE WHEN date :: DATE > DATE '2000-01-01' THEN 'future' WHEN (DATE '2000-01-01' - date :: DATE) / 365.0 > 5 THEN 'older_than_5_years' END] AS every FROM m),
+      k AS (SELECT *, list_filter(every, lambda x: x IS NOT NULL) AS codes, ((CASE WHEN doc_id % 9 = 0 THEN greatest(70, 65 + doc_id % 20) ELSE 80 + doc_id % 20 END) :: DOUBLE + (75 + doc_id % 25)
+          + CASE WHEN misread THEN greatest(85, 72 + doc_id % 18) ELSE 82 + doc_id % 18 END) / 3 AS mean FROM c),
+      o AS (SELECT *, round(greatest(0, mean - least(5 * len(codes), 30)), 2) AS overall_confidence, CASE WHEN doc_id % 11 = 0 THEN 'credit_note' WHEN doc_id % 7 = 0 THEN 'quote' ELSE 'invoice' END AS document_type FROM k)
+      SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN 'INV-' || doc_id END AS number, date, amount AS total, document_type, array_to_string(codes, ',') AS codes, overall_confidence,
+        len(list_filter(codes, lambda x: x <> 'date_reformatted')) > 0 OR overall_confidence < 85 OR document_type = 'credit_note' AS needs_review FROM o""",
     "invoice_list_page": f"WITH {_SERVED} SELECT * FROM served WHERE status = 'EXTRACTED' AND overall_confidence >= 80 ORDER BY invoice_date DESC, doc_id LIMIT 20 OFFSET 20",
     "dashboard_stats": f"""WITH {_SERVED} SELECT count(*) AS total, count(*) FILTER (WHERE status = 'EXTRACTED') AS processed, count(*) FILTER (WHERE status = 'PROCESSING') AS pending,
         count(*) FILTER (WHERE status = 'FAILED') AS failed, round(sum(coalesce(overall_confidence, 0)) / count(*), 2) AS average_confidence FROM served""",

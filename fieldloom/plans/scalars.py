@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import dates, money, text
+from fieldloom.operators import labels
 from fieldloom.plans import render
 from fieldloom.plans.sql import DOCUMENTS
 from fieldloom.session import table
@@ -126,13 +127,11 @@ def json_field_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def semantic_label_match(spark: SparkSession, folder: str) -> DataFrame:
-    """Each vector's best of the ten first vectors of the labels, a vocabulary of fixed size."""
+    """Each vector's best of the first vectors of all labels."""
     vectors = table(spark, folder, "embeddings")
-    words = vectors.groupBy("label").agg(F.min("vec_id").alias("vec_id")).join(vectors.select("vec_id", F.col("embedding").alias("word")), "vec_id")
-    vocabulary = words.orderBy("label").limit(10).select(F.col("label").alias("word_label"), "word")
-    scored = vectors.join(F.broadcast(vocabulary)).withColumn("score", F.round(money.cosine(F.col("embedding"), F.col("word")), 6))
-    best = F.max_by("word_label", F.struct("score", (-F.col("word_label")).alias("o")))
-    return scored.groupBy("vec_id").agg(best.alias("matched"), F.max("score").alias("score")).withColumn("accepted", F.col("score") >= 0.65)
+    words = vectors.groupBy(F.col("label").alias("field")).agg(F.min_by("embedding", "vec_id").alias("vector"))
+    found = labels.nearest(vectors.select(F.col("vec_id").alias("line_id"), F.col("embedding").alias("vector")), words)
+    return found.select(F.col("line_id").alias("vec_id"), F.col("field").alias("matched"), "score", (F.col("score") >= labels.MEANING).alias("accepted"))
 
 
 def value_profile(spark: SparkSession, folder: str) -> DataFrame:
@@ -220,7 +219,7 @@ ORACLES = {
       SELECT CASE WHEN c >= 95 THEN 'high' WHEN c >= 85 THEN 'medium' ELSE 'low' END AS indicator,
         CASE WHEN c >= 85 THEN 'high' WHEN c >= 70 THEN 'medium' ELSE 'low' END AS badge, count(*) AS documents FROM c GROUP BY ALL""",
     "json_field_text": "SELECT event_type, key, count(*) AS events FROM (SELECT event_type, unnest(json_keys(props)) AS key FROM events) GROUP BY ALL",
-    "semantic_label_match": """WITH w AS (SELECT label AS word_label, arg_min(embedding, vec_id) AS word FROM embeddings GROUP BY label ORDER BY label LIMIT 10),
+    "semantic_label_match": """WITH w AS (SELECT label AS word_label, arg_min(embedding, vec_id) AS word FROM embeddings GROUP BY label),
       s AS (SELECT vec_id, word_label, round(list_cosine_similarity(embedding :: DOUBLE[], word :: DOUBLE[]), 6) AS score FROM embeddings, w)
       SELECT vec_id, arg_min(word_label, (-score, word_label)) AS matched, max(score) AS score, max(score) >= 0.65 AS accepted FROM s GROUP BY vec_id""",
     "value_profile": f"""WITH v AS (

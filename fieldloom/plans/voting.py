@@ -79,13 +79,11 @@ ORACLES = {
         min(voter_ord) OVER (PARTITION BY doc_id, field, lower(trim(value))) AS g FROM votes WHERE voter_ord < 3 AND value <> ''),
       r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY (same >= 2) DESC, CASE WHEN same >= 2 THEN g END NULLS FIRST, confidence DESC, voter_ord) AS place FROM v)
       SELECT doc_id, field, value, confidence, same >= 2 AS consensus FROM r WHERE place = 1""",
-    "two_way_merge": f"""WITH {VOTES}, a AS (SELECT * FROM votes WHERE voter = 'layoutlm'), b AS (SELECT * FROM votes WHERE voter = 'donut')
-      SELECT doc_id, field,
-        CASE WHEN b.value IS NULL THEN a.value WHEN a.value IS NULL THEN b.value
-             WHEN lower(trim(a.value)) = lower(trim(b.value)) OR field IN ('invoice_number', 'total_amount') THEN a.value ELSE b.value END AS value,
-        round(CASE WHEN b.value IS NULL THEN a.confidence WHEN a.value IS NULL THEN b.confidence WHEN lower(trim(a.value)) = lower(trim(b.value)) THEN 98.0 :: DOUBLE
-             WHEN field IN ('invoice_number', 'total_amount') THEN a.confidence * 0.9 :: DOUBLE ELSE b.confidence * 0.9 :: DOUBLE END, 2) AS confidence
-      FROM a FULL JOIN b USING (doc_id, field)""",
+    "two_way_merge": f"""WITH {VOTES}, m AS (SELECT doc_id, field, max(value) FILTER (WHERE voter = 'layoutlm') AS a, max(confidence) FILTER (WHERE voter = 'layoutlm') AS ca,
+        max(value) FILTER (WHERE voter = 'donut') AS b, max(confidence) FILTER (WHERE voter = 'donut') AS cb FROM votes WHERE voter IN ('layoutlm', 'donut') GROUP BY doc_id, field)
+      SELECT doc_id, field, CASE WHEN b IS NULL THEN a WHEN a IS NULL THEN b WHEN lower(trim(a)) = lower(trim(b)) OR field IN ('invoice_number', 'total_amount') THEN a ELSE b END AS value,
+        round(CASE WHEN b IS NULL THEN ca WHEN a IS NULL THEN cb WHEN lower(trim(a)) = lower(trim(b)) THEN 98.0 :: DOUBLE
+             WHEN field IN ('invoice_number', 'total_amount') THEN ca * 0.9 :: DOUBLE ELSE cb * 0.9 :: DOUBLE END, 2) AS confidence FROM m""",
     "merger_statistics": f"WITH {TALLY} SELECT agreement, count(*) AS fields, round(avg(confidence), 2) AS average_confidence FROM resolved GROUP BY agreement",
     "voter_contribution": f"WITH {TALLY} SELECT voter, count(*) AS fields FROM (SELECT unnest(voters) AS voter FROM resolved) GROUP BY voter",
     "conflict_report": f"WITH {TALLY} SELECT doc_id, field, agreement, value, confidence FROM resolved WHERE agreement IN ('weak', 'conflict')",

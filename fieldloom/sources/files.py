@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.text import first_case
@@ -68,17 +68,21 @@ def ingested(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def csv_cells(spark: SparkSession, path: str, columns: int = 64) -> DataFrame:
-    """(path, row, col, value) of CSV files without a header, one task to a file."""
-    lines = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("row", "line")
-    )
-    schema = ", ".join(f"c{k} string" for k in range(columns))
-    cells = F.from_csv("line", schema)
+def csv_cells(spark: SparkSession, path: str) -> DataFrame:
+    """(path, row, col, value) of CSV files without a header: rows of any width, quoted
+    cells that hold commas or line ends. Blank lines are no rows; one task reads a file."""
+    whole = spark.read.text(path, wholetext=True)
+    bare = F.regexp_replace("value", '"[^"]*"', "")  # without quoted cells, a row is a line
+    commas = F.transform(F.split(bare, r"\r?\n"), lambda line: F.length(line) - F.length(F.replace(line, F.lit(","), F.lit(""))))
+    width = (whole.agg(F.max(F.array_max(commas))).first()[0] or 0) + 1
+    schema = ", ".join(f"c{k} string" for k in range(width))
+    lines = spark.read.schema(schema).csv(path, multiLine=True, escape='"')
+    order = Window.partitionBy("path").orderBy("at")
+    rows = lines.select("*", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"))
+    cells = F.posexplode(F.array(*[F.col(f"c{k}") for k in range(width)])).alias("col", "value")
     return (
-        lines.where("trim(line) <> ''")
-        .select("path", "row", cells.alias("cells"))
-        .select("path", "row", F.posexplode(F.array(*[F.col(f"cells.c{k}") for k in range(columns)])).alias("col", "value"))
+        rows.withColumn("row", F.row_number().over(order) - 1)
+        .select("path", "row", cells)
         .where("value is not null")
     )
 

@@ -40,11 +40,12 @@ def admitted(uploads: DataFrame) -> DataFrame:
 def _vendor_step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     name, best, count, last = state.get if state.exists else (None, -1.0, 0, pd.Timestamp(0))
     for rows in batches:
-        for r in rows.sort_values(["seen_at", "doc_id"]).itertuples():
-            if r.confidence > best:
-                name, best = r.vendor_name, float(r.confidence)
-            count += 1
-            last = max(pd.Timestamp(last), pd.Timestamp(r.seen_at))
+        top = rows["confidence"].max()
+        if top > best:
+            first = rows[rows["confidence"] == top].sort_values(["seen_at", "doc_id"]).iloc[0]
+            name, best = first["vendor_name"], float(top)
+        count += len(rows)
+        last = max(pd.Timestamp(last), rows["seen_at"].max())
     state.update((name, best, count, last))
     yield pd.DataFrame({"vendor_fingerprint": [key[0]], "vendor_name": [name], "confidence": [best], "invoice_count": [count], "last_seen": [last]})
 

@@ -146,9 +146,12 @@ def test_admission(spark):
 
 
 def test_csv_files(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("Invoice,INV-2024-77\nFrom:,\n\n'x',\"1,5\"\n")
-    cells = files.csv_cells(spark, str(tmp_path))
-    assert {(r["row"], r["col"]): r["value"] for r in cells.collect()}[(3, 1)] == "1,5"
+    wide = ",".join(f"v{k}" for k in range(90))
+    (tmp_path / "a.csv").write_text(f'Invoice,INV-2024-77\nFrom:,\n\n\'x\',"1,5"\na,"two\nlines, and ""more""",c\n{wide}\n')
+    (tmp_path / "b.csv").write_text("only\n")
+    cells = {(r["path"][-5:], r["row"], r["col"]): r["value"] for r in files.csv_cells(spark, str(tmp_path)).collect()}
+    assert cells["a.csv", 2, 1] == "1,5" and cells["a.csv", 3, 1] == 'two\nlines, and "more"' and cells["a.csv", 3, 2] == "c"
+    assert cells["a.csv", 4, 89] == "v89" and cells["b.csv", 0, 0] == "only" and len(cells) == 2 + 1 + 2 + 3 + 90 + 1
     assert files.ingested(spark, str(tmp_path)).first()["status"] == "UPLOADED"
 
 
@@ -159,6 +162,9 @@ def test_labels_by_meaning(spark):
     words = spark.createDataFrame([("total_amount", [1.0, 0.1]), ("due_date", [-1.0, 0.5])], "field string, vector array<double>")
     got = {r["line_id"]: r["field"] for r in labels.by_meaning(lines, words).collect()}
     assert got == {1: "total_amount", 3: "total_amount"}
+    labels.WORDS, held = 1, labels.WORDS  # a vocabulary of several blocks
+    assert {r["line_id"]: r["field"] for r in labels.by_meaning(lines, words).collect()} == got
+    labels.WORDS = held
     seen = column(spark, ["Subtotal: 5", "Grand Total 9", "Due date 1/2/2024", "nothing"], labels.rule_labels)
     assert seen == [[], ["total_amount"], ["due_date"], []]
 
