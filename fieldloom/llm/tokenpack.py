@@ -41,7 +41,7 @@ BLOCK_TOKENS = 1 << 16
 #: Bytes of text that are encoded at once.
 CHUNK_BYTES = 2_000_000
 #: Distinct pieces that a worker keeps; beyond it the cache starts anew.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 120_000
 #: Shards whose starts are broadcast to the reader; with more they are joined by a shuffle.
 BROADCAST_SHARDS = 1_000_000
 
@@ -244,6 +244,7 @@ def write(
                 parts.append(body[taken:])
         if ids:
             yield flush()
+        pa.default_memory_pool().release_unused()  # a worker lives on for other stages
 
     # small row groups keep writers small and let a reader skip to a document
     ordered.mapInArrow(blocks, SCHEMA).write.option("parquet.block.size", 8 << 20).parquet(path)

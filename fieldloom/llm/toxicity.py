@@ -43,7 +43,7 @@ FEATURES = 1500
 #: Strength of the counterfactual penalty and of the ridge.
 COUNTERFACTUAL, RIDGE = 10.0, 0.3
 PREFIXES = (4, 5, 6, 7)
-CACHE_WORDS = 100_000
+CACHE_WORDS = 60_000
 
 #: Identity terms, grouped by what may replace what.
 IDENTITY = (
@@ -273,5 +273,6 @@ def accept(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array([model.score(t.as_py()) < threshold for t in b.column(text)], pa.bool_()))
+        pa.default_memory_pool().release_unused()  # a worker lives on for other stages
 
     return docs.mapInArrow(run, docs.schema)
