@@ -67,7 +67,8 @@ SCRIPTS = (
 _STARTS, _NAMES = [s for s, _ in SCRIPTS], [n for _, n in SCRIPTS]
 #: Numerals that regular expressions take for letters.
 _NUMERALS = "".join(c for c in map(chr, range(0x20000)) if unicodedata.category(c) in ("Nl", "No"))
-_WORDS = re.compile(rf"[^\W\d_{_NUMERALS}]+").findall
+_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+").findall
+_WORDS = re.compile(r"[^\W\d_]+").findall
 
 
 def script_of(word: str) -> str:
@@ -75,7 +76,10 @@ def script_of(word: str) -> str:
 
 
 def words(text: str | None) -> list[str]:
-    return _WORDS(text.lower()) if text else []
+    found = _WORDS(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for w in found for part in ([w] if w.isalpha() else _LETTERS(w))]
 
 
 def grams(word: str) -> list[str]:
