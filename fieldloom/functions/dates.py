@@ -134,3 +134,114 @@ def duration(ms: Column) -> Column:
         .when(seconds < 60, F.concat(F.format_string("%.1f", seconds), F.lit("s")))
         .otherwise(F.concat(F.floor(seconds / 60).cast("string"), F.lit("m "), F.floor(seconds % 60).cast("string"), F.lit("s")))
     )
+
+
+# Written forms of a date near its label, in order of preference; the second lacks a year, the last a month.
+MONTH_NAME = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec|january|february|march|april|june|july|august|september|october|november|december)"
+NEAR_LABEL = (MONTH_NAME + r"\s+\d{1,2},?\s*\d{2,4}", MONTH_NAME + r"\s+\d{1,2}", r"\d{1,2}[-/]\d{1,2}[-/]\d{2,4}", r"\d{1,2}\s*,\s*\d{4}")
+DAY_YEAR = r"\b(\d{1,2})\s*,\s*(\d{4})\b"
+INVOICE_DATE_LABELS = ("invoice date", "date", "invoice")
+DUE_DATE_LABELS = ("due date", "payment due", "payment terms")
+
+
+def _windows(text: Column, labels: tuple[str, ...], size: int) -> Column:
+    """What follows each label's first place, and at last the whole text."""
+    low = F.lower(text)
+    after = [F.when(low.contains(label), F.substr(text, F.instr(low, F.lit(label)), F.lit(size))) for label in labels]
+    return F.array_compact(F.array(*after, text))
+
+
+def _first(windows: Column, rule) -> Column:
+    return F.try_element_at(F.filter(F.transform(windows, rule), lambda found: found.isNotNull()), F.lit(1))
+
+
+def labelled(text: Column, labels: tuple[str, ...], year: Column | None = None) -> Column:
+    """A date as the text writes it after one of the labels, else anywhere; ``year`` completes one without a year of four digits."""
+
+    def of(window: Column) -> Column:
+        found = [F.nullif(F.trim(F.regexp_extract(window, "(?i)" + p, 0)), F.lit("")) for p in NEAR_LABEL]
+        whole = [F.when(f.rlike(r"\d{4}"), f) if year is None else F.when(f.rlike(r"\d{4}"), f).otherwise(F.concat(f, F.lit(" "), year.cast("string"))) for f in found]
+        return F.coalesce(*whole)
+
+    return _first(_windows(text, labels, 150), of)
+
+
+def monthless(text: Column, labels: tuple[str, ...], year: Column | None = None) -> Column:
+    """'28, 2008' completed by the month that its window names first, else the text."""
+    anywhere = first_of(text, "(?i)" + MONTH_NAME)
+
+    def of(window: Column) -> Column:
+        month = F.coalesce(first_of(window, "(?i)" + MONTH_NAME), anywhere)
+        own = first_of(window, DAY_YEAR, 2)
+        return F.concat(month, F.lit(" "), first_of(window, DAY_YEAR), F.lit(", "), own if year is None else F.coalesce(year.cast("string"), own))
+
+    return _first(_windows(text, labels, 200), of)
+
+
+def recovered(text: Column, labels: tuple[str, ...], year: Column | None, hint: Column) -> Column:
+    """The ISO date that a text holds for a field whose own value is unreadable; ``hint`` is the year of one without a month."""
+    candidates = F.array(labelled(text, labels, year), monthless(text, labels, hint))  # the second needs what the first finds
+    return _first(candidates, lambda c: _cleaned(F.trim(c)))
+
+
+def simple(value: Column) -> Column:
+    """Dates written with digits as ISO, month-first; other values as they are, trimmed."""
+    text = F.trim(F.coalesce(value, F.lit("")))
+    iso = F.regexp_extract(text, r"(\d{4})-(\d{2})-(\d{2})", 0)
+    american = r"^.*?(\d{2})(?:/(\d{2})/|-(\d{2})-)(\d{4}).*$"
+    return F.when(iso != "", iso).when(text.rlike(american), F.regexp_replace(text, american, "$4-$1-$2$3")).otherwise(text)
+
+
+# Dates inside a line of recognised text.
+MONTH_WORD = (
+    r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+)
+LINE_MDY = rf"(?i)\b{MONTH_WORD}\s+(\d{{1,2}})(?:st|nd|rd|th)?[,\s]+(\d{{2,4}})\b"
+LINE_DMY = rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+{MONTH_WORD}[,\s]+(\d{{2,4}})\b"
+LINE_NUMERIC = (r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b", r"\b\d{1,2}\s+\d{1,2}[/-]\d{2,4}\b", r"\b\d{1,2}\s+\d{1,2}\s+\d{2,4}\b")
+
+
+def month_date(text: Column) -> Column:
+    """A date with a month's name, in either order, as MM/DD/YYYY."""
+    written = lambda month, day, year: F.format_string("%02d/%02d/%04d", month_of(month), day.try_cast("int"), pivoted(year.try_cast("int")))
+    m, d, y = _matched(text, LINE_MDY, 3)
+    d2, m2, y2 = _matched(text, LINE_DMY, 3)
+    return F.when(y.isNotNull(), written(m, d, y)).when(y2.isNotNull(), written(m2, d2, y2))
+
+
+def _plausible(pairs: Column, month: str, day: str, order: tuple[str, ...]) -> Column:
+    ok = F.filter(pairs, lambda p: p[month].cast("int").between(1, 12) & p[day].cast("int").between(1, 31))
+    return F.try_element_at(F.transform(ok, lambda p: F.concat_ws("/", *[p[x] for x in order])), F.lit(1))
+
+
+def in_line(text: Column) -> Column:
+    """The date of a line: with a month's name, with digits and marks or blanks, or of
+    any groups of digits that can be month, day and year."""
+    as_written = [F.regexp_replace(first_of(text, p, 0), r"\s+", "/") for p in LINE_NUMERIC]
+    digits = F.trim(F.lit("/"), F.regexp_replace(text, "[^0-9]+", "/"))
+    groups = lambda p: F.arrays_zip(*[F.regexp_extract_all(digits, F.lit(p), F.lit(g)).alias(n) for g, n in ((1, "a"), (2, "b"), (3, "c"))])
+    collapsed = F.coalesce(
+        _plausible(groups(r"(\d{1,2})/(\d{1,2})/(\d{2,4})"), "a", "b", ("a", "b", "c")),
+        _plausible(groups(r"(\d{4})/(\d{1,2})/(\d{1,2})"), "b", "c", ("b", "c", "a")),
+    )
+    return F.coalesce(month_date(text), *as_written, collapsed)
+
+
+def cropped(text: Column, as_of: Column) -> Column:
+    """The first date with a year of four digits, from five years before to two after ``as_of``, as ISO; null if none."""
+    named = F.regexp_extract_all(text, F.lit(r"(?i)\b((?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\s+\d{1,2},\s*\d{4})\b"), F.lit(1))
+    iso = F.regexp_extract_all(text, F.lit(r"\b(\d{4}[-/]\d{2}[-/]\d{2})\b"), F.lit(1))
+    american = F.regexp_extract_all(text, F.lit(r"\b(\d{1,2}[-/]\d{1,2}[-/]\d{4})\b"), F.lit(1))
+    tidy = lambda c: F.regexp_replace(F.replace(c, F.lit("/"), F.lit("-")), r",\s*", ", ")
+    found = F.transform(F.concat(named, iso, american), lambda c: _flexible(F.regexp_replace(tidy(c), r"(?i)^sept ", "Sep ")))
+    year = F.year(as_of)
+    return F.try_element_at(F.filter(found, lambda d: F.substring(d, 1, 4).cast("int").between(year - 5, year + 2)), F.lit(1))
+
+
+def date_token(token: Column) -> Column:
+    """Whether a token may be part of a date."""
+    return token.rlike(r"[0-9]") | token.rlike("(?i)" + "|".join(MONTHS))
+
+
+def not_future(value: Column, as_of: Column) -> Column:
+    return F.try_to_timestamp(value, F.lit("yyyy-MM-dd")) <= as_of

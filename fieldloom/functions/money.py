@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldloom.functions.text import first_case
+from fieldloom.functions.text import digit_repair, first_case
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 #: Upper bounds of the magnitudes, below which an amount has their name.
@@ -130,3 +130,21 @@ def table_number(text: Column) -> Column:
 
 def bands(confidence: Column, high: float, middle: float) -> Column:
     return F.when(confidence >= high, "high").when(confidence >= middle, "medium").otherwise("low")
+
+
+def symbols_dropped(value: Column) -> Column:
+    """An amount's text without currency symbols, still text."""
+    return F.trim(F.translate(value, "$€£¥", ""))
+
+
+def fused_amount(value: Column) -> Column:
+    """The number of a recognised amount, letters read for digits mended, with up to two decimals; null without digits."""
+    mended = digit_repair(F.replace(value, F.lit(","), F.lit(".")))
+    return F.nullif(F.regexp_extract(mended, r"[-+]?[0-9]+(?:\.[0-9]{1,2})?", 0), F.lit(""))
+
+
+def cropped_amount(text: Column) -> Column:
+    """The first amount with two decimals, written with a point; null if none. Marks before the last are thousands'."""
+    raw = F.regexp_extract(text, r"[-+]?[0-9]{1,3}(?:[.,][0-9]{3})*[.,][0-9]{2}", 0)
+    whole = F.regexp_replace(F.left(raw, F.length(raw) - 3), "[.,]", "")
+    return F.when(raw != "", F.format_string("%.2f", F.concat(whole, F.lit("."), F.right(raw, F.lit(2))).cast("double")))

@@ -14,6 +14,7 @@ CURRENCY_CODES = ("USD", "EUR", "GBP", "JPY", "CAD", "AUD", "CHF", "CNY", "INR")
 CURRENCY_SYMBOLS = (
     ("$", "USD"), ("€", "EUR"), ("£", "GBP"), ("¥", "JPY"), ("₹", "INR"), ("C$", "CAD"), ("A$", "AUD"), ("CHF", "CHF"), ("Fr", "CHF"),
 )
+MERGED_CODES = ("USD", "EUR", "GBP", "JPY", "CAD", "AUD", "CHF", "CNY")
 CURRENCY_SEARCH = ("USD", "EUR", "GBP", "JPY", "CAD", "AUD", "CHF", "INR", "CNY")
 CURRENCY_HINTS = (
     ("EUR", ("€", "euro", "eur", "francia", "deutschland", "italia")),
@@ -77,6 +78,29 @@ def number_clean(value: Column) -> Column:
     return F.when(good, out)
 
 
+def number_simple(value: Column) -> Column:
+    """An invoice number with single spaces and without leading dashes; empty for none."""
+    return F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"\s+", " ")), "^-+", "")
+
+
+def zip_like(value: Column, text: Column) -> Column:
+    """Whether a value is five digits that the text writes after a state's two capitals."""
+    digits = F.trim(value)
+    return digits.rlike("^[0-9]{5}$") & F.regexp_like(F.coalesce(text, F.lit("")), F.concat(F.lit(r"\b[A-Z]{2}\s+"), digits, F.lit(r"\b")))
+
+
+def same_reading(found: Column, expected: Column) -> Column:
+    """Whether a reading counts as the expected one: equal without case and spaces, or one holds the other where both are longer than five."""
+    a, b = (F.replace(F.lower(F.trim(c.cast("string"))), F.lit(" "), F.lit("")) for c in (found, expected))
+    long = (F.length(a) > 5) & (F.length(b) > 5)
+    return F.coalesce((a == b) | (long & (a.contains(b) | b.contains(a))), F.lit(False))
+
+
+def label_key(value: Column) -> Column:
+    """A label's words: lower case, other characters as single spaces."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), "[^a-z0-9#]+", " "))
+
+
 def number_pattern(value: Column) -> Column:
     """struct(valid, number, reason) of an invoice number."""
     reason = first_case(
@@ -108,6 +132,17 @@ def currency_valid(value: Column) -> Column:
     return F.when(code.isin(*CURRENCY_CODES), code).otherwise(F.lit("USD"))
 
 
+def currency_clean(value: Column) -> Column:
+    """A code of the eight that merged records hold, else the first three capitals, else USD."""
+    code = F.upper(F.trim(F.coalesce(value, F.lit(""))))
+    return F.when(code.isin(*MERGED_CODES), code).otherwise(F.coalesce(first_of(code, "[A-Z]{3}", 0), F.lit("USD")))
+
+
+def currency_of(text: Column) -> Column:
+    """The currency of the first of $, € and £ that a text holds, else USD."""
+    return first_case([(text.contains("$"), F.lit("USD")), (text.contains("€"), F.lit("EUR")), (text.contains("£"), F.lit("GBP"))], F.lit("USD"))
+
+
 def currency_infer(amount_text: Column, text: Column) -> Column:
     """struct(code, confidence) from symbols, then codes, then words, else USD."""
     amount_text, text = F.coalesce(amount_text, F.lit("")), F.coalesce(text, F.lit(""))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.functions import dates, money, text
 from fieldloom.functions.text import first_case, simple_key, vote_key
 
 # Weights of voters in ties, and factors of the calibration.
@@ -193,3 +194,101 @@ def two_way(votes: DataFrame, first: str, second: str, prefer_first: tuple[str,
             2,
         ).alias("confidence"),
     )
+
+
+# Confidences that registered voters vote with unless they bring their own.
+REGISTERED = {"ocr_text": 75.0, "ocr_fused": 82.0, "ocr_template": 85.0}
+
+
+def registered(readings: DataFrame, voter: str, order: int) -> DataFrame:
+    """Readings (doc_id, field, value, and confidence or null) as votes of a voter beside the models."""
+    default = REGISTERED.get(voter, REGISTERED["ocr_text"])
+    return readings.select(
+        "doc_id", F.lit(voter).alias("voter"), F.lit(order).alias("voter_ord"), "field", "value", F.coalesce("confidence", F.lit(default)).alias("confidence")
+    )
+
+
+def n_way(votes: DataFrame, forced: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Every voted or forced field once: a forced value (doc_id, field, value, confidence)
+    before a fused reading that overrides (doc_id, field, value) before the vote.
+
+    The three inputs are one row a (doc_id, field) by the same key, so the joins reuse the
+    vote's partitioning. Null and empty forced values force nothing.
+    """
+    given = forced.where("value is not null and value <> ''").select("doc_id", "field", F.col("value").alias("_forced"), F.col("confidence").alias("_confidence"))
+    fused = overrides.select("doc_id", "field", F.col("value").alias("_fused"))
+    both = field_vote(votes).join(given, ["doc_id", "field"], "full").join(fused, ["doc_id", "field"], "left")
+    is_forced, is_fused = F.col("_forced").isNotNull(), F.col("_fused").isNotNull()
+    pick = lambda a, b, c: first_case([(is_forced, a), (is_fused, b)], c)
+    return both.select(
+        "doc_id",
+        "field",
+        pick(F.col("_forced"), F.col("_fused"), F.col("value")).alias("value"),
+        pick(F.col("_confidence"), F.lit(REGISTERED["ocr_fused"]), F.col("confidence")).alias("confidence"),
+        pick(F.lit("forced_template"), F.lit("fused_override"), F.col("agreement")).alias("agreement"),
+        pick(F.array(F.lit("ocr_template")), F.array(F.lit("ocr_fused")), F.col("selected_from")).alias("selected_from"),
+    )
+
+
+def field_cleaned(fields: DataFrame) -> DataFrame:
+    """Merged fields (doc_id, field, value) cleaned by name; fields whose names begin with _ are internal and go."""
+    cleaned = first_case(
+        [
+            (F.col("field") == "total_amount", money.symbols_dropped(F.col("value"))),
+            (F.col("field") == "invoice_date", dates.simple(F.col("value"))),
+            (F.col("field") == "invoice_number", text.number_simple(F.col("value"))),
+            (F.col("field") == "currency", text.currency_clean(F.col("value"))),
+            (F.col("field") == "vendor_name", F.trim("value")),
+        ],
+        F.col("value"),
+    )
+    return fields.where(~F.col("field").startswith("_")).withColumn("value", cleaned)
+
+
+# A record merged from three models votes once for each, with the confidence of one of its fields.
+FANNED = (("impira", 1, "invoice_number"), ("layoutlm", 2, "total_amount"), ("donut", 3, "vendor_name"))
+
+
+def fanned_out(merged_fields: DataFrame, default: float = 85.0) -> DataFrame:
+    """Merged fields (doc_id, field, value, confidence) as the votes of three models."""
+    of = lambda field: F.coalesce(F.max(F.when(F.col("field") == field, F.col("confidence"))), F.lit(default))
+    voters = F.array(*[F.struct(F.lit(v).alias("voter"), F.lit(o).alias("voter_ord"), of(f).alias("confidence")) for v, o, f in FANNED])
+    by_doc = merged_fields.groupBy("doc_id").agg(voters.alias("voters"), F.collect_list(F.struct("field", "value")).alias("fields"))
+    each = by_doc.select("doc_id", F.explode("voters").alias("v"), "fields")
+    return each.select("doc_id", "v.*", F.explode("fields").alias("f")).select("doc_id", "voter", "voter_ord", "f.field", "f.value", "confidence")
+
+
+def with_failures(documents: DataFrame, records: DataFrame) -> DataFrame:
+    """Documents (doc_id) with their records (doc_id, fields, overall_confidence), or a
+    record of failure where no voter ran: no fields, confidence 0 and an error."""
+    kept = records.select("doc_id", "fields", "overall_confidence", F.lit(True).alias("_ran"))
+    ran = F.coalesce("_ran", F.lit(False))
+    return documents.select("doc_id").join(kept, "doc_id", "left").select(
+        "doc_id",
+        F.coalesce("fields", F.create_map().cast("map<string,string>")).alias("fields"),
+        F.coalesce("overall_confidence", F.lit(0.0)).alias("overall_confidence"),
+        F.when(ran, "EXTRACTED").otherwise("FAILED").alias("status"),
+        F.when(~ran, "no voter ran").alias("error"),
+    )
+
+
+def items_kept(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Line items of ``first``, and those of ``second`` for documents that ``first`` has none of."""
+    return first.unionByName(second.join(first.select("doc_id").distinct(), "doc_id", "left_anti"))
+
+
+def compared(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Fields (doc_id, field, value) of two runs side by side, with what became of each."""
+    old, new = (df.select("doc_id", "field", F.col("value").alias(n)) for df, n in ((before, "before"), (after, "after")))
+    change = first_case(
+        [(F.col("before").isNull() & F.col("after").isNull(), F.lit("same")), (F.col("before").isNull(), F.lit("added")), (F.col("after").isNull(), F.lit("lost")), (F.col("before") == F.col("after"), F.lit("same"))],
+        F.lit("changed"),
+    )
+    return old.join(new, ["doc_id", "field"], "full").withColumn("change", change)
+
+
+def scored(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """Of each field of expected values (doc_id, field, value): how many, how many were read right, and the share in percent."""
+    pairs = expected.select("doc_id", "field", F.col("value").alias("want")).join(found.select("doc_id", "field", "value"), ["doc_id", "field"], "left")
+    right = F.sum(text.same_reading(F.col("value"), F.col("want")).cast("int"))
+    return pairs.groupBy("field").agg(F.count(F.lit(1)).alias("expected"), right.alias("right"), F.round(right * 100 / F.count(F.lit(1)), 2).alias("accuracy"))

@@ -20,10 +20,11 @@ def fused(candidates: DataFrame) -> DataFrame:
     return best.select("doc_id", "field", "value", "score", confidence.alias("fused_confidence"))
 
 
-def overrides(votes: DataFrame, forced: tuple[str, ...] = ()) -> DataFrame:
+def overrides(votes: DataFrame, forced: tuple[str, ...] = (), texts: DataFrame | None = None) -> DataFrame:
     """(doc_id, field, value) where the fused reading replaces the vote: of forced
-    fields, of dates and numbers that no other voter reads validly, and of totals
-    with decimals against sure footers or undecimalled others."""
+    fields, of dates and numbers that no other voter reads validly, and of totals with
+    decimals against sure footers or undecimalled others, and of totals that another
+    voter takes from a postal code of the document (``texts``: doc_id, text)."""
     clean = (
         F.when(F.col("field").isin("invoice_date", "due_date"), dates.cleaned(F.col("value")))
         .when(F.col("field") == "invoice_number", text.number_clean(F.col("value")))
@@ -32,11 +33,23 @@ def overrides(votes: DataFrame, forced: tuple[str, ...] = ()) -> DataFrame:
     )
     own = F.col("voter") == FUSED_VOTER
     given = F.coalesce("value", F.lit("")) != ""
+    if texts is None:
+        near = votes.withColumn("_zip", F.lit(False))
+    else:  # only documents whose total some voter reads as five digits need their text
+        doubtful = votes.where((F.col("field") == "total_amount") & ~own & F.col("value").rlike(r"^\s*[0-9]{5}\s*$"))
+        zips = (
+            doubtful.join(texts.select("doc_id", "text"), "doc_id")
+            .where(text.zip_like(F.col("value"), F.col("text")))
+            .select("doc_id", "field", F.lit(True).alias("_zip"))
+            .distinct()
+        )
+        near = votes.join(zips, ["doc_id", "field"], "left")
     per_field = (
-        votes.where(given)
+        near.where(given)
         .withColumn("clean", clean)
         .groupBy("doc_id", "field")
         .agg(
+            F.coalesce(F.bool_or("_zip"), F.lit(False)).alias("zip"),
             F.max(F.when(own, F.col("clean"))).alias("fused"),
             F.max(F.when(own, F.col("value"))).alias("raw"),
             F.max(F.when(own, F.col("confidence"))).alias("confidence"),
@@ -50,6 +63,7 @@ def overrides(votes: DataFrame, forced: tuple[str, ...] = ()) -> DataFrame:
         F.col("field").isin(*forced)
         | (F.col("field").isin("invoice_date", "due_date") & (F.col("valid_others") == 0))
         | (F.col("field").isin("invoice_number", "po_number") & ((F.col("valid_others") == 0) | (F.col("numeric_others") == 0)))
+        | ((F.col("field") == "total_amount") & F.col("zip"))
         | ((F.col("field") == "total_amount") & decimals & ((F.col("confidence") >= FOOTER_CONFIDENCE) | (F.col("decimal_others") == 0)))
     )
     return per_field.where(F.col("fused").isNotNull() & wins).select("doc_id", "field", F.col("fused").alias("value"))

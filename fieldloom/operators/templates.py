@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.functions import money, text
+from fieldloom.functions import dates, money, text
 from fieldloom.functions.text import first_case
 
 EXAMPLES = 5
@@ -113,3 +113,61 @@ def statistics(template: DataFrame) -> DataFrame:
     return template.groupBy("vendor_id").agg(
         F.count(F.lit(1)).alias("fields"), F.sum("occurrences").alias("occurrences"), F.max(F.size("examples")).alias("most_examples")
     )
+
+
+def recorded(documents: DataFrame, created_at: Column) -> DataFrame:
+    """Corrections of documents (doc_id, vendor_id, corrected: map) as rows, one a field that changed or is new.
+
+    ``extracted_data`` gives the value before; the id is a hash of document, field and
+    time, so that a repeated write holds the same rows."""
+    rows = documents.select("doc_id", "vendor_id", "extracted_data", F.explode("corrected").alias("field_name", "corrected_value"))
+    before = F.try_element_at("extracted_data", F.col("field_name"))
+    return rows.withColumns({"original_value": before, "created_at": created_at}).where(~F.col("corrected_value").eqNullSafe(F.col("original_value"))).select(
+        F.xxhash64("doc_id", "field_name", "created_at").alias("id"), "doc_id", "vendor_id", "field_name", "original_value", "corrected_value", "created_at"
+    )
+
+
+def learned(template: DataFrame, fields: DataFrame) -> DataFrame:
+    """A template (vendor_id, field, examples, confidence, occurrences) after new fields
+    (vendor_id, field, value, confidence, seen): new values join the examples in the
+    order they were first seen and the oldest beyond five leave, the greatest confidence
+    stays, occurrences grow.
+
+    Values are counted before vendors meet, so a vendor with many documents is reduced to
+    its distinct values first; only the last five of these and the old ones reach one row.
+    An example that returns after it left is not told from one that never left, so the
+    examples are the last five distinct values by their first sight."""
+    usable = fields.where("value is not null and not startswith(field, '_')")
+    values = usable.groupBy("vendor_id", "field", "value").agg(
+        F.min("seen").alias("seen"), F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("n")
+    )
+    old = template.select("vendor_id", "field", F.explode("examples").alias("value"), F.lit(True).alias("_old"))
+    fresh = values.join(old, ["vendor_id", "field", "value"], "left")
+    place = F.row_number().over(Window.partitionBy("vendor_id", "field").orderBy(F.col("_old").isNull().desc(), F.col("seen").desc(), F.col("value").desc()))
+    newest = fresh.withColumn("place", place).groupBy("vendor_id", "field").agg(
+        F.array_sort(F.collect_list(F.when((F.col("place") <= EXAMPLES) & F.col("_old").isNull(), F.struct("seen", "value")))).alias("new"),
+        F.max("confidence").alias("new_confidence"),
+        F.sum("n").alias("n"),
+    )
+    examples = F.concat(F.coalesce("examples", F.array().cast("array<string>")), F.coalesce(F.transform("new", lambda e: e["value"]), F.array().cast("array<string>")))
+    return template.select("vendor_id", "field", "examples", "confidence", "occurrences").join(newest, ["vendor_id", "field"], "full").select(
+        "vendor_id",
+        "field",
+        F.slice(examples, F.greatest(F.size(examples) - EXAMPLES + 1, F.lit(1)), EXAMPLES).alias("examples"),
+        F.greatest("confidence", "new_confidence").alias("confidence"),
+        (F.coalesce("occurrences", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("occurrences"),
+    )
+
+
+def gated(documents: DataFrame, template: DataFrame, order: int, least: int = 1) -> DataFrame:
+    """The template's votes of documents whose vendor is known and whose fields occurred ``least`` times or more."""
+    return voter(documents.where("vendor_id is not null"), template.where(F.col("occurrences") >= least), order)
+
+
+def crop_value(field: Column, crop: Column, as_of: Column) -> Column:
+    """What a field takes from the text of its anchored region: a date, an amount, a text
+    with a digit, or any text, by the field's type; null if it holds none."""
+    kind = text.field_type(field)
+    whole = F.nullif(F.trim(F.regexp_replace(crop, r"\s+", " ")), F.lit(""))
+    identifier = (kind == "identifier") | F.lower(field).contains("invoice")
+    return first_case([(kind == "date", dates.cropped(crop, as_of)), (kind == "monetary", money.cropped_amount(crop)), (identifier, F.when(whole.rlike("[0-9]"), whole))], whole)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.functions import money
-from fieldloom.functions.text import first_case
+from fieldloom.functions import dates, money, text
+from fieldloom.functions.text import first_case, first_of
 
 # Words that tell a document's type.
 CREDIT_WORDS = ("credit note", "credit memo", "credit memorandum", "return", "refund", "adjustment credit", "cn")
@@ -16,16 +16,18 @@ COMPANY_WORDS = (
     "industries", "partners", "associates", "holdings", "international", "global", "technologies", "systems", "consulting",
     "agency", "studio", "gmbh", "sarl", "srl", "plc", "pty", "ag", "spa", "nv",
 )
+# Where a text names its sender and its receiver.
+SENDER = (r"(?i)from\s*:?\s*(.{5,100})", r"(?i)vendor\s*:?\s*(.{5,100})", r"(?i)supplier\s*:?\s*(.{5,100})")
+RECEIVER = (r"(?i)bill\s+to\s*:?\s*(.{5,100})", r"(?i)customer\s*:?\s*(.{5,100})", r"(?i)client\s*:?\s*(.{5,100})")
 TOLERANCE = 0.02
 #: Codes that no reviewer needs to see.
-INFORMATIONAL = ("credit", "no_charge", "very_round", "zero")
+INFORMATIONAL = ("credit", "no_charge", "very_round", "zero", "negative")
+#: Corrections that a reviewer must see.
+CRITICAL_CORRECTIONS = ("total_corrected", "vendor_corrected", "date_reformatted")
 
 
 def holds_any(text: Column, words: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for word in words:
-        out = out | text.contains(word)
-    return out
+    return text.rlike("|".join(words))  # words are letters and spaces
 
 
 def document_type(text: Column, total: Column) -> Column:
@@ -112,59 +114,137 @@ def lowered(confidence: Column, by: float, floor: float) -> Column:
     return F.greatest(F.lit(floor), confidence - by)
 
 
-def validated(fields: DataFrame, as_of: Column) -> DataFrame:
-    """fields: doc_id, text, invoice_number, invoice_date, due_date, total_text and
-    one confidence of each, to cleaned values, codes, confidences and review."""
-    from fieldloom.functions import dates, text
+def vendor_suggestion(vendor: Column, reason: Column, text: Column) -> Column:
+    """struct(name, code): for a person the first company among the text's first fifteen
+    lines, for a name that stands under Bill To and not under From the name under From."""
+    known = lambda line: holds_any(F.lower(line), COMPANY_WORDS)
+    lines = F.transform(F.slice(F.split(text, "\n"), 1, 15), lambda line: F.trim(line))
+    fits = lambda line: known(line) & F.length(line).between(6, 99) & ~F.lower(line).contains(F.lower(vendor))
+    company = F.try_element_at(F.filter(lines, fits), F.lit(1))
+    sender, receiver = (F.coalesce(*[F.trim(first_of(text, p)) for p in patterns]) for patterns in (SENDER, RECEIVER))
+    low = F.lower(vendor)
+    swapped = reason.isNull() & ~known(vendor) & ~F.lower(sender).contains(low) & F.lower(receiver).contains(low) & (F.length(sender) > 3)
+    made = lambda name, code: F.struct(name.alias("name"), code.alias("code"))
+    nothing = made(F.lit(None).cast("string"), reason)
+    return first_case([((reason == "person") & company.isNotNull(), made(company, reason)), (swapped, made(sender, F.lit("wrong_section")))], nothing)
 
-    amount = money.total_check(money.decimal_value(F.col("total_text")))
-    step = fields.select(
-        "doc_id",
-        "text",
-        text.number_clean(F.col("invoice_number")).alias("number"),
-        dates.cleaned(F.col("invoice_date")).alias("date"),
-        dates.cleaned(F.col("due_date")).alias("due"),
-        amount.alias("total"),
-        F.col("invoice_date").alias("_raw_date"),
-        "number_confidence",
-        "date_confidence",
-        "total_confidence",
-    ).withColumns(
+
+def known_vendor_mismatch(vendor: Column, known: Column) -> Column:
+    """Whether a vendor is neither the known one nor a part or extension of its name; false where either is missing."""
+    v, k = F.lower(F.trim(vendor)), F.lower(F.trim(known))
+    return F.coalesce((v != "") & (k != "") & ~v.contains(k) & ~k.contains(v), F.lit(False))
+
+
+def extra_warnings(codes: Column, poor_image: Column, several_invoices: Column) -> Column:
+    """Codes with those of the whole upload before them, the last test first."""
+    return F.array_compact(F.concat(F.array(F.when(several_invoices, "several_invoices"), F.when(poor_image, "image_quality")), codes))
+
+
+#: Fields whose confidences the overall one averages.
+CHECKED = ("vendor_name", "invoice_number", "invoice_date", "due_date", "payment_terms", "total_amount", "currency")
+
+
+def validated(fields: DataFrame, as_of: Column) -> DataFrame:
+    """One row a document of raw fields to checked ones.
+
+    ``fields`` holds doc_id, text, vendor_name, customer_name, invoice_number, invoice_date,
+    due_date, total_text, currency and the map ``confidences`` by field. An unreadable date
+    is looked for in the text; terms in place of a due date take its confidence; a missing
+    currency is inferred. Steps follow each other as projections, so each row is read once
+    and nothing is shuffled. Nulls: a missing due date is no fault, other missing values are.
+    """
+    amount = money.total_check(F.col("_amount"))
+    reason = vendor_check(F.col("vendor_name"), F.col("customer_name"))
+    number = text.number_clean(F.col("invoice_number"))
+    cleaned = fields.withColumn("_amount", money.decimal_value(F.col("total_text"))).withColumns(
         {
-            "type": document_type(F.col("text"), F.col("total.amount")),
+            "number": number,
+            "_reason": reason,
+            "_date": dates.cleaned(F.col("invoice_date")),
+            "terms": F.coalesce(dates.terms_days(F.col("due_date")), dates.terms_days(F.col("text"))),
+            "_due": dates.cleaned(F.col("due_date")),
+            "total": amount,
+            "type": document_type(F.col("text"), F.col("_amount")),
+        }
+    )
+    year = F.substring("date", 1, 4).cast("int")
+    hint = first_of(F.col("number"), r"(20\d{2})").cast("int")
+    dated = cleaned.withColumns(
+        {
+            "_suggested": vendor_suggestion(F.col("vendor_name"), F.col("_reason"), F.col("text")),
+            "date": F.when(F.col("_date").isNotNull(), F.col("_date")).otherwise(dates.recovered(F.col("text"), dates.INVOICE_DATE_LABELS, None, hint)),
+        }
+    )
+    wants_due = F.col("due_date").isNotNull() & F.col("terms").isNull()
+    year = F.coalesce(year, hint)
+    found_due = dates.recovered(F.col("text"), dates.DUE_DATE_LABELS, year, year)
+    due = dated.withColumn("due", F.when(wants_due, F.when(F.col("_due").isNotNull(), F.col("_due")).otherwise(found_due)))
+    inferred = text.currency_infer(F.col("total_text"), F.col("text"))["code"]
+    no_currency = F.coalesce("currency", F.lit("")) == ""
+    step = due.withColumns(
+        {
+            "vendor": F.coalesce("_suggested.name", "vendor_name"),
+            "code": F.when(no_currency, inferred).otherwise(text.currency_valid(F.col("currency"))),
             "misread": misread_amount(F.col("total.amount"), F.col("text")),
             "plausible": money.plausibility(F.col("total.amount")),
             "dates": dates.consistency(F.col("date"), F.col("due"), as_of),
         }
     )
-    codes = F.array_compact(
-        F.array(
-            F.when(F.col("number").isNull(), "number_invalid"),
-            F.when(F.col("date").isNull(), "date_invalid"),
-            F.when(F.col("date") != F.col("_raw_date"), "date_reformatted"),
-            F.col("total.warning"),
-            F.when(~F.col("plausible.ok"), F.col("plausible.code")),
-            F.when(F.col("misread").isNotNull(), "decimal_misread"),
-            F.col("dates"),
-        )
+    marked = lambda test, code: F.when(test, code)
+    codes = F.array(
+        F.concat(F.lit("vendor_"), F.col("_suggested.code")),
+        marked(F.col("number").isNull(), "number_invalid"),
+        marked(F.col("date").isNull(), "date_invalid"),
+        marked(wants_due & F.col("due").isNull(), "due_invalid"),
+        F.col("total.warning"),
+        F.when(~F.col("plausible.ok"), F.col("plausible.code")),
+        marked(F.col("misread").isNotNull(), "decimal_misread"),
+        F.col("dates"),
+    )
+    corrections = F.array(
+        marked(F.col("_suggested.name").isNotNull(), "vendor_corrected"),
+        marked(F.col("number") != F.col("invoice_number"), "number_cleaned"),
+        marked(F.col("_date") != F.col("invoice_date"), "date_reformatted"),
+        marked(F.col("_date").isNull() & F.col("date").isNotNull(), "date_from_text"),
+        marked(F.col("terms").isNotNull(), "terms_from_text"),
+        marked(wants_due & (F.col("_due") != F.col("due_date")), "due_reformatted"),
+        marked(wants_due & F.col("_due").isNull() & F.col("due").isNotNull(), "due_from_text"),
+        marked(F.col("misread").isNotNull(), "total_corrected"),
+        marked(no_currency, "currency_inferred"),
     )
-    done = step.withColumn("codes", codes).withColumn(
-        "confidences",
-        F.array(
-            F.when(F.col("number").isNull(), lowered(F.col("number_confidence"), 15, 70)).otherwise(F.col("number_confidence")),
-            F.when(F.col("date").isNull(), lowered(F.col("date_confidence"), 50, 30)).otherwise(F.col("date_confidence")),
-            F.when(F.col("misread").isNotNull(), lowered(F.col("total_confidence"), 10, 85)).otherwise(F.col("total_confidence")),
-        ),
+    held = F.col("confidences")
+    of = lambda field: F.try_element_at(held, F.lit(field))
+    less = lambda test, field, by, floor: F.when(test, lowered(of(field), by, floor)).otherwise(of(field))
+    due_lost = wants_due & F.col("due").isNull()
+    confidences = {
+        "vendor_name": less(F.col("_suggested.code").isNotNull(), "vendor_name", 20, 60),
+        "invoice_number": less(F.col("number").isNull(), "invoice_number", 15, 70),
+        "invoice_date": less(F.col("date").isNull(), "invoice_date", 50, 30),
+        "due_date": F.when(F.col("terms").isNull(), less(due_lost, "due_date", 50, 30)),
+        "payment_terms": F.when(F.col("terms").isNotNull(), F.greatest(of("payment_terms"), of("due_date"))),
+        "total_amount": less(F.col("misread").isNotNull(), "total_amount", 10, 85),
+        "currency": of("currency"),
+    }
+    done = step.withColumns(
+        {
+            "codes": F.array_compact(codes),
+            "corrections": F.array_compact(corrections),
+            "_confidences": F.array_compact(F.array(*[confidences[f].cast("double") for f in CHECKED])),
+        }
     )
-    overall = overall_confidence(F.col("confidences"), F.col("codes"))
-    critical = F.exists("codes", lambda c: ~c.isin(*INFORMATIONAL, "date_reformatted"))
-    return done.withColumn("overall_confidence", overall).select(
+    critical = F.exists("codes", lambda c: ~c.isin(*INFORMATIONAL)) | F.arrays_overlap("corrections", F.array(*map(F.lit, CRITICAL_CORRECTIONS)))
+    return done.withColumn("overall_confidence", overall_confidence(F.col("_confidences"), F.col("codes"))).select(
         "doc_id",
+        "vendor",
         "number",
         "date",
+        F.col("due").alias("due_date"),
+        F.col("terms").alias("payment_terms"),
         F.coalesce("misread", F.col("total.amount")).alias("total"),
+        F.col("code").alias("currency"),
         F.col("type.kind").alias("document_type"),
         F.array_join("codes", ",").alias("codes"),
+        F.array_join("corrections", ",").alias("corrections"),
         "overall_confidence",
         (critical | (F.col("overall_confidence") < 85) | (F.col("type.kind") == "credit_note")).alias("needs_review"),
     )

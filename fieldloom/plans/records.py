@@ -143,18 +143,22 @@ def decimal_error_from_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def validation_pipeline(spark: SparkSession, folder: str) -> DataFrame:
-    docs = render.documents(spark, folder)
+    """Raw fields of rendered documents, some unreadable, swapped or missing."""
     k = F.col("doc_id")
-    fields = docs.select(
+    dated = table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id"), F.date_format(F.date_add("o_orderdate", 30), "MM/dd/yyyy").alias("later"))
+    due = F.when(k % 4 == 1, "NET 30 DAYS").when(k % 4 == 2, F.col("later")).when(k % 4 == 3, "November 35x")
+    given = {"vendor_name": 65 + k % 30, "invoice_number": 80 + k % 20, "invoice_date": 75 + k % 25, "due_date": F.when(k % 4 != 0, 60 + k % 35), "total_amount": 82 + k % 18, "currency": F.lit(90)}
+    fields = render.documents(spark, folder).join(dated, "doc_id").select(
         "doc_id",
-        "text",
-        F.when(k % 9 == 0, F.lit("n/a")).otherwise(F.concat(F.lit("INV-"), k.cast("string"))).alias("invoice_number"),
-        F.col("date_text").alias("invoice_date"),
-        F.lit(None).cast("string").alias("due_date"),
+        F.concat("text", F.when(k % 6 == 2, "\nBill To: Blue Harbor Works").otherwise("")).alias("text"),
+        F.when(k % 6 == 0, "Acme Ltd").when(k % 6 == 1, "John Smith").when(k % 6 == 2, "Blue Harbor Works").otherwise("Northern Trading Co").alias("vendor_name"),
+        F.lit("Acme Ltd").alias("customer_name"),
+        F.when(k % 9 == 0, F.lit("n/a")).otherwise(F.concat(F.when(k % 9 == 1, "#: INV-").otherwise("INV-"), k.cast("string"))).alias("invoice_number"),
+        F.when(k % 8 == 0, "unreadable").otherwise(F.col("date_text")).alias("invoice_date"),
+        due.alias("due_date"),
         F.col("amount_text").alias("total_text"),
-        (F.lit(80) + k % 20).cast("double").alias("number_confidence"),
-        (F.lit(75) + k % 25).cast("double").alias("date_confidence"),
-        (F.lit(82) + k % 18).cast("double").alias("total_confidence"),
+        F.when(k % 3 == 1, "eur").when(k % 3 == 2, "xyz").alias("currency"),
+        F.create_map(*[x for f, c in given.items() for x in (F.lit(f), c.cast("double"))]).alias("confidences"),
     )
     return validate.validated(fields, F.lit("2000-01-01").cast("timestamp"))
 
@@ -261,18 +265,30 @@ ORACLES = {
     "document_type": f"""WITH {DOCUMENTS} SELECT doc_id, CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'credit_note' WHEN doc_id % 7 = 0 THEN 'quote' ELSE 'invoice' END AS kind,
         CASE WHEN doc_id % 11 = 0 THEN 90.0 WHEN doc_id % 13 = 0 THEN 85.0 WHEN doc_id % 7 = 0 THEN 90.0 ELSE 95.0 END :: DOUBLE AS confidence FROM docs""",
     "decimal_error_from_text": f"""WITH {DOCUMENTS} SELECT doc_id, CASE WHEN doc_id % 4 = 3 OR (doc_id % 4 = 1 AND cents < 100000) THEN round(cents / 100.0, 2) :: DOUBLE END AS suggested FROM docs""",
-    "validation_pipeline": f"""WITH {DOCUMENTS}, d AS (SELECT doc_id, date_text, cents, units, high, rest, CASE WHEN doc_id % 5 = 2 AND day(o_orderdate) <= 12 THEN strftime(o_orderdate, '%Y-%d-%m')
-          ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date, cents / 100.0 :: DOUBLE AS amount FROM docs JOIN parts USING (doc_id, cents)),
-      m AS (SELECT *, (doc_id % 4 = 3 OR (doc_id % 4 = 1 AND high = 0)) AND abs(amount - units :: DOUBLE) < 0.01 :: DOUBLE AS misread FROM d),
-      c AS (SELECT *, [CASE WHEN doc_id % 9 = 0 THEN 'number_invalid' END, CASE WHEN date <> date_text THEN 'date_reformatted' END,
-          CASE WHEN amount > 0.01 AND amount < 10 THEN 'small' WHEN amount > 10000 AND cents % 100 = 0 THEN 'large_whole' WHEN amount > 100000 THEN 'high' END,
-          CASE WHEN misread THEN 'decimal_misread' END,
-          CASE WHEN date :: DATE > DATE '2000-01-01' THEN 'future' WHEN (DATE '2000-01-01' - date :: DATE) / 365.0 > 5 THEN 'older_than_5_years' END] AS every FROM m),
-      k AS (SELECT *, list_filter(every, lambda x: x IS NOT NULL) AS codes, ((CASE WHEN doc_id % 9 = 0 THEN greatest(70, 65 + doc_id % 20) ELSE 80 + doc_id % 20 END) :: DOUBLE + (75 + doc_id % 25)
-          + CASE WHEN misread THEN greatest(85, 72 + doc_id % 18) ELSE 82 + doc_id % 18 END) / 3 AS mean FROM c),
-      o AS (SELECT *, round(greatest(0, mean - least(5 * len(codes), 30)), 2) AS overall_confidence, CASE WHEN doc_id % 11 = 0 THEN 'credit_note' WHEN doc_id % 7 = 0 THEN 'quote' ELSE 'invoice' END AS document_type FROM k)
-      SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN 'INV-' || doc_id END AS number, date, amount AS total, document_type, array_to_string(codes, ',') AS codes, overall_confidence,
-        len(list_filter(codes, lambda x: x <> 'date_reformatted')) > 0 OR overall_confidence < 85 OR document_type = 'credit_note' AS needs_review FROM o""",
+    "validation_pipeline": f"""WITH {DOCUMENTS}, r AS (SELECT doc_id, doc_id AS k, date_text, cents, units, high, o.o_orderdate AS ordered, cents / 100.0 :: DOUBLE AS total,
+          strftime(o.o_orderdate, '%Y-%m-%d') AS iso, CASE WHEN k % 11 <> 0 AND k % 7 <> 0 AND k % 5 <> 0 THEN 'Invoice' ELSE 'Invoice No: INV-' || strftime(o.o_orderdate, '%Y') || '-' || k END AS company,
+          CASE k % 5 WHEN 1 THEN strftime(o.o_orderdate, '%Y-%m-%d') WHEN 3 THEN strftime(o.o_orderdate, '%Y-%m-%d') WHEN 4 THEN strftime(o.o_orderdate, '%Y-%m-') || left(strftime(o.o_orderdate, '%Y'), 2) END AS in_text
+          FROM docs JOIN parts USING (doc_id, cents) JOIN orders o ON doc_id = o_orderkey),
+      d AS (SELECT *, CASE WHEN k % 8 = 0 THEN in_text WHEN k % 5 = 2 AND day(ordered) <= 12 THEN strftime(ordered, '%Y-%d-%m') ELSE iso END AS date,
+          CASE k % 4 WHEN 2 THEN strftime(ordered + INTERVAL 30 DAY, '%Y-%m-%d') WHEN 3 THEN in_text END AS due_date,
+          (k % 4 = 3 OR (k % 4 = 1 AND high = 0)) AND abs(total - units :: DOUBLE) < 0.01 :: DOUBLE AS misread FROM r),
+      c AS (SELECT *, list_filter([CASE k % 6 WHEN 0 THEN 'vendor_equals_customer' WHEN 1 THEN 'vendor_person' WHEN 2 THEN 'vendor_wrong_section' END, CASE WHEN k % 9 = 0 THEN 'number_invalid' END,
+          CASE WHEN date IS NULL THEN 'date_invalid' END, CASE WHEN k % 4 = 3 AND due_date IS NULL THEN 'due_invalid' END,
+          CASE WHEN total > 0.01 AND total < 10 THEN 'small' WHEN total > 10000 AND cents % 100 = 0 THEN 'large_whole' WHEN total > 100000 THEN 'high' END, CASE WHEN misread THEN 'decimal_misread' END,
+          CASE WHEN date :: DATE > DATE '2000-01-01' THEN 'future' WHEN (DATE '2000-01-01' - date :: DATE) / 365.0 > 5 THEN 'older_than_5_years' WHEN due_date < date THEN 'due_before_invoice'
+            WHEN due_date :: DATE - date :: DATE > 180 THEN 'terms_over_180_days' END], lambda x: x IS NOT NULL) AS codes,
+        list_filter([CASE WHEN k % 6 IN (1, 2) THEN 'vendor_corrected' END, CASE WHEN k % 9 = 1 THEN 'number_cleaned' END, CASE WHEN k % 8 <> 0 AND k % 5 <> 0 THEN 'date_reformatted' END,
+          CASE WHEN k % 8 = 0 AND date IS NOT NULL THEN 'date_from_text' END, CASE WHEN k % 4 = 1 THEN 'terms_from_text' END, CASE WHEN k % 4 = 2 THEN 'due_reformatted' END,
+          CASE WHEN k % 4 = 3 AND due_date IS NOT NULL THEN 'due_from_text' END, CASE WHEN misread THEN 'total_corrected' END, CASE WHEN k % 3 = 0 THEN 'currency_inferred' END], lambda x: x IS NOT NULL) AS corrections,
+        (CASE WHEN k % 6 < 3 THEN greatest(60, 45 + k % 30) ELSE 65 + k % 30 END + CASE WHEN k % 9 = 0 THEN greatest(70, 65 + k % 20) ELSE 80 + k % 20 END
+          + CASE WHEN date IS NULL THEN greatest(30, 25 + k % 25) ELSE 75 + k % 25 END + CASE WHEN k % 4 = 0 THEN 0 WHEN k % 4 = 3 AND due_date IS NULL THEN greatest(30, 10 + k % 35) ELSE 60 + k % 35 END
+          + CASE WHEN misread THEN greatest(85, 72 + k % 18) ELSE 82 + k % 18 END + 90) :: DOUBLE / CASE WHEN k % 4 = 0 THEN 5 ELSE 6 END AS mean FROM d),
+      o AS (SELECT *, round(greatest(0, mean - least(5 * len(codes), 30)), 2) AS overall_confidence, CASE WHEN k % 11 = 0 THEN 'credit_note' WHEN k % 7 = 0 THEN 'quote' ELSE 'invoice' END AS document_type FROM c)
+      SELECT doc_id, CASE k % 6 WHEN 0 THEN 'Acme Ltd' WHEN 1 THEN company WHEN 2 THEN 'Northern Trading ' || o_custkey ELSE 'Northern Trading Co' END AS vendor, CASE WHEN k % 9 <> 0 THEN 'INV-' || k END AS number,
+        date, due_date, CASE WHEN k % 4 = 1 THEN 30 END AS payment_terms, total, CASE k % 3 WHEN 1 THEN 'EUR' ELSE 'USD' END AS currency, document_type,
+        array_to_string(codes, ',') AS codes, array_to_string(corrections, ',') AS corrections, overall_confidence,
+        len(codes) > 0 OR len(list_intersect(corrections, ['total_corrected', 'vendor_corrected', 'date_reformatted'])) > 0 OR overall_confidence < 85 OR document_type = 'credit_note' AS needs_review
+      FROM o JOIN (SELECT o_orderkey AS doc_id, o_custkey FROM orders) USING (doc_id)""",
     "invoice_list_page": f"WITH {_SERVED} SELECT * FROM served WHERE status = 'EXTRACTED' AND overall_confidence >= 80 ORDER BY invoice_date DESC, doc_id LIMIT 20 OFFSET 20",
     "dashboard_stats": f"""WITH {_SERVED} SELECT count(*) AS total, count(*) FILTER (WHERE status = 'EXTRACTED') AS processed, count(*) FILTER (WHERE status = 'PROCESSING') AS pending,
         count(*) FILTER (WHERE status = 'FAILED') AS failed, round(sum(coalesce(overall_confidence, 0)) / count(*), 2) AS average_confidence FROM served""",
