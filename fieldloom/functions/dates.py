@@ -218,7 +218,7 @@ def in_line(text: Column) -> Column:
     """The date of a line: with a month's name, with digits and marks or blanks, or of
     any groups of digits that can be month, day and year."""
     as_written = [F.regexp_replace(first_of(text, p, 0), r"\s+", "/") for p in LINE_NUMERIC]
-    digits = F.trim(F.lit("/"), F.regexp_replace(text, "[^0-9]+", "/"))
+    digits = F.trim(F.regexp_replace(text, "[^0-9]+", "/"), F.lit("/"))
     groups = lambda p: F.arrays_zip(*[F.regexp_extract_all(digits, F.lit(p), F.lit(g)).alias(n) for g, n in ((1, "a"), (2, "b"), (3, "c"))])
     collapsed = F.coalesce(
         _plausible(groups(r"(\d{1,2})/(\d{1,2})/(\d{2,4})"), "a", "b", ("a", "b", "c")),

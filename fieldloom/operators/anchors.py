@@ -37,6 +37,11 @@ def _candidate(field: str, value: Column, score: Column) -> Column:
     return F.struct(F.lit(field).alias("field"), value.alias("value"), score.cast("double").alias("score"))
 
 
+def _disqualified(field: str, line: Column) -> Column:
+    word = DISQUALIFIED[field]
+    return F.lower(line).contains(word) if word else F.lit(False)
+
+
 def labelled_text(documents: DataFrame, weight: float = 1.0) -> DataFrame:
     """Candidates of texts (doc_id, text) alone: a value within 80 characters after a field's first label."""
     found = []
@@ -52,15 +57,16 @@ def dates_in_text(documents: DataFrame, weight: float = 1.0) -> DataFrame:
     trimmed = F.filter(F.transform(F.split("text", r"\R"), lambda x: F.trim(x)), lambda x: x != "")
     lines = documents.select("doc_id", trimmed.alias("lines")).select("doc_id", "lines", F.posexplode("lines").alias("line_no", "text"))
     ahead = F.slice("lines", F.col("line_no") + 2, AHEAD)
-    found = []
-    for field, label in DATE_LABELS.items():
-        bad = DISQUALIFIED[field]
-        allowed = (lambda x, bad=bad: ~F.lower(x).contains(bad)) if bad else (lambda x: F.lit(True))
+
+    def candidate(field: str, label: str) -> Column:
+        allowed = lambda x: ~_disqualified(field, x)
         beside = dates.in_line(first_of(F.col("text"), label + r"(.*)$"))
-        fits = F.filter(ahead, lambda x, allowed=allowed: ~x.rlike(DATE_WORDS) & allowed(x))
+        fits = F.filter(ahead, lambda x: ~x.rlike(DATE_WORDS) & allowed(x))
         below = F.try_element_at(F.filter(F.transform(fits, dates.in_line), lambda d: d.isNotNull()), F.lit(1))
         score = F.lit(TEXT_SCORE * weight) + F.when(beside.isNotNull(), BESIDE_BONUS * weight).otherwise(0.0)
-        found.append(F.when(F.col("text").rlike(label) & allowed(F.col("text")), _candidate(field, F.coalesce(beside, below), score)))
+        return F.when(F.col("text").rlike(label) & allowed(F.col("text")), _candidate(field, F.coalesce(beside, below), score))
+
+    found = [candidate(field, label) for field, label in DATE_LABELS.items()]
     return _exploded(lines, found, "line_no")
 
 
@@ -87,17 +93,19 @@ def dates_by_reach(lines: DataFrame) -> DataFrame:
     following line if at most 24 pixels lie between; words read with less than 0.6 do not count."""
     following = Window.partitionBy(*PAGE).orderBy("line_no")
     rows = lines.withColumns({"next_text": F.lead("text").over(following), "gap": F.lead("top").over(following) - F.col("bottom")})
-    found = []
-    for field, label in DATE_LABELS.items():
-        # the label's last word is the one whose text ends with the label's last letters
+
+    def candidate(field: str, label: str) -> Column:
+        # the label ends at the first word that reads like its last one
         last = F.lower(F.regexp_extract(F.regexp_extract("text", label, 0), r"(\w+)$", 1))
-        ends = F.filter("words", lambda w, last=last: F.lower(F.regexp_replace(w["text"], r"\W", "")) == last)
+        ends = F.filter("words", lambda w: F.lower(F.regexp_replace(w["text"], r"\W", "")) == last)
         edge = F.try_element_at(ends, F.lit(1))["x1"]
-        near = F.filter("words", lambda w, edge=edge: w["x0"].between(edge, edge + REACH_X) & (w["conf"] >= LEAST_CONF))
+        near = F.filter("words", lambda w: w["x0"].between(edge, edge + REACH_X) & (w["conf"] >= LEAST_CONF))
         beside = dates.in_line(F.array_join(F.transform(near, lambda w: w["text"]), " "))
         below = F.when((F.col("gap") <= REACH_Y) & ~F.col("next_text").rlike(DATE_WORDS), dates.in_line(F.col("next_text")))
-        bad = F.lower("text").contains(DISQUALIFIED[field]) if DISQUALIFIED[field] else F.lit(False)
-        found.append(F.when(F.col("text").rlike(label) & ~bad, _candidate(field, F.coalesce(beside, below), F.col("conf") * F.col("weight"))))
+        score = F.col("conf") * F.col("weight")
+        return F.when(F.col("text").rlike(label) & ~_disqualified(field, F.col("text")), _candidate(field, F.coalesce(beside, below), score))
+
+    found = [candidate(field, label) for field, label in DATE_LABELS.items()]
     return _exploded(rows, found, "line_no")
 
 

@@ -162,19 +162,40 @@ def _value(word: str) -> float | None:
         return None
 
 
+def _clusters(centres: list[float], width: float) -> list[float]:
+    """Centres of columns of numbers, by the same gap as ``numeric_columns``."""
+    groups: list[list[float]] = []
+    for x in sorted(centres):
+        if groups and x - groups[-1][-1] <= max(LEAST_GAP, width * GAP_SHARE):
+            groups[-1].append(x)
+        else:
+            groups.append([x])
+    return [sum(g) / len(g) for g in groups]
+
+
 def items_of_page(tokens: list[dict]) -> list[dict]:
-    """Line items of one page: columns under a header of two or more roles, rows
-    below it, lines of text alone joining the row above."""
+    """Line items of one page: columns under a header of two or more roles, rows below it,
+    lines of text alone joining the row above. Without such a header the columns are the
+    clusters of numbers: the first a quantity, the last the amount, the one before it the
+    price; a header that names no amount gets the last cluster for it."""
     by_line: dict[int, list[dict]] = {}
     for t in tokens:
         by_line.setdefault(t["line_no"], []).append(t)
     lines = [sorted(by_line[k], key=lambda t: (t["x0"], t["tok_no"])) for k in sorted(by_line)]
     centre = lambda t: (t["x0"] + t["x1"]) / 2
     scores = [len({r for t in line if (r := role_of(t["text"]))}) for line in lines[:8]]
-    if not scores or max(scores) < 2:
+    head = scores.index(max(scores)) if scores and max(scores) >= 2 else -1
+    clusters = _clusters([centre(t) for t in tokens if _AMOUNT.match(t["text"])], max((t["x1"] for t in tokens), default=0))
+    if head >= 0:
+        columns = [(centre(t), r) for t in lines[head] if (r := role_of(t["text"]))]
+    else:
+        inner = [(clusters[-2], "unit_price")] if len(clusters) > 2 else []
+        columns = [(clusters[0], "qty"), *inner, (clusters[-1], "amount")] if len(clusters) > 1 else []
+    if clusters and "amount" not in {r for _, r in columns}:
+        columns.append((clusters[-1], "amount"))
+    columns.sort()
+    if not columns:
         return []
-    head = scores.index(max(scores))
-    columns = sorted((centre(t), r) for t in lines[head] if (r := role_of(t["text"])))
     edges = [(a[0] + b[0]) / 2 for a, b in zip(columns, columns[1:])]
     rows: list[dict] = []
     for line in lines[head + 1 :]:

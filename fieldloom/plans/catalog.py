@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldloom.plans import checks, reading, records, scalars, voting
+from fieldloom.plans import checks, fields, reading, records, scalars, voting
 
-_MODULES = (voting, scalars, records, reading, checks)
+_MODULES = (voting, scalars, records, reading, checks, fields)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -93,7 +93,7 @@ def footer_total_pick(spark: SparkSession, folder: str) -> DataFrame:
     return layout.footer_totals(render.tokens(spark, folder)).select("doc_id", "value")
 
 
-def _item_tokens(spark: SparkSession, folder: str) -> DataFrame:
+def item_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines as a page: a header and a line to each item."""
     items = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("doc_id"),
@@ -112,7 +112,7 @@ def _item_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def line_item_parse(spark: SparkSession, folder: str) -> DataFrame:
-    return layout.line_items(layout.grouped_lines(_item_tokens(spark, folder))).select("doc_id", "item_no", "description", "quantity", "amount")
+    return layout.line_items(layout.grouped_lines(item_tokens(spark, folder))).select("doc_id", "item_no", "description", "quantity", "amount")
 
 
 def token_match(spark: SparkSession, folder: str) -> DataFrame:

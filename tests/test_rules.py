@@ -176,3 +176,56 @@ def test_display_forms(spark):
     assert column(spark, ["net 30 days", "NET 400", "none"], dates.terms_days) == [30, None, None]
     assert column(spark, ["Invoice: AB-12", "12-05-2024", "no", "#  77-A"], text.number_clean) == ["AB-12", None, None, "77-A"]
     assert column(spark, ["O1-l2", "--"], text.id_normalise) == ["01-12", None]
+
+
+def test_recovered_dates(spark):
+    texts = ["Invoice Date: March 5, 2008", "Terms\nDate: 28, 2008 in April", "Payment due 03/04", "nothing", "", None]
+    labels = dates.INVOICE_DATE_LABELS
+    assert column(spark, texts, lambda c: dates.labelled(c, labels)) == ["March 5, 2008", "28, 2008", None, None, None, None]
+    assert column(spark, texts, lambda c: dates.monthless(c, labels)) == ["Mar 5, 2008", "Apr 28, 2008", None, None, None, None]
+    assert column(spark, texts, lambda c: dates.recovered(c, labels, None, F.lit(None).cast("int"))) == ["2008-03-05", "2008-04-28", None, None, None, None]
+
+
+def test_dates_in_lines(spark):
+    lines = ["due 3rd of may", "May 3rd, 2021 x", "3 May 21", "on 1 2 2021", "on 1 2/2021", "no 2021-02-03 here", "13.2.2021", "", None]
+    want = [None, "05/03/2021", "05/03/2021", "1/2/2021", "1/2/2021", "02/03/2021", None, None, None]
+    assert column(spark, lines, dates.in_line) == want
+
+
+def test_simple_cleaning(spark):
+    assert column(spark, ["on 2020-01-02", "01/02/2020", "01-02-2020", "x ", None], dates.simple) == ["2020-01-02", "2020-01-02", "2020-01-02", "x", ""]
+    assert column(spark, ["usd", "about eur", "12", "", None], text.currency_clean) == ["USD", "ABO", "USD", "USD", "USD"]
+    assert column(spark, ["--A  1", " 7 ", "", None], text.number_simple) == ["A 1", "7", "", ""]
+    assert column(spark, ["1,234.50 and 2.00", "-5,25", "10", None], money.cropped_amount) == ["1234.50", "-5.25", None, None]
+    assert column(spark, ["l2,5O", "abc", None], money.fused_amount) == ["12.50", None, None]
+    assert column(spark, ["48226", "48226 ", "4822", None], lambda c: text.zip_like(c, F.lit("Troy MI 48226"))) == [True, True, False, None]
+
+
+def test_zip_total_is_overridden(spark):
+    votes = spark.createDataFrame([(1, "ocr_fused", "total_amount", "120", 40.0), (1, "donut", "total_amount", "48226", 90.0), (1, "impira", "total_amount", "12.50", 90.0), (2, "ocr_fused", "total_amount", "120", 40.0), (2, "donut", "total_amount", "48226", 90.0), (2, "impira", "total_amount", "12.50", 90.0)], "doc_id long, voter string, field string, value string, confidence double")
+    texts = spark.createDataFrame([(1, "Troy MI 48226"), (2, "total 48226"), (3, None)], "doc_id long, text string")
+    assert [(r.doc_id, float(r.value)) for r in fusion.overrides(votes, texts=texts).collect()] == [(1, 120.0)]
+    assert fusion.overrides(votes).count() == 0
+
+
+def test_merge_branches(spark):
+    votes = spark.createDataFrame([(1, "docling", 0, "a", "x", 90.0)], "doc_id long, voter string, voter_ord int, field string, value string, confidence double")
+    forced = spark.createDataFrame([(1, "a", "y", 85.0), (1, "b", None, 85.0), (2, "c", "z", 85.0)], "doc_id long, field string, value string, confidence double")
+    fused = spark.createDataFrame([(1, "a", "w")], "doc_id long, field string, value string")
+    got = {(r.doc_id, r.field): (r.value, r.agreement) for r in consensus.n_way(votes, forced, fused).collect()}
+    assert got == {(1, "a"): ("y", "forced_template"), (2, "c"): ("z", "forced_template")}
+    assert consensus.n_way(votes, forced.limit(0), fused).first()["value"] == "w"
+    assert consensus.n_way(votes.limit(0), forced.limit(0), fused.limit(0)).count() == 0
+
+
+def test_learned_examples_are_the_last_five(spark):
+    old = spark.createDataFrame([(1, "f", ["a", "b"], 50.0, 2)], "vendor_id long, field string, examples array<string>, confidence double, occurrences long")
+    new = spark.createDataFrame([(1, "f", v, 40.0 + k, k) for k, v in enumerate("bcdef")] + [(1, "_i", "x", 1.0, 1), (2, "f", None, 1.0, 1)], "vendor_id long, field string, value string, confidence double, seen long")
+    assert [tuple(r) for r in templates.learned(old, new).collect()] == [(1, "f", ["b", "c", "d", "e", "f"], 50.0, 7)]
+    assert templates.learned(old, new.limit(0)).first()["examples"] == ["a", "b"]
+
+
+def test_vendor_in_the_wrong_section(spark):
+    rows = spark.createDataFrame([("Blue Harbor Works", None, "From: Red Lake Mill\nBill To: Blue Harbor Works"), ("John Smith", "Acme", "Widget Group\nx"), ("John Smith", "Acme", "x"), ("", "Acme", ""), ("Acme", "ACME", None)], "v string, c string, t string")
+    s = validate.vendor_suggestion(F.col("v"), validate.vendor_check(F.col("v"), F.col("c")), F.col("t"))
+    assert [tuple(r[0]) for r in rows.select(s).collect()] == [("Red Lake Mill", "wrong_section"), ("Widget Group", "person"), (None, "person"), (None, "missing"), (None, "equals_customer")]
