@@ -129,23 +129,25 @@ def _blocks(pieces: DataFrame, chars: int) -> tuple[int, Callable[[int], list[tu
 
 
 def _searched(rows: DataFrame, items: list, window: int, item_type: T.DataType) -> DataFrame:
-    """``rows`` (with a column text) with hit (word numbers) and items in its place."""
+    """``rows`` (with a column text) with n_words, hit (word numbers) and items in its place."""
     key, arrow_type = uuid.uuid4().hex, pa.list_(to_arrow_type(item_type))
     kept = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _searchers(key, items, window)
         for b in batches:
-            hit, listed = [], []
+            n_words, hit, listed = [], [], []
             for text in b.column("text"):
                 own, found = hits(words(text.as_py()), tables)
+                n_words.append(len(own))
                 hit.append([i for i, x in enumerate(own) if x])
                 listed.append(sorted(found))
             yield pa.RecordBatch.from_arrays(
-                [*map(b.column, kept), pa.array(hit, pa.list_(pa.int32())), pa.array(listed, arrow_type)], [*kept, "hit", "items"]
+                [*map(b.column, kept), pa.array(n_words, pa.int64()), pa.array(hit, pa.list_(pa.int32())), pa.array(listed, arrow_type)],
+                [*kept, "n_words", "hit", "items"],
             )
 
-    more = [T.StructField("hit", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(item_type))]
+    more = [T.StructField("n_words", T.LongType()), T.StructField("hit", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(item_type))]
     return rows.mapInArrow(run, T.StructType([*rows.select(*kept).schema, *more]))
 
 
@@ -155,7 +157,7 @@ def _hits_by_text(docs: DataFrame, n: int, block, window: int, item_type: T.Data
     path = common.scratch_path(spark, "benchmark-hits")
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
     for i in range(n):
-        found = _searched(rows, block(i), window, item_type).where(F.size("hit") > 0)
+        found = _searched(rows, block(i), window, item_type).drop("n_words").where(F.size("hit") > 0)
         found.write.mode("append").parquet(path)
     return (
         spark.read.parquet(path)
@@ -175,12 +177,12 @@ def contamination(
     item_type = benchmark.schema["item_id"].dataType
     pieces = _pieces(benchmark, window)
     n, block = _blocks(pieces, block_chars)
-    n_words = F.coalesce(F.regexp_count("text", F.lit(_SPARK_WORD)), F.lit(0)).cast("long").alias("n_words")
     if n == 1:
-        found = _searched(docs.select("doc_id", n_words, "text"), block(0), window, item_type)
+        found = _searched(docs.select("doc_id", "text"), block(0), window, item_type)
     else:
         marked = _hits_by_text(docs, n, block, window, item_type).withColumnRenamed("doc_id", "hit_id").withColumnRenamed("text_hash", "hit_hash")
-        rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), n_words)
+        counted = _searched(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), [], window, item_type)
+        rows = counted.select("doc_id", "text_hash", "n_words")
         same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
         none = lambda c: F.coalesce(c, F.array().cast(marked.schema[c].dataType))
         found = rows.join(marked, same, "left").select("doc_id", "n_words", none("hit").alias("hit"), none("items").alias("items"))
