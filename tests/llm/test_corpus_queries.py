@@ -15,7 +15,7 @@ def test_query(spark, duck, folder, name):
     got = queries.QUERIES[name](spark, folder).toPandas()
     if name in queries.ORACLES:
         assert rows(got) == rows(duck.sql(queries.ORACLES[name]).df())
-    elif name != "op2_suffix_dedup":
+    elif name not in ("op2_suffix_dedup", "op11_conversation_repair"):
         table = "pages" if name.startswith("op5") else "documents"
         assert len(got) == common.table(spark, folder, table).count()
 
