@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import decontaminate, filteraudit, htmltext, langid, mixing, nndescent, passages, secrets, simhash, tokenpack, toxicity
+from fieldloom.llm import convrepair, decontaminate, filteraudit, htmltext, langid, mixing, nndescent, passages, secrets, simhash, tokenpack, toxicity
 from fieldloom.llm.common import scratch_path, table
 
 
@@ -56,6 +56,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convrepair.repair(convrepair.damage(table(spark, sf_dir, "conversations")))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_source_mixing": op10_source_mixing,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -78,5 +83,6 @@ ORACLES = {
     "op7_benchmark_decontamination": decontaminate.ORACLE,
     "op9_embedding_near_dedup": nndescent.ORACLE,
     "op10_source_mixing": mixing.ORACLE,
+    "op11_conversation_repair": convrepair.ORACLE,
     "op13_filter_audit": filteraudit.ORACLE,
 }
