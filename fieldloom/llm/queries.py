@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import convrepair, decontaminate, filteraudit, htmltext, langid, mixing, nndescent, passages, secrets, simhash, tokenpack, toxicity
+from fieldloom.llm import convrepair, decontaminate, filteraudit, htmltext, langid, mixing, nndescent, passages, pii, secrets, simhash, tokenpack, toxicity
 from fieldloom.llm.common import scratch_path, table
 
 
@@ -60,6 +60,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convrepair.repair(convrepair.damage(table(spark, sf_dir, "conversations")))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -76,6 +80,7 @@ QUERIES = {
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_source_mixing": op10_source_mixing,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_personal_data": op12_personal_data,
     "op13_filter_audit": op13_filter_audit,
 }
 
