@@ -18,8 +18,11 @@ Cases: null, empty and tagless pages (the text is then all main text) and
 unclosed or stray tags are handled; a page without kept text gives an empty
 text; repeated rows are extracted alike; an empty table gives an empty result;
 without pages to learn from, semantic tags alone decide; other columns are
-ignored, whatever their names. Parsing takes time in proportion to a page,
-however deep its elements are nested.
+ignored, whatever their names. Tags end where HTML says: quotes count only as
+the value of an attribute. A ``<`` that no ``>`` follows is text; after a tag
+that only quoted ``>`` follow, the rest of the page's tags end at their first
+``>``. So each character is scanned a fixed number of times, and parsing takes
+time in proportion to a page, however deep its elements are nested.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,8 +42,6 @@ from fieldloom.llm import common
 
 FIT_PAGES = 250
 TREES, DEPTH, RATE, BINS = 40, 4, 0.2, 32
-#: Levels that an item or cell without an end tag may lie above the next one.
-MAX_LOOK = 256
 
 # Elements by what HTML says of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,15 +70,26 @@ AGAINST_TOKENS = (
     "pagination", "pager", "copyright", "legal", "toolbar", "tags", "disqus", "respond",
 )
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+# Attributes by the rules of HTML: a quote counts only where a value begins, and what is matched is never given back.
+_VALUE = r"""[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:"([^"]*+)"|'([^']*+)'|([^ \t\n\f\r>"'][^ \t\n\f\r>]*+))"""
+_ATTRIBUTE = re.compile(rf"(=?+[^ \t\n\f\r/>=]++|=)(?:{_VALUE})?+")
+_TAG = re.compile(rf"<(/?)([a-zA-Z][^ \t\n\f\r/>]*+)((?:[ \t\n\f\r/]++|{_ATTRIBUTE.pattern})*+)>").match
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^ \t\n\f\r/>]*+)([^>]*+)>").match
+_NAMES = frozenset(("class", "id", "role", "itemprop"))
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
+_REFERENCE = re.compile(r"&#(?:([0-9]{9,})|[xX]([0-9a-fA-F]{9,}));?")
 _FOR, _AGAINST = frozenset(FOR_TOKENS), frozenset(AGAINST_TOKENS)
 TAGS = ("p", "div", "section", "article", "main", "nav", "footer", "header", "aside", "form", "ul", "ol", "li", "a", "table", "td", "h1", "h2", "h3", "blockquote", "pre", "body", "html", "span", "b")
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
 
 
+def _short(m: re.Match) -> str:
+    """A numeric reference of many digits: its character, or U+FFFD beyond all characters."""
+    digits = (m[1] or m[2]).lstrip("0") or "0"
+    return "\ufffd" if len(digits) > 8 else f"&#{digits};" if m[1] else f"&#x{digits};"
+
+
 class Page:
     """A page's elements in document order, and its text runs.
 
@@ -87,79 +98,100 @@ class Page:
     def __init__(self, source: str | None):
         self.tag, self.parent, self.tokens, self.runs = ["#root"], [-1], [()], []
         source = source or ""
-        stack, at, end = [0], 0, len(source)
-        self._open: Counter[str] = Counter()  # open elements by tag
+        self._stack = [0]
+        self._places: dict[str, list[int]] = {}  # where in the stack the elements of a tag are open
+        self._blocks: list[int] = []  # and those that are not inline
+        at, look, end, tag = 0, 0, len(source), _TAG
+        close = source.rfind(">")
+        limit = max(close, source.rfind("<!--"))
         lowered = source.lower() if "<" in source else source
         if len(lowered) != end:  # some letters grow when lowered
             lowered = re.sub("[A-Z]", lambda m: m[0].lower(), source)
-        while at < end:
-            m = _TAG.search(source, at)
-            if m is None:
+        while look < end:
+            start = source.find("<", look)
+            if start < 0 or start > limit:
                 break
-            if m.start() > at:
-                self.runs.append((stack[-1], source[at : m.start()]))
-            at = m.end()
-            if m[2] is None:
-                continue
-            name = m[2].lower()
-            if m[1]:
-                self._close(stack, name)
-                if name not in INLINE:
-                    self.runs.append((stack[-1], None))
+            look, m = start + 1, None
+            if source.startswith("<!--", start):
+                stop = source.find("-->", start + 4)
+                stop = end if stop < 0 else stop + 3
+            elif start > close:
                 continue
-            if name not in INLINE:
-                self.runs.append((stack[-1], None))
-            if name in VOID:
-                continue
-            if name in CLOSES_P:
-                self._close_open_p(stack)
-            if name in SAME_CLOSES:
-                self._close_same(stack, name)
-            if name not in IN_HEAD:
-                self._close(stack, "head")
-            self.tag.append(name)
-            self.parent.append(stack[-1])
-            self.tokens.append(self._tokens(m[3]) if m[3] else ())
-            if name in RAW:  # its content is no markup
-                at = lowered.find(f"</{name}", at)
-                at = end if at < 0 else at
-            stack.append(len(self.tag) - 1)
-            self._open[name] += 1
+            elif source.startswith(("<!", "<?"), start):
+                stop = source.find(">", start) + 1
+            else:
+                m = tag(source, start)
+                if m is None and tag is _TAG:
+                    m = _PLAIN(source, start)
+                    tag = _PLAIN if m else tag
+                if m is None:
+                    continue
+                stop = m.end()
+            if start > at:
+                self.runs.append((self._stack[-1], source[at:start]))
+            at = look = stop
+            if m is not None:
+                at = look = self._tag(m, lowered)
         if at < end:
-            self.runs.append((stack[-1], source[at:]))
+            self.runs.append((self._stack[-1], source[at:]))
+
+    def _tag(self, m: re.Match, lowered: str) -> int:
+        """Opens or closes an element; the place where reading goes on."""
+        name = m[2].lower()
+        if m[1]:
+            self._close(name)
+        if name not in INLINE:
+            self.runs.append((self._stack[-1], None))
+        if m[1] or name in VOID:
+            return m.end()
+        if name in CLOSES_P:
+            self._close_open_p()
+        if name in SAME_CLOSES:
+            self._close_same(name)
+        if name not in IN_HEAD:
+            self._close("head")
+        self.tag.append(name)
+        self.parent.append(self._stack[-1])
+        self.tokens.append(self._tokens(m[3]) if m[3] else ())
+        self._places.setdefault(name, []).append(len(self._stack))
+        if name not in INLINE:
+            self._blocks.append(len(self._stack))
+        self._stack.append(len(self.tag) - 1)
+        if name in RAW:  # its content is no markup
+            at = lowered.find(f"</{name}", m.end())
+            return len(lowered) if at < 0 else at
+        return m.end()
 
     @staticmethod
     def _tokens(attributes: str) -> tuple[str, ...]:
-        return tuple(t.lower() for m in _ATTR.finditer(attributes) for t in _TOKEN.findall(m[1] or m[2] or m[3] or ""))
-
-    def _cut(self, stack: list[int], k: int) -> None:
-        self._open.subtract(self.tag[i] for i in stack[k:])
-        del stack[k:]
-
-    def _close(self, stack: list[int], name: str) -> None:
-        if self._open[name]:
-            k = len(stack) - 1
-            while self.tag[stack[k]] != name:
-                k -= 1
-            self._cut(stack, k)
-
-    def _close_open_p(self, stack: list[int]) -> None:
-        if self._open["p"]:
-            for k in range(len(stack) - 1, 0, -1):
-                tag = self.tag[stack[k]]
-                if tag == "p":
-                    return self._cut(stack, k)
-                if tag not in INLINE:
-                    return
-
-    def _close_same(self, stack: list[int], name: str) -> None:
-        if any(self._open[t] for t in SAME_CLOSES[name]):
-            for k in range(len(stack) - 1, max(0, len(stack) - 1 - MAX_LOOK), -1):
-                tag = self.tag[stack[k]]
-                if tag in SCOPES[name]:
-                    return
-                if tag in SAME_CLOSES[name]:
-                    return self._cut(stack, k)
+        own = (m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in _NAMES)
+        return tuple(t.lower() for value in own for t in _TOKEN.findall(value))
+
+    def _last(self, *names: str) -> int:
+        """The place of the innermost open element of these tags, or -1."""
+        return max((places[-1] for n in names if (places := self._places.get(n))), default=-1)
+
+    def _cut(self, k: int) -> None:
+        for i in self._stack[k:]:
+            self._places[self.tag[i]].pop()
+        while self._blocks and self._blocks[-1] >= k:
+            self._blocks.pop()
+        del self._stack[k:]
+
+    def _close(self, name: str) -> None:
+        if (k := self._last(name)) > 0:
+            self._cut(k)
+
+    def _close_open_p(self) -> None:
+        """Closes an open paragraph that holds nothing but inline elements."""
+        if self._blocks and self.tag[self._stack[self._blocks[-1]]] == "p":
+            self._cut(self._blocks[-1])
+
+    def _close_same(self, name: str) -> None:
+        """Closes the item or cell before, unless a list or table lies between."""
+        k = self._last(*SAME_CLOSES[name])
+        if k > self._last(*SCOPES[name]):
+            self._cut(k)
 
     def features(self) -> np.ndarray:
         n = len(self.tag)
@@ -272,7 +304,7 @@ class Page:
                 now.append(text)
         if now:
             blocks.append("".join(now))
-        clean = (_SPACE.sub(" ", entities.unescape(b)).strip() for b in blocks)
+        clean = (_SPACE.sub(" ", entities.unescape(_REFERENCE.sub(_short, b))).strip() for b in blocks)
         return " ".join(b for b in clean if b)
 
 

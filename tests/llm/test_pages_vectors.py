@@ -6,6 +6,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from fieldloom.llm import common, htmltext, nndescent
 
@@ -66,6 +67,43 @@ def test_deep_pages_take_linear_time():
     assert time.monotonic() - began < 30
 
 
+def body(source):
+    return htmltext.extract([source], None)[0]
+
+
+def test_tags_end_where_html_says():
+    main = lambda inside: body(f"<main>{inside}</main>")
+    assert main("<p title=don't>Hello brave world, it's me</p><p>Second</p>") == "Hello brave world, it's me Second"
+    assert main('<p title="a > b">one</p><p title=\'<p>\'>two</p>') == "one two"
+    assert main("<p a='it\"s' b=\"it's\" c>one</p><p a = x/y / >two</p>") == "one two"
+    assert main('<p " \' x>one</p><p a=">two</p>three') == "one two three"
+    assert main("1 < 2 <b>and</b> 3 <4 </ 5 <é>") == "1 < 2 and 3 <4 </ 5 <é>"
+    assert main("a<!-- <p> > -->b<!x>c<?y>d<!--") == "abcd"
+    assert htmltext.Page('<div data-class="menu" CLASS=post id=\'Side-bar\'>').tokens[1] == ("post", "side", "bar")
+    assert main("&#65;&#0000000000000000065;&#x41;&#" + "9" * 9000 + ";&#" + "0" * 9000 + "66;x") == "AAA\ufffdBx"
+
+
+def test_items_far_above():
+    """An item without an end tag ends at the next one, however deep it is."""
+    for deep in (1, 100, 300, 5000):
+        page = htmltext.Page("<ul><li>" + "<b>" * deep + "one<li>two<ul><li>in</ul><li>three</ul>")
+        items = [i for i, t in enumerate(page.tag) if t == "li"]
+        assert [page.tag[page.parent[i]] for i in items] == ["ul"] * 4
+        assert [page.parent[i] for i in items].count(1) == 3
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ["<a", "<a ", "<a>", "</a>", "<", "<!", "<!--", "<a x='", '<a x="', "<a x=\">", "x=\">\" y='<a ' ", "<p><b>", "<div></div>", "<li><b>", "<td>", "<style>", "<a/", "<a =", "&#1", "&"],
+)
+def test_odd_pages_take_linear_time(piece):
+    for begin, end in (("", ""), ("<a ", '"'), ("<p>" + "<b>" * 50_000, ">"), ("<a x='", "")):
+        began = time.time()
+        page = htmltext.Page(begin + piece * (500_000 // len(piece)) + end)
+        page.text(np.ones(len(page.tag), bool))
+        assert time.time() - began < 10
+
+
 def test_decoding_keeps_only_below_kept():
     page = htmltext.Page("<div><p>a</p><section><p>b</p></section></div>")
     odds = np.array([0, -3, 5, -4, 1.0])
