@@ -16,6 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(*names: str) -> tuple[str, ...]:
+    """Column names that no input has, for what an operator adds and drops again."""
+    mark = uuid.uuid4().hex
+    return tuple(f"_{n}_{mark}" for n in names)
+
+
+def quoted(columns: list[str]) -> list[str]:
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

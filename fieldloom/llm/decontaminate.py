@@ -206,17 +206,19 @@ def clean(
     n, block = _blocks(pieces, block_chars)
     if n > 1:
         marked = _hits_by_text(docs, n, block, window, benchmark.schema["item_id"].dataType)
-        marked = marked.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"))
-        same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_hash"))
+        hit_id, hit_hash = common.unused("id", "hash")
+        marked = marked.select(F.col("doc_id").alias(hit_id), F.col("text_hash").alias(hit_hash))
+        same = F.col("doc_id").eqNullSafe(F.col(hit_id)) & (F.xxhash64("text") == F.col(hit_hash))
         return docs.join(marked, same, "left_anti")
-    items, key = block(0), uuid.uuid4().hex
+    items, key, place = block(0), uuid.uuid4().hex, docs.columns.index("text")
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # Spark refuses names with dots here
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _searchers(key, items, window)
         for b in batches:
-            yield b.filter(pa.array([not any(hits(words(t.as_py()), tables)[0]) for t in b.column("text")], pa.bool_()))
+            yield b.filter(pa.array([not any(hits(words(t.as_py()), tables)[0]) for t in b.column(place)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
 
 
 ORACLE = r"""

@@ -15,11 +15,13 @@ of the cells before them, and there are at most a fixed number of cells to a
 source.
 
 Cases: null or blank text has size 0 and nothing is taken of it but empty
-copies, which change no count of words; a source of size 0 has target 0; equal
-rows are interchangeable, and rows of one doc_id and size are ranked in one
-cell; a null doc_id sorts first, its salt is the length of its text; an empty
-table gives an empty result. Columns that the operator adds replace input columns of the same
-name.
+copies, which change no count of words; a source of size 0 has target 0; rows
+of one doc_id and size are ranked in one cell, by the hashes of their text and
+of their other columns, so that which text is taken never depends on how rows
+lie; a null doc_id sorts first, its salt is the length of its text; an empty
+table gives an empty result. The columns that ``mix`` adds replace input
+columns of the same name, ``sample`` keeps them; columns used inside have names
+that no input has.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ SALTS = 251
 #: Weights of the sources, in order and repeating.
 WEIGHTS = (1, 2, 3)
 CAP = 3
+#: Columns that a mix adds.
+ADDED = ("size", "source_size", "target", "copies", "taken")
 #: Seed of the offset; no value is better than another.
 SEED = 0
 
@@ -82,43 +86,58 @@ def mix(
 ) -> DataFrame:
     """``docs`` (doc_id, source, text and others) with size, source_size,
     target, copies and taken (copies times size)."""
-    named = docs.drop("size", "source_size", "target", "copies", "taken").withColumns(
-        {"size": F.coalesce(F.regexp_count(F.col(text), F.lit(common.WORD)), F.lit(0)).cast("long")}
+    null, source, level, salt, hashed, n, size, before, place, each = common.unused(
+        "null", "source", "class", "salt", "hash", "n", "words", "before", "place", "each"
     )
+    rows = docs.drop(*ADDED)
+    whole = [c for c, kind in zip(common.quoted(rows.columns), rows.dtypes) if not any(x in kind[1] for x in ("map<", "variant"))]
+    named = rows.withColumn("size", F.coalesce(F.regexp_count(F.col(text), F.lit(common.WORD)), F.lit(0)).cast("long"))
     keyed = named.withColumns(
         {
-            "_source": F.coalesce("source", F.lit("")),
-            "_null": F.col("source").isNull(),
-            "_class": size_class(F.col("size")),
-            "_salt": F.pmod(F.coalesce(F.col("doc_id"), F.length(text), F.lit(0)), F.lit(SALTS)).cast("int"),
+            source: F.coalesce("source", F.lit("")),
+            null: F.col("source").isNull(),
+            level: size_class(F.col("size")),
+            salt: F.pmod(F.coalesce(F.col("doc_id"), F.length(text), F.lit(0)), F.lit(SALTS)).cast("int"),
+            hashed: F.struct(F.xxhash64(text), F.xxhash64(*whole)),
         }
     )
-    cell = ["_null", "_source", "_class", "_salt"]
-    cells = common.cut(keyed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_words")))
-    sources = cells.groupBy("_null", "_source").agg(F.sum("_words").alias("source_size"))
-    shares = targets(
-        sources.select(F.when(~F.col("_null"), F.col("_source")).alias("source"), "source_size"), weights, cap
-    ).select(F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_source"), "source_size", "target")
-    ahead = Window.partitionBy("_null", "_source").orderBy("_class", "_salt")
-    starts = cells.withColumn(
-        "_before", F.coalesce(F.sum("_n").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).join(shares, ["_null", "_source"]).drop("_n", "_words")
-    place = F.col("_before") + F.row_number().over(Window.partitionBy(*cell).orderBy("size", "doc_id"))
-    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    crossed = lambda k: F.floor(k.cast("double") * F.col("_each") + F.lit(offset(seed)))
+    cell = [null, source, level, salt]
+    cells = common.cut(keyed.groupBy(*cell).agg(F.count(F.lit(1)).alias(n), F.sum("size").alias(size)))
+    sources = cells.groupBy(null, source).agg(F.sum(size).alias("source_size"))
+    shares = targets(sources.select(F.when(~F.col(null), F.col(source)).alias("source"), "source_size"), weights, cap).select(
+        F.col("source").isNull().alias(null), F.coalesce("source", F.lit("")).alias(source), "source_size", "target"
+    )
+    ahead = Window.partitionBy(null, source).orderBy(level, salt)
+    starts = cells.withColumn(before, F.coalesce(F.sum(n).over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    starts = starts.join(shares, [null, source]).drop(n, size)
+    ranked = F.col(before) + F.row_number().over(Window.partitionBy(*cell).orderBy("size", "doc_id", hashed))
+    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    crossed = lambda k: F.floor(k.cast("double") * F.col(each) + F.lit(offset(seed)))
     return (
         keyed.join(starts, cell)
-        .withColumns({"_place": place, "_each": each})
-        .withColumn("copies", (crossed(F.col("_place")) - crossed(F.col("_place") - 1)).cast("long"))
+        .withColumns({place: ranked, each: share})
+        .withColumn("copies", (crossed(F.col(place)) - crossed(F.col(place) - 1)).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop(*cell, "_before", "_place", "_each")
+        .drop(*cell, hashed, before, place, each)
     )
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of a mix, each as many times as it has copies."""
+    (copy,) = common.unused("copy")
     again = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return mixed.where("copies > 0").select(*columns, again.alias("_copy")).drop("_copy")
+    return mixed.where("copies > 0").select(*common.quoted(columns), again.alias(copy)).drop(copy)
+
+
+def sample(
+    docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED
+) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as it is taken, with
+    all their columns, those included whose names :func:`mix` uses."""
+    own = {c: common.unused(c)[0] for c in docs.columns if c.lower() in ADDED}
+    renamed = docs.withColumnsRenamed(own)
+    emitted = emit(mix(renamed, text, weights, cap, seed), renamed.columns)
+    return emitted.withColumnsRenamed({new: old for old, new in own.items()})
 
 
 ORACLE = f"""

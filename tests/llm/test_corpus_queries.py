@@ -74,3 +74,33 @@ def test_near_dedup_keeps_unrelated_texts_of_one_id(spark, docs, prose):
     got = corpus_pipeline.near_dedup(spark, table, "")
     assert got.columns == table.columns
     assert Counter((r["doc_id"], r["text"], r["source"]) for r in got.collect()) == Counter([(1, a, "s"), (1, b, "r"), (3, c, "s"), (None, c, "s")])
+
+
+CLASHING = {"kept_id": "1", "kept_hash": "2L", "row": "'r'", "hit_id": "3L", "hit_hash": "4L", "_salt": "'s'", "_copy": "5", "size": "7",
+            "copies": "0", "taken": "'t'", "target": "1.5D", "_row": "6", "items": "array(1)", "text_hash": "'h'", "fp": "9L", "m": "map('a', doc_id)", "a.b": "8"}
+
+
+def test_stages_keep_clashing_columns(spark, docs, prose):
+    table = docs([(i, prose(60 + i, i % 7), "en", "s" if i % 3 else None) for i in range(30)] + [(None, prose(50, 99), "en", "s")])
+    table = table.selectExpr("doc_id", "text", "lang", "source", "n_chars", *[f"{v} AS `{k}`" for k, v in CLASHING.items()])
+    items = spark.createDataFrame([(k, prose(40, 1 if k == 3 else 200 + k)) for k in range(30)], "item_id long, text string")
+    plain = lambda rows: sorted(str({k: v for k, v in r.asDict().items()}) for r in rows)
+    given = plain(table.collect())
+    for stage in (
+        lambda d: corpus_pipeline.near_dedup(spark, d, ""),
+        lambda d: decontaminate.clean(d, items),
+        lambda d: decontaminate.clean(d, items, block_chars=2000),
+        mixing.sample,
+    ):
+        got = stage(table)
+        assert got.columns == table.columns
+        rows = plain(got.collect())
+        assert rows and set(rows) <= set(given)
+    assert plain(decontaminate.clean(table, items).collect()) == plain(decontaminate.clean(table, items, block_chars=2000).collect())
+
+
+def test_the_mix_does_not_depend_on_partitions(spark, docs, prose):
+    table = docs([(1, prose(30, i), "en", "a") for i in range(40)] + [(2, prose(30, 5), "en", "b")] * 60)
+    taken = [Counter((r["doc_id"], r["text"]) for r in mixing.sample(table.repartition(n)).collect()) for n in (1, 3, 7)]
+    assert taken[0] == taken[1] == taken[2]
+    assert 0 < sum(v for (d, _), v in taken[0].items() if d == 1)
