@@ -26,10 +26,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies; of equal rows one stays. Rows with a null doc_id belong to no group
     and all stay."""
     named = docs.where("doc_id is not null")
-    kept = simhash.representatives(named).select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
-    whole = named.join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash")))
-    first = whole.groupBy("kept_id", "kept_hash").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return first.unionByName(docs.where("doc_id is null"))
+    kept_id, kept_hash, row = common.unused("id", "hash", "row")
+    kept = simhash.representatives(named).select(F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash))
+    whole = named.join(kept, (F.col("doc_id") == F.col(kept_id)) & (F.xxhash64("text") == F.col(kept_hash)))
+    columns = common.quoted(docs.columns)
+    unordered = [c for c, (_, kind) in zip(columns, docs.dtypes) if "map<" in kind or "variant" in kind]
+    if unordered:  # such columns are ordered by their JSON
+        order = F.struct(*[F.to_json(F.struct(c)) if c in unordered else F.col(c) for c in columns])
+        least = F.min_by(F.struct(*columns), order)
+    else:
+        least = F.min(F.struct(*columns))
+    first = whole.groupBy(kept_id, kept_hash).agg(least.alias(row)).select(f"{row}.*")
+    return first.union(docs.where("doc_id is null"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +47,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Emits each document as often as the mix of sources takes it."""
-    return mixing.emit(mixing.mix(docs), docs.columns)
+    return mixing.sample(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
