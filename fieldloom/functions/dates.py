@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldloom.functions.text import first_case, first_of
+from fieldloom.functions.text import digit_repair, first_case, first_of
 
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 NAMES = (
@@ -227,6 +227,20 @@ def in_line(text: Column) -> Column:
     return F.coalesce(month_date(text), *as_written, collapsed)
 
 
+def fused(value: Column) -> Column:
+    """The date of recognised words: with a month's name, else the first three numbers with
+    marks between them, letters read for digits mended; null if there are none."""
+    mended = digit_repair(value)
+    digits = F.trim(F.regexp_replace(mended, "[^0-9]+", "/"), F.lit("/"))
+    year, month, day = _matched(digits, r"(\d{4})/(\d{1,2})/(\d{1,2})", 3)
+    return F.coalesce(
+        month_date(value),
+        first_of(mended, r"(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})", 0),
+        first_of(digits, r"(\d{1,2})/(\d{1,2})/(\d{2,4})", 0),
+        F.when(year.isNotNull(), F.concat_ws("/", month, day, year)),
+    )
+
+
 def cropped(text: Column, as_of: Column) -> Column:
     """The first date with a year of four digits, from five years before to two after ``as_of``, as ISO; null if none."""
     named = F.regexp_extract_all(text, F.lit(r"(?i)\b((?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\s+\d{1,2},\s*\d{4})\b"), F.lit(1))

@@ -29,6 +29,11 @@ def first_of(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def first_case(cases: list[tuple[Column, Column]], otherwise: Column) -> Column:
     out = F.when(*cases[0])
     for condition, value in cases[1:]:
