@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldloom.functions import text
-from fieldloom.operators import consensus
-from fieldloom.sources import files
+from fieldloom.operators import consensus, vendors
+from fieldloom.sources import files, sinks
 
 _STATE = "vendor_name string, confidence double, invoice_count long, last_seen timestamp"
 _VENDOR = f"vendor_fingerprint string, {_STATE}"
@@ -65,3 +65,16 @@ def resolved_to(votes: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
         consensus.field_vote(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return votes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def vendors_to(documents: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps a table of vendors (see ``sources.sinks``) up to date with documents that arrive.
+
+    A batch is reduced to its distinct names before vendors meet, so a vendor with many
+    documents is no hot group, and a batch that is run again is applied once."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        empty = batch.sparkSession.createDataFrame([], f"{_VENDOR.replace('long', 'int')}")
+        sinks.changed(batch.sparkSession, path, lambda old: vendors.upserted(empty if old is None else old, batch), number)
+
+    return documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
