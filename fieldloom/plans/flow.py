@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.functions import records
+from fieldloom.operators import multipage
 from fieldloom.plans import render
 from fieldloom.plans.sql import CORRECTIONS, TALLY, VOTES
+from fieldloom.session import table
+from fieldloom.sources import routing, sinks
 from fieldloom.streaming import templated
 
 VENDORS = 150
@@ -28,11 +32,166 @@ def template_refresh(spark: SparkSession, folder: str) -> DataFrame:
     return templated.records(votes, _corrections(spark, folder), LEAST)
 
 
-QUERIES = {f.__name__: f for f in (template_refresh,)}
+def _named_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages as files of seven kinds, a third of them broken."""
+    k, broken = F.col("page_id"), F.col("page_id") % 3 == 0
+    part = lambda *x: F.concat(*[y if isinstance(y, Column) else F.lit(y) for y in x])
+    n = k.cast("string")
+    kinds = (
+        ("csv", F.when(broken, part('page,"', n)).otherwise(part("page,", n, '\n\nlen,"', F.length("html").cast("string"), ',x"\n'))),
+        ("json", F.when(broken, part('{"id": ', n)).otherwise(part('{"id": ', n, ', "sub": {"n": [', n, "]}}"))),
+        ("txt", F.col("html")),
+        ("pdf", F.when(broken, n).otherwise(part("%PDF-", n))),
+        ("exe", F.lit("MZ")),
+        ("jsonl", F.when(broken, part('{"a": 1}\n[2]\n')).otherwise(part('{"a": 1}\n\n{"b": null}\n'))),
+        ("html", F.when(broken, "").otherwise(F.col("html"))),
+    )
+    chosen = F.element_at(F.array(*[F.struct(F.lit(e).alias("ending"), c.alias("content")) for e, c in kinds]), (k % 7 + 1).cast("int"))
+    rows = table(spark, folder, "pages").where("page_id is not null").select("page_id", F.coalesce("html", F.lit("")).alias("html")).select("page_id", chosen.alias("f"))
+    content = F.col("f.content").cast("binary")
+    return rows.select(
+        part("in/", n, ".", F.col("f.ending")).alias("path"), F.lit("2024-01-01").cast("timestamp").alias("modificationTime"), F.octet_length(content).cast("long").alias("length"), content.alias("content")
+    )
+
+
+def routed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """What each file becomes, with the numbers of its cells, records and characters."""
+    rows = routing.routed(_named_files(spark, folder))
+    size = lambda c: F.coalesce(F.array_size(c), F.lit(0))
+    return rows.select(
+        "path", "route", "reason", size("cells").alias("cells"), size("records").alias("records"), F.coalesce(F.length("text"), F.lit(0)).alias("chars")
+    )
+
+
+def table_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers merged with what their newest order says, a column of which is new."""
+    old = table(spark, folder, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("segment"), F.round("c_acctbal", 2).alias("balance"))
+    new = table(spark, folder, "orders").select(
+        F.col("o_custkey").alias("key"), "o_orderdate", "o_orderkey", F.round("o_totalprice", 2).alias("balance"), F.col("o_orderstatus").alias("last_status")
+    )
+    return sinks.merged(old, new, ["key"], ["o_orderdate", "o_orderkey"])
+
+
+def _open(spark: SparkSession, folder: str) -> DataFrame:
+    """Two JSON records of every order, with nulls, lists, no records and missing keys."""
+    k, cents = F.col("o_orderkey"), F.round(F.col("o_totalprice") * 100).cast("long").cast("string")
+    text = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
+    left = (
+        F.when(k % 11 == 0, F.lit(None))
+        .when(k % 7 == 0, "[1]")
+        .otherwise(text('{"_page":', k % 4, ',"number":"N-', k, '","total":', F.when(k % 4 == 3, "null").otherwise(cents), ',"vendor":{"id":', F.col("o_custkey"), ',"tags":["x",', k % 3, "]}}"))
+    )
+    right = text('{"extra":{"k":', k % 9, '},"total":', k, F.when(k % 3 == 0, ',"vendor":null').otherwise(""), "}")
+    return table(spark, folder, "orders").select(k.alias("doc_id"), left.alias("l"), right.alias("r"))
+
+
+def open_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Every key of two merged records, what stands at paths, and what is carried along unchecked."""
+    left, right = records.record(F.col("l")), records.record(F.col("r"))
+    wins = records.entries(records.right_wins(left, right))
+    keeps = records.entries(records.left_wins(left, right))
+    rows = _open(spark, folder).select("doc_id", "l", "r", F.explode(F.map_keys(wins)).alias("key"), wins.alias("wins"), keeps.alias("keeps"))
+    marked = records.path_set(left, "vendor.seen.at", records.variant(F.col("doc_id")))
+    carried = records.entries(records.carried(right, left, ("total", "vendor")))
+    return rows.select(
+        "doc_id", "key", records.shown(F.col("wins")[F.col("key")]).alias("right_wins"), records.shown(F.col("keeps")[F.col("key")]).alias("left_wins"),
+        records.path_get(left, "vendor.tags.1", "int").alias("tag"), records.path_get(marked, "vendor.seen.at", "long").alias("seen_at"), records.path_get(marked, "vendor.id", "long").alias("vendor_id"),
+        F.array_join(F.array_sort(F.map_keys(carried)), ",").alias("carried"),
+    )
+
+
+#: Pages of eight orders are one document.
+MOST_ITEMS = 40
+
+
+def _pages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    line = table(spark, folder, "lineitem")
+    doc, page = F.floor(F.col("l_orderkey") / 8).alias("doc_id"), ((F.col("l_orderkey") % 8) * 7 + F.col("l_linenumber")).alias("page")
+    rows = line.select(doc, page, "l_suppkey", "l_quantity", F.round("l_extendedprice", 2).alias("price"))
+    number = F.when(F.col("page") % 5 != 0, F.concat(F.lit("N-"), F.col("doc_id").cast("string"), F.when((F.col("doc_id") % 3 == 0) & (F.col("page") % 2 == 0), "b").otherwise("")))
+    pages = rows.select("doc_id", "page", number.alias("invoice_number"), F.format_string("%.2f", "price").alias("total_amount"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("vendor_name"))
+    item = F.explode(F.array(F.lit(1), F.lit(2))).alias("item_no")
+    items = rows.select("doc_id", "page", item, "l_quantity", "price").select(
+        "doc_id", "page", "item_no", F.lit("part").alias("description"), F.col("l_quantity").alias("quantity"), F.lit(None).cast("double").alias("unit_price"), F.format_string("%.2f", F.col("price") * F.col("item_no")).alias("amount")
+    )
+    return pages, items
+
+
+def multipage_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of up to 56 pages with their items in order, or the number of those that do not fit, and their other pages."""
+    pages, items = _pages(spark, folder)
+    out = multipage.records(pages, items, MOST_ITEMS)
+    other = F.array_join(F.transform("other_pages", lambda p: F.concat_ws(":", p["page"].cast("string"), F.coalesce(p["invoice_number"], F.lit("-")), p["vendor_name"])), "\n")
+    return out.select("doc_id", "page_count", "multiple_invoices", "invoice_number", "total_amount", "n_items", multipage.concatenated(F.col("line_items")).alias("items"), other.alias("others"), "overflowed")
+
+
+def multipage_overflow(spark: SparkSession, folder: str) -> DataFrame:
+    """The items of documents that hold more than a record does, in long form."""
+    pages, items = _pages(spark, folder)
+    return multipage.overflow(pages, items, MOST_ITEMS).select("doc_id", "place", "page", "item_no", "amount")
+
+
+QUERIES = {f.__name__: f for f in (template_refresh, routed_files, table_upsert, open_records, multipage_records, multipage_overflow)}
 
 _NAMED = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FIELDS.items())
+_PAGES = """p AS (
+  SELECT l_orderkey // 8 AS doc_id, (l_orderkey % 8) * 7 + l_linenumber AS page, l_suppkey, round(l_extendedprice, 2) AS price, l_quantity FROM lineitem
+), each AS (
+  SELECT doc_id, page, min((CASE WHEN page % 5 <> 0 THEN 'N-' || doc_id || CASE WHEN doc_id % 3 = 0 AND page % 2 = 0 THEN 'b' ELSE '' END END, printf('%.2f', price), 'S' || l_suppkey)) AS f FROM p GROUP BY ALL
+), docs AS (
+  SELECT doc_id, count(*) AS page_count, min(page) AS first_page, count(DISTINCT f[1]) = 1 AS single, arg_min(f, page) AS f FROM each GROUP BY doc_id
+), items AS (
+  SELECT p.doc_id, page, n AS item_no, printf('%.2f', price * n) AS amount, l_quantity FROM p, (VALUES (1), (2)) v(n), docs
+  WHERE docs.doc_id = p.doc_id AND (single OR page_count = 1 OR page = first_page)
+), counted AS (
+  SELECT doc_id, count(*) AS n, string_agg(page || ':' || item_no || ':' || amount, chr(10) ORDER BY page, item_no, l_quantity, amount) AS items FROM items GROUP BY doc_id
+), rest AS (
+  SELECT doc_id, count(*) AS n, string_agg(page || ':' || coalesce(each.f[1], '-') || ':' || each.f[3], chr(10) ORDER BY page) AS others
+  FROM each JOIN docs USING (doc_id) WHERE NOT single AND page_count > 1 AND page > first_page GROUP BY doc_id
+)"""
+_FILES = """f AS (
+  SELECT page_id, page_id % 3 = 0 AS broken, coalesce(html, '') AS html, ['csv', 'json', 'txt', 'pdf', 'exe', 'jsonl', 'html'][page_id % 7 + 1] AS ending FROM pages WHERE page_id IS NOT NULL
+), c AS (
+  SELECT *, CASE ending WHEN 'csv' THEN CASE WHEN broken THEN 'page,"' || page_id ELSE 'page,' || page_id || chr(10) || chr(10) || 'len,"' || length(html) || ',x"' || chr(10) END
+    WHEN 'json' THEN CASE WHEN broken THEN '{"id": ' || page_id ELSE '{"id": ' || page_id || ', "sub": {"n": [' || page_id || ']}}' END
+    WHEN 'pdf' THEN CASE WHEN broken THEN page_id :: VARCHAR ELSE '%PDF-' || page_id END WHEN 'exe' THEN 'MZ'
+    WHEN 'jsonl' THEN CASE WHEN broken THEN '{"a": 1}' || chr(10) || '[2]' || chr(10) ELSE '{"a": 1}' || chr(10) || chr(10) || '{"b": null}' || chr(10) END
+    ELSE CASE WHEN broken AND ending = 'html' THEN '' ELSE html END END AS content FROM f
+), s AS (
+  SELECT *, list_filter(string_split(content, chr(10)), lambda x: trim(x) <> '') AS lines FROM c
+), t AS (
+  SELECT *, CASE WHEN strlen(content) > 10485760 THEN 'too_large' WHEN content = '' THEN 'empty' WHEN ending = 'exe' THEN 'unknown_kind'
+    WHEN ending = 'csv' AND (length(content) - length(replace(content, '"', ''))) % 2 = 1 THEN 'bad_csv'
+    WHEN ending IN ('json', 'jsonl') AND NOT list_bool_and(list_transform(lines, lambda x: json_valid(x) AND coalesce(json_type(CASE WHEN json_valid(x) THEN x END) = 'OBJECT', false))) THEN 'bad_json'
+    WHEN ending = 'pdf' AND NOT starts_with(content, '%PDF') THEN 'bad_signature' END AS reason FROM s
+)"""
+_OPEN = """o AS (
+  SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 7 = 0 THEN '{}' ELSE '{"_page":' || o_orderkey % 4 || ',"number":"N-' || o_orderkey || '","total":'
+      || CASE WHEN o_orderkey % 4 = 3 THEN 'null' ELSE (round(o_totalprice * 100) :: BIGINT) :: VARCHAR END || ',"vendor":{"id":' || o_custkey || ',"tags":["x",' || o_orderkey % 3 || ']}}' END AS l,
+    '{"extra":{"k":' || o_orderkey % 9 || '},"total":' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN ',"vendor":null' ELSE '' END || '}' AS r FROM orders
+), k AS (
+  SELECT *, unnest(list_distinct(list_concat(json_keys(l), json_keys(r)))) AS key FROM o
+)"""
 _RESOLVED = TALLY[len(VOTES) :].replace("FROM votes", "FROM every")
 ORACLES = {
+    "routed_files": f"""WITH {_FILES} SELECT 'in/' || page_id || '.' || ending AS path, reason,
+        CASE WHEN reason IS NOT NULL THEN 'failed' WHEN ending IN ('txt', 'html') THEN 'text' WHEN ending = 'pdf' THEN 'binary' WHEN ending = 'jsonl' THEN 'json' ELSE ending END AS route,
+        CASE WHEN reason IS NULL AND ending = 'csv' THEN len(regexp_extract_all(content, '"[^"]*"|[^,\\n"]+')) ELSE 0 END :: INT AS cells,
+        CASE WHEN reason IS NULL AND ending IN ('json', 'jsonl') THEN len(lines) ELSE 0 END :: INT AS records,
+        CASE WHEN reason IS NULL AND ending IN ('txt', 'html') THEN length(content) ELSE 0 END :: INT AS chars FROM t""",
+    "table_upsert": """WITH n AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
+      SELECT coalesce(c_custkey, o_custkey) AS key, c_mktsegment AS segment, coalesce(round(o_totalprice, 2), round(c_acctbal, 2)) AS balance, o_orderdate, o_orderkey, o_orderstatus AS last_status
+      FROM customer FULL JOIN n ON c_custkey = o_custkey""",
+    "open_records": f"""WITH {_OPEN} SELECT doc_id, key,
+        CAST(CASE WHEN list_contains(json_keys(r), key) THEN json_extract(r, '$.' || key) ELSE json_extract(l, '$.' || key) END AS VARCHAR) AS right_wins,
+        CAST(CASE WHEN list_contains(json_keys(l), key) THEN json_extract(l, '$.' || key) ELSE json_extract(r, '$.' || key) END AS VARCHAR) AS left_wins,
+        json_extract(l, '$.vendor.tags[1]') :: INT AS tag, doc_id AS seen_at, json_extract(l, '$.vendor.id') :: BIGINT AS vendor_id,
+        array_to_string(list_sort(list_distinct(list_concat(json_keys(r), list_filter(json_keys(l), lambda x: x NOT IN ('total', 'vendor'))))), ',') AS carried FROM k""",
+    "multipage_records": f"""WITH {_PAGES} SELECT doc_id, page_count, page_count > 1 AND NOT single AS multiple_invoices, f[1] AS invoice_number, f[2] AS total_amount, coalesce(counted.n, 0) AS n_items,
+        CASE WHEN counted.n <= {MOST_ITEMS} THEN items END AS items, CASE WHEN coalesce(rest.n, 0) <= {MOST_ITEMS} THEN coalesce(others, '') END AS others,
+        counted.n > {MOST_ITEMS} OR coalesce(rest.n, 0) > {MOST_ITEMS} AS overflowed FROM docs LEFT JOIN counted USING (doc_id) LEFT JOIN rest USING (doc_id)""",
+    "multipage_overflow": f"""WITH {_PAGES} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, item_no, l_quantity, amount) AS place, page, item_no, amount
+      FROM items JOIN counted USING (doc_id) WHERE n > {MOST_ITEMS}""",
     "template_refresh": f"""WITH {VOTES}, {CORRECTIONS}, named AS (
         SELECT vendor_id, CASE field_name {_NAMED} END AS field, corrected_value, created_at, id FROM corrections
       ), distinct_values AS (
