@@ -135,6 +135,17 @@ def known_vendor_mismatch(vendor: Column, known: Column) -> Column:
     return F.coalesce((v != "") & (k != "") & ~v.contains(k) & ~k.contains(v), F.lit(False))
 
 
+def with_items_and_vendors(fields: DataFrame, items: DataFrame, known: DataFrame) -> DataFrame:
+    """Fields with what their items (doc_id, amount) and known vendor (doc_id, vendor_name) say.
+
+    All three meet by doc_id alone, items in partial sums, so each is dealt once."""
+    sums = items.groupBy("doc_id").agg(
+        F.sum(F.col("amount").cast("decimal(20,4)")).cast("double").alias("items_sum"), F.count(F.lit(1)).alias("items"), F.count("amount").alias("items_readable")
+    )
+    names = known.groupBy("doc_id").agg(F.min("vendor_name").alias("known_vendor"))
+    return fields.join(sums, "doc_id", "left").join(names, "doc_id", "left")
+
+
 def extra_warnings(codes: Column, poor_image: Column, several_invoices: Column) -> Column:
     """Codes with those of the whole upload before them, the last test first."""
     return F.array_compact(F.concat(F.array(F.when(several_invoices, "several_invoices"), F.when(poor_image, "image_quality")), codes))
@@ -152,7 +163,12 @@ def validated(fields: DataFrame, as_of: Column) -> DataFrame:
     is looked for in the text; terms in place of a due date take its confidence; a missing
     currency is inferred. Steps follow each other as projections, so each row is read once
     and nothing is shuffled. Nulls: a missing due date is no fault, other missing values are.
+
+    With the columns of :func:`with_items_and_vendors` the items must sum to the total, a round
+    total must be near them, and the vendor be the known one; documents without items or a
+    known vendor pass. A column po_number is cleaned and passed on.
     """
+    crossed, ordered = "items_sum" in fields.columns, "po_number" in fields.columns
     amount = money.total_check(F.col("_amount"))
     reason = vendor_check(F.col("vendor_name"), F.col("customer_name"))
     number = text.number_clean(F.col("invoice_number"))
@@ -191,6 +207,13 @@ def validated(fields: DataFrame, as_of: Column) -> DataFrame:
         }
     )
     marked = lambda test, code: F.when(test, code)
+    has_items, sums = F.coalesce(F.col("items"), F.lit(0)) > 0, F.coalesce("items_sum", F.lit(0.0))
+    off = F.round(F.abs(sums - F.col("total.amount")), 4)
+    cross_codes = (
+        marked(has_items & (F.col("total.amount") != 0) & (off > TOLERANCE), "items_differ"),
+        F.when(has_items, money.round_suspicion(F.col("total.amount"), sums)),
+        marked(known_vendor_mismatch(F.col("vendor"), F.col("known_vendor")), "vendor_mismatch"),
+    )
     codes = F.array(
         F.concat(F.lit("vendor_"), F.col("_suggested.code")),
         marked(F.col("number").isNull(), "number_invalid"),
@@ -200,7 +223,9 @@ def validated(fields: DataFrame, as_of: Column) -> DataFrame:
         F.when(~F.col("plausible.ok"), F.col("plausible.code")),
         marked(F.col("misread").isNotNull(), "decimal_misread"),
         F.col("dates"),
+        *(cross_codes if crossed else ()),
     )
+    po = text.po_clean(F.col("po_number"))
     corrections = F.array(
         marked(F.col("_suggested.name").isNotNull(), "vendor_corrected"),
         marked(F.col("number") != F.col("invoice_number"), "number_cleaned"),
@@ -211,6 +236,7 @@ def validated(fields: DataFrame, as_of: Column) -> DataFrame:
         marked(wants_due & F.col("_due").isNull() & F.col("due").isNotNull(), "due_from_text"),
         marked(F.col("misread").isNotNull(), "total_corrected"),
         marked(no_currency, "currency_inferred"),
+        *((marked(po != F.col("po_number"), "po_cleaned"),) if ordered else ()),
     )
     held = F.col("confidences")
     of = lambda field: F.try_element_at(held, F.lit(field))
@@ -247,4 +273,6 @@ def validated(fields: DataFrame, as_of: Column) -> DataFrame:
         F.array_join("corrections", ",").alias("corrections"),
         "overall_confidence",
         (critical | (F.col("overall_confidence") < 85) | (F.col("type.kind") == "credit_note")).alias("needs_review"),
+        *((F.when(has_items, F.round(off, 2)).alias("items_difference"),) if crossed else ()),
+        *((po.alias("po_number"),) if ordered else ()),
     )

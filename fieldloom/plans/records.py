@@ -142,13 +142,13 @@ def decimal_error_from_text(spark: SparkSession, folder: str) -> DataFrame:
     return render.documents(spark, folder).select("doc_id", F.round(validate.misread_amount(amount, F.col("amount_text")), 2).alias("suggested"))
 
 
-def validation_pipeline(spark: SparkSession, folder: str) -> DataFrame:
+def _raw_fields(spark: SparkSession, folder: str) -> DataFrame:
     """Raw fields of rendered documents, some unreadable, swapped or missing."""
     k = F.col("doc_id")
     dated = table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id"), F.date_format(F.date_add("o_orderdate", 30), "MM/dd/yyyy").alias("later"))
     due = F.when(k % 4 == 1, "NET 30 DAYS").when(k % 4 == 2, F.col("later")).when(k % 4 == 3, "November 35x")
     given = {"vendor_name": 65 + k % 30, "invoice_number": 80 + k % 20, "invoice_date": 75 + k % 25, "due_date": F.when(k % 4 != 0, 60 + k % 35), "total_amount": 82 + k % 18, "currency": F.lit(90)}
-    fields = render.documents(spark, folder).join(dated, "doc_id").select(
+    return render.documents(spark, folder).join(dated, "doc_id").select(
         "doc_id",
         F.concat("text", F.when(k % 6 == 2, "\nBill To: Blue Harbor Works").otherwise("")).alias("text"),
         F.when(k % 6 == 0, "Acme Ltd").when(k % 6 == 1, "John Smith").when(k % 6 == 2, "Blue Harbor Works").otherwise("Northern Trading Co").alias("vendor_name"),
@@ -160,7 +160,23 @@ def validation_pipeline(spark: SparkSession, folder: str) -> DataFrame:
         F.when(k % 3 == 1, "eur").when(k % 3 == 2, "xyz").alias("currency"),
         F.create_map(*[x for f, c in given.items() for x in (F.lit(f), c.cast("double"))]).alias("confidences"),
     )
-    return validate.validated(fields, F.lit("2000-01-01").cast("timestamp"))
+
+
+def validation_pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return validate.validated(_raw_fields(spark, folder), F.lit("2000-01-01").cast("timestamp"))
+
+
+def cross_field_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """The same fields with order lines or one item as items, known vendors and order numbers."""
+    k = F.col("doc_id")
+    lines = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.round("l_extendedprice", 2).alias("amount")).where(k % 3 == 1)
+    single = table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id"), F.round("o_totalprice", 2).alias("amount")).where(k % 3 == 0)
+    names = F.when(k % 4 == 1, " northern TRADING").when(k % 4 == 2, "Zenith Ltd").when(k % 4 == 3, "Acme Ltd")
+    known = table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id")).select("doc_id", names.alias("vendor_name"))
+    fields = validate.with_items_and_vendors(_raw_fields(spark, folder), lines.unionByName(single), known)
+    number = F.when(k % 2 == 0, F.concat(F.lit("PO #: "), k.cast("string")))
+    checked = validate.validated(fields.withColumn("po_number", number), F.lit("2000-01-01").cast("timestamp"))
+    return checked.select("doc_id", "codes", "corrections", "needs_review", "items_difference", "po_number")
 
 
 def _served(spark: SparkSession, folder: str) -> DataFrame:
@@ -196,7 +212,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vendor_upsert, vendor_state, vendor_match, vendor_antijoin_new, vendor_stats, sequence_gap, template_rebuild, template_stats, corruption_flags,
-        template_apply, template_lacking, line_items_vs_total, document_type, decimal_error_from_text, validation_pipeline, invoice_list_page, dashboard_stats,
+        template_apply, template_lacking, line_items_vs_total, document_type, decimal_error_from_text, validation_pipeline, cross_field_validation, invoice_list_page, dashboard_stats,
         page_count, status_progress,
     )
 }
@@ -295,3 +311,21 @@ ORACLES = {
     "page_count": f"WITH {_SERVED} SELECT count(*) AS total, ceil(count(*) / 20) :: BIGINT AS pages FROM served",
     "status_progress": f"WITH {_SERVED} SELECT doc_id, status, CASE status WHEN 'EXTRACTED' THEN 100 WHEN 'PROCESSING' THEN 50 ELSE 0 END AS progress FROM served",
 }
+
+# the codes that need items and a known vendor, after those that the fields have by themselves
+ORACLES["cross_field_validation"] = f"""WITH base AS ({ORACLES["validation_pipeline"]}), i AS (
+    SELECT doc_id, sum(amount :: DECIMAL(20, 4)) :: DOUBLE AS s FROM (SELECT l_orderkey AS doc_id, round(l_extendedprice, 2) AS amount FROM lineitem WHERE l_orderkey % 3 = 1
+      UNION ALL SELECT o_orderkey, round(o_totalprice, 2) FROM orders WHERE o_orderkey % 3 = 0) GROUP BY doc_id
+  ), b AS (
+    SELECT base.*, s, CASE WHEN contains(corrections, 'total_corrected') THEN floor(total) ELSE total END AS amount, lower(vendor) AS v,
+      CASE doc_id % 4 WHEN 1 THEN 'northern trading' WHEN 2 THEN 'zenith ltd' WHEN 3 THEN 'acme ltd' END AS known FROM base LEFT JOIN i USING (doc_id)
+  ), n AS (
+    SELECT *, list_filter([CASE WHEN s IS NOT NULL AND amount <> 0 AND round(abs(s - amount), 4) > 0.02 THEN 'items_differ' END,
+      CASE WHEN s IS NOT NULL AND amount % 50 = 0 THEN CASE WHEN amount > 0 AND abs(amount - s) / amount * 100 > 10 THEN 'differs_from_items' WHEN amount >= 1000 AND amount % 100 = 0 THEN 'very_round' END END,
+      CASE WHEN NOT contains(v, known) AND NOT contains(known, v) THEN 'vendor_mismatch' END], lambda x: x IS NOT NULL) AS more FROM b
+  )
+  SELECT doc_id, array_to_string(list_filter([codes, array_to_string(more, ',')], lambda x: x <> ''), ',') AS codes,
+    array_to_string(list_filter([corrections, CASE WHEN doc_id % 2 = 0 AND doc_id >= 1000 THEN 'po_cleaned' END], lambda x: x <> ''), ',') AS corrections,
+    needs_review OR len(list_filter(more, lambda x: x <> 'very_round')) > 0 AS needs_review, round(abs(s - amount), 2) AS items_difference,
+    CASE WHEN doc_id % 2 = 0 AND doc_id >= 1000 THEN doc_id :: VARCHAR END AS po_number FROM n"""
+
