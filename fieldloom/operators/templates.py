@@ -120,9 +120,10 @@ def recorded(documents: DataFrame, created_at: Column) -> DataFrame:
 
     ``extracted_data`` gives the value before; the id is a hash of document, field and
     time, so that a repeated write holds the same rows."""
-    rows = documents.select("doc_id", "vendor_id", "extracted_data", F.explode("corrected").alias("field_name", "corrected_value"))
+    timed = documents.withColumn("created_at", created_at)
+    rows = timed.select("doc_id", "vendor_id", "extracted_data", "created_at", F.explode("corrected").alias("field_name", "corrected_value"))
     before = F.try_element_at("extracted_data", F.col("field_name"))
-    return rows.withColumns({"original_value": before, "created_at": created_at}).where(~F.col("corrected_value").eqNullSafe(F.col("original_value"))).select(
+    return rows.withColumn("original_value", before).where(~F.col("corrected_value").eqNullSafe(F.col("original_value"))).select(
         F.xxhash64("doc_id", "field_name", "created_at").alias("id"), "doc_id", "vendor_id", "field_name", "original_value", "corrected_value", "created_at"
     )
 

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import records
-from fieldloom.operators import multipage
+from fieldloom.operators import multipage, submit
 from fieldloom.plans import render
-from fieldloom.plans.sql import CORRECTIONS, TALLY, VOTES
+from fieldloom.plans.sql import CORRECTIONS, DOCUMENTS, TALLY, VOTES
 from fieldloom.session import table
 from fieldloom.sources import routing, sinks
 from fieldloom.streaming import templated
@@ -131,7 +131,31 @@ def multipage_overflow(spark: SparkSession, folder: str) -> DataFrame:
     return multipage.overflow(pages, items, MOST_ITEMS).select("doc_id", "place", "page", "item_no", "amount")
 
 
-QUERIES = {f.__name__: f for f in (template_refresh, routed_files, table_upsert, open_records, multipage_records, multipage_overflow)}
+def correction_submit(spark: SparkSession, folder: str) -> DataFrame:
+    """Every fifth document corrected: its record, the anchored corrections and what its vendor's template learns, as rows of one table."""
+    k = F.col("doc_id")
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").cast("timestamp").alias("submitted_at"))
+    docs = render.documents(spark, folder).join(orders, "doc_id")
+    number = F.concat(F.lit("INV-"), F.date_format("submitted_at", "yyyy"), F.lit("-"), k.cast("string"))
+    extracted = F.create_map(F.lit("invoice_number"), F.when(k % 2 == 0, number).otherwise("unread"), F.lit("total_amount"), F.lit("0"), F.lit("note"), F.lit("x"))
+    documents = docs.select("doc_id", F.when(k % 7 != 0, F.pmod(k, F.lit(VENDORS)).cast("long")).alias("vendor_id"), extracted.alias("extracted_data"), F.lit("EXTRACTED").alias("status"))
+    corrected = F.create_map(F.lit("invoice_number"), number, F.lit("total_amount"), F.col("amount_text"), F.lit("currency"), F.lit("EUR"))
+    boxes = F.when(k % 3 == 0, F.create_map(F.lit("currency"), F.array(*map(F.lit, (0.1, 0.2, 0.3, 0.4)))))
+    submissions = docs.where(k % 5 == 0).select("doc_id", corrected.alias("corrected"), boxes.alias("boxes"), F.create_map(F.lit("currency"), F.lit(2)).alias("pages"), "submitted_at")
+    template = spark.createDataFrame([], "vendor_id long, field string, examples array<string>, confidence double, occurrences long")
+    out = submit.submitted(submissions, documents, render.tokens(spark, folder), template)
+    sides = F.array_join(F.transform("bbox", lambda x: F.format_string("%.4f", x)), ",")
+    text = lambda *x: F.concat_ws("|", *x)
+    entries = F.array_join(F.transform(F.array_sort(F.map_entries("extracted_data")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return (
+        out["documents"].select(F.lit("document").alias("part"), k.alias("id"), F.lit("").alias("field"), text("status", entries).alias("value"))
+        .unionByName(out["corrections"].select(F.lit("correction").alias("part"), k.alias("id"), F.col("field_name").alias("field"),
+                                               text(F.coalesce("original_value", F.lit("-")), "corrected_value", F.coalesce(sides, F.lit("-")), F.coalesce(F.col("page").cast("string"), F.lit("-"))).alias("value")))
+        .unionByName(out["template"].select(F.lit("template").alias("part"), F.col("vendor_id").alias("id"), "field", text(F.array_join("examples", ";"), F.col("occurrences").cast("string")).alias("value")))
+    )
+
+
+QUERIES = {f.__name__: f for f in (correction_submit, template_refresh, routed_files, table_upsert, open_records, multipage_records, multipage_overflow)}
 
 _NAMED = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FIELDS.items())
 _PAGES = """p AS (
@@ -174,6 +198,26 @@ _OPEN = """o AS (
 )"""
 _RESOLVED = TALLY[len(VOTES) :].replace("FROM votes", "FROM every")
 ORACLES = {
+    "correction_submit": f"""WITH {DOCUMENTS}, d AS (
+        SELECT doc_id, o_orderdate AS moment, amount_text, 'INV-' || strftime(o_orderdate, '%Y') || '-' || doc_id AS number, text, CASE WHEN doc_id % 7 <> 0 THEN doc_id % {VENDORS} END AS vendor FROM docs JOIN orders ON doc_id = o_orderkey
+      ), lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM docs WHERE doc_id % 5 = 0
+      ), w AS (SELECT doc_id, line, unnest(string_split(content, ' ')) AS word, generate_subscripts(string_split(content, ' '), 1) - 1 AS n FROM lines
+      ), t AS (SELECT doc_id, line * 20 + n AS tok, word, n * 90 + 20 AS x0, n * 90 + 20 + 8 * length(word) AS x1, line * 30 + 10 + (doc_id + n) % 3 AS y0, line * 30 + 22 + (doc_id + n) % 3 AS y1 FROM w
+      ), s AS (SELECT doc_id, max(x1) AS width, max(y1) AS height FROM t GROUP BY doc_id
+      ), v AS (
+        SELECT doc_id, moment, vendor, field, CASE field WHEN 'invoice_number' THEN number WHEN 'total_amount' THEN amount_text ELSE 'EUR' END AS value,
+          CASE field WHEN 'invoice_number' THEN CASE WHEN doc_id % 2 = 0 THEN number ELSE 'unread' END WHEN 'total_amount' THEN '0' END AS before
+        FROM d, (VALUES ('invoice_number'), ('total_amount'), ('currency')) f(field) WHERE doc_id % 5 = 0
+      ), a AS (
+        SELECT v.doc_id, field, arg_min((x0 / width, y0 / height, x1 / width, y1 / height), tok) AS b FROM v JOIN t USING (doc_id) JOIN s USING (doc_id)
+        WHERE word <> '' AND (contains(lower(value), lower(word)) OR contains(lower(word), lower(value))) AND NOT (field = 'currency' AND doc_id % 3 = 0) GROUP BY ALL
+      ), e AS (SELECT vendor, field, value, min(moment) AS seen, count(*) AS n FROM v WHERE vendor IS NOT NULL GROUP BY ALL
+      ), last AS (SELECT *, sum(n) OVER (PARTITION BY vendor, field) AS total FROM e QUALIFY row_number() OVER (PARTITION BY vendor, field ORDER BY seen DESC, value DESC) <= 5)
+      SELECT 'document' AS part, doc_id AS id, '' AS field, CASE WHEN doc_id % 5 = 0 THEN 'CORRECTED|currency=EUR;invoice_number=' || number || ';total_amount=' || amount_text
+        ELSE 'EXTRACTED|invoice_number=' || CASE WHEN doc_id % 2 = 0 THEN number ELSE 'unread' END || ';note=x;total_amount=0' END AS value FROM d
+      UNION ALL SELECT 'correction', v.doc_id, v.field, coalesce(before, '-') || '|' || value || '|' || CASE WHEN v.field = 'currency' AND v.doc_id % 3 = 0 THEN '0.1000,0.2000,0.3000,0.4000|2'
+        WHEN b IS NULL THEN '-|-' ELSE printf('%.4f,%.4f,%.4f,%.4f', b[1], b[2], b[3], b[4]) || '|1' END FROM v LEFT JOIN a ON a.doc_id = v.doc_id AND a.field = v.field WHERE before IS NULL OR before <> value
+      UNION ALL SELECT 'template', vendor, field, string_agg(value, ';' ORDER BY seen, value) || '|' || any_value(total) FROM last GROUP BY vendor, field""",
     "routed_files": f"""WITH {_FILES} SELECT 'in/' || page_id || '.' || ending AS path, reason,
         CASE WHEN reason IS NOT NULL THEN 'failed' WHEN ending IN ('txt', 'html') THEN 'text' WHEN ending = 'pdf' THEN 'binary' WHEN ending = 'jsonl' THEN 'json' ELSE ending END AS route,
         CASE WHEN reason IS NULL AND ending = 'csv' THEN len(regexp_extract_all(content, '"[^"]*"|[^,\\n"]+')) ELSE 0 END :: INT AS cells,
