@@ -317,7 +317,7 @@ ORACLES["cross_field_validation"] = f"""WITH base AS ({ORACLES["validation_pipel
     SELECT doc_id, sum(amount :: DECIMAL(20, 4)) :: DOUBLE AS s FROM (SELECT l_orderkey AS doc_id, round(l_extendedprice, 2) AS amount FROM lineitem WHERE l_orderkey % 3 = 1
       UNION ALL SELECT o_orderkey, round(o_totalprice, 2) FROM orders WHERE o_orderkey % 3 = 0) GROUP BY doc_id
   ), b AS (
-    SELECT base.*, s, CASE WHEN contains(corrections, 'total_corrected') THEN floor(total) ELSE total END AS amount, lower(vendor) AS v,
+    SELECT base.*, s, total AS amount, lower(vendor) AS v,
       CASE doc_id % 4 WHEN 1 THEN 'northern trading' WHEN 2 THEN 'zenith ltd' WHEN 3 THEN 'acme ltd' END AS known FROM base LEFT JOIN i USING (doc_id)
   ), n AS (
     SELECT *, list_filter([CASE WHEN s IS NOT NULL AND amount <> 0 AND round(abs(s - amount), 4) > 0.02 THEN 'items_differ' END,
