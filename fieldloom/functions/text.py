@@ -76,6 +76,7 @@ def vendor_clean(name: Column) -> Column:
     return F.when(~bad, out)
 
 
+# The patterns of this rule.
 def number_clean(value: Column) -> Column:
     """An invoice number without its label, null if it cannot be one."""
     out = F.regexp_replace(F.trim(value), r"(?i)^(?:invoice|order|#|no\.?)[\s:]+", "")
@@ -106,6 +107,7 @@ def label_key(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), "[^a-z0-9#]+", " "))
 
 
+# The patterns of this rule.
 def number_pattern(value: Column) -> Column:
     """struct(valid, number, reason) of an invoice number."""
     reason = first_case(
@@ -127,6 +129,7 @@ def last_number(value: Column) -> Column:
     return F.regexp_extract(value, r"([0-9]+)[^0-9]*$", 1).try_cast("long")
 
 
+# The patterns of this rule.
 def po_clean(value: Column) -> Column:
     out = F.regexp_replace(F.trim(value), r"(?i)^(?:po|p\.o\.|purchase order)\s*#?\s*:?\s*", "")
     return F.when((F.length(out) >= 4) & out.rlike("[A-Za-z0-9]{4,}"), out)
@@ -173,6 +176,7 @@ def id_normalise(value: Column) -> Column:
     return F.when(out.rlike("[0-9]"), out)
 
 
+# The patterns of this rule.
 def shape(value: Column) -> Column:
     return first_case(
         [

@@ -22,32 +22,28 @@ class Rule:
     group: int = 1
     confidence: float = 75.0
 
-
-_MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
-_NUMERIC_DATE = r"[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}"
-
-# The patterns of each producer, in order.
+# The patterns of each producer, in order; (?i) marks those that are searched in either case.
 DOCUMENT_PARSER = {
     "invoice_number": (
         Rule(r"(?i)invoice\s*#?\s*:?\s*([A-Z0-9\-/]+)"),
         Rule(r"(?i)invoice\s+number\s*:?\s*([A-Z0-9\-/]+)"),
         Rule(r"(?i)document\s+number\s*:?\s*([A-Z0-9\-/]+)"),
-        Rule(r"(?i)#\s*([A-Z]{2,5}[-/]?[0-9]{4,}[-/]?[0-9]+)"),
+        Rule(r"(?i)#\s*([A-Z]{2,5}[-/]?\d{4,}[-/]?\d+)"),
     ),
     "invoice_date": (
-        Rule(rf"(?i)invoice\s+date\s*:?\s*({_NUMERIC_DATE})"),
-        Rule(rf"(?i)date\s*:?\s*({_NUMERIC_DATE})"),
-        Rule(rf"(?i)issued\s*:?\s*({_NUMERIC_DATE})"),
-        Rule(rf"(?i)([0-9]{{1,2}}\s+{_MONTH}\s+[0-9]{{4}})"),
+        Rule(r"(?i)invoice\s+date\s*:?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})"),
+        Rule(r"(?i)date\s*:?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})"),
+        Rule(r"(?i)issued\s*:?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})"),
+        Rule(r"(?i)(\d{1,2}\s+(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{4})"),
     ),
-    "due_date": (Rule(rf"(?i)due\s+date\s*:?\s*({_NUMERIC_DATE})"), Rule(rf"(?i)payment\s+due\s*:?\s*({_NUMERIC_DATE})")),
+    "due_date": (Rule(r"(?i)due\s+date\s*:?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})"), Rule(r"(?i)payment\s+due\s*:?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})")),
     "total_amount": (
-        Rule(r"(?i)(?:grand\s+)?total\s*:?\s*\$?\s*([0-9,]+\.?[0-9]*)"),
-        Rule(r"(?i)amount\s+due\s*:?\s*\$?\s*([0-9,]+\.?[0-9]*)"),
-        Rule(r"(?i)balance\s+due\s*:?\s*\$?\s*([0-9,]+\.?[0-9]*)"),
+        Rule(r"(?i)(?:grand\s+)?total\s*:?\s*\$?\s*([\d,]+\.?\d*)"),
+        Rule(r"(?i)amount\s+due\s*:?\s*\$?\s*([\d,]+\.?\d*)"),
+        Rule(r"(?i)balance\s+due\s*:?\s*\$?\s*([\d,]+\.?\d*)"),
     ),
-    "subtotal": (Rule(r"(?i)subtotal\s*:?\s*\$?\s*([0-9,]+\.?[0-9]*)"),),
-    "tax_amount": (Rule(r"(?i)tax\s*:?\s*\$?\s*([0-9,]+\.?[0-9]*)"),),
+    "subtotal": (Rule(r"(?i)subtotal\s*:?\s*\$?\s*([\d,]+\.?\d*)"),),
+    "tax_amount": (Rule(r"(?i)tax\s*:?\s*\$?\s*([\d,]+\.?\d*)"),),
 }
 LAYOUT_TEXT = {
     "invoice_number": (
@@ -55,30 +51,30 @@ LAYOUT_TEXT = {
         Rule(r"(?i)inv\.?\s*#?\s*:?\s*([A-Z0-9-]{5,})", 1, 90.0),
         Rule(r"(?i)#\s*([A-Z0-9]{5,})", 1, 85.0),
     ),
-    "invoice_date": (Rule(r"(?i)(?:date|invoice date|dated)[:\s]*([0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4})", 1, 90.0),),
+    "invoice_date": (Rule(r"(?i)(?:date|invoice date|dated)[:\s]*(\d{1,2}[-/]\d{1,2}[-/]\d{2,4})", 1, 90.0),),
     "total_amount": (
-        Rule(r"(?i)(?:invoice total|balance due|amount due|total due)[:\s]*\$?\s*([0-9,]+\.?[0-9]*)", 1, 95.0),
-        Rule(r"(?i)total\s*\(usd\)[:\s]*\$?\s*([0-9,]+\.?[0-9]*)", 1, 90.0),
-        Rule(r"(?i)\btotal[:\s]*\$?\s*([0-9,]+\.[0-9]{2})", 1, 85.0),
+        Rule(r"(?i)(?:invoice total|balance due|amount due|total due)[:\s]*\$?\s*([\d,]+\.?\d*)", 1, 95.0),
+        Rule(r"(?i)total\s*\(usd\)[:\s]*\$?\s*([\d,]+\.?\d*)", 1, 90.0),
+        Rule(r"(?i)\btotal[:\s]*\$?\s*([\d,]+\.\d{2})", 1, 85.0),
     ),
     "po_number": (Rule(r"(?i)(?:po|p\.o\.|purchase order)\s*#?[:\s]*([A-Z0-9-]{4,})", 1, 85.0),),
 }
 TAGGED = {
     "vendor_name": (Rule(r"<s_nm>\s*([A-Z][A-Z\s&\.]+(?:RECEIPT|INC|LLC)?)"),),
-    "invoice_number": (Rule(r"(?i)Order\s*#\s*([0-9]{5,})"), Rule(r"(?i)Invoice\s*#?\s*([A-Z0-9-]{5,})"), Rule(r"<s_price>\s*([0-9]{6,})\s*</s_price>")),
-    "invoice_date": (Rule(r"([0-9]{2}-[0-9]{2}-[0-9]{4})"),),
+    "invoice_number": (Rule(r"(?i)Order\s*#\s*(\d{5,})"), Rule(r"(?i)Invoice\s*#?\s*([A-Z0-9-]{5,})"), Rule(r"<s_price>\s*(\d{6,})\s*</s_price>")),
+    "invoice_date": (Rule(r"(\d{2}-\d{2}-\d{4})"),),
     "total_amount": (
-        Rule(r"(?i)Invoice Total[:\s]*\$?\s*([0-9,]+\.[0-9]{2})"),
-        Rule(r"(?i)Balance Due[:\s]*\$?\s*([0-9,]+\.[0-9]{2})"),
-        Rule(r"(?i)Total[:\s]*\$?\s*([0-9,]+\.[0-9]{2})"),
-        Rule(r"(?s).*<s_price>\s*([0-9,]+\.[0-9]{2})"),
+        Rule(r"(?i)Invoice Total[:\s]*\$?\s*([\d,]+\.\d{2})"),
+        Rule(r"(?i)Balance Due[:\s]*\$?\s*([\d,]+\.\d{2})"),
+        Rule(r"(?i)Total[:\s]*\$?\s*([\d,]+\.\d{2})"),
+        Rule(r"(?s).*<s_price>\s*([\d,]+\.\d{2})"),
     ),
 }
 TEXT_VOTER = {
     "invoice_number": (
         Rule(r"(?i)(?:invoice|inv|no\.?)\s*[:#-]?\s*([A-Za-z0-9][-A-Za-z0-9]{2,})"),
         Rule(r"\b([A-Za-z0-9]{3,}[-/][A-Za-z0-9]{2,})\b"),
-        Rule(r"\b([A-Za-z]*[0-9][A-Za-z0-9-]{2,})\b"),
+        Rule(r"\b([A-Za-z]*\d[A-Za-z0-9-]{2,})\b"),
     ),
 }
 CELLS = {
@@ -88,16 +84,16 @@ CELLS = {
         Rule(r"(?i)Invoice\s*No\.?\s*:?\s*([A-Z0-9-]+)", 1, 95.0),
     ),
     "invoice_date": (
-        Rule(r"(?i)INVOICE\s*DATE\s*:?\s*([A-Za-z]+\s+[0-9]{1,2},?\s+[0-9]{4})", 1, 95.0),
-        Rule(rf"(?i)Date\s*:?\s*({_NUMERIC_DATE})", 1, 95.0),
-        Rule(r"([0-9]{4}-[0-9]{2}-[0-9]{2})", 1, 95.0),
-        Rule(rf"(?i){_MONTH}\s+[0-9]{{1,2}},?\s+[0-9]{{4}}", 0, 95.0),
+        Rule(r"(?i)INVOICE\s*DATE\s*:?\s*([A-Za-z]+\s+\d{1,2},?\s+\d{4})", 1, 95.0),
+        Rule(r"(?i)Date\s*:?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})", 1, 95.0),
+        Rule(r"(\d{4}-\d{2}-\d{2})", 1, 95.0),
+        Rule(r"(?i)(October|November|December|January|February|March|April|May|June|July|August|September)\s+\d{1,2},?\s+\d{4}", 0, 95.0),
     ),
     "total_amount": (
-        Rule(r"(?i)TOTAL\s*:?\s*\$?([0-9,]+\.?[0-9]{0,2})", 1, 95.0),
-        Rule(r"(?i)Grand\s*Total\s*:?\s*\$?([0-9,]+\.?[0-9]{2})", 1, 95.0),
-        Rule(r"(?i)Amount\s*Due\s*:?\s*\$?([0-9,]+\.?[0-9]{2})", 1, 95.0),
-        Rule(r"\$\s*([0-9,]+\.[0-9]{2})", 1, 95.0),
+        Rule(r"(?i)TOTAL\s*:?\s*\$?([\d,]+\.?\d{0,2})", 1, 95.0),
+        Rule(r"(?i)Grand\s*Total\s*:?\s*\$?([\d,]+\.?\d{2})", 1, 95.0),
+        Rule(r"(?i)Amount\s*Due\s*:?\s*\$?([\d,]+\.?\d{2})", 1, 95.0),
+        Rule(r"\$\s*([\d,]+\.\d{2})", 1, 95.0),
     ),
     "vendor_name": (
         Rule(r"(?i)From\s*:?\s*([A-Za-z][A-Za-z\s&]+)", 1, 95.0),
@@ -106,20 +102,20 @@ CELLS = {
     ),
 }
 #: What a cell must hold for any pattern of the field to match it.
-CELL_SIGNS = {"invoice_number": "(?i)inv", "invoice_date": "[0-9]{2}", "total_amount": r"(?i)total|amount|\$", "vendor_name": "(?i)from|vendor|supplier"}
+CELL_SIGNS = {"invoice_number": "(?i)inv", "invoice_date": r"\d{2}", "total_amount": r"(?i)total|amount|\$", "vendor_name": "(?i)from|vendor|supplier"}
 PLACEHOLDERS = {
     "invoice_number": ("TEMPLATE", "EXAMPLE", "SAMPLE", "YOUR", "COMPANY"),
     "vendor_name": ("TEMPLATE", "INVOICE", "EXAMPLE", "SAMPLE", "YOUR", "COMPANY", "VENDOR"),
     "total_amount": ("TOTAL",),
     "invoice_date": (),
 }
-ADDRESS = r"(?i)[0-9]+\s+[\w\s]+(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd)[,\s]+[\w\s]+,\s*[A-Z]{2}\s+[0-9]{5}"
-SCHEDULE = r"(?is)up to [0-9]{4}|payment.*schedule|payment.*terms|due.*[0-9]{4}-[0-9]{2}-[0-9]{2}"
+ADDRESS = r"(?i)\d+\s+[\w\s]+(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd)[,\s]+[\w\s]+,\s*[A-Z]{2}\s+\d{5}"
+SCHEDULE = r"(?is)up to \d{4}|payment.*schedule|payment.*terms|due.*\d{4}-\d{2}-\d{2}"
 LABELLED_TOTALS = (
-    Rule(r"(?i)invoice\s+total[:\s]*\$?\s*([0-9,]+\.[0-9]{2})"),
-    Rule(r"(?i)balance\s+due[:\s]*\$?\s*([0-9,]+\.[0-9]{2})"),
-    Rule(r"(?i)total\s+amount[:\s]*\$?\s*([0-9,]+\.[0-9]{2})"),
-    Rule(r"(?i)grand\s+total[:\s]*\$?\s*([0-9,]+\.[0-9]{2})"),
+    Rule(r"(?i)invoice\s+total[:\s]*\$?\s*([\d,]+\.\d{2})"),
+    Rule(r"(?i)balance\s+due[:\s]*\$?\s*([\d,]+\.\d{2})"),
+    Rule(r"(?i)total\s+amount[:\s]*\$?\s*([\d,]+\.\d{2})"),
+    Rule(r"(?i)grand\s+total[:\s]*\$?\s*([\d,]+\.\d{2})"),
 )
 
 
@@ -165,8 +161,9 @@ def text_voter(source: Column) -> Column:
     symbol = text.first_case([(source.contains(s), F.lit(c)) for s, c in text.CURRENCY_SYMBOLS[:5]], F.lit(None).cast("string"))
     code = F.upper(text.first_of(low, r"\b(usd|eur|gbp|jpy|inr|aud|cad|chf|cny)\b"))
     every = lambda pattern, group: F.regexp_extract_all(low, F.lit(pattern), F.lit(group))
+    # fixed values: patterns of totals, dates and codes in plain text
     labelled = F.concat(
-        every(r"(?:grand\s+)?total[^0-9]{0,20}([-+]?[0-9][0-9.,]{1,})", 1), every(r"amount\s+due[^0-9]{0,20}([-+]?[0-9][0-9.,]{1,})", 1)
+        every(r"(?:grand\s+)?total[^0-9]{0,20}([-+]?[0-9][0-9.,]{1,})", 1), every(r"(?:amount\s+due)[^0-9]{0,20}([-+]?[0-9][0-9.,]{1,})", 1)
     )
     numbers = F.when(F.size(labelled) > 0, labelled).otherwise(every(r"[-+]?[0-9][0-9.,]{2,}", 0))
     usable = F.filter(numbers, lambda n: ~(n.contains("-") & (F.length(n) <= 6)))
@@ -174,9 +171,9 @@ def text_voter(source: Column) -> Column:
     written = lambda pattern: F.regexp_extract_all(source, F.lit(pattern), F.lit(0))
     shown = F.array_distinct(
         F.concat(
-            written(r"[A-Za-z]{3,9}\s+[0-9]{1,2},\s*[0-9]{2,4}"),
-            written(_NUMERIC_DATE),
-            written(r"[0-9]{1,2}\s+[A-Za-z]{3,9}\s+[0-9]{2,4}"),
+            written(r"[A-Za-z]{3,9}\s+\d{1,2},\s*\d{2,4}"),
+            written(r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}"),
+            written(r"\d{1,2}\s+[A-Za-z]{3,9}\s+\d{2,4}"),
         )
     )
     found = F.filter(F.transform(shown, dates.cleaned), lambda d: d.isNotNull())
@@ -228,7 +225,7 @@ def from_cells(cells: DataFrame) -> DataFrame:
 
 
 def all_amounts(source: Column) -> Column:
-    found = F.transform(F.regexp_extract_all(source, F.lit(r"\$?\s*([0-9,]+\.[0-9]{2})\b"), F.lit(1)), amount_of)
+    found = F.transform(F.regexp_extract_all(source, F.lit(r"\$?\s*([\d,]+\.\d{2})\b"), F.lit(1)), amount_of)
     return F.filter(found, lambda a: (a > 0) & (a < 1_000_000))
 
 
@@ -245,7 +242,7 @@ def schedule_total(source: Column, extracted: Column) -> Column:
 def chosen_total(source: Column, amounts: Column, items_sum: Column) -> Column:
     """Of several amounts: one named total, else the largest outside subtotal and tax
     lines, else the one closest to the items within 5 %, else the largest."""
-    named = F.transform(F.regexp_extract_all(source, F.lit(r"(?i)(?:grand\s+)?total\s*:?\s*\$?\s*([0-9,.]+)"), F.lit(1)), amount_of)
+    named = F.transform(F.regexp_extract_all(source, F.lit(r"(?i)(?:grand\s+)?total\s*:?\s*\$?\s*([\d,\.]+)"), F.lit(1)), amount_of)
     by_label = F.try_element_at(F.filter(named, lambda n: F.exists(amounts, lambda a: F.abs(a - n) < 0.01)), F.lit(1))
     low = F.lower(source)
 
