@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldloom.functions.text import digit_repair, first_case, first_of
+from fieldloom.functions.text import digit_repair, first_case, first_of, let
 
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 NAMES = (
@@ -53,13 +53,32 @@ _TEXT_MDY = r"^([A-Za-z]+)\s+([0-9]{1,2}),?\s*([0-9]{2,4})$"
 _NUM_MDY = r"^([0-9]{1,2})[-/]([0-9]{1,2})[-/]([0-9]{2,4})$"
 
 
+_SEP = "\x01"
+
+
+def _form(text: Column, pattern: str, order: tuple[str, str, str], clamp: bool, month=None, year=None) -> Column:
+    """The ISO date of a text that a pattern matches as a whole; ``order`` names the groups of
+    year, month and day. One match gives all three, and each is computed once."""
+    number = lambda c: c.try_cast("int")
+    month, year = month or number, year or number
+
+    def of(p: Column) -> Column:
+        parts = F.struct(year(p[0]).alias("y"), month(p[1]).alias("m"), number(p[2]).alias("d"))
+        return F.when(F.size(p) == 3, let(parts, lambda x: _iso(x["y"], x["m"], x["d"], clamp)))
+
+    return let(F.split(F.regexp_replace(text, pattern, _SEP.join(order)), _SEP), of)
+
+
+def _pivoted(text: Column) -> Column:
+    return let(text.try_cast("int"), lambda year: pivoted(year))  # of one parameter, as a second would be the place
+
+
 def repaired(text: Column) -> Column:
     """Month-first dates with the day held to the month's last."""
-    name, day, year = _matched(text, _TEXT_MDY, 3)
-    by_name = _iso(pivoted(year.try_cast("int")), month_of(name), day.try_cast("int"), True)
     dashed = F.replace(text, F.lit("."), F.lit("-"))
-    month, mday, myear = (c.try_cast("int") for c in _matched(dashed, _NUM_MDY, 3))
-    return F.when(text.rlike(_TEXT_MDY), by_name).otherwise(_iso(pivoted(myear), month, mday, True))
+    return F.coalesce(
+        _form(text, _TEXT_MDY, ("$3", "$1", "$2"), True, month_of, _pivoted), _form(dashed, _NUM_MDY, ("$3", "$1", "$2"), True, None, _pivoted)
+    )
 
 
 def cleaned(value: Column) -> Column:
@@ -73,22 +92,16 @@ def cleaned(value: Column) -> Column:
 
 def _cleaned(text: Column) -> Column:
     dashed = F.translate(text, "./", "--")
-    day, name, year = _matched(text, r"^([0-9]{1,2})\s+([A-Za-z]+)\s+([0-9]{4})$", 3)
-    day_first_name = _iso(year.try_cast("int"), full_month(name), day.try_cast("int"), False)
-    y, m, d = (c.try_cast("int") for c in _matched(dashed, r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})$", 3))
-    d2, m2, y2 = (c.try_cast("int") for c in _matched(dashed, r"^([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})$", 3))
-    y3, m3, d3 = (c.try_cast("int") for c in _matched(text, r"^([0-9]{4})([0-9]{2})([0-9]{2})$", 3))
-    d4, m4, y4 = (c.try_cast("int") for c in _matched(dashed, r"^([0-9]{1,2})-([0-9]{1,2})-([0-9]{2})$", 3))
+    short = lambda y: let(y.try_cast("int"), lambda n: F.when(n < 69, n + 2000).otherwise(n + 1900))
     return F.when(
         ~text.rlike(r"^[0-9]{4}$"),
         F.coalesce(
             repaired(text),
-            day_first_name,
-            repaired(dashed),
-            _iso(y, m, d, False),
-            _iso(y2, m2, d2, False),
-            _iso(y3, m3, d3, False),
-            _iso(F.when(y4 < 69, y4 + 2000).otherwise(y4 + 1900), m4, d4, False),
+            _form(text, r"^([0-9]{1,2})\s+([A-Za-z]+)\s+([0-9]{4})$", ("$3", "$2", "$1"), False, full_month),
+            _form(dashed, r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})$", ("$1", "$2", "$3"), False),
+            _form(dashed, r"^([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})$", ("$3", "$2", "$1"), False),
+            _form(text, r"^([0-9]{4})([0-9]{2})([0-9]{2})$", ("$1", "$2", "$3"), False),
+            _form(dashed, r"^([0-9]{1,2})-([0-9]{1,2})-([0-9]{2})$", ("$3", "$2", "$1"), False, None, short),
         ),
     )
 
@@ -99,11 +112,12 @@ def flexible(value: Column) -> Column:
 
 
 def _flexible(text: Column) -> Column:
-    name, day, year = _matched(text, r"^([A-Za-z]+)\s+([0-9]{1,2}),?\s+([0-9]{4})$", 3)
-    y, m, d = (c.try_cast("int") for c in _matched(text, r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})$", 3))
-    a, b, c = (c.try_cast("int") for c in _matched(text, r"^([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})$", 3))
+    numeric = r"^([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})$"
     return F.coalesce(
-        _iso(y, m, d, False), _iso(c, a, b, False), _iso(c, b, a, False), _iso(year.try_cast("int"), full_month(name), day.try_cast("int"), False)
+        _form(text, r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})$", ("$1", "$2", "$3"), False),
+        _form(text, numeric, ("$3", "$1", "$2"), False),
+        _form(text, numeric, ("$3", "$2", "$1"), False),
+        _form(text, r"^([A-Za-z]+)\s+([0-9]{1,2}),?\s+([0-9]{4})$", ("$3", "$1", "$2"), False, full_month),
     )
 
 
