@@ -51,7 +51,9 @@ def _vendor_step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator
 
 
 def vendor_states(documents: DataFrame) -> DataFrame:
-    """The running state of each vendor: a strictly greater confidence renames it."""
+    """The running state of each vendor: a strictly greater confidence renames it.
+
+    All rows that a batch has of a vendor meet in one group; :func:`vendors_to` has none such."""
     keyed = documents.withColumn("vendor_fingerprint", text.fingerprint(F.col("vendor_name"))).where("vendor_fingerprint is not null and confidence >= 10")
     return keyed.groupBy("vendor_fingerprint").applyInPandasWithState(_vendor_step, _VENDOR, _STATE, "update", "NoTimeout")
 

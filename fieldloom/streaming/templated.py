@@ -26,7 +26,8 @@ VOTE = ["doc_id", "voter", "voter_ord", "field", "value", "confidence"]
 def with_templates(votes: DataFrame, corrections: DataFrame, least: int = 1, confidence: float = 85.0) -> DataFrame:
     """Votes (doc_id, vendor_id, arrived_at and those of a field vote) with those of templates.
 
-    Corrections are cut to the vendors at hand before they are grouped."""
+    Corrections are cut to the vendors at hand before they are grouped; the newest arrival is
+    one row by construction, so it is broadcast."""
     documents = votes.select("doc_id", "vendor_id").distinct()
     upto = votes.agg(F.max("arrived_at").alias("upto"))
     known = documents.select("vendor_id").where("vendor_id is not null").distinct()
