@@ -2,11 +2,12 @@
 
 A submission is (doc_id, corrected: map by field, boxes and pages: maps of what the reviewer
 marked, submitted_at). A field without a box is anchored at the first token of the document
-that equals its value, lies in it or holds it. Candidates meet by the grams of up to three
-characters that such a pair must share, not token by token.
+that equals its value, lies in it or holds it. A document's values stand in one row, as they
+were submitted; its tokens are streamed past them, so no pair of them is a row unless it
+matches. Joins by document shuffle both sides: tokens are many times the size of the files
+that they are derived from, so a size estimated from files must not make them a broadcast.
 
-Cases: blank and null values and tokens match nothing; values and tokens of one or two
-characters are their own gram; of several submissions for one document the last counts, of
+Cases: blank and null values and tokens match nothing; of several submissions for one document the last counts, of
 equal times the one whose fields sort last; a document without tokens or vendor is corrected
 all the same, and teaches nothing without a vendor; submissions for unknown documents are
 reported by :func:`unknown` and change nothing; a page without extent gives no box.
@@ -20,32 +21,22 @@ from pyspark.sql import functions as F
 from fieldloom.functions.text import vote_key
 from fieldloom.operators import templates
 
-GRAM = 3
 #: The confidence of a value that a person gave.
 REVIEWED = 100.0
 
 
-def _grams(key: Column) -> Column:
-    """All distinct grams of one to three characters."""
-    sized = lambda n: F.when(F.length(key) >= n, F.transform(F.sequence(F.lit(1), F.length(key) - n + 1), lambda i: F.substr(key, i, F.lit(n))))
-    return F.array_distinct(F.flatten(F.array_compact(F.array(*map(sized, range(1, GRAM + 1))))))
-
-
-def _head(key: Column) -> Column:
-    return F.substring(key, 1, GRAM)
-
-
 def containing(values: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Pairs of values (doc_id, field, value) and tokens (doc_id, ..., text) of a document of which one holds the other, each once.
-
-    If a token lies in a value, its first gram is one of the value's, and the other way round."""
+    """Pairs of values (doc_id, field, value) and tokens (doc_id, ..., text) of a document of which one holds the other, each once."""
     own = values.withColumn("_value", vote_key(F.col("value"))).where("_value <> ''")
+    kept = [c for c in values.columns if c != "doc_id"]
+    by_doc = own.groupBy("doc_id").agg(F.collect_list(F.struct("_value", *kept)).alias("_values"))
     near = tokens.withColumn("_token", vote_key(F.col("text"))).where("_token <> ''")
-    inside = own.withColumn("_gram", F.explode(_grams(F.col("_value")))).join(near.withColumn("_gram", _head(F.col("_token"))), ["doc_id", "_gram"])
-    around = own.withColumn("_gram", _head(F.col("_value"))).join(near.withColumn("_gram", F.explode(_grams(F.col("_token")))), ["doc_id", "_gram"])
-    held = inside.where(F.col("_value").contains(F.col("_token")))
-    holds = around.where(F.col("_token").contains(F.col("_value")) & (F.col("_token") != F.col("_value")))
-    return held.unionByName(holds).drop("_gram", "_value", "_token")
+    met = near.join(by_doc.hint("merge"), "doc_id")
+    token = F.col("_token")
+    held = F.filter("_values", lambda v: v["_value"].contains(token) | token.contains(v["_value"]))
+    return met.select("doc_id", *[c for c in tokens.columns if c != "doc_id"], F.explode(held).alias("_v")).select(
+        "*", *[F.col(f"_v.{c}").alias(c) for c in kept]
+    ).drop("_v")
 
 
 def latest(submissions: DataFrame) -> DataFrame:
@@ -59,10 +50,12 @@ def anchors(submissions: DataFrame, tokens: DataFrame) -> DataFrame:
     """(doc_id, field, bbox, page): the reviewer's box of each field, else that of its first token, as shares of the page."""
     fields = submissions.select("doc_id", "boxes", "pages", F.explode("corrected").alias("field", "value"))
     marked = fields.select("doc_id", "field", "value", F.try_element_at("boxes", F.col("field")).alias("bbox"), F.try_element_at("pages", F.col("field")).alias("page"))
-    extent = tokens.groupBy("doc_id", "page", "source").agg(F.max("x1").alias("width"), F.max("y1").alias("height"))
-    met = containing(marked.where("bbox is null").select("doc_id", "field", "value"), tokens)
+    wanted = marked.where("bbox is null")
+    met = containing(wanted.select("doc_id", "field", "value"), tokens)
     first = met.groupBy("doc_id", "field").agg(F.min(F.struct("source", "page", "tok_no", "x0", "y0", "x1", "y1")).alias("t"))
-    sided = first.select("doc_id", "field", "t.*").join(extent, ["doc_id", "page", "source"])
+    # the pages of submitted documents only; both sides are dealt by document already
+    extent = tokens.join(submissions.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").groupBy("doc_id", "page", "source").agg(F.max("x1").alias("width"), F.max("y1").alias("height"))
+    sided = first.select("doc_id", "field", "t.*").join(extent.hint("merge"), ["doc_id", "page", "source"])
     share = lambda c, side: F.round(F.col(c) / F.nullif(F.col(side), F.lit(0)), 6)
     found = sided.select(
         "doc_id", "field", F.array(share("x0", "width"), share("y0", "height"), share("x1", "width"), share("y1", "height")).alias("bbox"), "page"
@@ -78,7 +71,7 @@ def submitted(submissions: DataFrame, documents: DataFrame, tokens: DataFrame, t
     """What submissions make of documents (doc_id, vendor_id, extracted_data, status), their
     tokens and the templates: the tables ``documents``, ``corrections`` and ``template``."""
     last = latest(submissions)
-    joined = documents.join(last.select("doc_id", "corrected", "submitted_at"), "doc_id", "left")
+    joined = documents.join(last.select("doc_id", "corrected", "submitted_at").hint("merge"), "doc_id", "left")
     given = F.col("corrected").isNotNull()
     record = joined.select(
         "doc_id",
@@ -89,7 +82,7 @@ def submitted(submissions: DataFrame, documents: DataFrame, tokens: DataFrame, t
     changed = joined.where(given)
     rows = templates.recorded(changed.select("doc_id", "vendor_id", "extracted_data", "corrected", "submitted_at"), F.col("submitted_at"))
     places = anchors(last, tokens).withColumnRenamed("field", "field_name")
-    corrections = rows.join(places, ["doc_id", "field_name"], "left")
+    corrections = rows.join(places.hint("merge"), ["doc_id", "field_name"], "left")
     fields = changed.where("vendor_id is not null").select("vendor_id", "submitted_at", F.explode("corrected").alias("field", "value"))
     learned = templates.learned(template, fields.select("vendor_id", "field", "value", F.lit(REVIEWED).alias("confidence"), F.col("submitted_at").alias("seen")))
     return {"documents": record, "corrections": corrections, "template": learned}
