@@ -2,7 +2,7 @@
 
 A record is a VARIANT that holds an object; JSON text becomes one by :func:`record`. Objects
 merge key by key, keys may be read and set by path, and keys that no rule has checked are
-carried along.
+carried along. Each rule names its arguments once, so that nested rules do not repeat them.
 
 Cases: a null record, or one that is no object, merges as one without keys, and as a value
 replaces like any other; a JSON null is a value and not a missing key; text that is no JSON
@@ -30,8 +30,7 @@ def shown(value: Column) -> Column:
 
 def entries(value: Column) -> Column:
     """The keys and values of an object; none of anything else."""
-    own = F.when(F.schema_of_variant(value).startswith("OBJECT"), value).cast(_MAP)
-    return F.coalesce(own, F.create_map().cast(_MAP))
+    return F.coalesce(F.try_variant_get(value, "$", _MAP), F.create_map().cast(_MAP))
 
 
 def _object(pairs: Column) -> Column:

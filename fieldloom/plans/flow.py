@@ -87,16 +87,23 @@ def _open(spark: SparkSession, folder: str) -> DataFrame:
 
 def open_records(spark: SparkSession, folder: str) -> DataFrame:
     """Every key of two merged records, what stands at paths, and what is carried along unchecked."""
-    left, right = records.record(F.col("l")), records.record(F.col("r"))
-    wins = records.entries(records.right_wins(left, right))
-    keeps = records.entries(records.left_wins(left, right))
-    rows = _open(spark, folder).select("doc_id", "l", "r", F.explode(F.map_keys(wins)).alias("key"), wins.alias("wins"), keeps.alias("keeps"))
-    marked = records.path_set(left, "vendor.seen.at", records.variant(F.col("doc_id")))
-    carried = records.entries(records.carried(right, left, ("total", "vendor")))
+    left, right = F.col("left"), F.col("right")
+    parsed = _open(spark, folder).select("doc_id", records.record(F.col("l")).alias("left"), records.record(F.col("r")).alias("right"))
+    each = parsed.select(
+        "doc_id",
+        records.entries(records.right_wins(left, right)).alias("wins"),
+        records.entries(records.left_wins(left, right)).alias("keeps"),
+        records.path_get(left, "vendor.tags.1", "int").alias("tag"),
+        records.path_set(left, "vendor.seen.at", records.variant(F.col("doc_id"))).alias("marked"),
+        F.array_join(F.array_sort(F.map_keys(records.entries(records.carried(right, left, ("total", "vendor"))))), ",").alias("carried"),
+    )
+    # what holds for a whole document is computed before its keys become rows
+    rows = each.select(
+        "doc_id", "keeps", "tag", records.path_get(F.col("marked"), "vendor.seen.at", "long").alias("seen_at"), records.path_get(F.col("marked"), "vendor.id", "long").alias("vendor_id"), "carried",
+        F.explode("wins").alias("key", "won"),
+    )
     return rows.select(
-        "doc_id", "key", records.shown(F.col("wins")[F.col("key")]).alias("right_wins"), records.shown(F.col("keeps")[F.col("key")]).alias("left_wins"),
-        records.path_get(left, "vendor.tags.1", "int").alias("tag"), records.path_get(marked, "vendor.seen.at", "long").alias("seen_at"), records.path_get(marked, "vendor.id", "long").alias("vendor_id"),
-        F.array_join(F.array_sort(F.map_keys(carried)), ",").alias("carried"),
+        "doc_id", "key", records.shown(F.col("won")).alias("right_wins"), records.shown(F.col("keeps")[F.col("key")]).alias("left_wins"), "tag", "seen_at", "vendor_id", "carried",
     )
 
 

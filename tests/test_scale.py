@@ -3,7 +3,7 @@
 import pytest
 
 from fieldloom.operators import submit
-from fieldloom.plans import render
+from fieldloom.plans import flow, render
 
 pytestmark = pytest.mark.usefixtures("spark")
 
@@ -19,3 +19,9 @@ def test_tokens_of_submissions_are_no_broadcast(spark, folder):
     found = submit.anchors(given, render.tokens(spark, folder))
     assert "Broadcast" not in plan_of(found)
     assert {r["field"] for r in found.collect()} == {"total"}
+
+
+def test_open_records_are_parsed_once(spark, folder):
+    """Nested rules of records do not repeat what they are given."""
+    text = flow.open_records(spark, folder)._jdf.queryExecution().analyzed().toString()
+    assert text.count("try_parse_json(") == 2
