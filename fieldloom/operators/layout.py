@@ -8,8 +8,10 @@ rows; everything that is not order-dependent stays in expressions.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,7 @@ ENGINE_WEIGHTS = (("paddle", 1.0), ("tesseract", 0.9), ("trocr", 0.7))
 LEAST_GAP, GAP_SHARE = 24, 0.04
 CONTINUATION_GAP, MIN_ROWS = 12, 2
 _AMOUNT = re.compile(r"^[$€£]?-?[0-9][0-9.,]*$")
+_SUMMARY = re.compile("|".join(map(re.escape, SUMMARY)))
 
 
 def engine_weight(source: Column) -> Column:
@@ -69,8 +72,20 @@ def lines_of(tops: list[int], bottoms: list[int]) -> list[int]:
     return out
 
 
-def _line_numbers(tops: pd.Series, bottoms: pd.Series) -> pd.Series:
-    return pd.Series([lines_of(list(a), list(b)) for a, b in zip(tops, bottoms)])
+def _listed(column: pa.Array) -> list:
+    """Plain values of a column; by numpy, which is several times as fast, where none is null."""
+    return column.to_pylist() if column.null_count or pa.types.is_string(column.type) else column.to_numpy().tolist()
+
+
+def _line_numbers(tops: pa.Array, bottoms: pa.Array) -> pa.Array:
+    """Line numbers of pages; numbers leave and enter Arrow as whole columns."""
+    y0, y1 = _listed(tops.flatten()), _listed(bottoms.flatten())
+    ends, out = [0], []
+    for n in tops.value_lengths().to_pylist():
+        at = len(out)
+        out += lines_of(y0[at : at + n], y1[at : at + n])
+        ends.append(len(out))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.int32()))
 
 
 def pages_of(tokens: DataFrame, *more: str) -> DataFrame:
@@ -80,7 +95,7 @@ def pages_of(tokens: DataFrame, *more: str) -> DataFrame:
 
 def grouped_lines(tokens: DataFrame) -> DataFrame:
     """tokens with line_no, by page; a page's tokens are few and meet in one row."""
-    numbered = pages_of(tokens).withColumn("lines", F.pandas_udf(_line_numbers, "array<int>")(F.col("tokens.y0"), F.col("tokens.y1")))
+    numbered = pages_of(tokens).withColumn("lines", F.arrow_udf(_line_numbers, "array<int>")(F.col("tokens.y0"), F.col("tokens.y1")))
     return numbered.select(*PAGE, F.explode(F.arrays_zip("tokens", "lines")).alias("t")).select(
         *PAGE, *[F.col(f"t.tokens.{c}").alias(c) for c in TOKEN], F.col("t.lines").alias("line_no")
     )
@@ -144,17 +159,19 @@ def numeric_columns(tokens: DataFrame) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=4096)
 def role_of(word: str) -> str | None:
     bare = re.sub(r"[^a-z0-9]", "", word.lower())
     for role, words in HEADER_WORDS.items():
-        if bare and any(bare.startswith(w) for w in words):
+        if bare.startswith(words):
             return role
     return None
 
 
-def _value(word: str) -> float | None:
-    bare = re.sub(r"[$€£\s]", "", word)
-    if re.search(r",[0-9]{2}$", bare):
+def _value(amount: str) -> float | None:
+    """The number of a text that ``_AMOUNT`` matches."""
+    bare = amount.rstrip("\n").lstrip("$€£")
+    if bare[-3:-2] == "," and bare[-2:].isdigit():
         bare = bare.replace(".", "").replace(",", ".")
     try:
         return float(bare.replace(",", ""))
@@ -173,21 +190,27 @@ def _clusters(centres: list[float], width: float) -> list[float]:
     return [sum(g) / len(g) for g in groups]
 
 
-def items_of_page(tokens: list[dict]) -> list[dict]:
+def items_of_page(tokens: list[tuple]) -> list[dict]:
     """Line items of one page: columns under a header of two or more roles, rows below it,
     lines of text alone joining the row above. Without such a header the columns are the
     clusters of numbers: the first a quantity, the last the amount, the one before it the
-    price; a header that names no amount gets the last cluster for it."""
-    by_line: dict[int, list[dict]] = {}
-    for t in tokens:
-        by_line.setdefault(t["line_no"], []).append(t)
-    lines = [sorted(by_line[k], key=lambda t: (t["x0"], t["tok_no"])) for k in sorted(by_line)]
-    centre = lambda t: (t["x0"] + t["x1"]) / 2
-    scores = [len({r for t in line if (r := role_of(t["text"]))}) for line in lines[:8]]
+    price; a header that names no amount gets the last cluster for it.
+
+    Tokens are (line_no, x0, tok_no, place on the page, x1, y0, y1, conf, text)."""
+    lines: list[list[tuple]] = []  # of (centre, y0 + y1, conf, text, whether it is an amount)
+    last, width = None, 0
+    for line_no, x0, _, _, x1, y0, y1, conf, text in sorted(tokens):
+        if line_no != last:
+            lines.append([])
+            last = line_no
+        lines[-1].append(((x0 + x1) / 2, y0 + y1, conf, text, _AMOUNT.match(text) is not None))
+        width = x1 if x1 > width else width
+    roles = [[(t[0], r) for t in line if not t[4] and (r := role_of(t[3]))] for line in lines[:8]]  # no amount begins like a role
+    scores = [len({r for _, r in found}) for found in roles]
     head = scores.index(max(scores)) if scores and max(scores) >= 2 else -1
-    clusters = _clusters([centre(t) for t in tokens if _AMOUNT.match(t["text"])], max((t["x1"] for t in tokens), default=0))
+    clusters = _clusters([t[0] for line in lines for t in line if t[4]], width)
     if head >= 0:
-        columns = [(centre(t), r) for t in lines[head] if (r := role_of(t["text"]))]
+        columns = roles[head]
     else:
         inner = [(clusters[-2], "unit_price")] if len(clusters) > 2 else []
         columns = [(clusters[0], "qty"), *inner, (clusters[-1], "amount")] if len(clusters) > 1 else []
@@ -199,20 +222,21 @@ def items_of_page(tokens: list[dict]) -> list[dict]:
     edges = [(a[0] + b[0]) / 2 for a, b in zip(columns, columns[1:])]
     rows: list[dict] = []
     for line in lines[head + 1 :]:
-        if any(s in " ".join(t["text"] for t in line).lower() for s in SUMMARY):
+        if _SUMMARY.search(" ".join([t[3] for t in line]).lower()):
             continue
-        y = sum(t["y0"] + t["y1"] for t in line) / (2 * len(line))
-        row = {"qty": None, "unit_price": None, "amount": None, "y": y, "confidence": round(sum(t["conf"] for t in line) / len(line), 3)}
-        words = []
-        for t in line:
-            role = columns[sum(centre(t) > e for e in edges)][1]
-            numeric = bool(_AMOUNT.match(t["text"])) and role != "description"
-            if not numeric:
-                words.append(t["text"])
+        y = sum([t[1] for t in line]) / (2 * len(line))
+        row = {"qty": None, "unit_price": None, "amount": None, "y": y}
+        words, sure = [], 0
+        for centre, _, conf, text, numeric in line:
+            sure += conf
+            role = columns[bisect_left(edges, centre)][1] if numeric else "description"
+            if role == "description":
+                words.append(text)
             elif row[role] is None:
-                row[role] = _value(t["text"])
+                row[role] = _value(text)
+        row["confidence"] = round(sure / len(line), 3)
         row["description"] = " ".join(words)
-        if all(row[k] is None for k in ("qty", "unit_price", "amount")):
+        if row["qty"] is None and row["unit_price"] is None and row["amount"] is None:
             if rows and row["description"] and abs(y - rows[-1]["y"]) <= CONTINUATION_GAP:
                 rows[-1]["description"] = f"{rows[-1]['description']} {row['description']}".strip()
             continue
@@ -221,24 +245,29 @@ def items_of_page(tokens: list[dict]) -> list[dict]:
     return valid if len(valid) >= MIN_ROWS else []
 
 
-_ITEMS = "array<struct<item_no: int, description: string, quantity: double, unit_price: double, amount: double, confidence: double>>"
+_ITEM = (("item_no", "int", pa.int32()), ("description", "string", pa.string()), *((n, "double", pa.float64()) for n in ("quantity", "unit_price", "amount", "confidence")))
+_ITEMS = f"array<struct<{', '.join(f'{name}: {kind}' for name, kind, _ in _ITEM)}>>"
 
 
-def _items(pages: pd.Series) -> pd.Series:
-    return pd.Series(
-        [
-            [
-                {"item_no": k, "description": r["description"], "quantity": r["qty"], "unit_price": r["unit_price"], "amount": r["amount"], "confidence": r["confidence"]}
-                for k, r in enumerate(items_of_page(list(tokens)), 1)
-            ]
-            for tokens in pages
-        ]
-    )
+def _items(pages: pa.Array) -> pa.Array:
+    """Items of pages of tokens. Fields leave and enter Arrow as whole columns, not token by token."""
+    flat = pages.flatten()
+    line, x0, tok, x1, y0, y1, conf, text = (_listed(flat.field(c)) for c in ("line_no", "x0", "tok_no", "x1", "y0", "y1", "conf", "text"))
+    rows = list(zip(line, x0, tok, range(len(tok)), x1, y0, y1, conf, text))
+    ends, out, at = [0], [[] for _ in _ITEM], 0
+    for n in pages.value_lengths().to_pylist():
+        for k, r in enumerate(items_of_page(rows[at : at + (n or 0)]), 1):
+            for column, value in zip(out, (k, r["description"], r["qty"], r["unit_price"], r["amount"], r["confidence"])):
+                column.append(value)
+        at += n or 0
+        ends.append(len(out[0]))
+    items = pa.StructArray.from_arrays([pa.array(column, kind) for column, (_, _, kind) in zip(out, _ITEM)], [name for name, _, _ in _ITEM])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
 
 
 def line_items(lined: DataFrame) -> DataFrame:
     """doc_id, item_no, description, quantity, unit_price, amount, confidence."""
-    return pages_of(lined, "line_no").select("doc_id", F.explode(F.pandas_udf(_items, _ITEMS)("tokens")).alias("i")).select("doc_id", "i.*")
+    return pages_of(lined, "line_no").select("doc_id", F.explode(F.arrow_udf(_items, _ITEMS)("tokens")).alias("i")).select("doc_id", "i.*")
 
 
 def matching_tokens(values: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -103,8 +103,10 @@ def item_tokens(spark: SparkSession, folder: str) -> DataFrame:
             F.format_string("%.2f", F.col("l_extendedprice") / F.col("l_quantity")), F.format_string("%.2f", F.col("l_extendedprice")),
         ).alias("words"),
     )
-    head = items.select("doc_id").distinct().select("doc_id", F.lit(0).alias("line"), F.array(*map(F.lit, ("Description", "Qty", "Price", "Amount"))).alias("words"))
-    words = items.unionByName(head).select("doc_id", "line", F.posexplode("words").alias("place", "text"))
+    # the header goes with the first line, so that pages need not be dealt again for it
+    head = F.struct(F.lit(0).alias("line"), F.array(*map(F.lit, ("Description", "Qty", "Price", "Amount"))).alias("words"))
+    lines = F.explode(F.array_compact(F.array(F.when(F.col("line") == 1, head), F.struct("line", "words"))))
+    words = items.select("doc_id", lines.alias("l")).select("doc_id", "l.line", F.posexplode("l.words").alias("place", "text"))
     return words.select(
         "doc_id", F.lit(1).alias("page"), F.lit("tesseract_v3").alias("source"), (F.col("line") * 10 + F.col("place")).cast("int").alias("tok_no"), "text", F.lit(0.9).alias("conf"),
         (F.col("place") * 150).cast("int").alias("x0"), (F.col("line") * 40).cast("int").alias("y0"), (F.col("place") * 150 + 60).cast("int").alias("x1"), (F.col("line") * 40 + 12).cast("int").alias("y1"),

@@ -1,9 +1,10 @@
 """What keeps queries within bounds on large tables, seen on small ones."""
 
+import pyarrow as pa
 import pytest
 
-from fieldloom.operators import submit
-from fieldloom.plans import flow, render
+from fieldloom.operators import layout, submit
+from fieldloom.plans import flow, reading, render
 
 pytestmark = pytest.mark.usefixtures("spark")
 
@@ -25,3 +26,25 @@ def test_open_records_are_parsed_once(spark, folder):
     """Nested rules of records do not repeat what they are given."""
     text = flow.open_records(spark, folder)._jdf.queryExecution().analyzed().toString()
     assert text.count("try_parse_json(") == 2
+
+
+def test_item_pages_are_dealt_once(spark, folder):
+    """The header of a page comes with its first line: no second reading of the lines, no union."""
+    text = plan_of(reading.item_tokens(spark, folder)).split("Initial Plan")[0]
+    assert text.count("Exchange hashpartitioning") == 1 and "Union" not in text
+
+
+def test_pages_pass_python_as_columns():
+    """Whole Arrow columns, with empty pages and slices of a batch."""
+    made = pa.array([[], [0, 2, 30, 8], [5], [], [7, 90]], pa.list_(pa.int32()))
+    ends = pa.array([[], [10, 12, 40, 18], [9], [], [11, 94]], pa.list_(pa.int32()))
+    assert layout._line_numbers(made, ends).to_pylist() == [[], [0, 0, 1, 0], [0], [], [0, 1]]
+    assert layout._line_numbers(made[2:], ends[2:]).to_pylist() == [[0], [], [0, 1]]
+    names = ("y0", "x0", "tok_no", "text", "conf", "x1", "y1", "line_no")
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
+    words = [("Part", "Qty", "Amount"), ("bolt", "2", "$1.234,50"), ("nut", "3", "7.00"), ("Total", "", "9.00"), ("rest", "x", "y")]
+    page = [(40 * k, 100 * n, 10 * k + n, w, 0.9, 100 * n + 50, 40 * k + 10, k) for k, line in enumerate(words) for n, w in enumerate(line)]
+    tokens = pa.array([[], [dict(zip(names, t)) for t in page[::-1]], [dict(zip(names, page[0]))]], pa.list_(pa.struct(list(zip(names, kinds)))))
+    want = [[("bolt", 2.0, 1234.5, 0.9), ("nut", 3.0, 7.0, 0.9)], []]
+    got = lambda a: [[(i["description"], i["quantity"], i["amount"], i["confidence"]) for i in p] for p in a.to_pylist()]
+    assert got(layout._items(tokens)) == [[], *want] and got(layout._items(tokens[1:])) == want
