@@ -43,7 +43,14 @@ def first_case(cases: list[tuple[Column, Column]], otherwise: Column) -> Column:
 
 def vote_key(value: Column) -> Column:
     """Votes agree if these keys do: trimmed, lower case, one space for any white space."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), r"\s+", " "))
+
+    def spaced(low: Column) -> Column:
+        runs = low.contains("  ")
+        for mark in "\t\n\x0b\f\r":
+            runs = runs | low.contains(mark)
+        return F.trim(F.when(runs, F.regexp_replace(low, r"\s+", " ")).otherwise(low))  # most votes hold single spaces only
+
+    return spaced(F.lower(F.coalesce(value, F.lit(""))))
 
 
 def simple_key(value: Column) -> Column:

@@ -1,9 +1,9 @@
 """Voting on field values: agreement, winner, confidence, and merges.
 
 Votes are long rows (doc_id, voter, voter_ord, field, value, confidence). They
-are dealt once by (doc_id, field); the aggregation by key and the windows over
-keys run on that partitioning. A field's votes are as many as its voters, so no
-key is hot.
+are dealt once by document; the aggregations by key, by field and by document
+run on that partitioning. A document's votes are as many as its voters and
+fields, so no key is hot.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ VOTER_FACTOR = {"docling": 1.1, "impira": 1.0, "layoutlm": 1.05, "donut": 0.95}
 FIELD_FACTOR = {"invoice_number": 1.1, "invoice_date": 1.0, "total_amount": 0.9, "vendor_name": 0.95, "due_date": 1.0, "currency": 1.05}
 BOOST = {"unanimous": 1.15, "strong": 1.1, "moderate": 1.0, "weak": 0.9, "conflict": 0.8}
 AGREEMENT_FACTOR = {"unanimous": 1.1, "strong": 1.05, "moderate": 1.0, "weak": 0.9, "conflict": 0.75}
+#: By what votes are dealt.
+DOCUMENT, KEY = ["doc_id"], ["doc_id", "field"]
 
 
 def looked_up(key: Column, values: dict[str, float], default: float = 1.0) -> Column:
@@ -67,28 +69,30 @@ def tallied(votes: DataFrame) -> DataFrame:
     )
 
 
-def field_vote(votes: DataFrame) -> DataFrame:
+def field_vote(votes: DataFrame, dealt: list[str] = DOCUMENT) -> DataFrame:
     """doc_id, field, value (the winning key), confidence, agreement,
     vote_counts, all_values, selected_from and original (the first spelling)."""
-    # one shuffle serves the aggregation by key and the windows by field
-    tally = tallied(votes.repartition("doc_id", "field"))
-    whole = Window.partitionBy("doc_id", "field")
-    rank = whole.orderBy(
-        F.col("votes").desc(),
-        F.col("preferred_ord").isNotNull().desc(),
-        F.round("weighted", 6).desc(),
-        F.col("first_ord"),
+    # one shuffle serves both aggregations, and what is grouped by document, or joined by the whole key, after them
+    tally = tallied(votes.repartition(*dealt))
+    # the least is the winner: most votes, the preferred voter's, greatest weight, first seen
+    rank = F.struct(
+        (-F.col("votes")).alias("votes"),
+        F.col("preferred_ord").isNull().alias("other"),
+        (-F.round("weighted", 6)).alias("weighted"),
+        "first_ord",
+        "key",
+        "mean_confidence",
+        "by",
     )
     best = (
-        tally.withColumns(
-            {
-                "n": F.sum("votes").over(whole),
-                "most": F.max("votes").over(whole),
-                "tally": F.array_sort(F.collect_list(F.struct("first_ord", "key", "votes")).over(whole)),
-                "place": F.row_number().over(rank),
-            }
+        tally.groupBy("doc_id", "field")
+        .agg(
+            F.sum("votes").alias("n"),
+            F.max("votes").alias("most"),
+            F.array_sort(F.collect_list(F.struct("first_ord", "key", "votes"))).alias("tally"),
+            F.min(rank).alias("best"),
         )
-        .where("place = 1")
+        .select("doc_id", "field", "n", "most", "tally", "best.key", "best.mean_confidence", "best.by")
         .withColumn("agreement", agreement(F.col("n"), F.col("most")))
     )
     voter = F.element_at("by", 1)["voter"]
@@ -217,7 +221,7 @@ def n_way(votes: DataFrame, forced: DataFrame, overrides: DataFrame) -> DataFram
     """
     given = forced.where("value is not null and value <> ''").select("doc_id", "field", F.col("value").alias("_forced"), F.col("confidence").alias("_confidence"))
     fused = overrides.select("doc_id", "field", F.col("value").alias("_fused"))
-    both = field_vote(votes).join(given, ["doc_id", "field"], "full").join(fused, ["doc_id", "field"], "left")
+    both = field_vote(votes, KEY).join(given, KEY, "full").join(fused, KEY, "left")
     is_forced, is_fused = F.col("_forced").isNotNull(), F.col("_fused").isNotNull()
     pick = lambda a, b, c: first_case([(is_forced, a), (is_fused, b)], c)
     return both.select(

@@ -15,15 +15,15 @@ def votes(spark: SparkSession, folder: str) -> DataFrame:
     voters = F.explode(F.array(*[F.struct(F.lit(v).alias("voter"), F.lit(k).alias("voter_ord")) for k, v in enumerate(VOTERS)]))
     base = (
         table(spark, folder, "orders")
-        .select(F.col("o_orderkey").alias("k"), "o_custkey", "o_totalprice", "o_orderdate", voters.alias("v"))
-        .select("k", "o_custkey", "o_totalprice", "o_orderdate", "v.voter", F.col("v.voter_ord").alias("o"))
+        .select(F.col("o_orderkey").alias("k"), "o_custkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), F.date_format("o_orderdate", "yyyy").alias("year"), voters.alias("v"))
+        .select("k", "o_custkey", "cents", "year", "v.voter", F.col("v.voter_ord").alias("o"))
         .where("(k + o) % 7 <> 0")
     )
-    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    cents = F.col("cents")
     fields = {
         "total_amount": (cents + F.when((F.col("k") * 3 + F.col("o")) % 4 == 0, 1).otherwise(0)).cast("string"),
         "invoice_number": F.concat(
-            F.when((F.col("k") + F.col("o")) % 3 == 0, "inv-").otherwise("INV-"), F.date_format("o_orderdate", "yyyy"), F.lit("-"), F.col("k").cast("string")
+            F.when((F.col("k") + F.col("o")) % 3 == 0, "inv-").otherwise("INV-"), F.col("year"), F.lit("-"), F.col("k").cast("string")
         ),
         "vendor_name": F.concat(F.when((F.col("k") + F.col("o")) % 5 < 2, "Supplier ").otherwise("SUPPLIER   "), (F.col("o_custkey") + (F.col("k") + F.col("o")) % 2).cast("string")),
         "currency": F.element_at(F.array(F.lit("USD"), F.lit("EUR"), F.lit("usd")), ((F.col("k") + F.col("o")) % 3 + 1).cast("int")),

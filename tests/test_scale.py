@@ -3,7 +3,7 @@
 import pyarrow as pa
 import pytest
 
-from fieldloom.operators import layout, submit
+from fieldloom.operators import consensus, layout, submit
 from fieldloom.plans import flow, reading, render
 
 pytestmark = pytest.mark.usefixtures("spark")
@@ -48,3 +48,13 @@ def test_pages_pass_python_as_columns():
     want = [[("bolt", 2.0, 1234.5, 0.9), ("nut", 3.0, 7.0, 0.9)], []]
     got = lambda a: [[(i["description"], i["quantity"], i["amount"], i["confidence"]) for i in p] for p in a.to_pylist()]
     assert got(layout._items(tokens)) == [[], *want] and got(layout._items(tokens[1:])) == want
+
+
+def exchanges(df):
+    return plan_of(df).split("Initial Plan")[0].count("Exchange hashpartitioning")
+
+
+def test_votes_are_dealt_once_by_document(spark, folder):
+    """The vote and what is grouped by document after it share one shuffle, and no window sorts the keys again."""
+    merged = consensus.merged(consensus.field_vote(render.votes(spark, folder)))
+    assert exchanges(merged) == 1 and "Window" not in plan_of(merged)
