@@ -76,22 +76,18 @@ def table_items(cells: DataFrame) -> DataFrame:
         for word in words:
             named = named | low.contains(word)
         roles.append(F.when(named, role))
-    heads = cells.where("row = 0").select("doc_id", "col", F.explode(F.array_compact(F.array(*roles))).alias("role"))
-    first = Window.partitionBy("doc_id", "role").orderBy("col")
-    heads = heads.withColumn("place", F.row_number().over(first)).where("place = 1").select("doc_id", "col", "role")
-    body = cells.where("row > 0")
     skipped = F.lit(False)
     for word in SKIPPED_ROWS:
         skipped = skipped | low.contains(word)
-    sums = body.where("col = 0").where(skipped).select("doc_id", "row")
-    of = lambda role: F.max(F.when(F.col("role") == role, F.trim("value")))
+    # rows become one row each, and what the header names is seen over the table: cells dealt by document are not dealt again
+    named_at = [F.when(F.col("row") == 0, F.min(F.when(F.col("role_" + r), F.col("col")))).alias("at_" + r) for r in ITEM_COLUMNS]
     rows = (
-        body.join(sums, ["doc_id", "row"], "left_anti")
-        .join(heads, ["doc_id", "col"])
+        cells.select("doc_id", "row", "col", F.trim("value").alias("value"), ((F.col("col") == 0) & skipped).alias("sum"), *[F.coalesce(role.isNotNull(), F.lit(False)).alias("role_" + r) for r, role in zip(ITEM_COLUMNS, roles)])
         .groupBy("doc_id", "row")
-        .agg(
-            of("description").alias("description"),
-            *[money.table_number(of(r)).alias(r) for r in ("quantity", "unit_price", "total")],
-        )
+        .agg(F.collect_list(F.struct("col", "value")).alias("cells"), F.max("sum").alias("sum"), *named_at)
     )
-    return rows.where("coalesce(description, '') <> '' AND (coalesce(quantity, 0) <> 0 OR coalesce(total, 0) <> 0)")
+    table = Window.partitionBy("doc_id")
+    placed = rows.withColumns({"at_" + r: F.min("at_" + r).over(table) for r in ITEM_COLUMNS}).where("row > 0 and not coalesce(sum, false)")
+    of = lambda role: F.array_max(F.transform(F.filter("cells", lambda c: c["col"] == F.col("at_" + role)), lambda c: c["value"]))
+    found = placed.select("doc_id", "row", of("description").alias("description"), *[money.table_number(of(r)).alias(r) for r in ("quantity", "unit_price", "total")])
+    return found.where("coalesce(description, '') <> '' AND (coalesce(quantity, 0) <> 0 OR coalesce(total, 0) <> 0)")

@@ -41,9 +41,11 @@ def table_items(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n"), F.col("l_partkey").cast("string").alias("part"), F.format_string("%.0f", "l_quantity").alias("q"), F.format_string("%.2f", "l_extendedprice").alias("t"), "l_suppkey"
     )
     numbered = items.withColumn("row", F.expr("row_number() over (partition by doc_id order by n, part, t, l_suppkey)"))
-    body = numbered.select("doc_id", "row", F.array(F.concat(F.lit("part "), "part"), "q", F.concat(F.lit("$"), "t")).alias("v"))
-    ends = items.select("doc_id").distinct().select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("row"), F.array(F.lit("Item"), F.lit("Qty"), F.lit("Total")).alias("v")), F.struct(F.lit(999).alias("row"), F.array(F.lit("Subtotal"), F.lit("1"), F.lit("2.00")).alias("v")))).alias("e")).select("doc_id", "e.row", "e.v")
-    cells = body.unionByName(ends).select("doc_id", "row", F.posexplode("v").alias("col", "value"))
+    body = F.struct("row", F.array(F.concat(F.lit("part "), "part"), "q", F.concat(F.lit("$"), "t")).alias("v"))
+    made = lambda row, *v: F.struct(F.lit(row).alias("row"), F.array(*map(F.lit, v)).alias("v"))
+    # header and sum go with the first line, so that the lines are read and dealt once
+    ends = F.when(F.col("row") == 1, F.array(made(0, "Item", "Qty", "Total"), made(999, "Subtotal", "1", "2.00"), body)).otherwise(F.array(body))
+    cells = numbered.select("doc_id", F.explode(ends).alias("e")).select("doc_id", "e.row", F.posexplode("e.v").alias("col", "value"))
     return labels.table_items(cells).select("doc_id", "row", "description", "quantity", "total")
 
 

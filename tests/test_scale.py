@@ -1,10 +1,13 @@
 """What keeps queries within bounds on large tables, seen on small ones."""
 
+import re
+
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from fieldloom.operators import consensus, layout, submit
-from fieldloom.plans import flow, reading, render
+from fieldloom.operators import consensus, header, layout, submit
+from fieldloom.plans import checks, fields, flow, reading, render
 
 pytestmark = pytest.mark.usefixtures("spark")
 
@@ -58,3 +61,9 @@ def test_votes_are_dealt_once_by_document(spark, folder):
     """The vote and what is grouped by document after it share one shuffle, and no window sorts the keys again."""
     merged = consensus.merged(consensus.field_vote(render.votes(spark, folder)))
     assert exchanges(merged) == 1 and "Window" not in plan_of(merged)
+
+
+def test_tables_of_items_are_dealt_once(spark, folder):
+    """Header, body and sums of a table need no join and no second reading of the lines."""
+    found = checks.table_items(spark, folder)
+    assert exchanges(found) == 1 and "Join" not in plan_of(found)
