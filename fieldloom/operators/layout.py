@@ -146,13 +146,16 @@ def footer_totals(tokens: DataFrame) -> DataFrame:
 def numeric_columns(tokens: DataFrame) -> DataFrame:
     """Clusters of the centres of numeric tokens: a wider gap than the greater of
     24 px and 4 % of the page's width begins a new one."""
-    page = Window.partitionBy("doc_id", "page", "source")
-    order = page.orderBy("centre", "tok_no")
+    # numbers come first in the one order, so that it serves the width of the page, the gaps and the sums; texts are not dealt
+    order = Window.partitionBy("doc_id", "page", "source").orderBy(F.col("numeric").desc(), "centre", "tok_no")
     gap = F.col("centre") - F.lag("centre").over(order)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    numeric = F.coalesce(F.col("text").rlike(_AMOUNT.pattern), F.lit(False))
     return (
-        tokens.withColumns({"centre": (F.col("x0") + F.col("x1")) / 2, "width": F.max("x1").over(page)})
-        .where(F.col("text").rlike(_AMOUNT.pattern))
-        .withColumn("new", (gap > F.greatest(F.lit(LEAST_GAP), F.col("width") * GAP_SHARE)).cast("int"))
+        tokens.select("doc_id", "page", "source", "tok_no", "x1", ((F.col("x0") + F.col("x1")) / 2).alias("centre"), numeric.alias("numeric"))
+        .withColumns({"gap": gap, "width": F.max("x1").over(whole)})
+        .where("numeric")
+        .withColumn("new", (F.col("gap") > F.greatest(F.lit(LEAST_GAP), F.col("width") * GAP_SHARE)).cast("int"))
         .withColumn("cluster", F.sum(F.coalesce("new", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
         .groupBy("doc_id", "page", "source", "cluster")
         .agg(F.count(F.lit(1)).alias("tokens"), F.round(F.avg("centre"), 3).alias("centre"))
@@ -273,8 +276,10 @@ def line_items(lined: DataFrame) -> DataFrame:
 def matching_tokens(values: DataFrame, tokens: DataFrame) -> DataFrame:
     """For values (doc_id, field, value) the first token that equals, holds or lies in the value."""
     key = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    near = tokens.withColumn("token_key", key(F.col("text"))).where("token_key <> ''")
-    met = values.withColumn("value_key", key(F.col("value"))).join(near, "doc_id").where(
+    # keys are made where values and tokens meet; values are held, so tokens are not sorted
+    near = tokens.select("doc_id", "page", "tok_no", "text", "x0", "y0", "x1", "y1")
+    joined = near.join(values.select("doc_id", "field", "value").hint("shuffle_hash"), "doc_id")
+    met = joined.withColumns({"token_key": key(F.col("text")), "value_key": key(F.col("value"))}).where("token_key <> ''").where(
         (F.col("token_key") == F.col("value_key")) | F.col("token_key").contains(F.col("value_key")) | F.col("value_key").contains(F.col("token_key"))
     )
     best = F.struct((F.col("token_key") != F.col("value_key")).alias("inexact"), "page", "tok_no")

@@ -119,8 +119,9 @@ def line_item_parse(spark: SparkSession, folder: str) -> DataFrame:
 
 def token_match(spark: SparkSession, folder: str) -> DataFrame:
     """The token of each rendered document's number."""
-    tokens = render.tokens(spark, folder)
-    values = render.documents(spark, folder).select("doc_id", F.lit("total_amount").alias("field"), F.col("amount_text").alias("value"))
+    docs = render.documents(spark, folder).repartition("doc_id")  # dealt as documents, not as tokens
+    tokens = render.tokens_of(docs)
+    values = docs.select("doc_id", F.lit("total_amount").alias("field"), F.col("amount_text").alias("value"))
     return layout.matching_tokens(values, tokens).select("doc_id", "token", F.col("box")[0].alias("x0"))
 
 

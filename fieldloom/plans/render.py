@@ -108,8 +108,13 @@ def corrections(spark: SparkSession, folder: str) -> DataFrame:
 
 def tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Words of the rendered documents with boxes from their line and place."""
+    return tokens_of(documents(spark, folder))
+
+
+def tokens_of(docs: DataFrame) -> DataFrame:
+    """Words of documents (doc_id, text), as above."""
     words = (
-        documents(spark, folder)
+        docs
         .select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content"))
         .select("doc_id", "line", F.posexplode(F.split("content", " ")).alias("place", "text"))
     )

@@ -67,3 +67,9 @@ def test_tables_of_items_are_dealt_once(spark, folder):
     """Header, body and sums of a table need no join and no second reading of the lines."""
     found = checks.table_items(spark, folder)
     assert exchanges(found) == 1 and "Join" not in plan_of(found)
+
+
+def test_tokens_meet_values_unsorted(spark, folder):
+    """Documents are dealt before they become tokens, and tokens are not sorted for the join."""
+    text = plan_of(reading.token_match(spark, folder)).split("Initial Plan")[0]
+    assert "ShuffledHashJoin" in text and 0 <= text.index("Generate") < text.index("Exchange")
