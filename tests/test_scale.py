@@ -73,3 +73,7 @@ def test_tokens_meet_values_unsorted(spark, folder):
     """Documents are dealt before they become tokens, and tokens are not sorted for the join."""
     text = plan_of(reading.token_match(spark, folder)).split("Initial Plan")[0]
     assert "ShuffledHashJoin" in text and 0 <= text.index("Generate") < text.index("Exchange")
+
+
+def test_columns_of_numbers_take_one_sort(spark, folder):
+    assert plan_of(reading.token_column_clusters(spark, folder)).split("Initial Plan")[0].count("Sort [") == 1
