@@ -72,10 +72,11 @@ def dates_in_text(documents: DataFrame, weight: float = 1.0) -> DataFrame:
 
 def lines_with_tokens(lined: DataFrame) -> DataFrame:
     """Lines of numbered tokens with their sides, text, mean confidence and the page's size."""
-    page = Window.partitionBy(*PAGE)
+    # one deal by document serves lines and pages; lines are not built before it, where a task reads many documents
+    page = Window.partitionBy(*PAGE).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     word = F.struct("x0", "tok_no", "x1", "text", "conf")
     sure = F.when(F.col("conf") > 1, F.col("conf") / 100).otherwise(F.coalesce("conf", F.lit(0.4)))
-    rows = lined.withColumn("conf", sure).groupBy(*PAGE, "line_no").agg(
+    rows = lined.repartition("doc_id").withColumn("conf", sure).groupBy(*PAGE, "line_no").agg(
         F.array_sort(F.collect_list(word)).alias("words"), F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.avg("conf").alias("conf"), F.max("x1").alias("right")
     )
     return rows.withColumns(
@@ -145,8 +146,8 @@ def totals_by_region(lines: DataFrame) -> DataFrame:
     bonus = lambda test, name: F.when(test, TOTAL_BONUS[name]).otherwise(0.0)
     score = F.col("conf") * F.col("weight") + bonus(F.col("named"), "label") + TOTAL_BONUS["decimals"] + bonus(F.col("text").contains("$"), "currency") + bonus(F.col("at_right"), "right")
     good = each.withColumns({"value": value, "score": score}).where(F.col("amount").rlike(r"[.,]\d{2}\b") & (F.col("value") > 0))
-    best = good.withColumn("place", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.col("score").desc(), "line_no", "value"))).where("place = 1")
-    return best.select("doc_id", F.lit("total_amount").alias("field"), F.col("amount").alias("value"), F.round("score", 4).alias("score"), F.col("line_no").alias("ord"))
+    best = good.groupBy(*PAGE).agg(F.min(F.struct((-F.col("score")).alias("off"), "line_no", "value", "amount")).alias("b"))
+    return best.select("doc_id", F.lit("total_amount").alias("field"), F.col("b.amount").alias("value"), F.round(-F.col("b.off"), 4).alias("score"), F.col("b.line_no").alias("ord"))
 
 
 # Engines in the order in which their tokens are preferred.

@@ -77,3 +77,8 @@ def test_tokens_meet_values_unsorted(spark, folder):
 
 def test_columns_of_numbers_take_one_sort(spark, folder):
     assert plan_of(reading.token_column_clusters(spark, folder)).split("Initial Plan")[0].count("Sort [") == 1
+
+
+def test_lines_of_pages_are_dealt_once(spark, folder):
+    """Lines are built after the deal, not by whole input splits, and pages need no second one."""
+    assert exchanges(fields.totals_in_region(spark, folder)) == 1
