@@ -6,8 +6,8 @@ the same, the first page's fields stand for the document and its items are those
 otherwise the first page is the record, with its own items, a mark, and a summary of the other
 pages.
 
-A record holds a bounded number of items and of other pages: they are counted first, in
-partial sums, and only what fits is collected. What does not is marked in the record and given
+A record holds a bounded number of items and of other pages: they are counted first, over
+sorted rows that may spill, and only what fits is collected. What does not is marked in the record and given
 in full by :func:`overflow` in long form, so nothing is cut off.
 
 Cases: empty and null numbers name none; a document without any number counts as several;
@@ -54,20 +54,23 @@ def _within(rows: DataFrame, most: int, fits: bool) -> DataFrame:
 
 def _listed(rows: DataFrame, most: int, columns: tuple[str, ...], name: str) -> DataFrame:
     """(doc_id, n, list): rows counted for every document, and collected in order where they fit."""
-    counts = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias(f"n_{name}"))
-    lists = _within(rows, most, True).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
-    return counts.join(lists, "doc_id", "left")
+    counted = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
+    return counted.groupBy("doc_id").agg(
+        F.max("_n").alias(f"n_{name}"), F.array_sort(F.collect_list(F.when(F.col("_n") <= most, F.struct(*columns)))).alias(name)
+    )
 
 
 def records(pages: DataFrame, items: DataFrame, most: int = MOST) -> DataFrame:
     """doc_id, page_count, multipage, multiple_invoices, the first page's fields, n_items,
     line_items, n_other_pages, other_pages and overflowed."""
+    # pages and items are dealt once by document; all that follows keeps to that
+    pages, items = pages.repartition("doc_id"), items.repartition("doc_id")
     docs = _documents(pages)
     lists = _listed(_own_items(docs, items), most, ("page", *ITEM), "line_items")
     several = docs.where("not single and page_count > 1").select("doc_id", F.col("first.page").alias("first_page"))
     rest = pages.groupBy("doc_id", "page").agg(F.min(F.struct(*FIELDS)).alias("f")).join(several, "doc_id").where("page > first_page")
     others = _listed(rest.select("doc_id", "page", "f.*"), most, ("page", *FIELDS), "other_pages")
-    none = lambda c, n: F.when(F.coalesce(n, F.lit(0)) == 0, F.array()).otherwise(F.col(c))
+    none = lambda c, n: F.when(F.coalesce(n, F.lit(0)) == 0, F.array()).when(n <= most, F.col(c))
     n_items, n_others = F.coalesce("n_line_items", F.lit(0)), F.coalesce("n_other_pages", F.lit(0))
     return docs.join(lists, "doc_id", "left").join(others, "doc_id", "left").select(
         "doc_id",

@@ -82,3 +82,9 @@ def test_columns_of_numbers_take_one_sort(spark, folder):
 def test_lines_of_pages_are_dealt_once(spark, folder):
     """Lines are built after the deal, not by whole input splits, and pages need no second one."""
     assert exchanges(fields.totals_in_region(spark, folder)) == 1
+
+
+def test_pages_are_dealt_by_document_alone(spark, folder):
+    """Repeated pages, counts and lists keep to the deal by document."""
+    text = plan_of(flow.multipage_records(spark, folder)).split("Initial Plan")[0]
+    assert "LeftSemi" not in text and all(", page" not in keys for keys in re.findall(r"hashpartitioning\(([^)]*)\)", text))
