@@ -35,10 +35,18 @@ def pivoted(year: Column, pivot: int = 50) -> Column:
 
 def _iso(year: Column, month: Column, day: Column, clamp: bool) -> Column:
     ok = year.between(FIRST_YEAR, LAST_YEAR) & month.between(1, 12)
-    last = F.day(F.last_day(F.try_make_timestamp(year, month, F.lit(1), F.lit(0), F.lit(0), F.lit(0)).cast("date")))
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    last = F.when(month.isin(4, 6, 9, 11), 30).when(month != 2, 31).when(leap, 29).otherwise(28)
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    shown = lambda d: F.concat(year.cast("string"), F.lit("-"), two(month), F.lit("-"), two(d))  # years have four digits
     if clamp:
-        return F.when(ok, F.format_string("%04d-%02d-%02d", year, month, F.least(day, last)))
-    return F.when(ok & (day >= 1) & (day <= last), F.format_string("%04d-%02d-%02d", year, month, day))
+        return F.when(ok, shown(F.least(day, last)))
+    return F.when(ok & (day >= 1) & (day <= last), shown(day))
+
+
+def iso(year: Column, month: Column, day: Column) -> Column:
+    """The ISO date of whole numbers, null if there is none."""
+    return _iso(year, month, day, False)
 
 
 def _part(text: Column, pattern: str, group: int) -> Column:
@@ -66,7 +74,7 @@ def _form(text: Column, pattern: str, order: tuple[str, str, str], clamp: bool,
         parts = F.struct(year(p[0]).alias("y"), month(p[1]).alias("m"), number(p[2]).alias("d"))
         return F.when(F.size(p) == 3, let(parts, lambda x: _iso(x["y"], x["m"], x["d"], clamp)))
 
-    return let(F.split(F.regexp_replace(text, pattern, _SEP.join(order)), _SEP), of)
+    return F.when(text.rlike(pattern), let(F.split(F.regexp_replace(text, pattern, _SEP.join(order)), _SEP), of))
 
 
 def _pivoted(text: Column) -> Column:
@@ -91,7 +99,10 @@ def cleaned(value: Column) -> Column:
 
 
 def _cleaned(text: Column) -> Column:
-    dashed = F.translate(text, "./", "--")
+    return let(F.translate(text, "./", "--"), lambda dashed: _cleaned_of(text, dashed))
+
+
+def _cleaned_of(text: Column, dashed: Column) -> Column:
     short = lambda y: let(y.try_cast("int"), lambda n: F.when(n < 69, n + 2000).otherwise(n + 1900))
     return F.when(
         ~text.rlike(r"^[0-9]{4}$"),

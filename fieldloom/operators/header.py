@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.functions import money
+from fieldloom.functions import dates, money
 from fieldloom.functions.text import CURRENCY_CODES, first_case, first_of, let
 
 # Patterns, words, bonuses and limits.
@@ -32,7 +32,7 @@ NUMBERS = (
 DATE_LIKE = r"^\d{2}[-/]\d{2}[-/]\d{2,4}"
 NAMED_DATE = r"(?i)(?:date|invoice date|dated)[:\s]*(\d{1,2}[-/]\d{1,2}[-/]\d{2,4})"
 ANY_DATES = (r"\b(\d{2}[-/]\d{2}[-/]\d{4})\b", r"\b(\d{4}[-/]\d{2}[-/]\d{2})\b")
-DATE_FORMATS = ("M-d-yyyy", "M/d/yyyy", "d-M-yyyy", "d/M/yyyy", "yyyy-M-d", "yyyy/M/d")
+YEAR_LAST, YEAR_FIRST = r"^\d{1,2}([-/])\d{1,2}\1\d{4}$", r"^\d{4}([-/])\d{1,2}\1\d{1,2}$"
 NAMED_TOTALS = (
     r"(?i)(?:invoice total|balance due|amount due|total due)[:\s]*\$?\s*([\d,]+\.?\d*)",
     r"(?i)total\s*\(usd\)[:\s]*\$?\s*([\d,]+\.?\d*)",
@@ -80,8 +80,10 @@ def ladder_currency(text: Column) -> Column:
 
 def dated(value: Column) -> Column:
     """A date in one of six forms, month-first before day-first, of the years 2000 to 2030, as ISO."""
-    parsed = [F.try_to_timestamp(value, F.lit(f)) for f in DATE_FORMATS]
-    return F.date_format(F.coalesce(*[F.when(F.year(p).between(2000, 2030), p) for p in parsed]), "yyyy-MM-dd")
+    iso = lambda y, m, d: F.when(y.between(2000, 2030), dates.iso(y, m, d))
+    parts = lambda use: let(F.transform(F.split(value, "[-/]"), lambda p: p.cast("int")), use)
+    ending = parts(lambda p: F.coalesce(iso(p[2], p[0], p[1]), iso(p[2], p[1], p[0])))
+    return F.when(value.rlike(YEAR_LAST), ending).when(value.rlike(YEAR_FIRST), parts(lambda p: iso(p[0], p[1], p[2])))
 
 
 def _candidate(value: Column, bonus: int, at: Column | int = 0) -> Column:

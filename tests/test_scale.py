@@ -88,3 +88,10 @@ def test_pages_are_dealt_by_document_alone(spark, folder):
     """Repeated pages, counts and lists keep to the deal by document."""
     text = plan_of(flow.multipage_records(spark, folder)).split("Initial Plan")[0]
     assert "LeftSemi" not in text and all(", page" not in keys for keys in re.findall(r"hashpartitioning\(([^)]*)\)", text))
+
+
+def test_dates_of_candidates_throw_nothing(spark):
+    """Forms are told apart before they are read: no attempt that fails by an exception."""
+    rows = spark.createDataFrame([(v,) for v in ("2-9-2024", "13/02/2024", "30-02-2024", "29/2/2024", "2024/1/5", "01-02/2024", "1/2/24", "05-06-1999", None)], "v string").select(header.dated(F.col("v")).alias("d"))
+    assert [r["d"] for r in rows.collect()] == ["2024-02-09", "2024-02-13", None, "2024-02-29", "2024-01-05", None, None, None, None]
+    assert "timestamp" not in rows._jdf.queryExecution().analyzed().toString()
