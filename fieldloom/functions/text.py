@@ -164,7 +164,8 @@ def currency_infer(amount_text: Column, text: Column) -> Column:
     low = F.lower(text)
     made = lambda code, confidence: F.struct(F.lit(code).alias("code"), F.lit(confidence).alias("confidence"))
     cases = [(amount_text.contains(s) | text.contains(s), made(code, 95.0)) for s, code in CURRENCY_SYMBOLS]
-    cases += [(text.rlike(rf"(?i)\b{code}\b"), made(code, 90.0)) for code in CURRENCY_SEARCH]
+    # a plain search rules most codes out before a pattern is tried
+    cases += [(low.contains(code.lower()) & text.rlike(rf"(?i)\b{code}\b"), made(code, 90.0)) for code in CURRENCY_SEARCH]
     for code, hints in CURRENCY_HINTS:
         any_of = F.lit(False)
         for hint in hints:
