@@ -12,6 +12,9 @@ scripts can be capitals; confidences stop at 100; a null confidence counts as 0.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +43,17 @@ NAMED_TOTALS = (
 VETO, LINE_TOTAL = r"(?i)(labor|parts|tax)\s+total", r"(?i)\btotal[:\s]*\$?\s*([\d,]+\.\d{2})"
 ORDER = r"(?i)(?:po|p\.o\.|purchase order)\s*#?[:\s]*([A-Z0-9-]{4,})"
 BONUS = {"company": 10, "line": 0, "named_date": 10, "any_date": 0, "named_total": 15, "line_total": 10, "order": 0}
+# Words in lower case of which a text holds one wherever the pattern fits; a plain search is faster than the pattern.
+NEEDED = {
+    ORDER: ("po", "p.o.", "purchase order"), NAMED_DATE: ("date",),
+    **dict(zip((p for p, _ in NUMBERS), (("invoice",), ("invoice",), ("order",), ("#",)))),
+    **dict(zip(NAMED_TOTALS, (("invoice total", "balance due", "amount due", "total due"), ("(usd)",)))),
+}
 CURRENCY_SURE, LAYOUT_VENDOR = 95.0, 90.0
 
 
 def _lines(text: Column, most: int) -> Column:
-    return F.transform(F.slice(F.split(text, "\n"), 1, most), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")))
+    return F.transform(F.slice(F.split(text, "\n"), 1, most), _trimmed)
 
 
 def capitals(line: Column) -> Column:
@@ -86,59 +95,78 @@ def dated(value: Column) -> Column:
     return F.when(value.rlike(YEAR_LAST), ending).when(value.rlike(YEAR_FIRST), parts(lambda p: iso(p[0], p[1], p[2])))
 
 
-def _candidate(value: Column, bonus: int, at: Column | int = 0) -> Column:
-    """struct(bonus, at, value) of a candidate, null without a value."""
-    place = at if isinstance(at, Column) else F.lit(at)
-    return F.when(value.isNotNull(), F.struct(F.lit(-bonus).alias("bonus"), place.alias("at"), value.alias("value")))
+def _trimmed(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, r"^\s+|\s+$", ""))
+
+
+def _row(field: str, value: Column, bonus: int) -> Column:
+    """struct(field, value, confidence) of a candidate by its bonus."""
+    return F.struct(F.lit(field).alias("field"), value.alias("value"), F.least(F.col("_base") + bonus, F.lit(100.0)).alias("confidence"))
+
 
+def _first(field: str, values: Column, bonus: int) -> Column:
+    """The row of the first of several candidates that is not null; each is computed once."""
+    return F.try_element_at(F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v: _row(field, v, bonus)), F.lit(1))
 
-def best(candidates: list[Column]) -> Column:
-    """The candidate of the greatest bonus and, among these, of the first place; lists of candidates count as many."""
-    return F.array_min(F.array_compact(F.flatten(F.array(*candidates))))
 
+def _searched(pattern: str) -> Column:
+    """What a pattern finds in the text, null if the text holds none of the words that it needs."""
+    needed = [F.col("_low").contains(word) for word in NEEDED[pattern]]
+    return F.when(reduce(or_, needed), F.regexp_extract("text", pattern, 1))
 
-def scored_vendor(text: Column) -> Column:
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != "")
-    placed = lambda n: F.arrays_zip(F.slice(lines, 1, n).alias("x"), F.sequence(F.lit(1), F.lit(n)).alias("at"))
+
+def scored_vendor(lines: Column) -> Column:
+    """A company's name before a line of capitals, of the first lines that are not blank."""
     name = lambda x: F.trim(F.regexp_replace(F.regexp_extract(x, COMPANY, 1), r"\s+$", ""))
-    company = F.transform(placed(SCORED_LINES), lambda p: let(name(p["x"]), lambda v: _candidate(F.when((F.length(v) > 3) & ~v.isin(*NOT_VENDORS), v), BONUS["company"], p["at"])))
+    company = F.filter(F.transform(F.slice(lines, 1, SCORED_LINES), name), lambda v: (F.length(v) > 3) & ~v.isin(*NOT_VENDORS))
     sure = lambda x: (F.length(x) > 5) & (capitals(x) > 0.6) & ~x.rlike(r"\d{2,}")
-    fallback = F.transform(placed(FALLBACK_LINES), lambda p: _candidate(F.when(sure(p["x"]), p["x"]), BONUS["line"], p["at"]))
-    return best([company, fallback])
+    return F.coalesce(_first("vendor_name", company, BONUS["company"]), _first("vendor_name", F.filter(F.slice(lines, 1, FALLBACK_LINES), sure), BONUS["line"]))
 
 
-def scored_number(text: Column) -> Column:
-    accept = lambda v: F.when((F.length(v) >= 4) & v.rlike(r"\d") & ~v.rlike(DATE_LIKE), v)
-    return best([F.array(_candidate(accept(first_of(text, p)), bonus, k)) for k, (p, bonus) in enumerate(NUMBERS)])
+def scored_number(found: list[Column]) -> Column:
+    """The first that is no date, of what the patterns found in the order of their bonuses."""
+    accept = lambda v: (F.length(v) >= 4) & v.rlike(r"\d") & ~v.rlike(DATE_LIKE)
+    return F.coalesce(*[F.when(accept(v), _row("invoice_number", v, bonus)) for v, (_, bonus) in zip(found, NUMBERS)])
 
 
-def scored_date(text: Column) -> Column:
+def scored_date(named: Column, text: Column) -> Column:
     every = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in ANY_DATES])
-    anywhere = F.transform(every, lambda v, i: _candidate(dated(v), BONUS["any_date"], i))
-    return best([F.array(_candidate(dated(first_of(text, NAMED_DATE)), BONUS["named_date"])), anywhere])
+    return F.coalesce(_first("invoice_date", F.array(dated(named)), BONUS["named_date"]), _first("invoice_date", F.transform(every, dated), BONUS["any_date"]))
 
 
-def scored_total(text: Column) -> Column:
+def scored_total(named: list[Column], text: Column) -> Column:
     """Named totals before a line's total, of lines that name no total of labor, parts or tax."""
-    amount = lambda v: F.when(money.number(F.replace(v, F.lit(","), F.lit(""))).isNotNull(), F.replace(v, F.lit(","), F.lit("")))
-    named = [F.array(_candidate(amount(first_of(text, p)), BONUS["named_total"], k)) for k, p in enumerate(NAMED_TOTALS)]
-    lines = F.transform(F.split(text, "\n"), lambda x, i: _candidate(F.when(~x.rlike(VETO), amount(first_of(x, LINE_TOTAL))), BONUS["line_total"], i))
-    return best([*named, lines])
+    plain = lambda v: F.replace(v, F.lit(","), F.lit(""))
+    amounts = lambda values: F.filter(values, lambda v: money.number(v).isNotNull())
+    # a plain search rules most lines out before a pattern is tried
+    lines = F.filter(F.split(text, "\n"), lambda x: F.lower(x).contains("total") & ~x.rlike(VETO))
+    of_lines = F.transform(lines, lambda x: plain(F.regexp_extract(x, LINE_TOTAL, 1)))
+    return F.coalesce(
+        _first("total_amount", amounts(F.array(*map(plain, named))), BONUS["named_total"]), _first("total_amount", amounts(of_lines), BONUS["line_total"])
+    )
 
 
 def scored_fields(documents: DataFrame) -> DataFrame:
-    """(doc_id, field, value, confidence) of texts (doc_id, text, confidence) by scored candidates."""
-    text, base = F.col("text"), F.coalesce("confidence", F.lit(0.0))
-    found = {"vendor_name": scored_vendor(text), "invoice_number": scored_number(text), "invoice_date": scored_date(text), "total_amount": scored_total(text),
-             "po_number": best([F.array(_candidate(first_of(text, ORDER), BONUS["order"]))])}
-
-    def row(field: str, candidate: Column) -> Column:
-        made = lambda x: F.struct(F.lit(field).alias("field"), x["value"].alias("value"), F.least(base - x["bonus"], F.lit(100.0)).alias("confidence"))
-        return F.transform(F.array(candidate), lambda x: F.when(x.isNotNull(), made(x)))
-
-    rows = [row(f, c) for f, c in found.items()]
-    currency = F.array(F.when(text.isNotNull(), F.struct(F.lit("currency").alias("field"), ladder_currency(text).alias("value"), F.lit(CURRENCY_SURE).alias("confidence"))))
-    return documents.select("doc_id", F.explode(F.array_compact(F.flatten(F.array(*rows, currency)))).alias("f")).select("doc_id", "f.*")
+    """(doc_id, field, value, confidence) of texts (doc_id, text, confidence) by scored candidates.
+
+    Candidates of a field stand in the order of their bonuses, so the first that holds is the
+    best. What patterns find in the text are columns of a step of their own: each is searched once
+    a text, however often a rule names it, and the rows of a text that found nothing go last."""
+    patterns = {"order": [ORDER], "number": [p for p, _ in NUMBERS], "total": NAMED_TOTALS, "date": [NAMED_DATE]}
+    found = {kind: [f"_{kind}{k}" for k in range(len(some))] for kind, some in patterns.items()}
+    searched = [_searched(p).alias(n) for kind, some in patterns.items() for n, p in zip(found[kind], some)]
+    lines = F.filter(F.transform(F.split("text", "\n"), _trimmed), lambda x: x != "")
+    read = documents.withColumn("_low", F.lower("text")).select("doc_id", "text", F.coalesce("confidence", F.lit(0.0)).alias("_base"), lines.alias("_lines"), *searched)
+    text, (order,), of = F.col("text"), map(F.col, found["order"]), lambda kind: [F.col(n) for n in found[kind]]
+    rows = F.array(
+        scored_vendor(F.col("_lines")),
+        scored_number(of("number")),
+        scored_date(*of("date"), text),
+        scored_total(of("total"), text),
+        F.when(order != "", _row("po_number", order, BONUS["order"])),
+        F.when(text.isNotNull(), F.struct(F.lit("currency").alias("field"), ladder_currency(text).alias("value"), F.lit(CURRENCY_SURE).alias("confidence"))),
+    )
+    return read.select("doc_id", F.explode(rows).alias("f")).where("f is not null").select("doc_id", "f.*")
 
 
 def header_fields(documents: DataFrame) -> DataFrame:

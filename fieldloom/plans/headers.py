@@ -33,7 +33,9 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
         for mark, value in values.items():
             line = F.replace(line, F.lit(mark), value)
         lines.append(line)
-    return table(spark, folder, "orders").select(k.alias("doc_id"), F.array_join(F.array(*lines), "\n").alias("text"), (F.lit(60.0) + k % 40).alias("confidence"))
+    # dealt while rows are narrow: a file of few splits would leave the texts, which are the work, to few tasks
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderdate", "o_totalprice").repartition("o_orderkey")
+    return orders.select(k.alias("doc_id"), F.array_join(F.array(*lines), "\n").alias("text"), (F.lit(60.0) + k % 40).alias("confidence"))
 
 
 def header_lines(spark: SparkSession, folder: str) -> DataFrame:

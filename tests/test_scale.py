@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.operators import consensus, header, layout, submit
-from fieldloom.plans import checks, fields, flow, reading, render
+from fieldloom.plans import checks, fields, flow, headers, reading, render
 
 pytestmark = pytest.mark.usefixtures("spark")
 
@@ -95,3 +95,21 @@ def test_dates_of_candidates_throw_nothing(spark):
     rows = spark.createDataFrame([(v,) for v in ("2-9-2024", "13/02/2024", "30-02-2024", "29/2/2024", "2024/1/5", "01-02/2024", "1/2/24", "05-06-1999", None)], "v string").select(header.dated(F.col("v")).alias("d"))
     assert [r["d"] for r in rows.collect()] == ["2024-02-09", "2024-02-13", None, "2024-02-29", "2024-01-05", None, None, None, None]
     assert "timestamp" not in rows._jdf.queryExecution().analyzed().toString()
+
+
+def test_patterns_of_candidates_are_searched_once(spark, folder):
+    """No rule searches the text again for what it names, and texts are made by more tasks than a file has splits."""
+    found = headers.scored_candidates(spark, folder)
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert [text.count(p) for p in (header.ORDER, *(p for p, _ in header.NUMBERS), *header.NAMED_TOTALS, header.NAMED_DATE, header.LINE_TOTAL)] == [1] * 9
+    assert exchanges(found) == 1
+
+
+def test_candidates_that_find_nothing_leave_the_others(spark):
+    """The next candidate counts where the better one is a date, no number or vetoed."""
+    text = "\n \t\nacme\nNORTH 12\nInvoice # 01/02/2003\norder # 12345\nbalance due: ,\nTax total 1.00\ntOtAl 2,000.50\n99/99/2001 05-06-2007"
+    rows = spark.createDataFrame([(1, text, 95.0), (2, None, 1.0), (3, "", None)], "doc_id long, text string, confidence double")
+    assert sorted((r["doc_id"], r["field"], r["value"], r["confidence"]) for r in header.scored_fields(rows).collect()) == [
+        (1, "currency", "USD", 95.0), (1, "invoice_date", "2003-01-02", 95.0), (1, "invoice_number", "12345", 90.0),
+        (1, "total_amount", "2000.50", 100.0), (1, "vendor_name", "NORTH", 100.0), (3, "currency", "USD", 95.0),
+    ]
