@@ -1,8 +1,8 @@
 """Voting on field values: agreement, winner, confidence, and merges.
 
 Votes are long rows (doc_id, voter, voter_ord, field, value, confidence). They
-are dealt once by document; the aggregations by key, by field and by document
-run on that partitioning. A document's votes are as many as its voters and
+are dealt once by document; the aggregations by field and by document run on
+that partitioning, and keys are told apart within a field's row. A document's votes are as many as its voters and
 fields, so no key is hot.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import dates, money, text
-from fieldloom.functions.text import first_case, simple_key, vote_key
+from fieldloom.functions.text import first_case, let, simple_key, vote_key
 
 # Weights of voters in ties, and factors of the calibration.
 WEIGHTS = {
@@ -52,48 +52,44 @@ def agreement(n: Column, most: Column) -> Column:
     )
 
 
-def tallied(votes: DataFrame) -> DataFrame:
-    """Votes of each (doc_id, field) by key: count, order, weight and confidence."""
-    vote = F.struct("voter_ord", "voter", "value")
-    return (
-        votes.withColumn("key", vote_key(F.col("value")))
-        .groupBy("doc_id", "field", "key")
-        .agg(
-            F.count(F.lit(1)).cast("int").alias("votes"),
-            F.min("voter_ord").alias("first_ord"),
-            F.sum(F.col("confidence") * looked_up(F.col("voter"), WEIGHTS)).alias("weighted"),
-            F.avg("confidence").alias("mean_confidence"),
-            F.min(F.when(F.col("voter") == PREFERRED, F.col("voter_ord"))).alias("preferred_ord"),
-            F.array_sort(F.collect_list(vote)).alias("by"),
-        )
-    )
+def _sum(values: Column) -> Column:
+    """The sum of those that are not null, null if there are none."""
+    return F.aggregate(values, F.lit(None).cast("double"), lambda total, x: F.coalesce(total + x, total, x))
+
+
+def _ranked(votes: Column, key: Column) -> Column:
+    """What a key's votes are ranked by; the least is the winner: most votes, the preferred voter's, greatest weight, first seen."""
+    own = F.filter(votes, lambda v: v["key"] == key)
+    rank = lambda o: F.struct(
+        (-F.size(o)).alias("votes"), (~F.array_contains(o["preferred"], True)).alias("other"), (-F.round(_sum(o["weight"]), 6)).alias("weighted"),
+        F.array_min(o["voter_ord"]).alias("first_ord"), key.alias("key"),
+    )
+    return let(own, rank)
 
 
-def field_vote(votes: DataFrame, dealt: list[str] = DOCUMENT) -> DataFrame:
+def field_vote(votes: DataFrame, dealt: list[str] | None = DOCUMENT) -> DataFrame:
     """doc_id, field, value (the winning key), confidence, agreement,
-    vote_counts, all_values, selected_from and original (the first spelling)."""
-    # one shuffle serves both aggregations, and what is grouped by document, or joined by the whole key, after them
-    tally = tallied(votes.repartition(*dealt))
-    # the least is the winner: most votes, the preferred voter's, greatest weight, first seen
-    rank = F.struct(
-        (-F.col("votes")).alias("votes"),
-        F.col("preferred_ord").isNull().alias("other"),
-        (-F.round("weighted", 6)).alias("weighted"),
-        "first_ord",
-        "key",
-        "mean_confidence",
-        "by",
-    )
+    vote_counts, all_values, selected_from and original (the first spelling).
+
+    The votes of a field, as many as its voters, meet in one row by one aggregation; keys are told apart inside it.
+    Votes are dealt by ``dealt``; None leaves them where they lie, as where their documents were dealt before they voted."""
+    weight, preferred = F.col("confidence") * looked_up(F.col("voter"), WEIGHTS), (F.col("voter") == PREFERRED) & F.col("voter_ord").isNotNull()
+    vote = F.struct("voter_ord", "voter", "value", "key", "confidence", weight.alias("weight"), F.coalesce(preferred, F.lit(False)).alias("preferred"))
+    # one shuffle serves the aggregation, and what is grouped by document, or joined by the whole key, after it
+    lying = votes if dealt is None else votes.repartition(*dealt)
+    fields = lying.withColumn("key", vote_key(F.col("value"))).groupBy("doc_id", "field").agg(F.sort_array(F.collect_list(vote)).alias("votes"))
     best = (
-        tally.groupBy("doc_id", "field")
-        .agg(
-            F.sum("votes").alias("n"),
-            F.max("votes").alias("most"),
-            F.array_sort(F.collect_list(F.struct("first_ord", "key", "votes"))).alias("tally"),
-            F.min(rank).alias("best"),
+        fields.withColumn("ranks", F.transform(F.array_distinct("votes.key"), lambda key: _ranked(F.col("votes"), key)))
+        .select("doc_id", "field", "votes", "ranks", F.array_min("ranks").alias("best"))
+        .select(
+            "doc_id",
+            "field",
+            F.col("best.key").alias("key"),
+            F.filter("votes", lambda v: v["key"] == F.col("best.key")).alias("by"),
+            F.sort_array(F.transform("ranks", lambda r: F.struct(r["first_ord"].alias("first_ord"), r["key"].alias("key"), (-r["votes"]).alias("votes")))).alias("tally"),
+            agreement(F.size("votes"), -F.col("best.votes")).alias("agreement"),
         )
-        .select("doc_id", "field", "n", "most", "tally", "best.key", "best.mean_confidence", "best.by")
-        .withColumn("agreement", agreement(F.col("n"), F.col("most")))
+        .withColumn("mean_confidence", _sum(F.col("by.confidence")) / F.size(F.array_compact(F.col("by.confidence"))))
     )
     voter = F.element_at("by", 1)["voter"]
     raw = F.least(F.lit(99.0), F.col("mean_confidence") * looked_up(F.col("agreement"), BOOST))
@@ -110,8 +106,8 @@ def field_vote(votes: DataFrame, dealt: list[str] = DOCUMENT) -> DataFrame:
         F.round(F.greatest(F.lit(10.0), F.least(F.lit(99.0), calibrated)), 1).alias("confidence"),
         "agreement",
         F.map_from_entries(F.transform("tally", lambda t: F.struct(t["key"], t["votes"]))).alias("vote_counts"),
-        F.transform("tally", lambda t: t["key"]).alias("all_values"),
-        F.transform("by", lambda b: b["voter"]).alias("selected_from"),
+        F.col("tally.key").alias("all_values"),
+        F.col("by.voter").alias("selected_from"),
         F.element_at("by", 1)["value"].alias("original"),
     )
 

@@ -26,10 +26,10 @@ def _corrections(spark: SparkSession, folder: str) -> DataFrame:
 
 def template_refresh(spark: SparkSession, folder: str) -> DataFrame:
     """Every order's votes with those of its vendor's templates, as a batch of the stream resolves them."""
-    votes = render.votes(spark, folder).withColumns(
+    votes = render.votes(spark, folder, dealt=True).withColumns(
         {"vendor_id": F.pmod(F.col("doc_id"), F.lit(VENDORS)).cast("long"), "arrived_at": F.lit(None).cast("timestamp")}
     )
-    return templated.records(votes, _corrections(spark, folder), LEAST)
+    return templated.records(votes, _corrections(spark, folder), LEAST, dealt=None)
 
 
 def _named_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,11 +10,12 @@ from fieldloom.session import table
 VOTERS = ("docling", "impira", "layoutlm", "donut", "ocr_rapid", "ocr_fused")
 
 
-def votes(spark: SparkSession, folder: str) -> DataFrame:
-    """Up to six voters' readings of four fields of every order."""
+def votes(spark: SparkSession, folder: str, dealt: bool = False) -> DataFrame:
+    """Up to six voters' readings of four fields of every order; ``dealt``: orders are dealt before they become votes, which then lie by document."""
     voters = F.explode(F.array(*[F.struct(F.lit(v).alias("voter"), F.lit(k).alias("voter_ord")) for k, v in enumerate(VOTERS)]))
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     base = (
-        table(spark, folder, "orders")
+        (orders.repartition("o_orderkey") if dealt else orders)
         .select(F.col("o_orderkey").alias("k"), "o_custkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), F.date_format("o_orderdate", "yyyy").alias("year"), voters.alias("v"))
         .select("k", "o_custkey", "cents", "year", "v.voter", F.col("v.voter_ord").alias("o"))
         .where("(k + o) % 7 <> 0")

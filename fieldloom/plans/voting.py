@@ -11,7 +11,7 @@ from fieldloom.plans.sql import TALLY, VOTES
 
 
 def _resolved(spark: SparkSession, folder: str) -> DataFrame:
-    return consensus.field_vote(render.votes(spark, folder))
+    return consensus.field_vote(render.votes(spark, folder, dealt=True), None)
 
 
 def field_vote(spark: SparkSession, folder: str) -> DataFrame:

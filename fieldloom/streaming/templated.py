@@ -28,20 +28,22 @@ def with_templates(votes: DataFrame, corrections: DataFrame, least: int = 1, con
 
     Corrections are cut to the vendors at hand before they are grouped; the newest arrival is
     one row by construction, so it is broadcast."""
-    documents = votes.select("doc_id", "vendor_id").distinct()
+    documents = votes.select("doc_id", "vendor_id").where("vendor_id is not null").distinct()
     upto = votes.agg(F.max("arrived_at").alias("upto"))
-    known = documents.select("vendor_id").where("vendor_id is not null").distinct()
+    known = votes.select("vendor_id").distinct()  # of votes, not of documents, which would be dealt once more for it
     seen = corrections.join(known, "vendor_id", "left_semi").join(F.broadcast(upto), F.col("upto").isNull() | (F.col("created_at") <= F.col("upto"))).drop("upto")
     template = templates.rebuilt(seen).where(F.col("occurrences") >= least)
-    voted = templates.voter(documents.where("vendor_id is not null"), template, TEMPLATE_ORDER, confidence)
-    return votes.select(*VOTE).unionByName(voted.select(*VOTE))
+    voted = templates.voter(documents, template, TEMPLATE_ORDER, confidence)
+    # few beside the votes, and dealt like these, so that votes that lie by document need not move
+    return votes.select(*VOTE).unionByName(voted.select(*VOTE).repartition("doc_id"))
 
 
-def records(votes: DataFrame, corrections: DataFrame, least: int = 1, confidence: float = 85.0) -> DataFrame:
-    """(doc_id, field, value, confidence, agreement, template_applied) of every field of the votes, templates included."""
+def records(votes: DataFrame, corrections: DataFrame, least: int = 1, confidence: float = 85.0, dealt: list[str] | None = consensus.DOCUMENT) -> DataFrame:
+    """(doc_id, field, value, confidence, agreement, template_applied) of every field of the votes, templates included;
+    ``dealt`` as of a field vote."""
     every = with_templates(votes, corrections, least, confidence)
     applied = F.array_contains("selected_from", "ocr_template").alias("template_applied")
-    return consensus.field_vote(every).select("doc_id", "field", "value", "confidence", "agreement", applied)
+    return consensus.field_vote(every, dealt).select("doc_id", "field", "value", "confidence", "agreement", applied)
 
 
 def resolved_with_templates(votes: DataFrame, corrections_at: str, corrections_schema: str, out: str, checkpoint: str, least: int = 1) -> StreamingQuery:

@@ -113,3 +113,20 @@ def test_candidates_that_find_nothing_leave_the_others(spark):
         (1, "currency", "USD", 95.0), (1, "invoice_date", "2003-01-02", 95.0), (1, "invoice_number", "12345", 90.0),
         (1, "total_amount", "2000.50", 100.0), (1, "vendor_name", "NORTH", 100.0), (3, "currency", "USD", 95.0),
     ]
+
+
+def test_votes_stay_where_their_documents_lie(spark, folder):
+    """Orders are dealt before they vote: neither votes nor documents are shuffled by field or with their vendor."""
+    text = plan_of(flow.template_refresh(spark, folder)).split("Initial Plan")[0]
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
+    assert not [k for k in keys if re.match(r"doc_id#\d+L, (field|vendor_id)", k)] and sum(k.startswith("doc_id") for k in keys) == 1
+    assert text[: text.index("Union")].count("ObjectHashAggregate(") == 2 and "Exchange" not in text[: text.index("Union")]
+
+
+def test_votes_without_order_or_confidence(spark):
+    """Sums pass over nulls, and a field whose votes have no confidence still has a winner."""
+    votes = [(1, "a", 1, "f", "X", 80.0), (1, "b", 2, "f", "x ", None), (1, "docling", 0, "f", "y", 60.0), (2, "a", None, "f", None, None), (2, "b", 3, "f", "z", None)]
+    rows = consensus.field_vote(spark.createDataFrame(votes, "doc_id long, voter string, voter_ord int, field string, value string, confidence double"))
+    got = {r["doc_id"]: r for r in rows.collect()}
+    assert (got[1]["value"], got[1]["agreement"], got[1]["selected_from"], got[1]["all_values"], got[1]["vote_counts"]) == ("x", "strong", ["a", "b"], ["y", "x"], {"x": 2, "y": 1})
+    assert got[1]["original"] == "X" and got[2]["vote_counts"] == {"": 1, "z": 1}
