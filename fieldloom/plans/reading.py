@@ -11,6 +11,9 @@ from fieldloom.plans.sql import DOCUMENTS
 from fieldloom.sources import files
 from fieldloom.session import table
 
+#: About how many documents a task turns into words where these are sorted.
+DOCUMENTS_OF_TASK = 50_000
+
 
 def text_voter_extract(spark: SparkSession, folder: str) -> DataFrame:
     found = extract.text_voter(F.replace("text", F.lit("Invoice No: "), F.lit("No. ")))
@@ -75,7 +78,8 @@ def labelled_total(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_column_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    return layout.numeric_columns(render.tokens(spark, folder)).select("doc_id", "cluster", "tokens", "centre")
+    # the sort of a task holds the words of its documents, so these are bounded, whatever the size of the table
+    return layout.numeric_columns(render.tokens(spark, folder, DOCUMENTS_OF_TASK)).select("doc_id", "cluster", "tokens", "centre")
 
 
 def line_grouping(spark: SparkSession, folder: str) -> DataFrame:

@@ -63,14 +63,17 @@ def date_text(date, k):
     )
 
 
-def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, text, amount_text, date_text, cents: one rendered document per order."""
+def documents(spark: SparkSession, folder: str, of_task: int | None = None) -> DataFrame:
+    """doc_id, text, amount_text, date_text, cents: one rendered document per order; with
+    ``of_task`` orders are dealt before they become documents, to as many tasks as leave each about so many."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    if of_task is not None:
+        orders = orders.repartition(max(spark.sparkContext.defaultParallelism, -(-orders.count() // of_task)), "o_orderkey")
     k = F.col("o_orderkey")
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     kind = F.when(k % 11 == 0, "Credit Note").when(k % 7 == 0, "Quotation").when(k % 5 == 0, "Statement").otherwise("Invoice")
     return (
-        table(spark, folder, "orders")
-        .select(
+        orders.select(
             k.alias("doc_id"),
             amount_text(cents, k).alias("amount_text"),
             date_text(F.col("o_orderdate"), k).alias("date_text"),
@@ -107,9 +110,9 @@ def corrections(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """Words of the rendered documents with boxes from their line and place."""
-    return tokens_of(documents(spark, folder))
+def tokens(spark: SparkSession, folder: str, of_task: int | None = None) -> DataFrame:
+    """Words of the rendered documents with boxes from their line and place; ``of_task`` as above, words then lie by document."""
+    return tokens_of(documents(spark, folder, of_task))
 
 
 def tokens_of(docs: DataFrame) -> DataFrame:

@@ -130,3 +130,12 @@ def test_votes_without_order_or_confidence(spark):
     got = {r["doc_id"]: r for r in rows.collect()}
     assert (got[1]["value"], got[1]["agreement"], got[1]["selected_from"], got[1]["all_values"], got[1]["vote_counts"]) == ("x", "strong", ["a", "b"], ["y", "x"], {"x": 2, "y": 1})
     assert got[1]["original"] == "X" and got[2]["vote_counts"] == {"": 1, "z": 1}
+
+
+def test_words_of_columns_are_bounded_by_task(spark, folder, monkeypatch):
+    """Documents are dealt before they become words, to more tasks where there are more documents."""
+    monkeypatch.setattr(reading, "DOCUMENTS_OF_TASK", 100)
+    found = reading.token_column_clusters(spark, folder)
+    text, n = plan_of(found).split("Initial Plan")[0], render.documents(spark, folder).count()
+    assert text.count("Exchange") == 1 and f", {-(-n // 100)}), REPARTITION_BY_NUM" in text and n > 1000
+    assert text.index("Generate") < text.index("Exchange")
