@@ -20,6 +20,7 @@ _LINES = (
     ("Total: $7.00", "Amount due: {amount}", "balance due: ,", "", "Total (USD): {amount}"),
     ("PO # P-{key}77", "paid in EUR", "p.o. 12", "£ only", "GBP USDX", "€"),
 )
+TEXTS_OF_TASK = 250_000
 
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,13 +30,14 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
               "{amount}": F.format_number(F.round("o_totalprice", 2), 2)}
     lines = []
     for n, row in enumerate(_LINES):
-        line = F.element_at(F.array(*map(F.lit, row)), ((k + n) % len(row) + 1).cast("int"))
-        for mark, value in values.items():
-            line = F.replace(line, F.lit(mark), value)
-        lines.append(line)
-    # dealt while rows are narrow: a file of few splits would leave the texts, which are the work, to few tasks
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderdate", "o_totalprice").repartition("o_orderkey")
-    return orders.select(k.alias("doc_id"), F.array_join(F.array(*lines), "\n").alias("text"), (F.lit(60.0) + k % 40).alias("confidence"))
+        lines.append(F.element_at(F.array(*map(F.lit, row)), ((k + n) % len(row) + 1).cast("int")))
+    text = F.array_join(F.array(*lines), "\n")
+    for mark, value in values.items():  # once a text, not once a line
+        text = F.replace(text, F.lit(mark), value)
+    # dealt while rows are narrow: a file of few splits would leave the texts, which are the work, to few tasks, and so would tasks joined by their few bytes
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    orders = orders.repartition(max(spark.sparkContext.defaultParallelism, -(-orders.count() // TEXTS_OF_TASK)), "o_orderkey")
+    return orders.select(k.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), (F.lit(60.0) + k % 40).alias("confidence"))
 
 
 def header_lines(spark: SparkSession, folder: str) -> DataFrame:

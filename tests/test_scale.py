@@ -139,3 +139,25 @@ def test_words_of_columns_are_bounded_by_task(spark, folder, monkeypatch):
     text, n = plan_of(found).split("Initial Plan")[0], render.documents(spark, folder).count()
     assert text.count("Exchange") == 1 and f", {-(-n // 100)}), REPARTITION_BY_NUM" in text and n > 1000
     assert text.index("Generate") < text.index("Exchange")
+
+
+def test_texts_are_searched_whole(spark, folder):
+    """No text is split into all its lines, none is made twice for a filter on the rows of it, and few bytes do not join the tasks that make them."""
+    for query in (headers.scored_candidates, headers.header_lines):
+        found = query(spark, folder)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("array_join(") == 1 and "size(" not in plan
+        assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert "split(" not in headers.scored_candidates(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_candidates_of_long_runs_and_vetoed_lines(spark):
+    """White space of any length is read once; a veto after the total counts, a line's other dates are tried in their order."""
+    gap = " " * 100_000
+    text = f"\tCUSTOMER \nBILL TO\n AB  x\nNOVA & CO  9\nTotal 1.00 parts total\nsub total: 2.50\npo{gap}\ninvoice{gap}\ntotal{gap}\n2024-02-29-01-2024/2023-01-05 99-01-2007-03-04"
+    rows = spark.createDataFrame([(1, text, 50.0), (2, "É9ÉÀÎÔ x\nÉCOLE\nAB", 50.0), (3, "date: 30/02/2024 29/02/2023 7-8-2024", 50.0)], "doc_id long, text string, confidence double")
+    assert sorted((r["doc_id"], r["field"], r["value"], r["confidence"]) for r in header.scored_fields(rows).collect()) == [
+        (1, "currency", "USD", 95.0), (1, "invoice_date", "2024-01-29", 50.0), (1, "po_number", "invoice", 50.0),
+        (1, "total_amount", "2.50", 60.0), (1, "vendor_name", "NOVA & CO", 60.0),
+        (2, "currency", "USD", 95.0), (2, "vendor_name", "É9ÉÀÎÔ x", 50.0), (3, "currency", "USD", 95.0),
+    ]
