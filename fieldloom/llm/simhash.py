@@ -106,7 +106,8 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     index = fps.select("fp").distinct().select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
     left, right = index.select("key", F.col("fp").alias("a")), index.select("key", F.col("fp").alias("b"))
     diff = F.col("a").bitwiseXOR(F.col("b"))
-    met = left.join(right, "key").where(
+    # an index is sized as if each fingerprint had one variant, so it would be taken for a small table to broadcast
+    met = left.join(right.hint("merge"), "key").where(
         (F.col("a") < F.col("b")) & (F.bit_count(diff) <= distance) & _only_at(F.col("key"), diff)
     )
     return met.select("a", "b")

@@ -61,6 +61,13 @@ def test_simhash_links(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_variants_are_no_broadcast(spark):
+    """Fingerprints are few enough to broadcast, their 64 variants are not."""
+    found = simhash.links(spark.createDataFrame([(1,), (3,), (-1,)], "fp long"))
+    assert [tuple(r) for r in found.collect()] == [(1, 3)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_documents(spark, docs, odd_rows, prose):
     words = prose(400, 9).split()
     rows = [*odd_rows, (100, " ".join(words), "en", "s"), (101, " ".join([*words[:-1], "changed"]), "en", "s"), (102, " ".join(words).upper(), "en", "s")]
