@@ -104,3 +104,12 @@ def test_the_mix_does_not_depend_on_partitions(spark, docs, prose):
     taken = [Counter((r["doc_id"], r["text"]) for r in mixing.sample(table.repartition(n)).collect()) for n in (1, 3, 7)]
     assert taken[0] == taken[1] == taken[2]
     assert 0 < sum(v for (d, _), v in taken[0].items() if d == 1)
+
+
+def test_pipeline_broadcasts_no_variants(spark, docs, prose, monkeypatch):
+    """What near_dedup links is joined by shuffles, however few the texts are."""
+    seen, whole = [], common.components
+    monkeypatch.setattr(common, "components", lambda edges: seen.append(edges._jdf.queryExecution().executedPlan().toString()) or whole(edges))
+    rows = docs([(1, prose(80, 1), "en", "s"), (2, prose(80, 1), "en", "s"), (3, prose(80, 2), "en", "s")])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, rows, "").collect()) == [1, 3]
+    assert len(seen) == 1 and "Broadcast" not in seen[0]
