@@ -227,5 +227,10 @@ def file_size(size: Column) -> Column:
     )
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A double with so many decimals, rounded by its exact binary value, exact halves to even, as C's printf does."""
+    return F.call_function("format_number", value, F.lit("0." + "0" * digits))
+
+
 def title(value: Column) -> Column:
     return F.initcap(F.replace(F.lower(value), F.lit("_"), F.lit(" ")))

@@ -56,7 +56,7 @@ def anchors(submissions: DataFrame, tokens: DataFrame) -> DataFrame:
     # the pages of submitted documents only; both sides are dealt by document already
     extent = tokens.join(submissions.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").groupBy("doc_id", "page", "source").agg(F.max("x1").alias("width"), F.max("y1").alias("height"))
     sided = first.select("doc_id", "field", "t.*").join(extent.hint("merge"), ["doc_id", "page", "source"])
-    share = lambda c, side: F.round(F.col(c) / F.nullif(F.col(side), F.lit(0)), 6)
+    share = lambda c, side: F.col(c) / F.nullif(F.col(side), F.lit(0))
     found = sided.select(
         "doc_id", "field", F.array(share("x0", "width"), share("y0", "height"), share("x1", "width"), share("y1", "height")).alias("bbox"), "page"
     )

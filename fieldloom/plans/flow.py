@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import records
+from fieldloom.functions.text import fixed
 from fieldloom.operators import multipage, submit
 from fieldloom.plans import render
 from fieldloom.plans.sql import CORRECTIONS, DOCUMENTS, TALLY, VOTES
@@ -151,7 +152,7 @@ def correction_submit(spark: SparkSession, folder: str) -> DataFrame:
     submissions = docs.where(k % 5 == 0).select("doc_id", corrected.alias("corrected"), boxes.alias("boxes"), F.create_map(F.lit("currency"), F.lit(2)).alias("pages"), "submitted_at")
     template = spark.createDataFrame([], "vendor_id long, field string, examples array<string>, confidence double, occurrences long")
     out = submit.submitted(submissions, documents, render.tokens(spark, folder), template)
-    sides = F.array_join(F.transform("bbox", lambda x: F.format_string("%.4f", x)), ",")
+    sides = F.array_join(F.transform("bbox", lambda x: fixed(x, 4)), ",")
     text = lambda *x: F.concat_ws("|", *x)
     entries = F.array_join(F.transform(F.array_sort(F.map_entries("extracted_data")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
     return (

@@ -3,11 +3,14 @@
 import datetime as dt
 import json
 
+import compare
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.functions import records
+from fieldloom.functions import records, text
 from fieldloom.operators import header, multipage, submit, validate
+from fieldloom.plans import flow
 
 TOKEN = "doc_id long, page int, source string, tok_no int, text string, x0 int, y0 int, x1 int, y1 int"
 
@@ -41,6 +44,20 @@ def test_submitted(spark):
     assert [r["doc_id"] for r in submit.unknown(given, docs).collect()] == [9]
 
 
+def test_halves_of_boxes(spark, tmp_path):
+    """Shares of a page that lie at a half of the last place shown, or next to it, read as in SQL."""
+    values = [a / b for b in (160, 176, 320, 352, 999) for a in range(b + 1)] + [0.03125, 0.09375, 0.123449999, 0.12345000001]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", text.fixed(F.col("v"), 4).alias("s")).collect()
+    assert [r["s"] for r in got] == [f"{r['v']:.4f}" for r in got]
+    orders = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+    rows = [(100005, 249, "F", 39577.85, dt.datetime(2000, 3, 27), "4"), (101050, 442, "F", 377876.53, dt.datetime(1997, 11, 12), "4")]
+    spark.createDataFrame(rows, orders).write.parquet(f"{tmp_path}/orders.parquet")
+    c = duckdb.connect()
+    c.sql("SET timezone = 'UTC'")
+    c.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert compare.rows(flow.correction_submit(spark, str(tmp_path)).toPandas()) == compare.rows(c.sql(flow.ORACLES["correction_submit"]).df())
+
+
 PAGE = "doc_id long, page int, invoice_number string, total_amount string, vendor_name string"
 ITEM = "doc_id long, page int, item_no int, description string, quantity double, unit_price double, amount string"
 
