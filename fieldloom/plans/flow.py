@@ -108,7 +108,7 @@ def open_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-#: Pages of eight orders are one document.
+#: Pages of eight orders are one document; with more items or other pages than this it is marked, and its items stand in long form too.
 MOST_ITEMS = 40
 
 
@@ -126,11 +126,12 @@ def _pages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def multipage_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents of up to 56 pages with their items in order, or the number of those that do not fit, and their other pages."""
+    """Documents of up to 56 pages with all their items in order and their other pages."""
     pages, items = _pages(spark, folder)
-    out = multipage.records(pages, items, MOST_ITEMS)
+    out = multipage.records(pages, items)
     other = F.array_join(F.transform("other_pages", lambda p: F.concat_ws(":", p["page"].cast("string"), F.coalesce(p["invoice_number"], F.lit("-")), p["vendor_name"])), "\n")
-    return out.select("doc_id", "page_count", "multiple_invoices", "invoice_number", "total_amount", "n_items", multipage.concatenated(F.col("line_items")).alias("items"), other.alias("others"), "overflowed")
+    many = (F.col("n_items") > MOST_ITEMS) | (F.col("n_other_pages") > MOST_ITEMS)
+    return out.select("doc_id", "page_count", "multiple_invoices", "invoice_number", "total_amount", "n_items", multipage.concatenated(F.col("line_items")).alias("items"), other.alias("others"), many.alias("overflowed"))
 
 
 def multipage_overflow(spark: SparkSession, folder: str) -> DataFrame:
@@ -240,7 +241,7 @@ ORACLES = {
         json_extract(l, '$.vendor.tags[1]') :: INT AS tag, doc_id AS seen_at, json_extract(l, '$.vendor.id') :: BIGINT AS vendor_id,
         array_to_string(list_sort(list_distinct(list_concat(json_keys(r), list_filter(json_keys(l), lambda x: x NOT IN ('total', 'vendor'))))), ',') AS carried FROM k""",
     "multipage_records": f"""WITH {_PAGES} SELECT doc_id, page_count, page_count > 1 AND NOT single AS multiple_invoices, f[1] AS invoice_number, f[2] AS total_amount, coalesce(counted.n, 0) AS n_items,
-        CASE WHEN counted.n <= {MOST_ITEMS} THEN items END AS items, CASE WHEN coalesce(rest.n, 0) <= {MOST_ITEMS} THEN coalesce(others, '') END AS others,
+        coalesce(items, '') AS items, coalesce(others, '') AS others,
         counted.n > {MOST_ITEMS} OR coalesce(rest.n, 0) > {MOST_ITEMS} AS overflowed FROM docs LEFT JOIN counted USING (doc_id) LEFT JOIN rest USING (doc_id)""",
     "multipage_overflow": f"""WITH {_PAGES} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, item_no, l_quantity, amount) AS place, page, item_no, amount
       FROM items JOIN counted USING (doc_id) WHERE n > {MOST_ITEMS}""",

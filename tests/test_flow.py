@@ -90,6 +90,27 @@ def test_pages(spark):
     assert multipage.records(spark.createDataFrame([], PAGE), spark.createDataFrame([], ITEM)).count() == 0
 
 
+def test_records_hold_all_pages(spark, tmp_path):
+    """Without a bound nothing is left out of a record; with one the other pages stand in long form as well as the items."""
+    pages = spark.createDataFrame([(1, p, f"N{p}", str(p), "V") for p in range(60, 0, -1)] + [(2, p, "N", "1", "V") for p in (2, 1)], PAGE)
+    items = spark.createDataFrame([(d, p, k, "d", 1.0, None, f"{p}.{k}") for d, p in ((1, 1), (2, 2), (2, 1)) for k in range(1500, 0, -1)], ITEM)
+    got = {r["doc_id"]: r for r in multipage.records(pages, items).collect()}
+    assert [p["page"] for p in got[1]["other_pages"]] == list(range(2, 61)) and got[2]["other_pages"] == []
+    assert [(i["page"], i["item_no"]) for i in got[2]["line_items"]] == [(p, k) for p in (1, 2) for k in range(1, 1501)]
+    assert len(got[1]["line_items"]) == 1500 and not got[1]["overflowed"] and not got[2]["overflowed"]
+    rest = multipage.overflow_pages(pages, 58).orderBy("place").collect()
+    assert [(r["doc_id"], r["place"], r["page"], r["invoice_number"]) for r in rest] == [(1, n, n + 1, f"N{n + 1}") for n in range(1, 60)]
+    assert multipage.overflow_pages(pages, 59).count() == 0
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double"
+    spark.createDataFrame([(k, 1, k, n, float(n), 10.5 * n) for k in range(7, 24) for n in range(1, 8)], line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    found = flow.multipage_records(spark, str(tmp_path)).toPandas()
+    assert compare.rows(found) == compare.rows(c.sql(flow.ORACLES["multipage_records"]).df())
+    assert found["items"].notna().all() and found["others"].notna().all() and found["overflowed"].any()
+    assert [len(x.split("\n")) for x in found["items"]] == found["n_items"].tolist()
+
+
 @pytest.mark.parametrize(
     "left, right",
     [({"a": 1, "b": {"c": [1, 2], "d": None}}, {"a": 2, "z": [{"q": 1}], "b": 5}), (None, {"k": 1}), ([1], "s"), ({}, {}), ({"b": None}, {"b": {"t": 1}}), ({"x y": "é"}, None), ({"a": {"b": {"c": 1}}}, {"a": [1]})],
