@@ -259,7 +259,7 @@ def fused(value: Column) -> Column:
     digits = F.trim(F.regexp_replace(mended, "[^0-9]+", "/"), F.lit("/"))
     year, month, day = _matched(digits, r"(\d{4})/(\d{1,2})/(\d{1,2})", 3)
     return F.coalesce(
-        month_date(value),
+        F.when(value.rlike("[A-Za-z]{3}"), month_date(value)),  # no month's name is shorter
         first_of(mended, r"(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})", 0),
         first_of(digits, r"(\d{1,2})/(\d{1,2})/(\d{2,4})", 0),
         F.when(year.isNotNull(), F.concat_ws("/", month, day, year)),

@@ -176,12 +176,14 @@ def currency_infer(amount_text: Column, text: Column) -> Column:
 
 def digit_repair(value: Column) -> Column:
     """Letters that are read for digits."""
-    return F.translate(value, "OoIlSB", "001158")
+    for letter, digit in zip("OoIlSB", "001158"):  # several times as fast as a translation where there are few
+        value = F.replace(value, F.lit(letter), F.lit(digit))
+    return value
 
 
 def id_normalise(value: Column) -> Column:
-    out = F.regexp_replace(digit_repair(value), r"[^A-Za-z0-9-]", "")
-    return F.when(out.rlike("[0-9]"), out)
+    mended = digit_repair(value)
+    return F.when(mended.rlike("[0-9]"), F.regexp_replace(mended, r"[^A-Za-z0-9-]", ""))
 
 
 # The patterns of this rule.

@@ -3,9 +3,11 @@ neighbours on the line leave it.
 
 A label is a run of words, or single words where no run fits. Its column reaches to the
 midpoints between its centre and those of the next labels of its line, else 20 pixels to
-the left and 160 to the right. Labels' columns meet words by an interval join: both sides
-are keyed by page, line and bucket of x, so a page of many words is never paired word by
-word. Words to the right of the label come first, those of the line below after them.
+the left and 160 to the right. A line's words stand in one row beside those of the line
+below, and each of its at most five labels looks through these two, so a page of many words is
+never paired word by word and nothing is shuffled after pages. Words to the right of the label
+come first, those of the line below after them. :func:`within` joins points and ranges that
+do not lie together.
 
 Cases: words without letters or digits are no part of a label; a null confidence does not
 count, and words without any count 0.4; blank or null words read as nothing; a page
@@ -15,13 +17,15 @@ another; of several lines with a label the first with a value counts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import dates, money
 from fieldloom.functions.text import id_normalise, let, token_key
+from fieldloom.operators import layout
 from fieldloom.operators.layout import PAGE, engine_weight
 
 #: Pixels of a bucket of the interval join.
@@ -34,6 +38,8 @@ class Label:
     phrases: tuple[str, ...]
     words: tuple[str, ...]
     kind: str
+    #: One of these lower-case parts stands in every text that matches a pattern.
+    parts: tuple[str, ...]
     barred: str | None = None
 
 
@@ -44,24 +50,27 @@ SPECS = {
         ("invoice number", "invoice no", "invoice id", "inv number", "inv no"),
         ("invoice", "inv", "number", "no", "#", "id"),
         "id",
+        ("inv",),
     ),
     "po_number": Label(
         (r"(?i)\b(purchase\s*order|po\s*(number|#)|p\.?o\.?)\b", r"(?i)\byour\s*purchase\s*order\b"),
         ("your purchase order", "purchase order", "po", "p o"),
         ("purchase", "order", "po", "your"),
         "id",
+        ("purchase", "po", "p.o"),
     ),
     "invoice_date": Label(
-        (r"(?i)\binvoice\s*date\b", r"(?i)\binv\s*date\b", r"(?i)\bdate\b"), ("invoice date", "inv date"), ("invoice", "inv", "date"), "date", "printed"
+        (r"(?i)\binvoice\s*date\b", r"(?i)\binv\s*date\b", r"(?i)\bdate\b"), ("invoice date", "inv date"), ("invoice", "inv", "date"), "date", ("date",), "printed"
     ),
     "due_date": Label(
-        (r"(?i)\bdue\s*date\b", r"(?i)\bpayment\s*due\b", r"(?i)\bpay\s*by\b"), ("due date", "payment due", "pay by"), ("due", "payment", "pay"), "date"
+        (r"(?i)\bdue\s*date\b", r"(?i)\bpayment\s*due\b", r"(?i)\bpay\s*by\b"), ("due date", "payment due", "pay by"), ("due", "payment", "pay"), "date", ("due", "pay")
     ),
     "total_amount": Label(
         (r"(?i)\b(total\s*amount|total\s*due|grand\s*total|amount\s*due|balance\s*due|total)\b",),
         ("total amount", "total due", "grand total", "amount due", "balance due", "total"),
         ("total", "amount", "balance", "grand", "due"),
         "amount",
+        ("total", "due"),
     ),
 }
 LEFT, RIGHT, SAME = 20, 160, 4
@@ -81,12 +90,34 @@ def within(points: DataFrame, ranges: DataFrame, on: list[str], at: str, low: st
     return met.where(F.col(at).between(F.col(low), F.col(high))).drop("_bucket")
 
 
+def _word(column: Callable[[str], Column]) -> dict[str, Column]:
+    """What a word is: in the order in which words of a line are sorted."""
+    conf = column("conf")
+    return {
+        "centre": (column("x0") + column("x1")) / 2, "tok_no": column("tok_no"), "text": F.coalesce(column("text"), F.lit("")), "x0": column("x0"), "x1": column("x1"),
+        "conf": F.when(conf > 1, conf / 100).otherwise(conf),
+    }
+
+
 def words_of_lines(lined: DataFrame) -> DataFrame:
-    """Tokens of ``layout.grouped_lines`` with the centre, key and confidence of each."""
-    sure = F.when(F.col("conf") > 1, F.col("conf") / 100).otherwise(F.col("conf"))
-    return lined.select(
-        *PAGE, "line_no", "tok_no", F.coalesce("text", F.lit("")).alias("text"), "x0", "x1", ((F.col("x0") + F.col("x1")) / 2).alias("centre"), sure.alias("conf")
-    )
+    """Tokens of ``layout.grouped_lines`` with the centre and confidence of each."""
+    return lined.select(*PAGE, "line_no", *[c.alias(n) for n, c in _word(F.col).items()])
+
+
+def lines_of_pages(tokens: DataFrame) -> DataFrame:
+    """One row a line of tokens: its words in order of their centres, and those of the line below. Lines are told
+    apart inside the page's row, so its tokens are gathered once."""
+    word = lambda t: F.struct(*[c.alias(n) for n, c in _word(lambda x: t[x]).items()])
+    pages = layout.page_lines(tokens, word)
+    pair = let(F.col("lines"), lambda lines: F.transform(lines, lambda words, k: F.struct(words.alias("words"), F.get(lines, k + 1).alias("below"))))
+    return pages.select(*PAGE, F.posexplode(pair).alias("line_no", "l")).select(*PAGE, "line_no", "l.words", "l.below")
+
+
+def lines_of_words(words: DataFrame) -> DataFrame:
+    """The same of the words of ``layout.grouped_lines``."""
+    page = Window.partitionBy(*PAGE).orderBy("line_no")
+    lines = _lines(words).withColumn("next", F.lead(F.struct("line_no", "words")).over(page))
+    return lines.select(*PAGE, "line_no", "words", F.when(F.col("next.line_no") == F.col("line_no") + 1, F.col("next.words")).alias("below"))
 
 
 def _run(phrase: str) -> Column:
@@ -110,31 +141,50 @@ def _label(field: str, spec: Label) -> Column:
             (F.aggregate(ws, F.lit(0.0), lambda a, w: a + w["centre"]) / F.size(ws)).alias("centre"),
         ),
     )
-    return let(words, label)
-
-
-def label_columns(words: DataFrame) -> DataFrame:
-    """The column (left_bound to right_bound) of every label whose line matches its patterns."""
-    word = F.struct("centre", "tok_no", "text", "x0", "x1", token_key(F.col("text")).alias("key"))
-    lines = words.groupBy(*PAGE, "line_no").agg(F.array_sort(F.collect_list(word)).alias("words"))
-    lines = lines.select(
-        *PAGE, "line_no", F.array_join(F.transform("words", lambda w: w["text"]), " ").alias("text"), F.filter("words", lambda w: w["key"] != "").alias("keyed")
-    )
-    lines = lines.withColumn("line_key", F.concat(F.lit(" "), F.array_join(F.transform("keyed", lambda w: w["key"]), " "), F.lit(" ")))
-    each = lines.select(*PAGE, "line_no", "text", F.array_compact(F.array(*[_label(f, s) for f, s in SPECS.items()])).alias("labels"))
-    each = each.select("*", F.explode("labels").alias("own")).select(*PAGE, "line_no", "text", "own.*", F.transform("labels", lambda x: x["centre"]).alias("centres"))
+    # a plain search for each word comes first
+    return F.when(_any([F.col("line_key").contains(f" {x} ") for x in {**dict.fromkeys(spec.words), **dict.fromkeys(spec.phrases)}]), let(words, label))
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
+
+
+def _named(field: str, spec: Label) -> Column:
+    """The field, where ``text`` matches its patterns; a plain search comes before each pattern."""
+    low = F.col("low")
+    fits = _any([low.contains(x) for x in spec.parts]) & _any([F.col("text").rlike(x) for x in spec.patterns])
+    return F.when(fits & ~low.contains(spec.barred) if spec.barred else fits, F.lit(field))
+
+
+def _lines(words: DataFrame) -> DataFrame:
+    """One row a line: its words in order of their centres."""
+    word = F.struct("centre", "tok_no", "text", "x0", "x1", "conf")
+    return words.groupBy(*PAGE, "line_no").agg(F.sort_array(F.collect_list(word)).alias("words"))
+
+
+def _labelled(lines: DataFrame, *kept: str) -> DataFrame:
+    """The column (left_bound to right_bound) of every label whose line matches its patterns, with the columns ``kept`` of its line."""
+    texts = lines.withColumn("text", F.array_join(F.transform("words", lambda w: w["text"]), " ")).withColumn("low", F.lower("text"))
+    # exploded, so that lines that name no field end here and no pattern is searched twice; what is no lambda
+    # stands in a column of its own, since generators and lambdas are interpreted with all that they hold
+    texts = texts.withColumn("named", F.array(*[_named(f, s) for f, s in SPECS.items()]))
+    some = F.explode(F.filter(F.array(F.array_compact("named")), lambda n: F.size(n) > 0))
+    fits = texts.select(*PAGE, "line_no", "words", *(c for c in kept if c != "words"), some.alias("named"))
+    keys = F.transform("words", lambda w: F.struct(*[w[c].alias(c) for c in ("centre", "x0", "x1")], token_key(w["text"]).alias("key")))
+    keyed = fits.withColumn("keyed", keys).withColumn("keyed", F.filter("keyed", lambda w: w["key"] != ""))
+    keyed = keyed.withColumn("line_key", F.concat(F.lit(" "), F.array_join(F.col("keyed.key"), " "), F.lit(" ")))
+    each = keyed.select(*PAGE, "line_no", *kept, "named", F.array(*[_label(f, s) for f, s in SPECS.items()]).alias("labels"))
+    own = F.explode(F.filter("labels", lambda x: F.array_contains(F.col("named"), x["field"])))
+    each = each.select(*PAGE, "line_no", *kept, own.alias("own"), F.col("labels.centre").alias("centres")).select(*PAGE, "line_no", *kept, "own.*", "centres")
     before = F.array_max(F.filter("centres", lambda c: c < F.col("centre") - SAME))
     after = F.array_min(F.filter("centres", lambda c: c > F.col("centre") + SAME))
-    named = F.lit(False)
-    for field, spec in SPECS.items():
-        fits = F.lit(False)
-        for pattern in spec.patterns:
-            fits = fits | F.col("text").rlike(pattern)
-        barred = F.lower("text").contains(spec.barred) if spec.barred else F.lit(False)
-        named = named | ((F.col("field") == field) & fits & ~barred)
-    return each.where(named).select(
+    return each.select(
         *PAGE,
         "line_no",
+        *kept,
         "field",
         F.col("right").alias("label_right"),
         F.coalesce((before + F.col("centre")) / 2, F.col("left") - LEFT).alias("left_bound"),
@@ -142,32 +192,37 @@ def label_columns(words: DataFrame) -> DataFrame:
     )
 
 
-def readings(words: DataFrame, columns: DataFrame) -> DataFrame:
-    """The words beside each label, or below it where none stand beside: (page, line_no, field, raw, conf)."""
-    ways = F.array(
-        F.struct(F.lit(0).alias("way"), F.col("line_no").alias("word_line"), (F.col("left_bound") - BESIDE).alias("low"), (F.col("right_bound") + BESIDE).alias("high"),
-                 (F.col("label_right") - BESIDE_START).cast("double").alias("least")),
-        F.struct(F.lit(1).alias("way"), (F.col("line_no") + 1).alias("word_line"), (F.col("left_bound") - BELOW).alias("low"), (F.col("right_bound") + BELOW).alias("high"),
-                 F.lit(float("-inf")).alias("least")),
-    )
-    ranges = columns.select(*PAGE, "field", F.col("line_no").alias("label_line"), F.explode(ways).alias("w")).select(*PAGE, "field", "label_line", "w.*")
-    points = words.withColumnRenamed("line_no", "word_line")
-    met = within(points, ranges, [*PAGE, "word_line"], "centre", "low", "high").where("x0 >= least")
-    word = F.struct("centre", "tok_no", "text")
-    by_way = met.groupBy(*PAGE, "label_line", "field", "way").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(word)), lambda w: w["text"]), " ").alias("raw"), F.coalesce(F.avg("conf"), F.lit(NO_CONFIDENCE)).alias("conf")
-    )
-    nearest = by_way.groupBy(*PAGE, "label_line", "field").agg(F.min_by(F.struct("raw", "conf"), "way").alias("r"))
-    return nearest.select(*PAGE, F.col("label_line").alias("line_no"), "field", "r.raw", "r.conf")
+def label_columns(words: DataFrame) -> DataFrame:
+    """The column (left_bound to right_bound) of every label whose line matches its patterns."""
+    return _labelled(_lines(words))
 
 
-def anchored_by_columns(lined: DataFrame) -> DataFrame:
-    """Candidates (doc_id, field, value, score, source, ord) of ``layout.grouped_lines``: of each
+def readings(lines: DataFrame) -> DataFrame:
+    """The words beside each label, or below it where none stand beside: (page, line_no, field, raw, conf)."""
+    labels = _labelled(lines, "words", "below")
+    between = lambda w, reach: w["centre"].between(F.col("left_bound") - reach, F.col("right_bound") + reach)
+    beside = F.filter("words", lambda w: between(w, BESIDE) & (w["x0"] >= F.col("label_right") - BESIDE_START))
+    under = F.filter("below", lambda w: between(w, BELOW))
+    # exploded, as a filter would look through the words twice
+    near = F.explode(F.filter(F.transform(F.array(beside), lambda ws: F.when(F.size(ws) > 0, ws).otherwise(under)), lambda ws: F.size(ws) > 0))
+    met = labels.select(*PAGE, "line_no", "field", near.alias("met"))
+    sure = F.array_compact(F.col("met.conf"))
+    mean = F.when(F.size(sure) > 0, F.aggregate(sure, F.lit(0.0), lambda a, c: a + c) / F.size(sure)).otherwise(F.lit(NO_CONFIDENCE))
+    return met.select(*PAGE, "line_no", "field", F.array_join(F.col("met.text"), " ").alias("raw"), mean.alias("conf"))
+
+
+def anchored(lines: DataFrame) -> DataFrame:
+    """Candidates (doc_id, field, value, score, source, ord) of :func:`lines_of_pages`: of each
     page and field the first line whose words read as a value of its kind."""
-    words = words_of_lines(lined)
-    value = F.coalesce(*[F.when(F.col("field") == f, NORMALISED[s.kind](F.col("raw"))) for f, s in SPECS.items()])
+    of_kind = lambda kind: F.col("field").isin(*[f for f, s in SPECS.items() if s.kind == kind])
+    value = F.coalesce(*[F.when(of_kind(kind), rule(F.col("raw"))) for kind, rule in NORMALISED.items()])
     # exploded, so that the value is computed once and not again for a filter
-    read = readings(words, label_columns(words)).select(*PAGE, "line_no", "field", "conf", F.explode(F.array_compact(F.array(value))).alias("value"))
+    read = readings(lines).select(*PAGE, "line_no", "field", "conf", F.explode(F.array_compact(F.array(value))).alias("value"))
     score = F.round(F.col("conf") * engine_weight(F.col("source")), 4)
     first = read.groupBy(*PAGE, "field").agg(F.min_by(F.struct("value", score.alias("score"), "line_no"), "line_no").alias("r"))
     return first.select("doc_id", "field", "r.value", "r.score", "source", F.col("r.line_no").alias("ord"))
+
+
+def anchored_by_columns(lined: DataFrame) -> DataFrame:
+    """:func:`anchored` of ``layout.grouped_lines``."""
+    return anchored(lines_of_words(words_of_lines(lined)))

@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.functions.text import let
+
 # Label phrases of each field, words of item columns and of summary lines.
 LABELS = {
     "invoice_number": ("invoice number", "invoice no", "invoice id", "inv number", "inv no"),
@@ -58,16 +62,22 @@ TOKEN = ["y0", "x0", "tok_no", "text", "conf", "x1", "y1"]
 def lines_of(tops: list[int], bottoms: list[int]) -> list[int]:
     """Line numbers of tokens in order of y and x: a token joins the first line
     whose centre is near, and moves that centre halfway to itself."""
+    return _joined([(y0 + y1) / 2 for y0, y1 in zip(tops, bottoms)], [max(0.6 * (y1 - y0), 8) for y0, y1 in zip(tops, bottoms)])
+
+
+def _joined(middles: list[float], reaches: list[float]) -> list[int]:
+    """:func:`lines_of` by the middles of tokens and how far each reaches."""
     centres: list[float] = []
     out = []
-    for y0, y1 in zip(tops, bottoms):
-        y, reach = (y0 + y1) / 2, max(0.6 * (y1 - y0), 8)
-        at = next((k for k, c in enumerate(centres) if abs(y - c) <= reach), None)
-        if at is None:
+    for y, reach in zip(middles, reaches):
+        low, high = y - reach, y + reach
+        for at, c in enumerate(centres):  # the difference decides; the sums only pass over most lines at once
+            if low - 1 <= c <= high + 1 and abs(y - c) <= reach:
+                centres[at] = (c + y) / 2
+                break
+        else:
             at = len(centres)
             centres.append(y)
-        else:
-            centres[at] = (centres[at] + y) / 2
         out.append(at)
     return out
 
@@ -79,18 +89,49 @@ def _listed(column: pa.Array) -> list:
 
 def _line_numbers(tops: pa.Array, bottoms: pa.Array) -> pa.Array:
     """Line numbers of pages; numbers leave and enter Arrow as whole columns."""
-    y0, y1 = _listed(tops.flatten()), _listed(bottoms.flatten())
     ends, out = [0], []
-    for n in tops.value_lengths().to_pylist():
-        at = len(out)
-        out += lines_of(y0[at : at + n], y1[at : at + n])
+    for own in _pages_lines(tops, bottoms):
+        out += own
         ends.append(len(out))
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.int32()))
 
 
+def _pages_lines(tops: pa.Array, bottoms: pa.Array) -> Iterator[list[int]]:
+    """The line numbers of one page after the other."""
+    y0, y1 = tops.flatten(), bottoms.flatten()
+    lengths = tops.value_lengths().to_pylist()
+    at = 0
+    if y0.null_count or y1.null_count:
+        y0, y1 = y0.to_pylist(), y1.to_pylist()
+        for n in lengths:
+            yield lines_of(y0[at : at + n], y1[at : at + n])
+            at += n
+        return
+    y0, y1 = y0.to_numpy().astype(float), y1.to_numpy().astype(float)
+    middles, reaches = ((y0 + y1) / 2).tolist(), np.maximum(0.6 * (y1 - y0), 8).tolist()
+    for n in lengths:
+        yield _joined(middles[at : at + n], reaches[at : at + n])
+        at += n
+
+
+def _line_places(tops: pa.Array, bottoms: pa.Array) -> pa.Array:
+    """Of each page the places (from 1) of each line's tokens."""
+    pages, lines, out = [0], [0], []
+    for own in _pages_lines(tops, bottoms):
+        found: list[list[int]] = [[] for _ in range(max(own, default=-1) + 1)]
+        for place, line in enumerate(own, 1):
+            found[line].append(place)
+        for places in found:
+            out += places
+            lines.append(len(out))
+        pages.append(len(lines) - 1)
+    inner = pa.ListArray.from_arrays(pa.array(lines, pa.int32()), pa.array(out, pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(pages, pa.int32()), inner)
+
+
 def pages_of(tokens: DataFrame, *more: str) -> DataFrame:
     """One row a page, with its tokens as an array in order of y, x and number."""
-    return tokens.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*TOKEN, *more))).alias("tokens"))
+    return tokens.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct(*TOKEN, *more))).alias("tokens"))
 
 
 def grouped_lines(tokens: DataFrame) -> DataFrame:
@@ -101,6 +142,14 @@ def grouped_lines(tokens: DataFrame) -> DataFrame:
     )
 
 
+def page_lines(tokens: DataFrame, word: Callable[[Column], Column]) -> DataFrame:
+    """A page's lines in one row: ``lines``, an array by line number of the sorted ``word`` of each token (a struct with the columns TOKEN)."""
+    numbered = pages_of(tokens).withColumn("places", F.arrow_udf(_line_places, "array<array<int>>")(F.col("tokens.y0"), F.col("tokens.y1")))
+    # words are named once: what stands inside a lambda is computed for each of its elements
+    lines = let(F.transform("tokens", word), lambda words: F.transform("places", lambda line: F.sort_array(F.transform(line, lambda k: F.element_at(words, k)))))
+    return numbered.select(*PAGE, lines.alias("lines"))
+
+
 def line_texts(lined: DataFrame) -> DataFrame:
     """doc_id, page, source, line_no, text and mean confidence of every line."""
     word = F.struct("x0", "tok_no", "text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.operators import columns, fusion, layout
+from fieldloom.operators import columns, fusion
 from fieldloom.plans import render
 from fieldloom.plans.sql import DOCUMENTS
 from fieldloom.session import table
@@ -23,10 +23,14 @@ _PLACES = (
 )
 
 
+#: Orders are dealt once, before they become forms, and all that follows keeps to that.
+DOCUMENTS_OF_TASK = 50_000
+
+
 def forms(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of a form of every order: two of three with labels above their values, the others
     with labels before them."""
-    docs = render.documents(spark, folder).select("doc_id", "amount_text", "date_text")
+    docs = render.documents(spark, folder, DOCUMENTS_OF_TASK).select("doc_id", "amount_text", "date_text")
     orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderdate")
     k = F.col("doc_id").cast("string")
     values = {
@@ -50,7 +54,7 @@ def forms(spark: SparkSession, folder: str) -> DataFrame:
 
 def column_fields(spark: SparkSession, folder: str) -> DataFrame:
     """All five fields of the forms, by the columns of their labels."""
-    found = columns.anchored_by_columns(layout.grouped_lines(forms(spark, folder)))
+    found = columns.anchored(columns.lines_of_pages(forms(spark, folder)))
     return fusion.fused(found).select("doc_id", "field", "value", "score")
 
 

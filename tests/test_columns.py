@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fieldloom.operators import columns, layout
+from fieldloom.plans import pages
 
 TOKEN = "doc_id long, page int, source string, tok_no int, text string, conf double, x0 int, y0 int, x1 int, y1 int"
 
@@ -61,3 +62,18 @@ def test_within(spark):
     ranges = spark.createDataFrame([(1, 0, -300.0, 300.0), (1, 1, 0.0, 0.0), (1, 2, 255.0, 256.0), (1, 3, 9.0, 2.0), (2, 4, None, 9.0)], "g int, k int, low double, high double")
     got = sorted((r["k"], r["at"]) for r in columns.within(points, ranges, ["g"], "at", "low", "high").collect())
     assert got == sorted((k, x) for k, low, high in ((0, -300, 300), (1, 0, 0), (2, 255, 256)) for x in map(float, range(-600, 600, 7)) if low <= x <= high)
+
+
+def test_forms_are_dealt_once(spark, folder):
+    """Labels look through the words of their line and the next one in one row: no join by pixels, words gathered once."""
+    text = pages.column_fields(spark, folder)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "_bucket" not in text and text.count("collect_list(") == 2 and text.count("ArrowEvalPython") == 1  # partial and final
+
+
+def test_lines_of_pages(spark):
+    """Lines told apart inside a page's row are those of tokens numbered one by one, at pages of any order and with empty boxes."""
+    rows = [(d, 1, "s", k, f"w{k}", 0.5 + k, (k * 37) % 300, (k * k * 7) % 90 + d, (k * 37) % 300 + 20, (k * k * 7) % 90 + d + 8 + k % 5) for d in range(1, 6) for k in range(12 * d)]
+    made = spark.createDataFrame(rows, TOKEN)
+    plain = lambda df: sorted((r["doc_id"], r["line_no"], [tuple(w) for w in r["words"]], None if r["below"] is None else [tuple(w) for w in r["below"]]) for r in df.collect())
+    got = plain(columns.lines_of_pages(made))
+    assert got == plain(columns.lines_of_words(columns.words_of_lines(layout.grouped_lines(made)))) and len(got) > 20
